@@ -60,3 +60,12 @@ def salted_lookup(members: DataFrame, keys: list[str], values: dict[str, Column]
 
 def _again(value: Column, name: str) -> Column:
     return F.max(name) if str(value).lower().startswith("column<'max(") else F.min(name)
+
+
+def salted_join(members: DataFrame, table: DataFrame, keys: list[str], order: str, salts: int = 64) -> DataFrame:
+    """Inner join of ``members`` with ``table``, which has one row for each of ``keys``, also where one
+    key holds a third of the members: the table's row goes to the (key, salt) pairs that occur, at
+    most ``salts`` for a key, and members join on the pair."""
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
+    pairs = salted.select(*keys, "_salt").distinct().join(table, keys)
+    return salted.join(pairs, [*keys, "_salt"]).drop("_salt")

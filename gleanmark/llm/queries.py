@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmark.llm import packing, sstable
+from gleanmark.llm import mixing, packing, sstable, warc, weakrules
 from gleanmark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,10 +17,23 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(spark, warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = sstable.write(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 1)
     return sstable.read(spark, folder, manifest, with_ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_token_shards)}
-ORACLES: dict[str, str] = {}
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), 1.5, 2).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weakrules.judge(documents(spark, sf_dir))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_warc_archive, op4_token_shards, op5_source_mixing, op9_quality_rules)}
+ORACLES: dict[str, str] = {"op3_warc_archive": warc.ORACLE, "op5_source_mixing": mixing.ORACLE}
