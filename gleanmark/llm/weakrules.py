@@ -84,7 +84,7 @@ def default_rules() -> list[Rule]:
         Rule("word_length", c("word_chars").between(3 * c("n_words"), 9 * c("n_words")), (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 12 * c("n_words"))),
         Rule("symbols", 100 * c("n_symbols") <= c("n_words"), 100 * c("n_symbols") > 10 * c("n_words")),
         Rule("digits", 100 * c("n_digits") <= 5 * c("word_chars"), 100 * c("n_digits") > 25 * c("word_chars")),
-        Rule("dup_lines", 10 * c("n_dup_lines") <= c("n_lines"), 100 * c("n_dup_lines") > 30 * c("n_lines")),
+        Rule("dup_lines", 10 * c("n_dup_lines") <= c("n_lines"), 2 * c("n_dup_lines") > c("n_lines")),
         Rule("repeats", 100 * c("n_repeat_words") <= 10 * c("n_words"), 100 * c("n_repeat_words") > 30 * c("n_words")),
         Rule("endings", 100 * c("n_ended_lines") >= 70 * c("n_lines"), 100 * c("n_ended_lines") < 20 * c("n_lines")),
         Rule("variety", 100 * c("n_distinct_words") >= 30 * c("n_words"), 100 * c("n_distinct_words") < 10 * c("n_words")),
@@ -103,12 +103,13 @@ class Model:
         return math.log(self.prior) - math.log1p(-self.prior) + sum(math.log(g[v]) - math.log(b[v]) for v, g, b in zip(votes, self.good, self.bad, strict=True))
 
 
-def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 100, prior: float = 0.8, strength: float = 0.05) -> Model:
+def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 100, prior: float = 0.8, firm: float = 1.0, loose: float = 0.005) -> Model:
     """Expectation-maximisation over counts of vote patterns.
 
-    At the start a bad vote on a good document is an exception, one vote in 200, while a bad
-    document, which as a rule offends only some rules, gets three bad votes in ten. That belief keeps the
-    weight of ``strength`` of the corpus, so that the two kinds can't change places.
+    At the start a bad vote on a good document is an exception, one vote in a thousand, while a bad
+    document, which as a rule offends only some rules, gets three bad votes in ten. The belief on good
+    documents keeps the weight of ``firm`` times the corpus, that on bad ones of ``loose`` times, so that
+    the two kinds can't change places and a kind of junk that breaks one rule isn't taken for good.
     """
     total = sum(patterns.values())
     cast = [{v: sum(n for p, n in patterns.items() if p[j] == v) / max(total, 1) for v in (1, 0, -1)} for j in range(rules)]
@@ -117,11 +118,11 @@ def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 100, pri
         voting = max(1e-3, min(1 - 1e-3, 1 - cast[j][-1]))
         return {1: (1 - offends) * voting, 0: offends * voting, -1: 1 - voting}
 
-    base_good, base_bad = [start(j, 0.005) for j in range(rules)], [start(j, 0.3) for j in range(rules)]
+    base_good, base_bad = [start(j, 0.001) for j in range(rules)], [start(j, 0.3) for j in range(rules)]
     model = Model(prior, base_good, base_bad)
     if not total:
         return model
-    weight = max(1.0, strength * total)
+    sure_good, sure_bad = max(1.0, firm * total), max(1.0, loose * total)
     for _ in range(rounds):
         sure = {p: 1 / (1 + math.exp(-max(-700.0, min(700.0, model.log_odds(p))))) for p in patterns}
         n_good = sum(n * sure[p] for p, n in patterns.items())
@@ -132,9 +133,9 @@ def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 100, pri
                 seen_good[j][v] += n * sure[p]
                 seen_bad[j][v] += n * (1 - sure[p])
         new = Model(
-            (n_good + weight * prior) / (total + weight),
-            [{v: (seen_good[j][v] + weight * base_good[j][v]) / (n_good + weight) for v in (1, 0, -1)} for j in range(rules)],
-            [{v: (seen_bad[j][v] + weight * base_bad[j][v]) / (total - n_good + weight) for v in (1, 0, -1)} for j in range(rules)],
+            (n_good + sure_bad * prior) / (total + sure_bad),
+            [{v: (seen_good[j][v] + sure_good * base_good[j][v]) / (n_good + sure_good) for v in (1, 0, -1)} for j in range(rules)],
+            [{v: (seen_bad[j][v] + sure_bad * base_bad[j][v]) / (total - n_good + sure_bad) for v in (1, 0, -1)} for j in range(rules)],
         )
         moved = abs(new.prior - model.prior) + max(abs(new.bad[j][0] - model.bad[j][0]) for j in range(rules))
         model = new
@@ -147,7 +148,8 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, least: float = 0.5)
     """The features of each row of ``docs`` (doc_id, text) with base_failed, probability and kept.
 
     base_failed: fewer than 20 words, or over 30 words in 100 in repeated windows. Other documents
-    are kept if their posterior probability of being good is at least ``least``. Null and empty
+    are kept if their posterior probability of being good is at least ``least``; the rules are fitted
+    on these, as votes on what has failed already would teach them one kind of bad only. Null and empty
     texts fail the base; null ids and repeated rows are judged like others, row by row; an empty table gives no rows.
     """
     rules = default_rules() if rules is None else rules
@@ -156,7 +158,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, least: float = 0.5)
     digits = [F.expr("1").cast("long") * 3**j * (vote(r) + 1) for j, r in enumerate(rules)]
     pattern = sum(digits[1:], digits[0]) if digits else F.lit(0).cast("long")
     voted = materialise(features(docs).withColumn("base_failed", failed).withColumn("pattern", pattern), "votes")
-    counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}  # at most 3 ** rules rows
+    counts = {r["pattern"]: r["count"] for r in voted.where(~F.col("base_failed")).groupBy("pattern").count().collect()}  # at most 3 ** rules rows
     decode = lambda p: tuple(p // 3**j % 3 - 1 for j in range(len(rules)))
     model = fit({decode(p): n for p, n in counts.items()}, len(rules))
     weights = []
