@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanmark.llm import mixing, packing, sstable, warc, weakrules
+from gleanmark.llm import mixing, neardup, packing, sstable, warc, weakrules
 from gleanmark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,10 +30,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), 1.5, 2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(documents(spark, sf_dir), (85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weakrules.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_warc_archive, op4_token_shards, op5_source_mixing, op9_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_warc_archive, op4_token_shards, op5_source_mixing, op7_minhash_near_dedup, op9_quality_rules)}
 ORACLES: dict[str, str] = {"op3_warc_archive": warc.ORACLE, "op5_source_mixing": mixing.ORACLE}
