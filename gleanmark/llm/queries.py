@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanmark.llm import mixing, neardup, packing, sstable, warc, weakrules
+from gleanmark.llm import bitslice, mixing, neardup, packing, sstable, warc, weakrules
 from gleanmark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
 
 
+def op2_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20, 64)
+
+
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), least_bytes=0))
 
@@ -39,5 +44,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_warc_archive, op4_token_shards, op5_source_mixing, op7_minhash_near_dedup, op9_quality_rules)}
-ORACLES: dict[str, str] = {"op3_warc_archive": warc.ORACLE, "op5_source_mixing": mixing.ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_bit_sliced_top_k, op3_warc_archive, op4_token_shards, op5_source_mixing, op7_minhash_near_dedup, op9_quality_rules)}
+ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": bitslice.ORACLE, "op3_warc_archive": warc.ORACLE, "op5_source_mixing": mixing.ORACLE}
