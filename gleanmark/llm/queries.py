@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmark.llm import bitslice, langid, mixing, neardup, packing, sstable, warc, weakrules
+from gleanmark.llm import bitslice, langid, lines, mixing, neardup, packing, sstable, warc, weakrules
 from gleanmark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(documents(spark, sf_dir), (85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.removals(documents(spark, sf_dir)).select("doc_id", "line_no")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = weakrules.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
@@ -50,5 +54,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", langid.held_out())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_bit_sliced_top_k, op3_warc_archive, op4_token_shards, op5_source_mixing, op7_minhash_near_dedup, op9_quality_rules, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_bit_sliced_top_k, op3_warc_archive, op4_token_shards, op5_source_mixing, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_language_id)}
 ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": bitslice.ORACLE, "op3_warc_archive": warc.ORACLE, "op5_source_mixing": mixing.ORACLE}
