@@ -69,3 +69,31 @@ def salted_join(members: DataFrame, table: DataFrame, keys: list[str], order: st
     salted = members.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
     pairs = salted.select(*keys, "_salt").distinct().join(table, keys)
     return salted.join(pairs, [*keys, "_salt"]).drop("_salt")
+
+
+FILTER_BITS = 1 << 26
+
+
+def filter_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def bit_filter(ids: DataFrame, column: str):
+    """A broadcast test for ``filter_bit`` of the ids: 2 ** 26 bits, 8 MB, whatever their number. It
+    lets some others pass, so what passes must still be joined with the ids."""
+    import numpy as np
+
+    bit = filter_bit(column) + 1
+    maps = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in maps:  # at most 2,048 rows of 4 KB
+        at = (row["bucket"] - 1) * 4096
+        packed[at : at + 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)[:4096]
+    return ids.sparkSession.sparkContext.broadcast(packed)
+
+
+def passes(packed, bits):
+    """Which of an array of ``filter_bit`` values the filter lets pass."""
+    import numpy as np
+
+    return (packed[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)

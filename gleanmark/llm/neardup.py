@@ -4,7 +4,7 @@ Documents with equal shingle sets are one class. A class has a signature of ``pl
 values of 16 bits. Two signatures that differ in at most ``distance`` places have, when split into
 more than distance / 2 chunks, a chunk with at most one difference (pigeonhole); each chunk's
 values with any one place left out are keys, so such a pair shares a key for certain. Pairs that
-share keys are confirmed on full shingle sets.
+share keys are weighed by a finer signature of 512 values of 8 bits and confirmed on full shingle sets.
 
 A key's members aren't paired with each other at first: all are compared with the key's most
 connected member, and only pairs that lie in different components after that are compared too.
@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import materialise, salted_lookup
+from gleanmark.llm.common import bit_filter, filter_bit, materialise, passes, salted_lookup
 from gleanmark.llm.components import components
 from gleanmark.llm.textvec import chunks, mix, sets, shingles, word_hashes, words
 
-PLACES = 64
+#: MinHash values of 16 bits that make the keys, and of 8 bits, more of them, that weigh candidates.
+PLACES, FINE = 64, 512
 _rng = np.random.default_rng(7)
-_TIMES = _rng.integers(0, 2**31, PLACES * 4, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _rng.integers(0, 2**32, PLACES * 4, dtype=np.uint32)
-_KEY = _rng.integers(1, 2**63, PLACES * 4, dtype=np.uint64) | np.uint64(1)
-_FILTER_BITS = 1 << 26
+_TIMES = _rng.integers(0, 2**31, PLACES * 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _rng.integers(0, 2**32, PLACES * 8, dtype=np.uint32)
+_KEY = _rng.integers(1, 2**63, PLACES * 8, dtype=np.uint64) | np.uint64(1)
 
 
 def distance_for(limit: float, places: int = PLACES) -> int:
@@ -45,7 +45,7 @@ def document_sets(text: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndarr
         yield start, *sets(values, rows, end - start)
 
 
-def signatures(values: np.ndarray, offsets: np.ndarray, places: int = PLACES) -> np.ndarray:
+def signatures(values: np.ndarray, offsets: np.ndarray, places: int = FINE) -> np.ndarray:
     """MinHash values of 16 bits, a row for each set; empty sets have zeros."""
     out = np.zeros((len(offsets) - 1, places), np.uint16)
     some = np.flatnonzero(np.diff(offsets))
@@ -65,18 +65,23 @@ def set_ids(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
-    """uid, doc_id, n (distinct shingles), class (set_id, set_id2) and signature of each row."""
+    """uid, doc_id, n (distinct shingles), class (set_id, set_id2) and both signatures of each row."""
+
+    def fixed(values: np.ndarray, kind: str) -> pa.Array:
+        raw = np.ascontiguousarray(values).astype(kind)
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(raw.shape[1] * raw.itemsize), len(raw), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, values, offsets in document_sets(batch["text"], size):
                 n = len(offsets) - 1
                 one, two = set_ids(values, offsets)
-                signature = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * PLACES), n, [None, pa.py_buffer(signatures(values, offsets).astype("<u2").tobytes())]).cast(pa.binary())
-                yield pa.record_batch([batch["uid"].slice(start, n), batch["doc_id"].slice(start, n), pa.array(np.diff(offsets)), pa.array(one), pa.array(two), signature], names=["uid", "doc_id", "n", "set_id", "set_id2", "signature"])
+                least = signatures(values, offsets)
+                yield pa.record_batch([batch["uid"].slice(start, n), batch["doc_id"].slice(start, n), pa.array(np.diff(offsets)), pa.array(one), pa.array(two), fixed(least[:, :PLACES], "<u2"), fixed(least & np.uint16(255), "u1")], names=["uid", "doc_id", "n", "set_id", "set_id2", "signature", "fine"])
 
     plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "uid long, doc_id long, n long, set_id long, set_id2 long, signature binary")
+    return plain.mapInArrow(run, "uid long, doc_id long, n long, set_id long, set_id2 long, signature binary, fine binary")
 
 
 def _keys(distance: int):
@@ -100,13 +105,26 @@ def _keys(distance: int):
     return run
 
 
+def _bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 20_000):
+                some = batch.slice(start, 20_000)
+                sig = np.frombuffer(b"".join(some["signature"].to_pylist()), "<u2").reshape(-1, PLACES).astype(np.uint64)
+                term = mix(sig + np.uint64(1)) * _KEY[:PLACES]
+                keys = [mix(term[:, b * rows : (b + 1) * rows].sum(axis=1, dtype=np.uint64) + _KEY[PLACES + b]) for b in range(bands)]
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(some["cid"].to_numpy(), bands))], names=["key", "cid"])
+
+    return run
+
+
 def _near(distance: int, limit: tuple[int, int]):
-    """Pairs whose signatures differ in at most ``distance`` places and whose sizes allow the limit."""
+    """Pairs whose fine signatures differ in at most ``distance`` places and whose sizes allow the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = [np.frombuffer(b"".join(batch[s].to_pylist()), "<u2").reshape(-1, PLACES) for s in ("a_signature", "b_signature")]
+                sig = [np.frombuffer(b"".join(batch[s].to_pylist()), "u1").reshape(-1, FINE) for s in ("a_fine", "b_fine")]
                 a, b = batch["a_n"].to_numpy(), batch["b_n"].to_numpy()
                 good = ((sig[0] != sig[1]).sum(axis=1) <= distance) & (limit[1] * np.minimum(a, b) >= limit[0] * np.maximum(a, b))
                 yield batch.select(["a", "b"]).filter(pa.array(good))
@@ -121,7 +139,7 @@ def _crossing(distance: int, limit: tuple[int, int]):
         side = table["side"].to_numpy()
         cid, n = table["cid"].to_numpy(), table["n"].to_numpy()
         label = table["component"].to_numpy()
-        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, PLACES)
+        sig = np.frombuffer(b"".join(table["fine"].to_pylist()), "u1").reshape(-1, FINE)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out_a, out_b = [], []
         for i in left:
@@ -138,7 +156,7 @@ def _crossing(distance: int, limit: tuple[int, int]):
 
 def _with_ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     for x in "ab":
-        pairs = pairs.join(classes.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("signature").alias(f"{x}_signature")), x)
+        pairs = pairs.join(classes.select(F.col("cid").alias(x), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_fine")), x)
     return pairs
 
 
@@ -146,28 +164,19 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[
     """The pairs (a, b of classes) whose full shingle sets reach ``limit`` (numerator, denominator) in
     Jaccard similarity. Sets are made anew from the texts of the classes' first documents only; a
     bit filter of fixed size, 8 MB, spares the other texts the work."""
-    spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = materialise(wanted.join(classes.select("cid", "first_uid"), "cid"), "wanted")
-    bit = F.pmod(F.xxhash64("first_uid"), F.lit(_FILTER_BITS))
-    maps = wanted.groupBy(F.bitmap_bucket_number(bit + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits")).collect()
-    allowed = np.zeros(_FILTER_BITS, bool)
-    for row in maps:  # at most 2,048 rows of 4 KB
-        at = (row["bucket"] - 1) * 32768
-        allowed[at : at + 32768] = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")[:32768]
-    packed = spark.sparkContext.broadcast(np.packbits(allowed))
+    packed = bit_filter(wanted, "first_uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch["bit"].to_numpy()
-            hit = (packed.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            some = batch.filter(pa.array(hit.astype(bool)))
+            some = batch.filter(pa.array(passes(packed.value, batch["bit"].to_numpy())))
             for start, values, offsets in document_sets(some["text"], size) if some.num_rows else ():
                 n = len(offsets) - 1
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.record_batch([some["uid"].slice(start, n), lists], names=["first_uid", "shingles"])
 
-    plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text")).withColumn("bit", F.pmod(F.xxhash64("uid"), F.lit(_FILTER_BITS)))
+    plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text")).withColumn("bit", filter_bit("uid"))
     made = plain.mapInArrow(run, "first_uid long, shingles array<long>").join(wanted, "first_uid").select("cid", "shingles")
     made = materialise(made, "sets")
     a, b = (made.select(F.col("cid").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
@@ -177,7 +186,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[
     return both.where(limit[1] * common >= limit[0] * union).select("a", "b")
 
 
-def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, small: int = 64, block: int = 4096) -> DataFrame:
+def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, small: int = 64, block: int = 4096, bands: tuple[int, int] | None = None) -> DataFrame:
     """Each row's class, component and smallest linked doc_id.
 
     Returns uid (the row's number in ``docs``), doc_id, n_shingles, component_id and kept (one row of
@@ -189,18 +198,19 @@ def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, sma
     distance = distance_for(limit[0] / limit[1])
     rows = materialise(sketch(docs, size), "sketches")
     known = rows.where("n > 0")
-    classes = known.groupBy("set_id", "set_id2").agg(F.min("uid").alias("first_uid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = known.groupBy("set_id", "set_id2").agg(F.min("uid").alias("first_uid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
     classes = materialise(classes.withColumn("cid", F.xxhash64("set_id", "set_id2")), "classes")
 
-    keys = classes.select("cid", "signature").mapInArrow(_keys(distance), "key long, cid long").repartition("key")
+    keys = classes.select("cid", "signature").mapInArrow(_bands(*bands) if bands else _keys(distance), "key long, cid long").repartition("key")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = materialise(keys.join(shared, "key"), "keys")
     weight = shared.groupBy("cid").agg(F.sum("members").alias("weight"))
     weighed = shared.join(weight, "cid")
     hubs = weighed.groupBy("key").agg(F.max_by("cid", F.struct("weight", "cid")).alias("hub"))
     star = weighed.select("key", "cid").join(hubs, "key").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-    ends = classes.select("cid", "n", "signature")
-    star = materialise(_with_ends(star, ends).mapInArrow(_near(distance, limit), "a long, b long"), "star")
+    ends = classes.select("cid", "n", "fine")
+    apart = distance_for(limit[0] / limit[1], FINE)
+    star = materialise(_with_ends(star, ends).mapInArrow(_near(apart, limit), "a long, b long"), "star")
     edges = materialise(confirm(star, classes, docs, limit, size), "links")
     label = components(edges)
 
@@ -210,14 +220,14 @@ def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, sma
     few = left.where(F.col("members") <= small)
     one, two = (few.select("key", F.col("cid").alias(x), F.col("component").alias(f"{x}c")) for x in "ab")
     pairs = one.join(two, "key").where("a < b and ac <> bc").select("a", "b").distinct()
-    pairs = _with_ends(pairs, ends).mapInArrow(_near(distance, limit), "a long, b long")
+    pairs = _with_ends(pairs, ends).mapInArrow(_near(apart, limit), "a long, b long")
     many = left.where(F.col("members") > small).join(ends, "cid")
     parts = F.ceil(F.col("members") / block).cast("int")
     many = many.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(3)), parts).cast("int"))
     # A key's blocks meet two by two, so that no group is larger than two blocks.
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    many = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "cid", "component", "n", "signature")
-    more = many.groupBy("key", "i", "j").applyInArrow(_crossing(distance, limit), "a long, b long")
+    many = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "cid", "component", "n", "fine")
+    more = many.groupBy("key", "i", "j").applyInArrow(_crossing(apart, limit), "a long, b long")
     rest = materialise(pairs.union(more).distinct().join(star, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
         edges = edges.union(materialise(confirm(rest, classes, docs, limit, size), "links2"))

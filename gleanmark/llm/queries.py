@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmark.llm import bitslice, langid, lines, mixing, neardup, packing, sstable, warc, weakrules
+from gleanmark.llm import bitslice, langid, lines, mixing, neardup, packing, passages, sstable, warc, weakrules
 from gleanmark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), 1.5, 2).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(documents(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.link(documents(spark, sf_dir), (85, 100)).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -54,5 +58,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", langid.held_out())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_bit_sliced_top_k, op3_warc_archive, op4_token_shards, op5_source_mixing, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_bit_sliced_top_k, op3_warc_archive, op4_token_shards, op5_source_mixing, op6_substring_dedup, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_language_id)}
 ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": bitslice.ORACLE, "op3_warc_archive": warc.ORACLE, "op5_source_mixing": mixing.ORACLE}
