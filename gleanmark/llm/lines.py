@@ -112,10 +112,10 @@ def removals(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines of ``removals``, in the same columns; n_chars, where there is
     one, is counted anew. A document that loses all its lines with words goes. ``docs`` must be a stored table."""
-    lost = removals(docs).groupBy("uid").agg(F.collect_set("line_no").alias("_lost")).withColumnRenamed("uid", "_uid")
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id()).join(lost, "_uid", "left")
+    lost = removals(docs).groupBy("uid").agg(F.collect_set("line_no").alias("__lost")).withColumnRenamed("uid", "__row")
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id()).join(lost, "__row", "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("_lost", i), x)), lambda x: x.isNotNull()), "\n")
-    out = numbered.withColumn("text", F.when(F.col("_lost").isNull(), F.col("text")).otherwise(kept))
-    out = out.where(F.col("_lost").isNull() | F.col("text").rlike(WORD)).drop("_lost", "_uid")
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__lost", i), x)), lambda x: x.isNotNull()), "\n")
+    out = numbered.withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(kept))
+    out = out.where(F.col("__lost").isNull() | F.col("text").rlike(WORD)).drop("__lost", "__row")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

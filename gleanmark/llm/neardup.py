@@ -247,9 +247,9 @@ def dedup(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5) ->
     """The rows of ``docs`` of which one stays for each component, with their columns: the first row
     among those with the component's smallest doc_id. ``docs`` must be a stored table."""
     linked = link(docs, limit, size).where("kept")
-    first = linked.where("n_shingles > 0").groupBy("component_id").agg(F.min("uid").alias("_uid")).select("_uid")
-    alone = linked.where("n_shingles = 0").select(F.col("uid").alias("_uid"))
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    return numbered.join(first.union(alone), "_uid", "left_semi").drop("_uid")
+    first = linked.where("n_shingles > 0").groupBy("component_id").agg(F.min("uid").alias("__row")).select("__row")
+    alone = linked.where("n_shingles = 0").select(F.col("uid").alias("__row"))
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.join(first.union(alone), "__row", "left_semi").drop("__row")
 
 

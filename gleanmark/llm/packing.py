@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanmark.llm.common import materialise
+from gleanmark.llm.textvec import chunks
 from gleanmark.llm.tokens import closed, encoder
 
 
@@ -242,7 +243,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048) -
         import zlib
 
         tool = encoder(tokenizer)
-        for batch in batches:
+        for batch in (whole.slice(a, e - a) for whole in batches for a, e in chunks(whole["text"], 1 << 22)):
             ids, offsets = closed(*tool.encode(batch["text"]), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             size = np.diff(offsets)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanmark.llm.common import materialise, shared_dir
+from gleanmark.llm.textvec import chunks
 from gleanmark.llm.tokens import closed, encoder
 
 MAGIC = b"GLMSST01"
@@ -175,7 +176,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, rows_per_range: int = 40
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(tokenizer)
         bounds = np.array(cuts, dtype=np.int64)
-        for batch in batches:
+        for batch in (whole.slice(a, e - a) for whole in batches for a, e in chunks(whole["text"], 1 << 22)):
             out, offsets = closed(*tool.encode(batch["text"]), end_id)
             raw = pa.py_buffer(out.astype(f"<u{width}").tobytes())
             values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer((offsets * width).astype(np.int64).tobytes()), raw])

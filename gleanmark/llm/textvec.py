@@ -63,7 +63,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``size`` bytes; a longer text stands alone."""
-    _, offsets = flat(column)
+    offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     start = 0
     while start < len(column):
         end = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1

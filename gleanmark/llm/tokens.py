@@ -84,7 +84,7 @@ class TextEncoder:
     splitting rule isn't one of the two known kinds has every text encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1 << 21) -> None:
+    def __init__(self, path: str, most: int = 1 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -188,7 +188,7 @@ class TextEncoder:
             odd = pc.fill_null(pc.match_substring_regex(column, _OTHER_SPACE), False).to_numpy(zero_copy_only=False)
         ids, counts = [], []
         plain = pc.if_else(pa.array(odd), pa.scalar("", column.type), column) if odd.any() else column
-        for a, b in chunks(plain):
+        for a, b in chunks(plain, 1 << 20):
             some, each = self._chunk(plain.slice(a, b - a))
             if odd[a:b].any():
                 parts = np.split(some, np.cumsum(each)[:-1])

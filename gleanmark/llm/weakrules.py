@@ -173,6 +173,6 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, least: float = 0.5)
 def keep(docs: DataFrame, rules: list[Rule] | None = None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns. Rows of one doc_id are told apart
     by their place, so ``docs`` must be a stored table."""
-    numbered = docs.withColumn("_uid", F.monotonically_increasing_id())
-    verdicts = judge(numbered.select(F.col("_uid").alias("doc_id"), "text"), rules, least)
-    return numbered.join(verdicts.where("kept").select(F.col("doc_id").alias("_uid")), "_uid", "left_semi").drop("_uid")
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    verdicts = judge(numbered.select(F.col("__row").alias("doc_id"), "text"), rules, least)
+    return numbered.join(verdicts.where("kept").select(F.col("doc_id").alias("__row")), "__row", "left_semi").drop("__row")
