@@ -5,7 +5,568 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from gleanmark import tables as T
+from gleanmark.functions import text as X
+from gleanmark.operators import claims as C
+from gleanmark.operators import gaps, graph, policy, quality, retrieval
+from gleanmark.plans.kg_sql import with_kg
+from gleanmark.sources import notes
+from gleanmark.streaming import log
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "hybrid_trace"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _usable(s: SparkSession, d: str, require_node: bool = True) -> DataFrame:
+    return policy.usable_claims(T.claims(s, d), T.nodes(s, d), T.validations(s, d), T.supports(s, d), require_node)
+
+
+# --- gaps and the ledger -------------------------------------------------------------------------------------------
+
+
+@query(with_kg("""SELECT c.claim_id, c.node_id, c.node_revision, c.kind, n.layer FROM kg_claim c JOIN kg_node n ON c.node_id = n.id AND c.node_revision = n.revision
+LEFT JOIN kg_support s ON s.target_claim = c.claim_id WHERE s.assessment_id IS NULL AND n.subtype <> 'HYP' AND n.status NOT IN ('superseded', 'stale') AND c.kind <> 'definition' AND n.type <> 'Question'"""))
+def gap_unsupported_claims(s: SparkSession, d: str) -> DataFrame:
+    return gaps.unsupported_claims(T.claims(s, d), T.nodes(s, d), T.supports(s, d)).select("claim_id", "node_id", "node_revision", "kind", "layer")
+
+
+@query(with_kg("""SELECT id, revision, layer, type, title FROM kg_node n WHERE layer IN ('science', 'universe') AND status = 'approved'
+AND NOT EXISTS (SELECT 1 FROM kg_edge e WHERE e.type = 'HAS_SCOPED_INSTANCE' AND e.from_node = n.id)"""))
+def gap_missing_instances(s: SparkSession, d: str) -> DataFrame:
+    return gaps.missing_instances(T.nodes(s, d), T.edges(s, d)).select("id", "revision", "layer", "type", "title")
+
+
+UNVERIFIED = """SELECT edge_id, type, from_node, to_node FROM kg_edge e WHERE type IN ('ABSTRACTS_FROM', 'DERIVES_FROM', 'FORMALIZED_BY', 'HAS_SCOPED_INSTANCE')
+AND coalesce(derivation_ref, '') = '' AND NOT EXISTS (SELECT 1 FROM kg_support a JOIN kg_support b ON a.evidence_id = b.evidence_id
+WHERE a.target_node = e.from_node AND a.target_revision = e.from_revision AND b.target_node = e.to_node AND b.target_revision = e.to_revision)"""
+
+
+@query(with_kg(UNVERIFIED))
+def gap_unverified_edges(s: SparkSession, d: str) -> DataFrame:
+    return gaps.unverified_edges(T.edges(s, d), T.supports(s, d)).select("edge_id", "type", "from_node", "to_node")
+
+
+LEDGER = f"""found AS (
+SELECT 'unsupported_claim' AS gap_type, c.node_id AS anchor_node, c.claim_id AS anchor_claim FROM kg_claim c JOIN kg_node n ON c.node_id = n.id AND c.node_revision = n.revision
+LEFT JOIN kg_support s ON s.target_claim = c.claim_id WHERE s.assessment_id IS NULL AND n.subtype <> 'HYP' AND n.status NOT IN ('superseded', 'stale') AND c.kind <> 'definition' AND n.type <> 'Question'
+UNION ALL SELECT 'missing_instance', id, NULL FROM kg_node n WHERE layer IN ('science', 'universe') AND status = 'approved' AND NOT EXISTS (SELECT 1 FROM kg_edge e WHERE e.type = 'HAS_SCOPED_INSTANCE' AND e.from_node = n.id)
+UNION ALL SELECT 'unverified_edge', from_node, edge_id FROM ({UNVERIFIED}) x),
+gap AS (SELECT DISTINCT gap_type, anchor_node, anchor_claim, substr(sha256(concat(gap_type, ':', anchor_node, ':', coalesce(anchor_claim, ''))), 1, 16) AS fingerprint FROM found)"""
+
+
+def _ledger(s: SparkSession, d: str) -> DataFrame:
+    return gaps.ledger(T.claims(s, d), T.nodes(s, d), T.edges(s, d), T.supports(s, d))
+
+
+@query(with_kg(LEDGER + "\nSELECT substr(fingerprint, 1, 8) AS gap_id, fingerprint, gap_type, anchor_node, anchor_claim FROM gap"))
+def fingerprint(s: SparkSession, d: str) -> DataFrame:
+    return _ledger(s, d).select("gap_id", "fingerprint", "gap_type", "anchor_node", "anchor_claim")
+
+
+@query(with_kg(LEDGER + "\nSELECT gap_id, gap_type, anchor_node, priority, row_number() OVER (ORDER BY priority, fingerprint) AS place FROM (SELECT *, substr(fingerprint, 1, 8) AS gap_id, CASE gap_type WHEN 'unsupported_claim' THEN 1 WHEN 'missing_instance' THEN 2 WHEN 'unverified_edge' THEN 3 ELSE 4 END AS priority FROM gap) x QUALIFY place <= 50"))
+def priority_ledger(s: SparkSession, d: str) -> DataFrame:
+    """The first 50 open gaps (a report), by the ledger's order of types."""
+    best = _ledger(s, d).withColumn("priority", gaps.priority(F.lit(0))).orderBy("priority", "fingerprint").limit(50)
+    return best.withColumn("place", F.row_number().over(W.orderBy("priority", "fingerprint"))).select("gap_id", "gap_type", "anchor_node", "priority", "place")
+
+
+@query(with_kg(LEDGER + "\nSELECT gap_id, CASE WHEN known THEN 'known' ELSE 'new' END AS action FROM (SELECT substr(fingerprint, 1, 8) AS gap_id, fingerprint < '8' AS known FROM gap) x WHERE NOT known"))
+def ledger_upsert(s: SparkSession, d: str) -> DataFrame:
+    """A second run of the detectors over a ledger that has seen the lower half of the fingerprints."""
+    found = _ledger(s, d)
+    return gaps.upsert(found.where("fingerprint < '8'"), found).select("gap_id", F.lit("new").alias("action"))
+
+
+@query(with_kg(LEDGER + """
+SELECT substr(fingerprint, 1, 8) AS gap_id, CASE substr(fingerprint, 16, 1) WHEN '0' THEN 'resolved' WHEN '1' THEN 'candidate_ready' WHEN '2' THEN 'needs_review' ELSE CASE WHEN attempts + 1 >= 3 THEN 'exhausted' ELSE 'retry_wait' END END AS state, attempts + 1 AS attempts
+FROM (SELECT *, CAST(length(anchor_node) % 4 AS INT) AS attempts FROM gap) x"""))
+def gap_transitions(s: SparkSession, d: str) -> DataFrame:
+    digit = F.substring("fingerprint", 16, 1)
+    outcome = F.when(digit == "0", "linked").when(digit == "1", "candidates").when(digit == "2", "edge").otherwise("nothing")
+    state, attempts = gaps.transition(F.lit("open"), outcome, (F.length("anchor_node") % 4).cast("int"))
+    return _ledger(s, d).select("gap_id", state.alias("state"), attempts.alias("attempts"))
+
+
+@query(with_kg("""SELECT evidence_id FROM kg_evidence e WHERE source_uri LIKE 'doi:%' AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.page_id % 3 = 0 AND concat('E-', p.page_id) = e.evidence_id)"""))
+def mining_queue(s: SparkSession, d: str) -> DataFrame:
+    mined = T.table(s, d, "pages").where("page_id % 3 = 0").select(F.concat(F.lit("E-"), F.col("page_id").cast("string")).alias("evidence_id"), F.lit("mined").alias("state"))
+    return gaps.mining_queue(T.evidence(s, d), mined).select("evidence_id")
+
+
+# --- graph -----------------------------------------------------------------------------------------------------------
+
+
+@query(with_kg("""pairs AS (SELECT a.target_node AS node_a, b.target_node AS node_b, count(DISTINCT a.evidence_id) AS co_count, string_agg(DISTINCT a.evidence_id, ',' ORDER BY a.evidence_id) AS evidence_ids
+FROM kg_support a JOIN kg_support b ON a.evidence_id = b.evidence_id AND a.target_node < b.target_node GROUP BY 1, 2)
+SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM kg_edge e WHERE (e.from_node = p.node_a AND e.to_node = p.node_b) OR (e.from_node = p.node_b AND e.to_node = p.node_a))"""))
+def coevidence_pairs(s: SparkSession, d: str) -> DataFrame:
+    return graph.coevidence_pairs(T.supports(s, d), T.edges(s, d))
+
+
+@query("""WITH a AS (SELECT DISTINCT l_orderkey AS q, l_suppkey AS c FROM lineitem)
+SELECT x.c AS card_a, y.c AS card_b, count(*) AS freq FROM a x JOIN a y ON x.q = y.q AND x.c < y.c GROUP BY 1, 2 HAVING count(*) >= 3 ORDER BY freq DESC, card_a, card_b LIMIT 30""")
+def coactivation_pairs(s: SparkSession, d: str) -> DataFrame:
+    return graph.coactivation_pairs(T.table(s, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("card_id")))
+
+
+@query(with_kg("SELECT id, count(*) AS degree FROM (SELECT from_node AS id FROM kg_edge UNION ALL SELECT to_node FROM kg_edge) x GROUP BY id"))
+def degree(s: SparkSession, d: str) -> DataFrame:
+    return graph.degree(T.edges(s, d))
+
+
+REACH = """ud AS (SELECT from_node AS a, to_node AS b FROM kg_edge UNION SELECT to_node, from_node FROM kg_edge),
+walk AS (SELECT id, 0 AS hops FROM kg_node WHERE layer = 'practice' {where} UNION SELECT ud.b, hops + 1 FROM walk JOIN ud ON ud.a = walk.id WHERE hops < 8),
+near AS (SELECT id, min(hops) AS hops FROM walk GROUP BY id)"""
+
+
+@query(with_kg(REACH.format(where="AND status <> 'superseded'") + "\nSELECT id, CAST(hops AS INT) AS hops FROM near", recursive=True))
+def practice_reach(s: SparkSession, d: str) -> DataFrame:
+    return graph.distances(T.nodes(s, d).where("layer = 'practice' and status <> 'superseded'").select("id"), graph.undirected(T.edges(s, d)))
+
+
+STALE = """stop AS (SELECT id FROM kg_node WHERE status IN ('stale', 'superseded') UNION SELECT from_node FROM kg_edge WHERE derivation_ref = 'proof'),
+back AS (SELECT DISTINCT to_node AS a, from_node AS b FROM kg_edge WHERE type IN ('ABSTRACTS_FROM', 'DERIVES_FROM', 'HAS_SCOPED_INSTANCE') AND from_node NOT IN (SELECT id FROM stop)),
+walk AS (SELECT id, 0 AS hops FROM kg_node WHERE id IN ('B-0', 'B-1') UNION SELECT back.b, hops + 1 FROM walk JOIN back ON back.a = walk.id WHERE hops < 8)
+SELECT id, CAST(min(hops) AS INT) AS hops FROM walk WHERE hops > 0 GROUP BY id"""
+
+
+@query(with_kg(STALE, recursive=True))
+def stale_closure(s: SparkSession, d: str) -> DataFrame:
+    edges, nodes = T.edges(s, d), T.nodes(s, d)
+    return graph.stale_closure(edges, nodes, nodes.where("id in ('B-0', 'B-1')"), edges.where("derivation_ref = 'proof'").select(F.col("from_node").alias("id")))
+
+
+@query(with_kg("""step AS (SELECT DISTINCT from_node AS a, to_node AS b FROM kg_edge WHERE type IN ('ABSTRACTS_FROM', 'DERIVES_FROM', 'HAS_SCOPED_INSTANCE')
+UNION SELECT DISTINCT to_node, from_node FROM kg_edge WHERE type = 'ABSTRACTS_FROM' AND derivation_ref = 'proof')
+SELECT DISTINCT x.a AS id FROM step x JOIN step y ON x.b = y.a WHERE y.b = x.a"""))
+def cycle_check(s: SparkSession, d: str) -> DataFrame:
+    """The structural edges and, so that there are cycles, the proved ones turned round as well."""
+    edges = T.edges(s, d)
+    turned = edges.where("derivation_ref = 'proof'").select("edge_id", "type", F.col("to_node").alias("from_node"), F.col("to_revision").alias("from_revision"), F.col("from_node").alias("to_node"), F.col("from_revision").alias("to_revision"), "derivation_ref", "confidence")
+    return graph.cycles(edges.unionByName(turned), depth=2)
+
+
+@query(with_kg("""walk AS (SELECT id AS start, id, CAST(1 AS DOUBLE) AS confidence, id AS path, 0 AS hops FROM (SELECT DISTINCT id FROM kg_node WHERE layer = 'science') x
+UNION ALL SELECT start, e.to_node, w.confidence * e.confidence, concat(w.path, '>', e.to_node), hops + 1 FROM walk w JOIN kg_edge e ON e.from_node = w.id WHERE hops < 2 AND w.confidence * e.confidence >= 3e-1 AND NOT list_contains(string_split(w.path, '>'), e.to_node)),
+r AS (SELECT *, row_number() OVER (PARTITION BY start, id ORDER BY confidence DESC, path) AS n FROM walk)
+SELECT start, id, round(confidence, 6) AS confidence, path, CAST(hops AS INT) AS hops FROM r WHERE n = 1""", recursive=True))
+def traverse_best_path(s: SparkSession, d: str) -> DataFrame:
+    seeds = T.nodes(s, d).where("layer = 'science'").select("id").distinct()
+    return graph.best_paths(T.edges(s, d), seeds).withColumn("confidence", F.round("confidence", 6))
+
+
+def _facets(s: SparkSession, d: str) -> DataFrame:
+    """Coverage of two facets of each part's node, from the part's size."""
+    part = T.table(s, d, "part").select(F.concat(F.lit("K-"), F.col("p_partkey").cast("string")).alias("node_id"), "p_size")
+    pick = F.array(F.struct(F.lit("mechanism").alias("facet"), (F.col("p_size") % 11 / 10.0).alias("coverage")), F.struct(F.lit("boundary").alias("facet"), (F.col("p_size") % 6 / 5.0).alias("coverage")))
+    return part.select("node_id", F.inline(pick))
+
+
+PRIORITY = REACH.format(where="") + """,
+deg AS (SELECT id, count(*) AS degree FROM (SELECT from_node AS id FROM kg_edge UNION ALL SELECT to_node FROM kg_edge) x GROUP BY id),
+cl AS (SELECT node_id AS id, count(*) AS claim_count FROM kg_claim GROUP BY 1), ev AS (SELECT target_node AS id, count(DISTINCT evidence_id) AS evidence_count FROM kg_support GROUP BY 1),
+fa AS (SELECT concat('K-', p_partkey) AS id, (p_size % 11) / 1e1 AS mech, (p_size % 6) / 5e0 AS bound FROM part),
+b AS (SELECT n.id, n.revision, coalesce(degree, 0) AS degree, coalesce(claim_count, 0) AS claim_count, coalesce(evidence_count, 0) AS evidence_count, coalesce(hops, 99) AS dist, coalesce(mech, 0) AS mech, coalesce(bound, 0) AS bound
+FROM kg_node n LEFT JOIN deg USING (id) LEFT JOIN cl USING (id) LEFT JOIN ev USING (id) LEFT JOIN fa USING (id) LEFT JOIN near USING (id) WHERE layer IN ('science', 'foundation') AND status NOT IN ('superseded', 'blocked'))
+SELECT id, revision, round(3e-1 / (1 + dist) + 25e-2 * (1 - (15e-2 * mech + 2e-1 * bound)) + 2e-1 * least(claim_count / CAST(evidence_count + 1 AS DOUBLE) / 3e0, 1e0) + 15e-2 * least(degree / 8e0, 1e0) + 1e-1, 6) AS score,
+CASE WHEN mech = 0 THEN 'mechanism,moderator' WHEN bound = 0 THEN 'moderator,boundary' ELSE 'moderator,measurement' END AS least_covered, degree, claim_count, evidence_count, CAST(dist AS INT) AS practice_distance FROM b"""
+
+
+@query(with_kg(PRIORITY, recursive=True))
+def node_priority(s: SparkSession, d: str) -> DataFrame:
+    return graph.node_priority(T.nodes(s, d), T.edges(s, d), T.claims(s, d), T.supports(s, d), _facets(s, d))
+
+
+# --- policy ----------------------------------------------------------------------------------------------------------
+
+USABLE = """v AS (SELECT * FROM kg_validation QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY id DESC) = 1),
+usable AS (SELECT c.* FROM kg_claim c JOIN kg_node n ON n.id = c.node_id AND n.revision = c.node_revision JOIN v ON v.claim_id = c.claim_id JOIN kg_mark m ON m.claim_id = c.claim_id
+WHERE c.epistemic_status IN ('formally_verified', 'source_supported', 'simulation_supported') AND c.kind <> 'application_hypothesis' AND coalesce(n.subtype, '') <> 'HYP' AND {node}
+AND v.decision = 'passed' AND v.validated_state = c.epistemic_status AND v.fingerprint = m.mark AND v.policy = 'v2' AND EXISTS (SELECT 1 FROM kg_support s WHERE s.target_claim = c.claim_id))"""
+STRICT, LOOSE = USABLE.format(node="n.status = 'approved'"), USABLE.format(node="n.status NOT IN ('blocked', 'stale', 'superseded')")
+
+
+@query(with_kg(STRICT + "\nSELECT claim_id, node_id, node_revision, kind, epistemic_status FROM usable"))
+def claim_usable(s: SparkSession, d: str) -> DataFrame:
+    return _usable(s, d).select("claim_id", "node_id", "node_revision", "kind", "epistemic_status")
+
+
+CLAIM_EDGES = """ce AS (SELECT DISTINCT concat('e-cc-', c_custkey) AS edge_id, concat('K-', 1 + c_custkey % 150) AS from_node, 1 AS from_revision, concat('K-', 1 + (c_custkey * 7) % 150) AS to_node, 1 AS to_revision FROM customer),
+un AS (SELECT DISTINCT node_id AS id, node_revision AS revision FROM usable),
+ue AS (SELECT * FROM ce WHERE EXISTS (SELECT 1 FROM un WHERE id = from_node AND revision = from_revision) AND EXISTS (SELECT 1 FROM un WHERE id = to_node AND revision = to_revision))"""
+
+
+def _claim_edges(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    node = lambda v: F.concat(F.lit("K-"), (1 + v % 150).cast("string"))
+    return T.table(s, d, "customer").select(F.concat(F.lit("e-cc-"), k.cast("string")).alias("edge_id"), node(k).alias("from_node"), F.lit(1).alias("from_revision"), node(k * 7).alias("to_node"), F.lit(1).alias("to_revision"))
+
+
+@query(with_kg(STRICT + ",\n" + CLAIM_EDGES + "\nSELECT edge_id, from_node, to_node FROM ue"))
+def edge_usable(s: SparkSession, d: str) -> DataFrame:
+    return policy.usable_edges(_claim_edges(s, d), _usable(s, d)).select("edge_id", "from_node", "to_node")
+
+
+@query(with_kg(LOOSE + """,
+cl AS (SELECT c.node_id AS id, c.node_revision AS revision, count(u.claim_id) AS ok, count(*) AS n FROM kg_claim c LEFT JOIN usable u ON u.claim_id = c.claim_id GROUP BY 1, 2),
+su AS (SELECT target_node AS id, target_revision AS revision, count(*) AS n, count(*) - count(content_hash) AS bare FROM kg_support s LEFT JOIN kg_evidence e ON e.evidence_id = s.evidence_id GROUP BY 1, 2)
+SELECT n.id, n.revision, concat_ws(',', CASE WHEN coalesce(cl.n, 0) = 0 OR cl.ok < cl.n THEN 'unaudited' END, CASE WHEN coalesce(bare, 0) > 0 THEN 'unhashed' END, CASE WHEN subtype = 'HYP' THEN 'hypothesis' END, CASE WHEN layer IN ('foundation', 'science') AND coalesce(su.n, 0) = 0 THEN 'no_evidence' END) AS violations
+FROM kg_node n LEFT JOIN cl ON cl.id = n.id AND cl.revision = n.revision LEFT JOIN su ON su.id = n.id AND su.revision = n.revision"""))
+def approval_violations(s: SparkSession, d: str) -> DataFrame:
+    return policy.approval_violations(T.nodes(s, d), T.claims(s, d), _usable(s, d, False), T.supports(s, d), T.evidence(s, d))
+
+
+@query(with_kg(LOOSE + ",\n" + CLAIM_EDGES + """,
+cl AS (SELECT c.node_id AS id, c.node_revision AS revision, count(u.claim_id) AS ok, count(*) AS n, count(*) FILTER (WHERE c.epistemic_status = 'contradicted') AS con FROM kg_claim c LEFT JOIN usable u ON u.claim_id = c.claim_id GROUP BY 1, 2),
+ori AS (SELECT target_node AS id, target_revision AS revision, count(DISTINCT origin_group) AS n FROM kg_support s JOIN kg_evidence e ON e.evidence_id = s.evidence_id GROUP BY 1, 2),
+ends AS (SELECT id, count(DISTINCT edge_id) AS n FROM (SELECT edge_id, from_node AS id FROM ue UNION ALL SELECT edge_id, to_node FROM ue) x GROUP BY 1)
+SELECT n.id, n.revision, coalesce(ori.n, 0) AS independent_evidence, coalesce(ends.n, 0) AS edges, coalesce(con, 0) AS contradictions, coalesce(cl.n, 0) > 0 AND cl.ok = cl.n AND coalesce(ori.n, 0) >= 2 AND coalesce(ends.n, 0) >= 2 AND coalesce(con, 0) = 0 AS eligible
+FROM kg_node n LEFT JOIN cl ON cl.id = n.id AND cl.revision = n.revision LEFT JOIN ori ON ori.id = n.id AND ori.revision = n.revision LEFT JOIN ends ON ends.id = n.id WHERE n.status = 'proposed'""").replace("coalesce(cl.n, 0) > 0 AND cl.ok = cl.n", "coalesce(cl.n, 0) > 0 AND coalesce(cl.ok, 0) = coalesce(cl.n, 0)"))
+def promotion(s: SparkSession, d: str) -> DataFrame:
+    usable = _usable(s, d, False)
+    edges = _claim_edges(s, d)
+    return policy.promotion(T.nodes(s, d), T.claims(s, d), usable, edges, policy.usable_edges(edges, usable), T.supports(s, d), T.evidence(s, d))
+
+
+@query(with_kg("SELECT id, revision, status FROM kg_node QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC) = 1"))
+def latest_revision(s: SparkSession, d: str) -> DataFrame:
+    return policy.lookup_latest_revision(T.nodes(s, d)).select("id", "revision", "status")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def latest_validation(s: SparkSession, d: str) -> DataFrame:
+    """The last row of each key of an append-only log."""
+    return policy.latest(T.table(s, d, "events").select("user_id", "event_id", "event_type", F.col("event_id").alias("o")), "user_id", "o").drop("o")
+
+
+# --- quality ---------------------------------------------------------------------------------------------------------
+
+
+@query(with_kg("""SELECT 'node_status' AS metric, status AS value, count(*) AS n FROM kg_node GROUP BY 2 UNION ALL SELECT 'node_layer', layer, count(*) FROM kg_node GROUP BY 2
+UNION ALL SELECT 'epistemic_status', epistemic_status, count(*) FROM kg_claim GROUP BY 2 UNION ALL SELECT 'grade', coalesce(reliability_grade, 'ungraded'), count(*) FROM kg_evidence GROUP BY 2
+UNION ALL SELECT 'edge_type', type, count(*) FROM kg_edge GROUP BY 2"""))
+def group_counts(s: SparkSession, d: str) -> DataFrame:
+    n, c, e, v = T.nodes(s, d), T.claims(s, d), T.edges(s, d), T.evidence(s, d)
+    return quality.group_counts({"node_status": (n, F.col("status")), "node_layer": (n, F.col("layer")), "epistemic_status": (c, F.col("epistemic_status")), "grade": (v, F.col("reliability_grade")), "edge_type": (e, F.col("type"))})
+
+
+HEALTH = REACH.format(where="AND status <> 'superseded'") + """,
+t AS (SELECT (SELECT count(*) FROM kg_node WHERE status <> 'superseded') AS total_nodes, (SELECT count(*) FROM kg_edge) AS total_edges, (SELECT count(*) FROM kg_claim) AS total_claims, (SELECT count(*) FROM kg_evidence) AS total_evidence,
+(SELECT count(*) FROM kg_claim c WHERE EXISTS (SELECT 1 FROM kg_support s WHERE s.target_claim = c.claim_id)) AS supported, (SELECT count(*) FROM near) AS reached),
+h AS (SELECT total_nodes, total_edges, total_claims, total_evidence, round(total_edges / CAST(greatest(total_nodes, 1) AS DOUBLE), 6) AS edge_node_ratio, round(supported / CAST(greatest(total_claims, 1) AS DOUBLE), 6) AS support_ratio, round(reached / CAST(greatest(total_nodes, 1) AS DOUBLE), 6) AS practice_reachability FROM t)"""
+
+
+@query(with_kg(HEALTH + "\nSELECT *, edge_node_ratio < 1e0 OR support_ratio < 3e-1 AS quality_red FROM h", recursive=True))
+def graph_health(s: SparkSession, d: str) -> DataFrame:
+    return quality.graph_health(T.nodes(s, d), T.edges(s, d), T.claims(s, d), T.evidence(s, d), T.supports(s, d))
+
+
+@query(with_kg(HEALTH + "\nSELECT CASE WHEN edge_node_ratio < 1e0 OR support_ratio < 3e-1 THEN 0e0 WHEN support_ratio < 45e-2 OR edge_node_ratio < 15e-1 THEN 7e-1 ELSE 6e-1 END AS deepen, CASE WHEN edge_node_ratio < 1e0 OR support_ratio < 3e-1 THEN 0e0 WHEN support_ratio < 45e-2 OR edge_node_ratio < 15e-1 THEN 0e0 ELSE 3e-1 END AS expand, CASE WHEN edge_node_ratio < 1e0 OR support_ratio < 3e-1 THEN 1e0 WHEN support_ratio < 45e-2 OR edge_node_ratio < 15e-1 THEN 3e-1 ELSE 1e-1 END AS consolidate FROM h", recursive=True))
+def budget_split(s: SparkSession, d: str) -> DataFrame:
+    health = graph_health(s, d)
+    return health.select(quality.budget_split(F.col("edge_node_ratio"), F.col("support_ratio"), F.col("quality_red"), F.lit(0.0)).alias("b")).select("b.*")
+
+
+@query(with_kg("""t AS (SELECT (SELECT count(*) FROM kg_claim WHERE kind <> 'definition') AS c, (SELECT count(*) FROM kg_node) AS n, (SELECT count(*) FROM kg_node WHERE status = 'proposed') AS p,
+(SELECT count(*) FROM kg_claim c JOIN kg_node n ON c.node_id = n.id AND c.node_revision = n.revision WHERE n.subtype <> 'HYP' AND c.kind <> 'definition' AND NOT EXISTS (SELECT 1 FROM kg_support s WHERE s.target_claim = c.claim_id)) AS u,
+(SELECT count(*) FROM kg_claim c JOIN kg_node n ON c.node_id = n.id AND c.node_revision = n.revision WHERE n.subtype <> 'HYP' AND c.kind <> 'definition' AND EXISTS (SELECT 1 FROM kg_support s WHERE s.target_claim = c.claim_id AND s.assessor <> 'evidence_miner')) AS l)
+SELECT u AS unsupported_claims, round((c - u) / CAST(c AS DOUBLE), 6) AS evidence_coverage, round(l / CAST(c AS DOUBLE), 6) AS legacy_assessor_coverage, round(p / CAST(n AS DOUBLE), 6) AS provisional_ratio FROM t"""))
+def quality_metrics(s: SparkSession, d: str) -> DataFrame:
+    return quality.quality_metrics(T.nodes(s, d), T.claims(s, d), T.supports(s, d))
+
+
+@query(with_kg("SELECT target_claim AS claim_id, count(DISTINCT origin_group) AS origins FROM kg_support s JOIN kg_evidence e ON e.evidence_id = s.evidence_id WHERE origin_group IS NOT NULL GROUP BY 1 HAVING count(DISTINCT origin_group) >= 1"))
+def independent_support(s: SparkSession, d: str) -> DataFrame:
+    return quality.independent_support(T.supports(s, d), T.evidence(s, d), 1)
+
+
+@query("""WITH r AS (SELECT *, sum(CASE WHEN value >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM events),
+c AS (SELECT user_id, event_id, sum(CASE WHEN value < 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, i ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS low_run FROM r)
+SELECT user_id, event_id, CAST(low_run AS BIGINT) AS low_run, low_run >= 3 AS tripped FROM c""")
+def breaker(s: SparkSession, d: str) -> DataFrame:
+    """Low-yield runs in each user's events."""
+    return quality.low_yield(T.table(s, d, "events"), "user_id", ["ts", "event_id"], "value", 40).select("user_id", "event_id", "low_run", "tripped")
+
+
+@query("""WITH v AS (SELECT l_partkey AS item, l_returnflag AS choice, count(*) AS votes, min(l_orderkey * 10 + l_linenumber) AS f FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, CAST(sum(votes) OVER (PARTITION BY item) AS BIGINT) AS total, count(*) OVER (PARTITION BY item) AS choices, row_number() OVER (PARTITION BY item ORDER BY votes DESC, f) AS n FROM v)
+SELECT item, choice AS winner, votes, total, CASE WHEN choices = 1 THEN 'unanimous' WHEN votes * 2 > total THEN 'majority' ELSE 'plurality' END AS how FROM r WHERE n = 1""")
+def majority_vote(s: SparkSession, d: str) -> DataFrame:
+    votes = T.table(s, d, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_returnflag").alias("choice"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+    return quality.majority(votes, "item", "choice", "place")
+
+
+@query("""SELECT p_type AS category, count(DISTINCT p_partkey) AS folders, count(*) AS lectures, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS courses, round(1e2 * count(*) / CAST((SELECT count(*) FROM lineitem JOIN part ON p_partkey = l_partkey) AS DOUBLE), 4) AS share
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1""")
+def category_rollup(s: SparkSession, d: str) -> DataFrame:
+    joined = T.table(s, d, "lineitem").select("l_partkey").join(T.table(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    rolled = joined.groupBy(F.col("p_type").alias("category")).agg(F.count_distinct("p_partkey").alias("folders"), F.count(F.lit(1)).alias("lectures"), F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("courses"))
+    total = F.sum("lectures").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return rolled.withColumn("share", F.round(100.0 * F.col("lectures") / total, 4))
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+#: Queries are the first words of benchmark items; all documents are searched.
+ASKED = """q AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 4), ' ') AS query FROM benchmark WHERE item_id < 20),
+qt AS (SELECT DISTINCT query_id, unnest(string_split(query, ' ')) AS term FROM q)"""
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    words = F.slice(X.tokens(F.col("text")), 1, 4)
+    return T.table(s, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+
+
+SCORED = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ts FROM documents),
+len AS (SELECT doc_id, CAST(len(ts) AS DOUBLE) AS l FROM tok), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l) AS mean FROM len),
+tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM tok) x WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY 1),
+w AS (SELECT query_id, qt.term, CASE WHEN ln((n - df + 5e-1) / (df + 5e-1)) <= 0 THEN 1e-6 ELSE ln((n - df + 5e-1) / (df + 5e-1)) END AS idf FROM qt JOIN df ON df.term = qt.term, st),
+sc AS (SELECT query_id, doc_id, -sum(idf * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * l / mean))) AS score, count(*) AS terms FROM tf JOIN w ON w.term = tf.term JOIN len USING (doc_id), st GROUP BY 1, 2)"""
+
+
+@query("WITH " + ASKED + ",\n" + SCORED + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM sc")
+def bm25_or(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(T.table(s, d, "documents"), "doc_id", {"text": 1.0}, _asked(s, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("WITH " + ASKED + ",\n" + SCORED + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM sc WHERE terms = (SELECT count(*) FROM qt WHERE qt.query_id = sc.query_id)")
+def bm25_and(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(T.table(s, d, "documents"), "doc_id", {"text": 1.0}, _asked(s, d), every=True).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+PAGES = """p AS (SELECT page_id, regexp_extract_all(lower(coalesce(url, '')), '[\\p{L}\\p{N}]+') AS u, regexp_extract_all(lower(coalesce(html, '')), '[\\p{L}\\p{N}]+') AS h FROM pages),
+len AS (SELECT page_id, CAST(len(u) + len(h) AS DOUBLE) AS l FROM p), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(l) AS mean FROM len),
+tf AS (SELECT page_id, term, sum(wt) AS tf FROM (SELECT page_id, unnest(u) AS term, 1e1 AS wt FROM p UNION ALL SELECT page_id, unnest(h), 1e0 FROM p) x WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
+df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY 1),
+w AS (SELECT query_id, qt.term, CASE WHEN ln((n - df + 5e-1) / (df + 5e-1)) <= 0 THEN 1e-6 ELSE ln((n - df + 5e-1) / (df + 5e-1)) END AS idf FROM qt JOIN df ON df.term = qt.term, st),
+sc AS (SELECT query_id, page_id, -sum(idf * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * l / mean))) AS score FROM tf JOIN w ON w.term = tf.term JOIN len USING (page_id), st GROUP BY 1, 2)"""
+
+
+@query("WITH " + ASKED + ",\n" + PAGES + "\nSELECT query_id, page_id, round(score, 6) AS score FROM sc")
+def bm25_fielded(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.bm25(T.table(s, d, "pages"), "page_id", {"url": 10.0, "html": 1.0}, _asked(s, d)).select("query_id", "page_id", F.round("score", 6).alias("score"))
+
+
+BACKOFF = """q AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 4) AS t FROM benchmark WHERE item_id < 20),
+tries AS (SELECT query_id, n, list_slice(t, 1, n) AS t FROM (SELECT *, unnest(range(2, len(t) + 1)) AS n FROM q WHERE len(t) >= 2) x),
+qt AS (SELECT DISTINCT query_id, n, unnest(t) AS term FROM tries),
+dt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) x WHERE term IN (SELECT term FROM qt)),
+m AS (SELECT query_id, n, doc_id, count(*) AS c FROM qt JOIN dt ON dt.term = qt.term GROUP BY 1, 2, 3),
+ok AS (SELECT query_id, n, doc_id FROM m WHERE c = (SELECT count(*) FROM qt WHERE qt.query_id = m.query_id AND qt.n = m.n))"""
+
+
+@query("WITH " + BACKOFF + "\nSELECT query_id, CAST(n AS INT) AS n_terms, doc_id FROM ok WHERE n = (SELECT max(n) FROM ok o WHERE o.query_id = ok.query_id)")
+def bm25_backoff(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.backed_off(T.table(s, d, "documents"), "doc_id", {"text": 1.0}, _asked(s, d)).select("query_id", "n_terms", "doc_id")
+
+
+COSINE = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cs AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(e.v, q.v) / (CASE WHEN list_dot_product(e.v, e.v) = 0 THEN 1 ELSE sqrt(list_dot_product(e.v, e.v)) END * CASE WHEN list_dot_product(q.v, q.v) = 0 THEN 1 ELSE sqrt(list_dot_product(q.v, q.v)) END) AS score FROM e, e q WHERE q.vec_id < 20),
+cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) - 1 AS rank FROM cs)"""
+
+
+def _near(s: SparkSession, d: str) -> DataFrame:
+    vectors = T.table(s, d, "embeddings")
+    scored = retrieval.cosine(vectors, vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return retrieval.top(scored.withColumn("score", F.round("score", 6)), "vec_id", 30, ascending=False)
+
+
+@query("WITH " + COSINE + "\nSELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM cr WHERE rank < 30")
+def cosine_topk(s: SparkSession, d: str) -> DataFrame:
+    return _near(s, d)
+
+
+def _hybrid(s: SparkSession, d: str) -> DataFrame:
+    lexical = retrieval.top(retrieval.bm25(T.table(s, d, "documents"), "doc_id", {"text": 1.0}, _asked(s, d)).withColumn("score", F.round("score", 6)), "doc_id", 30)
+    return retrieval.rrf([lexical, _near(s, d).withColumnRenamed("vec_id", "doc_id")], "doc_id")
+
+
+HYBRID = COSINE + ",\n" + ASKED + ",\n" + SCORED + """,
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), doc_id) - 1 AS rank FROM sc),
+hy AS (SELECT query_id, doc_id, sum(1e0 / (61 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM br WHERE rank < 30 UNION ALL SELECT query_id, vec_id, rank FROM cr WHERE rank < 30) x GROUP BY 1, 2)"""
+
+
+@query("WITH " + HYBRID + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM hy")
+def rrf_hybrid(s: SparkSession, d: str) -> DataFrame:
+    return _hybrid(s, d).withColumn("score", F.round("score", 6))
+
+
+@query(with_kg(STRICT + ",\n" + HYBRID + """,
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS place FROM hy) x WHERE place <= 6)
+SELECT t.query_id, CAST(place AS INT) AS place, t.doc_id, n.id AS node_id, n.revision, u.claim_id IS NOT NULL AS usable, s.evidence_id, e.reliability_grade FROM top t JOIN kg_claim c ON c.doc_id = t.doc_id
+JOIN (SELECT * FROM kg_node QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC) = 1) n ON n.id = c.node_id LEFT JOIN usable u ON u.claim_id = c.claim_id
+LEFT JOIN kg_support s ON s.target_claim = c.claim_id LEFT JOIN kg_evidence e ON e.evidence_id = s.evidence_id"""))
+def hybrid_trace(s: SparkSession, d: str) -> DataFrame:
+    """The flagship: lexical and vector ranks fused, the first six of each query traced to claims, latest nodes and evidence."""
+    best = retrieval.top(_hybrid(s, d).withColumn("score", F.round("score", 6)), "doc_id", 6, ascending=False)
+    hits = best.select("query_id", (F.col("rank") + 1).cast("int").alias("place"), "doc_id", F.concat(F.lit("C-"), F.col("doc_id").cast("string")).alias("claim_id"))
+    latest = policy.lookup_latest_revision(T.nodes(s, d)).select(F.col("id").alias("node_id"), "revision")
+    traced = hits.join(T.claims(s, d).select("claim_id", "node_id"), "claim_id").join(latest, "node_id").join(_usable(s, d).select("claim_id", F.lit(True).alias("u")), "claim_id", "left")
+    proof = T.supports(s, d).select(F.col("target_claim").alias("claim_id"), "evidence_id").join(T.evidence(s, d).select("evidence_id", "reliability_grade"), "evidence_id", "left")
+    return traced.join(proof, "claim_id", "left").select("query_id", "place", "doc_id", "node_id", "revision", F.coalesce("u", F.lit(False)).alias("usable"), "evidence_id", "reliability_grade")
+
+
+@query("WITH " + ASKED + ",\n" + SCORED + """,
+br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), doc_id) - 1 AS rank FROM sc),
+ex AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.item_id < 20)
+SELECT ex.query_id, max(CASE WHEN rank < 6 THEN 1 ELSE 0 END) AS hit, round(count(*) FILTER (WHERE rank < 6) / CAST(count(*) AS DOUBLE), 6) AS recall FROM ex LEFT JOIN br ON br.query_id = ex.query_id AND br.doc_id = ex.doc_id GROUP BY 1""")
+def recall_at_k(s: SparkSession, d: str) -> DataFrame:
+    """How many of the documents that contain a benchmark item are among the first six for its first words."""
+    docs, items = T.table(s, d, "documents"), T.table(s, d, "benchmark").where("item_id < 20")
+    expected = docs.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    ranked = retrieval.top(retrieval.bm25(docs, "doc_id", {"text": 1.0}, _asked(s, d)).withColumn("score", F.round("score", 6)), "doc_id", 6)
+    return retrieval.hit_rates(ranked, expected, "doc_id", 6).withColumn("recall", F.round("recall", 6))
+
+
+# --- claims and text -------------------------------------------------------------------------------------------------
+
+STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+KEYED = f"""kc AS (SELECT claim_id, node_id, doc_id, list_filter(list_distinct(regexp_extract_all(lower(statement), '[a-z]{{4,}}')), lambda w: w NOT IN ({STOP})) AS ks FROM kg_claim),
+nk AS (SELECT claim_id, len(ks) AS n, unnest(ks) AS k FROM kc WHERE doc_id % 5 = 0), ok AS (SELECT claim_id AS match_id, len(ks) AS n, unnest(ks) AS k FROM kc WHERE doc_id % 5 <> 0)"""
+
+
+@query(with_kg(KEYED + """,
+pr AS (SELECT claim_id, match_id, nk.n AS a, ok.n AS b, count(*) AS c FROM nk JOIN ok ON ok.k = nk.k GROUP BY 1, 2, 3, 4),
+be AS (SELECT claim_id, match_id, c / CAST(a + b - c AS DOUBLE) AS sim FROM pr QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY c / CAST(a + b - c AS DOUBLE) DESC, match_id) = 1)
+SELECT c.claim_id, match_id, round(coalesce(sim, 0), 6) AS similarity, CASE WHEN coalesce(sim, 0) >= 7e-1 THEN 'identical' WHEN coalesce(sim, 0) >= 45e-2 THEN 'similar' ELSE 'new' END AS verdict FROM kg_claim c LEFT JOIN be ON be.claim_id = c.claim_id WHERE c.doc_id % 5 = 0"""))
+def keyword_jaccard_dedup(s: SparkSession, d: str) -> DataFrame:
+    """Definitions as newly mined claims against all others."""
+    every = T.claims(s, d)
+    return C.duplicates(every.where("kind = 'definition'"), every.where("kind <> 'definition'"))
+
+
+@query(with_kg(f"""kc AS (SELECT item_id AS claim_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda w: w NOT IN ({STOP})) AS ks FROM benchmark),
+nw AS (SELECT node_id AS id, string_agg(statement, ' ' ORDER BY claim_id) AS w FROM kg_claim WHERE kind = 'theorem' GROUP BY 1),
+nk AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(w), '[a-z]{{4,}}')), lambda w: w NOT IN ({STOP})) AS ks FROM nw),
+a AS (SELECT claim_id, len(ks) AS n, unnest(ks) AS k FROM kc), b AS (SELECT id, len(ks) AS n, unnest(ks) AS k FROM nk),
+pr AS (SELECT claim_id, id, a.n AS x, b.n AS y, CAST(count(*) AS DOUBLE) AS c FROM a JOIN b ON a.k = b.k GROUP BY 1, 2, 3, 4),
+sc AS (SELECT claim_id, id, greatest(c / x, c / y, (c / x + c / y) / 2) AS score FROM pr QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY greatest(c / x, c / y, (c / x + c / y) / 2) DESC, id) = 1)
+SELECT claim_id, CASE WHEN score >= 35e-2 THEN id END AS node_id, round(score, 6) AS score FROM sc"""))
+def attribution_score(s: SparkSession, d: str) -> DataFrame:
+    nodes = T.claims(s, d).where("kind = 'theorem'").groupBy(F.col("node_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "statement"))), lambda x: x["statement"]), " ").alias("wording"))
+    return C.attribution(T.table(s, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("statement")), nodes)
+
+
+@query(with_kg("""SELECT evidence_id, CASE WHEN regexp_full_match(b, '10\\.[0-9]{4,9}/[^ \\t\\n\\r]+') THEN concat('doi:', b) END AS work FROM (SELECT evidence_id, trim(regexp_replace(lower(url_decode(trim(source_uri))), '^(https?://(dx\\.)?doi\\.org/|doi:\\s*)', '')) AS b FROM kg_evidence) x"""))
+def canonical_work(s: SparkSession, d: str) -> DataFrame:
+    return T.evidence(s, d).select("evidence_id", X.canonical_work(F.col("source_uri")).alias("work"))
+
+
+@query("SELECT p_partkey, concat('F-', upper(substr(replace(replace(p_type, ' ', ''), '&', 'AND'), 1, 4))) AS field_id FROM part")
+def field_id(s: SparkSession, d: str) -> DataFrame:
+    return T.table(s, d, "part").select("p_partkey", X.field_id(F.col("p_type")).alias("field_id"))
+
+
+QUOTES = """qd AS (SELECT b.item_id, d.doc_id, substr(b.text, 1, 40) AS quote, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)"""
+
+
+def _quotes(s: SparkSession, d: str) -> DataFrame:
+    """Benchmark openings as quotes that are said to come from some documents."""
+    items = T.table(s, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"), (F.col("item_id") % 40).alias("k"))
+    return T.table(s, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k")).join(items, "k")
+
+
+@query("WITH " + QUOTES + "\nSELECT item_id, doc_id, length(trim(quote)) >= 20 AND contains(text, quote) AS verbatim FROM qd")
+def quote_validation(s: SparkSession, d: str) -> DataFrame:
+    return _quotes(s, d).select("item_id", "doc_id", ((F.length(F.trim("quote")) >= 20) & F.col("text").contains(F.col("quote"))).alias("verbatim"))
+
+
+@query("""WITH qd AS (SELECT doc_id, substr(text, 60, 40) AS quote, substr(text, 1, strpos(text, substr(text, 60, 40)) - 1) AS before, text FROM documents WHERE length(text) > 100),
+cx AS (SELECT doc_id, quote, concat(regexp_extract(before, '(?s)^(?:.*(?:\\. |\\n))?(.*)$', 1), quote) AS context FROM qd)
+SELECT doc_id, md5(context) AS context, concat_ws(',', CASE WHEN regexp_matches(context, '(?i)\\b(analy[sz]ed|shown|proved|proposed|introduced)\\s+(further\\s+)?by\\b|\\bwho\\s+(have\\s+)?(shown|proved)\\b') THEN 'prior_work' END, CASE WHEN regexp_matches(quote, '(?i)^\\s*(this|that|these|those)\\s+(method|approach|auction|result|algorithm)') THEN 'cropped_antecedent' END) AS reasons FROM cx""")
+def attribution_triage(s: SparkSession, d: str) -> DataFrame:
+    docs = T.table(s, d, "documents").where(F.length("text") > 100).withColumn("quote", F.substring("text", 60, 40))
+    return docs.select("doc_id", F.md5(X.sentence_context(F.col("quote"), F.col("text"))).alias("context"), F.array_join(X.attribution_reasons(F.col("quote"), F.col("text")), ",").alias("reasons"))
+
+
+@query(with_kg("""SELECT evidence_id, CASE WHEN source_uri IS NULL THEN 'REJECTED' WHEN sc >= 6 THEN 'A' WHEN sc >= 4 THEN 'B' WHEN sc >= 3 THEN 'C' ELSE 'D' END AS grade FROM
+(SELECT evidence_id, source_uri, 3e0 + CASE WHEN content_hash IS NOT NULL THEN 1e0 ELSE 0e0 END + CASE reliability_grade WHEN 'A' THEN 2e0 WHEN 'B' THEN 1e0 ELSE 0e0 END + CASE WHEN ascii(substr(content_hash, 1, 1)) > 57 THEN 1e0 ELSE 0e0 END + CASE WHEN origin_group = 'g1' THEN 5e-1 ELSE 0e0 END AS sc FROM kg_evidence) x"""))
+def verification_grade(s: SparkSession, d: str) -> DataFrame:
+    relevance = F.when(F.col("reliability_grade") == "A", "likely").when(F.col("reliability_grade") == "B", "possible")
+    cited = F.when(F.ascii(F.substring("content_hash", 1, 1)) > 57, 11).otherwise(0)
+    return T.evidence(s, d).select("evidence_id", X.grade(F.col("source_uri").isNotNull(), F.col("content_hash").isNotNull(), relevance, cited, F.col("origin_group") == "g1").alias("grade"))
+
+
+@query("""WITH o AS (SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id % 10 <> 1), n AS (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 2 THEN concat(text, '!') ELSE text END) AS digest FROM documents WHERE doc_id % 10 <> 3)
+SELECT coalesce(o.doc_id, n.doc_id) AS path, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete' WHEN o.digest <> n.digest THEN 'update' ELSE 'skip' END AS action FROM o FULL JOIN n ON n.doc_id = o.doc_id""")
+def manifest_diff(s: SparkSession, d: str) -> DataFrame:
+    """All documents in two versions: some new, some changed, some gone."""
+    docs = T.table(s, d, "documents").withColumnRenamed("doc_id", "path")
+    old = docs.where("path % 10 <> 1").select("path", F.md5("text").alias("digest"))
+    changed = F.when(F.col("path") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return notes.manifest_diff(old, docs.where("path % 10 <> 3").select("path", F.md5(changed).alias("digest")))
+
+
+@query()
+def chunks(s: SparkSession, d: str) -> DataFrame:
+    cut = notes.chunks(T.table(s, d, "documents"), "doc_id", "text", notes.lecture)
+    return cut.select("doc_id", "place", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') AS title, nullif(trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '') AS heading, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages")
+def html_metadata(s: SparkSession, d: str) -> DataFrame:
+    part = lambda tag: F.nullif(F.trim(F.regexp_extract("html", tag, 1)), F.lit(""))
+    return T.table(s, d, "pages").select("page_id", part("(?s)<title>(.*?)</title>").alias("title"), part("(?s)<h1[^>]*>(.*?)</h1>").alias("heading"), F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) - 1 AS rank FROM conversations")
+def turn_rank(s: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("conv_id").orderBy(F.length("text").desc(), "turn")
+    return T.table(s, d, "conversations").select("conv_id", "turn", (F.row_number().over(w) - 1).alias("rank"))
+
+
+# --- finite checks, events -------------------------------------------------------------------------------------------
+
+
+@query("""WITH v AS (SELECT DISTINCT CAST(l_quantity AS INT) % 3 AS x FROM lineitem), p AS (SELECT a.x AS v1, b.x AS v2, c.x AS alt FROM v a, v b, v c),
+u AS (SELECT *, CASE WHEN v1 > v2 OR v1 = v2 THEN v1 - v2 ELSE 0 END AS truth2, CASE WHEN alt > v2 OR alt = v2 THEN v1 - v2 ELSE 0 END AS dev2, CASE WHEN v1 > v2 OR v1 = v2 THEN 0 ELSE 0 END AS truth1, CASE WHEN alt > v2 OR alt = v2 THEN v1 - alt ELSE 0 END AS dev1 FROM p)
+SELECT v1, v2, alt, dev2 > truth2 AS second_price_gain, dev1 > truth1 AS first_price_gain FROM u""")
+def auction_deviations(s: SparkSession, d: str) -> DataFrame:
+    """Whether any bid of the finite set beats the truthful one, in second- and first-price auctions; bids are classes of quantities."""
+    bids = T.table(s, d, "lineitem").select((F.col("l_quantity").cast("int") % 3).alias("x")).distinct()
+    every = bids.select(F.col("x").alias("v1")).crossJoin(bids.select(F.col("x").alias("v2"))).crossJoin(bids.select(F.col("x").alias("alt")))  # three values
+    wins = lambda bid: F.col(bid) >= F.col("v2")
+    truth = F.when(wins("v1"), F.col("v1") - F.col("v2")).otherwise(0)
+    return every.select("v1", "v2", "alt", (F.when(wins("alt"), F.col("v1") - F.col("v2")).otherwise(0) > truth).alias("second_price_gain"), (F.when(wins("alt"), F.col("v1") - F.col("alt")).otherwise(0) > 0).alias("first_price_gain"))
+
+
+@query("""WITH c AS (SELECT l_shipdate, l_returnflag, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT l_shipdate, n / sum(n) OVER (PARTITION BY l_shipdate) AS p FROM c)
+SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, round(sum(-p * log2(p)), 6) AS entropy FROM p GROUP BY 1""")
+def entropy(s: SparkSession, d: str) -> DataFrame:
+    counted = T.table(s, d, "lineitem").groupBy("l_shipdate", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    p = F.col("n") / F.sum("n").over(W.partitionBy("l_shipdate"))
+    return counted.select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), p.alias("p")).groupBy("day").agg(F.round(F.sum(-F.col("p") * F.log2("p")), 6).alias("entropy"))
+
+
+@query("SELECT event_id, concat('Q-', substr(sha256(concat(event_type, chr(31), CAST(user_id AS VARCHAR))), 1, 16)) AS question_id, event_type, CASE user_id % 10 WHEN 0 THEN 'synthetic' WHEN 1 THEN 'seed' ELSE 'user' END AS origin FROM events")
+def event_projection(s: SparkSession, d: str) -> DataFrame:
+    return log.projected(T.events(s, d))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def activity_windows(s: SparkSession, d: str) -> DataFrame:
+    s.conf.set("spark.sql.session.timeZone", "UTC")
+    return log.windows(T.events(s, d)).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 20")
+def recent_events(s: SparkSession, d: str) -> DataFrame:
+    """The last 20 events (a report)."""
+    last = T.events(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+    return last.select("event_id", "event_type", F.row_number().over(W.orderBy(F.desc("ts"), F.desc("event_id"))).alias("place"))
