@@ -340,14 +340,14 @@ w AS (SELECT query_id, qt.term, CASE WHEN ln((n - df + 5e-1) / (df + 5e-1)) <= 0
 sc AS (SELECT query_id, doc_id, -sum(idf * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * l / mean))) AS score, count(*) AS terms FROM tf JOIN w ON w.term = tf.term JOIN len USING (doc_id), st GROUP BY 1, 2)"""
 
 
-@query("WITH " + ASKED + ",\n" + SCORED + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM sc")
+@query("WITH " + ASKED + ",\n" + SCORED + "\nSELECT query_id, doc_id, round(score, 6) + 0e0 AS score FROM sc")
 def bm25_or(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(T.table(s, d, "documents"), "doc_id", {"text": 1.0}, _asked(s, d)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(T.table(s, d, "documents"), "doc_id", {"text": 1.0}, _asked(s, d)).select("query_id", "doc_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
-@query("WITH " + ASKED + ",\n" + SCORED + "\nSELECT query_id, doc_id, round(score, 6) AS score FROM sc WHERE terms = (SELECT count(*) FROM qt WHERE qt.query_id = sc.query_id)")
+@query("WITH " + ASKED + ",\n" + SCORED + "\nSELECT query_id, doc_id, round(score, 6) + 0e0 AS score FROM sc WHERE terms = (SELECT count(*) FROM qt WHERE qt.query_id = sc.query_id)")
 def bm25_and(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(T.table(s, d, "documents"), "doc_id", {"text": 1.0}, _asked(s, d), every=True).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(T.table(s, d, "documents"), "doc_id", {"text": 1.0}, _asked(s, d), every=True).select("query_id", "doc_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 PAGES = """p AS (SELECT page_id, regexp_extract_all(lower(coalesce(url, '')), '[\\p{L}\\p{N}]+') AS u, regexp_extract_all(lower(coalesce(html, '')), '[\\p{L}\\p{N}]+') AS h FROM pages),
@@ -358,9 +358,9 @@ w AS (SELECT query_id, qt.term, CASE WHEN ln((n - df + 5e-1) / (df + 5e-1)) <= 0
 sc AS (SELECT query_id, page_id, -sum(idf * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * l / mean))) AS score FROM tf JOIN w ON w.term = tf.term JOIN len USING (page_id), st GROUP BY 1, 2)"""
 
 
-@query("WITH " + ASKED + ",\n" + PAGES + "\nSELECT query_id, page_id, round(score, 6) AS score FROM sc")
+@query("WITH " + ASKED + ",\n" + PAGES + "\nSELECT query_id, page_id, round(score, 6) + 0e0 AS score FROM sc")
 def bm25_fielded(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(T.table(s, d, "pages"), "page_id", {"url": 10.0, "html": 1.0}, _asked(s, d)).select("query_id", "page_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(T.table(s, d, "pages"), "page_id", {"url": 10.0, "html": 1.0}, _asked(s, d)).select("query_id", "page_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
 BACKOFF = """q AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 4) AS t FROM benchmark WHERE item_id < 20),
