@@ -132,20 +132,30 @@ def _near(distance: int, limit: tuple[int, int]):
     return run
 
 
-def _crossing(distance: int, limit: tuple[int, int]):
-    """Inside blocks of one key: pairs of different components that pass ``_near``."""
+def _crossing(distance: int, limit: tuple[int, int], exact: bool = False):
+    """Inside two blocks: pairs of different components that pass ``_near``; if ``exact``, only those
+    whose full sets, which the rows then carry, reach the limit."""
 
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         cid, n = table["cid"].to_numpy(), table["n"].to_numpy()
         label = table["component"].to_numpy()
         sig = np.frombuffer(b"".join(table["fine"].to_pylist()), "u1").reshape(-1, FINE)
+        if exact:
+            sets_ = table["shingles"].combine_chunks()
+            values, offsets = sets_.values.to_numpy(), sets_.offsets.to_numpy().astype(np.int64)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         out_a, out_b = [], []
         for i in left:
             near = (label[right] != label[i]) & (cid[right] != cid[i]) & (limit[1] * np.minimum(n[right], n[i]) >= limit[0] * np.maximum(n[right], n[i]))
             js = right[near]
             js = js[(sig[js] != sig[i]).sum(axis=1) <= distance]
+            if exact and len(js):
+                own = offsets[i + 1] - offsets[i]
+                found = np.isin(np.concatenate([values[offsets[j] : offsets[j + 1]] for j in js]), values[offsets[i] : offsets[i + 1]])
+                size = offsets[js + 1] - offsets[js]
+                common = np.add.reduceat(found.astype(np.int64), np.cumsum(size) - size)
+                js = js[limit[1] * common >= limit[0] * (own + size - common)]
             out_a.append(np.minimum(cid[js], cid[i]))
             out_b.append(np.maximum(cid[js], cid[i]))
         none = np.zeros(0, np.int64)
@@ -160,11 +170,17 @@ def _with_ends(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs
 
 
-def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[int, int], size: int = 5) -> DataFrame:
-    """The pairs (a, b of classes) whose full shingle sets reach ``limit`` (numerator, denominator) in
-    Jaccard similarity. Sets are made anew from the texts of the classes' first documents only; a
-    bit filter of fixed size, 8 MB, spares the other texts the work."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+def _blocks(rows: DataFrame, members: str, block: int) -> DataFrame:
+    """Deal each key's rows into blocks that meet two by two, so that no group is larger than two blocks."""
+    parts = F.ceil(F.col(members) / block).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(3)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", side).drop("own", "other", members)
+
+
+def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int = 5) -> DataFrame:
+    """(cid, shingles) of the classes in ``wanted``, made anew from the texts of their first documents
+    only; a bit filter of fixed size, 8 MB, spares the other texts the work."""
     wanted = materialise(wanted.join(classes.select("cid", "first_uid"), "cid"), "wanted")
     packed = bit_filter(wanted, "first_uid")
 
@@ -178,7 +194,13 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[
 
     plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text")).withColumn("bit", filter_bit("uid"))
     made = plain.mapInArrow(run, "first_uid long, shingles array<long>").join(wanted, "first_uid").select("cid", "shingles")
-    made = materialise(made, "sets")
+    return materialise(made, "sets")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[int, int], size: int = 5) -> DataFrame:
+    """The pairs (a, b of classes) whose full shingle sets reach ``limit`` (numerator, denominator) in Jaccard similarity."""
+    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    made = class_sets(ends, classes, docs, size)
     a, b = (made.select(F.col("cid").alias(x), F.col("shingles").alias(f"{x}_set")) for x in "ab")
     both = pairs.select("a", "b").join(b, "b").join(a, "a")
     common = F.size(F.array_intersect("a_set", "b_set"))
@@ -186,7 +208,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[
     return both.where(limit[1] * common >= limit[0] * union).select("a", "b")
 
 
-def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, small: int = 64, block: int = 4096, bands: tuple[int, int] | None = None) -> DataFrame:
+def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, small: int = 64, block: int = 2048, most_kin: int = 16_384, bands: tuple[int, int] | None = None) -> DataFrame:
     """Each row's class, component and smallest linked doc_id.
 
     Returns uid (the row's number in ``docs``), doc_id, n_shingles, component_id and kept (one row of
@@ -221,14 +243,24 @@ def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, sma
     one, two = (few.select("key", F.col("cid").alias(x), F.col("component").alias(f"{x}c")) for x in "ab")
     pairs = one.join(two, "key").where("a < b and ac <> bc").select("a", "b").distinct()
     pairs = _with_ends(pairs, ends).mapInArrow(_near(apart, limit), "a long, b long")
-    many = left.where(F.col("members") > small).join(ends, "cid")
-    parts = F.ceil(F.col("members") / block).cast("int")
-    many = many.withColumn("own", F.pmod(F.xxhash64("cid", F.lit(3)), parts).cast("int"))
-    # A key's blocks meet two by two, so that no group is larger than two blocks.
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    many = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "cid", "component", "n", "fine")
-    more = many.groupBy("key", "i", "j").applyInArrow(_crossing(apart, limit), "a long, b long")
+    # Members of larger keys are gathered into families, so that a pair meets once and not for each key
+    # that it shares, and is verified where it meets.
+    large = left.where(F.col("members") > small)
+    first = large.groupBy("key").agg(F.min("cid").alias("b"))
+    family = components(large.select("key", F.col("cid").alias("a")).join(first, "key")).select(F.col("id").alias("cid"), F.col("component").alias("family"))
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("kin"))
+    family = materialise(family.join(sizes, "family").join(large.select("cid", "component").distinct(), "cid"), "families")
+    kin = family.where(F.col("kin") <= most_kin)
+    kin = kin.join(ends, "cid").join(class_sets(kin.select("cid"), classes, docs, size), "cid")
+    verified = _blocks(kin.withColumnRenamed("family", "key"), "kin", block).groupBy("key", "i", "j").applyInArrow(_crossing(apart, limit, exact=True), "a long, b long")
+    # In a larger family only those that share a key are compared.
+    many = large.join(family.where(F.col("kin") > most_kin).select("cid"), "cid", "left_semi").join(ends, "cid")
+    more = _blocks(many, "members", block).groupBy("key", "i", "j").applyInArrow(_crossing(apart, limit), "a long, b long")
     rest = materialise(pairs.union(more).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    verified = materialise(verified, "links3")
+    if verified.take(1):
+        edges = edges.union(verified)
+        label = components(edges)
     if rest.take(1):
         edges = edges.union(materialise(confirm(rest, classes, docs, limit, size), "links2"))
         label = components(edges)
