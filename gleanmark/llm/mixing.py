@@ -110,9 +110,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix has them, in the mix's order: each row as often as it is taken, with
     all its columns and no others. ``docs`` must be a stored table, as its rows are numbered twice."""
     packets, _ = schedule(docs, **options)
-    starts = cut(packets, options.get("share", 1.5)).where(F.col("in") & _middle(options.get("packet", 256))).select("uid", F.col("finish").alias("__finish"))
+    starts = cut(packets, options.get("share", 1.5)).where(F.col("in") & _middle(options.get("packet", 256))).select(F.col("uid").alias("__row"), F.col("finish").alias("__finish"))
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(starts, F.col("__row") == F.col("uid")).repartitionByRange("__finish", "__row").sortWithinPartitions("__finish", "__row").select(*[docs[c] for c in docs.columns])
+    return numbered.join(starts, "__row").repartitionByRange("__finish", "__row").sortWithinPartitions("__finish", "__row").select(*docs.columns)
 
 
 ORACLE = r"""
