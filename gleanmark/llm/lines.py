@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 from gleanmark.llm.common import WORD, materialise
 
 CELL_BITS = 17
+#: Lines asked for that are broadcast at most, of some 24 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 400_000
+#: Groups of a word with more lines have them held against their earliest line first.
+HOT = 64
+
+
+def _words(text: Column) -> Column:
+    """The words of a text; runs of white space leave empty ones, which aren't words."""
+    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -33,7 +42,7 @@ def _cell(h: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """A constant array: for each cell 8 times the binary logarithm of its words' count, rounded down."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))).alias("w"))
+    words = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("w"))
     counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).count()
     level = [0] * (1 << CELL_BITS)
     for row in counts.select("cell", F.floor(8 * F.log2("count")).cast("int").alias("level")).collect():  # 2 ** 17 rows at most
@@ -43,7 +52,7 @@ def rarity(docs: DataFrame) -> Column:
 
 def _keyed(lines: DataFrame, level: Column) -> DataFrame:
     """``lines`` with ``keys``: a number for each distinct word, rarest first, and n, their count."""
-    hashes = F.array_distinct(F.transform(F.regexp_extract_all("line", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)))
+    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
     key = lambda h: F.shiftleft(F.get(level, _cell(h)).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1)))
     keyed = lines.withColumn("_h", hashes).withColumn("keys", F.sort_array(F.transform("_h", key))).drop("_h", "line")
     return keyed.withColumn("n", F.size("keys")).where("n > 0")
@@ -59,6 +68,8 @@ def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level: Colum
     """Those of ``pairs`` (sid, other) whose sets have a Jaccard similarity of 4/5 or more."""
     pairs = materialise(pairs, "pairs")
     asked = pairs.select("sid").union(pairs.select("other")).distinct().join(classes.select("sid", "uid", "line_no"), "sid")
+    asked = materialise(asked, "asked")
+    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
     found = _keyed(_lines(docs).join(asked, ["uid", "line_no"]), level).select("sid", "keys")
     found = materialise(found, "sets")
     both = pairs.join(found, "sid").join(found.select(F.col("sid").alias("other"), F.col("keys").alias("others")), "other")
@@ -86,13 +97,17 @@ def removals(docs: DataFrame) -> DataFrame:
     rows = classes.select("sid", "d", "line_no", "n", F.posexplode("prefix").alias("p", "word"), F.when(near_low, F.array(home, home - 1)).otherwise(F.array(home)).alias("kinds"))
     posts = rows.withColumn("kind", F.explode("kinds")).drop("kinds")
 
-    # First every line is held against the earliest line of its group only.
-    lead = posts.withColumn("lead", F.min(F.struct("d", "line_no", "sid", "n", "p")).over(W.partitionBy("word", "kind")))
-    lead = lead.select("sid", "n", "p", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"), F.col("lead.p").alias("q"))
+    group = W.partitionBy("word", "kind")
+    met = posts.withColumn("members", F.count(F.lit(1)).over(group)).withColumn("lead", F.min(F.struct("d", "line_no", "sid", "n", "p")).over(group))
+    posts = materialise(met.where("members > 1"), "posts")
+
+    # In a large group every line is held against the earliest one first.
+    lead = posts.where(F.col("members") > HOT).select("sid", "n", "p", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"), F.col("lead.p").alias("q"))
     lead = lead.where((F.col("sid") != F.col("other")) & _fits("n", "p", "m", "q")).select("sid", "other").distinct()
     gone = materialise(_similar(lead, classes, docs, level).select("sid").distinct(), "gone")
 
-    # Those that it doesn't settle meet all earlier lines of their groups.
+    # Lines that this doesn't settle meet all earlier lines of their groups.
+    posts = posts.drop("members", "lead")
     open_ = posts.join(gone, "sid", "left_anti").alias("a")
     meet = open_.join(posts.alias("b"), ["word", "kind"])
     earlier = F.struct("b.d", "b.line_no", "b.sid") < F.struct("a.d", "a.line_no", "a.sid")
