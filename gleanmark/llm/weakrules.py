@@ -137,7 +137,7 @@ def fit(patterns: dict[tuple[int, ...], int], rules: int, rounds: int = 100, pri
             [{v: (seen_good[j][v] + sure_good * base_good[j][v]) / (n_good + sure_good) for v in (1, 0, -1)} for j in range(rules)],
             [{v: (seen_bad[j][v] + sure_bad * base_bad[j][v]) / (total - n_good + sure_bad) for v in (1, 0, -1)} for j in range(rules)],
         )
-        moved = abs(new.prior - model.prior) + max(abs(new.bad[j][0] - model.bad[j][0]) for j in range(rules))
+        moved = abs(new.prior - model.prior) + max((abs(new.bad[j][0] - model.bad[j][0]) for j in range(rules)), default=0.0)
         model = new
         if moved < 1e-9:
             break
