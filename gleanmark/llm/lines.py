@@ -58,10 +58,17 @@ def _keyed(lines: DataFrame, level: Column) -> DataFrame:
     return keyed.withColumn("n", F.size("keys")).where("n > 0")
 
 
-def _fits(n: str, p: str, m: str, q: str) -> Column:
-    """Length and positional filters for sets of sizes n and m that share the words at p and q."""
+def _parity(place: int) -> Column:
+    """Half of a 128-bit parity map of a line's words: each turns one bit round. Two maps differ in no more
+    bits than the lines in words, so that a difference too large for the limit shows without the words."""
+    return F.expr(f"aggregate(keys, 0L, (a, k) -> if(((k >> 6) & 1) = {place}, a ^ shiftleft(1L, cast(k & 63 as int)), a))")
+
+
+def _fits(n: str, p: str, m: str, q: str, ours: tuple[str, str], theirs: tuple[str, str]) -> Column:
+    """Length, positional and parity filters for sets of sizes n and m that share the words at p and q."""
     n, p, m, q = map(F.col, (n, p, m, q))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - p, m - q) >= 4 * (n + m))
+    apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(ours[1:], theirs[1:], strict=True)), F.bit_count(F.col(ours[0]).bitwiseXOR(F.col(theirs[0]))))
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - p, m - q) >= 4 * (n + m)) & (9 * apart <= n + m)
 
 
 def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level: Column) -> DataFrame:
@@ -87,23 +94,23 @@ def removals(docs: DataFrame) -> DataFrame:
     level = rarity(docs)
     keyed = _keyed(_lines(docs), level)
     prefix = F.transform(F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    every = materialise(keyed.select("uid", "d", "line_no", "n", F.xxhash64("keys").alias("sid"), prefix.alias("prefix")), "lines")
+    every = materialise(keyed.select("uid", "d", "line_no", "n", F.xxhash64("keys").alias("sid"), prefix.alias("prefix"), _parity(0).alias("b0"), _parity(1).alias("b1")), "lines")
     first = F.min(F.struct("d", "line_no", "uid"))
-    classes = every.groupBy("sid").agg(first.alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = materialise(classes.select("sid", "f.*", "n", "prefix"), "classes")
+    classes = every.groupBy("sid").agg(first.alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
+    classes = materialise(classes.select("sid", "f.*", "n", "prefix", "b0", "b1"), "classes")
 
     home = F.floor(F.log2("n")).cast("int")
     near_low = (4 * F.col("n") < 5 * F.pow(F.lit(2), home)) & (home > 0)
-    rows = classes.select("sid", "d", "line_no", "n", F.posexplode("prefix").alias("p", "word"), F.when(near_low, F.array(home, home - 1)).otherwise(F.array(home)).alias("kinds"))
+    rows = classes.select("sid", "d", "line_no", "n", "b0", "b1", F.posexplode("prefix").alias("p", "word"), F.when(near_low, F.array(home, home - 1)).otherwise(F.array(home)).alias("kinds"))
     posts = rows.withColumn("kind", F.explode("kinds")).drop("kinds")
 
     group = W.partitionBy("word", "kind")
-    met = posts.withColumn("members", F.count(F.lit(1)).over(group)).withColumn("lead", F.min(F.struct("d", "line_no", "sid", "n", "p")).over(group))
-    posts = materialise(met.where("members > 1"), "posts")
+    met = posts.withColumn("members", F.count(F.lit(1)).over(group)).withColumn("lead", F.min(F.struct("d", "line_no", "sid", "n", "p", "b0", "b1")).over(group))
+    posts = materialise(met.where("members > 1").withColumn("lead", F.when(F.col("members") > HOT, F.col("lead"))), "posts")
 
     # In a large group every line is held against the earliest one first.
-    lead = posts.where(F.col("members") > HOT).select("sid", "n", "p", F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"), F.col("lead.p").alias("q"))
-    lead = lead.where((F.col("sid") != F.col("other")) & _fits("n", "p", "m", "q")).select("sid", "other").distinct()
+    lead = posts.where(F.col("members") > HOT).select("sid", "n", "p", "b0", "b1", F.col("lead.b0").alias("c0"), F.col("lead.b1").alias("c1"), F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"), F.col("lead.p").alias("q"))
+    lead = lead.where((F.col("sid") != F.col("other")) & _fits("n", "p", "m", "q", ("b0", "b1"), ("c0", "c1"))).select("sid", "other").distinct()
     gone = materialise(_similar(lead, classes, docs, level).select("sid").distinct(), "gone")
 
     # Lines that this doesn't settle meet all earlier lines of their groups.
@@ -111,7 +118,7 @@ def removals(docs: DataFrame) -> DataFrame:
     open_ = posts.join(gone, "sid", "left_anti").alias("a")
     meet = open_.join(posts.alias("b"), ["word", "kind"])
     earlier = F.struct("b.d", "b.line_no", "b.sid") < F.struct("a.d", "a.line_no", "a.sid")
-    meet = meet.where(earlier & _fits("a.n", "a.p", "b.n", "b.p")).select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other")).distinct()
+    meet = meet.where(earlier & _fits("a.n", "a.p", "b.n", "b.p", ("a.b0", "a.b1"), ("b.b0", "b.b1"))).select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other")).distinct()
     more = _similar(meet, classes, docs, level).select("sid").distinct()
     gone = gone.union(more).distinct().withColumn("again", F.lit(True))
 
