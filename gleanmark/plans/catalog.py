@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanmark import tables as T
 from gleanmark.functions import text as X
 from gleanmark.operators import claims as C
-from gleanmark.operators import gaps, graph, policy, quality, retrieval
+from gleanmark.operators import gaps, graph, planning, policy, quality, retrieval
 from gleanmark.plans.kg_sql import with_kg
 from gleanmark.sources import notes
 from gleanmark.streaming import log
@@ -570,3 +570,81 @@ def recent_events(s: SparkSession, d: str) -> DataFrame:
     """The last 20 events (a report)."""
     last = T.events(s, d).orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
     return last.select("event_id", "event_type", F.row_number().over(W.orderBy(F.desc("ts"), F.desc("event_id"))).alias("place"))
+
+
+# --- questions and plans ---------------------------------------------------------------------------------------------
+
+
+def _rules(s: SparkSession, d: str) -> DataFrame:
+    """Two groups of terms for each region: its name's first letters, and two short words."""
+    region = T.table(s, d, "region").select(F.col("r_regionkey").cast("string").alias("claim_id"), F.lower(F.substring("r_name", 1, 2)).alias("head"))
+    return region.select("claim_id", F.inline(F.array(*[F.struct(F.lit(g).alias("group"), t.alias("term")) for g, t in ((1, F.col("head")), (2, F.lit("the")), (2, F.lit("der")))])))
+
+
+SCOPED = """ru AS (SELECT CAST(r_regionkey AS VARCHAR) AS claim_id, 1 AS g, lower(substr(r_name, 1, 2)) AS term FROM region UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 2, 'the' FROM region UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 2, 'der' FROM region),
+sc2 AS (SELECT item_id AS query_id, claim_id FROM (SELECT item_id, claim_id, g, bool_or(contains(lower(substr(text, 1, 60)), term)) AS ok FROM benchmark, ru GROUP BY 1, 2, 3) x GROUP BY 1, 2 HAVING bool_and(ok))"""
+
+
+def _scoped(s: SparkSession, d: str) -> DataFrame:
+    return planning.in_scope(T.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query")), _rules(s, d))
+
+
+@query("WITH " + SCOPED + "\nSELECT query_id, claim_id FROM sc2")
+def scope_gate(s: SparkSession, d: str) -> DataFrame:
+    return _scoped(s, d)
+
+
+@query("WITH " + SCOPED + """,
+ch AS (SELECT item_id AS query_id, CAST(item_id % 5 AS VARCHAR) AS claim_id FROM benchmark WHERE item_id % 3 <> 0),
+m AS (SELECT query_id, list_sort(list(DISTINCT claim_id)) AS may FROM sc2 GROUP BY 1), p AS (SELECT query_id, list_sort(list(DISTINCT claim_id)) AS picked FROM ch GROUP BY 1),
+b AS (SELECT coalesce(m.query_id, p.query_id) AS query_id, may, picked, CASE WHEN may IS NULL THEN 'nothing_in_scope' WHEN picked IS NULL THEN 'nothing_chosen' WHEN NOT list_has_all(may, picked) THEN 'outside_scope' ELSE 'answered' END AS status FROM m FULL JOIN p ON p.query_id = m.query_id)
+SELECT query_id, status, CASE WHEN status = 'answered' THEN array_to_string(picked, ',') END AS claims FROM b""")
+def scoped_answer(s: SparkSession, d: str) -> DataFrame:
+    chosen = T.table(s, d, "benchmark").where("item_id % 3 <> 0").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 5).cast("string").alias("claim_id"))
+    return planning.answer(_scoped(s, d), chosen)
+
+
+@query("""WITH k AS (SELECT unnest(['ABSTRACTS_FROM', 'DERIVES_FROM', 'FORMALIZED_BY', 'HAS_SCOPED_INSTANCE', 'COMPLEMENTS']) AS t, generate_subscripts(['ABSTRACTS_FROM', 'DERIVES_FROM', 'FORMALIZED_BY', 'HAS_SCOPED_INSTANCE', 'COMPLEMENTS'], 1) AS i),
+r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'derives from' WHEN 1 THEN 'scoped' WHEN 2 THEN event_type ELSE 'it complements this' END AS raw FROM events), u AS (SELECT event_id, replace(upper(trim(raw)), ' ', '_') AS p FROM r)
+SELECT event_id, coalesce((SELECT arg_min(t, CASE WHEN t = p THEN 0 ELSE i END) FROM k WHERE contains(t, p) OR contains(p, t)), 'COMPLEMENTS') AS edge_type FROM u""")
+def edge_types(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, "derives from").when(k == 1, "scoped").when(k == 2, F.col("event_type")).otherwise("it complements this")
+    return T.table(s, d, "events").select("event_id", planning.edge_type(raw).alias("edge_type"))
+
+
+@query("""WITH c AS (SELECT concat('S-', n_nationkey) AS id, n_name AS title FROM nation)
+SELECT id AS id_a, NULL AS id_b, replace(unnest(['What is {a}?', 'Where does {a} fail?']), '{a}', title) AS question FROM c
+UNION ALL SELECT a.id, b.id, replace(replace(unnest(['How do {a} and {b} differ?']), '{a}', a.title), '{b}', b.title) FROM c a JOIN c b ON a.id < b.id""")
+def question_lattice(s: SparkSession, d: str) -> DataFrame:
+    cards = T.table(s, d, "nation").select(F.concat(F.lit("S-"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("title"))
+    return planning.lattice(cards, ("What is {a}?", "Where does {a} fail?"), ("How do {a} and {b} differ?",))
+
+
+@query("""WITH g AS (SELECT CAST(event_id AS VARCHAR) AS gap_id, CAST(user_id AS VARCHAR) AS card, user_id % 3 AS origin_rank, length(event_type) AS kind_rank, ts AS created FROM events),
+f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY card ORDER BY origin_rank, kind_rank, created, gap_id) = 1), b AS (SELECT * FROM f ORDER BY origin_rank, kind_rank, created, gap_id LIMIT 12)
+SELECT gap_id, card, concat('P-', substr(sha256((SELECT string_agg(gap_id, ',' ORDER BY gap_id) FROM b)), 1, 16)) AS plan_id FROM b""")
+def growth_plan(s: SparkSession, d: str) -> DataFrame:
+    """Twelve gaps to work on next (a report), one for each card."""
+    found = T.table(s, d, "events").select(F.col("event_id").cast("string").alias("gap_id"), F.col("user_id").cast("string").alias("card"), (F.col("user_id") % 3).alias("origin_rank"), F.length("event_type").alias("kind_rank"), F.col("ts").alias("created"))
+    return planning.plan(found, 12).select("gap_id", "card", "plan_id")
+
+
+@query(with_kg("""lv AS (SELECT id, arg_max(title, revision) AS title FROM kg_node WHERE status <> 'superseded' GROUP BY 1),
+sh AS (SELECT id, CASE WHEN length(title) > 12 THEN concat(substr(title, 1, 9), '...') ELSE title END AS label FROM lv)
+SELECT edge_id, type, from_node, to_node, a.label AS from_label, b.label AS to_label FROM kg_edge JOIN sh a ON a.id = from_node JOIN sh b ON b.id = to_node"""))
+def live_graph(s: SparkSession, d: str) -> DataFrame:
+    return planning.live_graph(T.nodes(s, d), T.edges(s, d))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, json_extract_string(props, '$.k')) AS place FROM events GROUP BY 1")
+def review_queue(s: SparkSession, d: str) -> DataFrame:
+    counted = T.table(s, d, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "k")))
+
+
+@query("SELECT page_id, n_nationkey FROM pages JOIN nation ON lower(html) LIKE concat('%', lower(substr(n_name, 1, 3)), '%')")
+def like_join(s: SparkSession, d: str) -> DataFrame:
+    """A page can match several names, and then has several rows; the names are a dimension of fixed size."""
+    names = T.table(s, d, "nation").select("n_nationkey", F.concat(F.lit("%"), F.lower(F.substring("n_name", 1, 3)), F.lit("%")).alias("pattern"))
+    return T.table(s, d, "pages").join(F.broadcast(names), F.expr("lower(html) like pattern")).select("page_id", "n_nationkey")
