@@ -561,8 +561,8 @@ def event_projection(s: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def activity_windows(s: SparkSession, d: str) -> DataFrame:
-    s.conf.set("spark.sql.session.timeZone", "UTC")
-    return log.windows(T.events(s, d)).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
+    # Local timestamps, so that no session zone moves an hour.
+    return log.windows(T.table(s, d, "events")).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 20")
