@@ -21,7 +21,7 @@ CELL_BITS = 17
 #: Lines asked for that are broadcast at most, of some 24 bytes each; more are joined by a shuffle.
 MOST_BROADCAST = 400_000
 #: Groups of a word with more lines have them held against their earliest line first.
-HOT = 64
+HOT = 1000
 
 
 def _words(text: Column) -> Column:
@@ -104,21 +104,25 @@ def removals(docs: DataFrame) -> DataFrame:
     rows = classes.select("sid", "d", "line_no", "n", "b0", "b1", F.posexplode("prefix").alias("p", "word"), F.when(near_low, F.array(home, home - 1)).otherwise(F.array(home)).alias("kinds"))
     posts = rows.withColumn("kind", F.explode("kinds")).drop("kinds")
 
-    group = W.partitionBy("word", "kind")
-    met = posts.withColumn("members", F.count(F.lit(1)).over(group)).withColumn("lead", F.min(F.struct("d", "line_no", "sid", "n", "p", "b0", "b1")).over(group))
-    posts = materialise(met.where("members > 1").withColumn("lead", F.when(F.col("members") > HOT, F.col("lead"))), "posts")
+    large = materialise(posts.groupBy("word", "kind").count().where(F.col("count") > HOT).select("word", "kind", F.lit(True).alias("large")), "large")
+    large = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
+    posts = posts.join(large, ["word", "kind"], "left")
+    plain, busy = posts.where("large is null"), materialise(posts.where("large"), "busy")
 
-    # In a large group every line is held against the earliest one first.
-    lead = posts.where(F.col("members") > HOT).select("sid", "n", "p", "b0", "b1", F.col("lead.b0").alias("c0"), F.col("lead.b1").alias("c1"), F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"), F.col("lead.p").alias("q"))
+    # In a large group every line is held against the earliest one first; what this settles asks no more there.
+    first = F.min(F.struct("d", "line_no", "sid", "n", "p", "b0", "b1")).over(W.partitionBy("word", "kind"))
+    lead = busy.withColumn("lead", first).select("sid", "n", "p", "b0", "b1", F.col("lead.b0").alias("c0"), F.col("lead.b1").alias("c1"), F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"), F.col("lead.p").alias("q"))
     lead = lead.where((F.col("sid") != F.col("other")) & _fits("n", "p", "m", "q", ("b0", "b1"), ("c0", "c1"))).select("sid", "other").distinct()
     gone = materialise(_similar(lead, classes, docs, level).select("sid").distinct(), "gone")
 
-    # Lines that this doesn't settle meet all earlier lines of their groups.
-    posts = posts.drop("members", "lead")
-    open_ = posts.join(gone, "sid", "left_anti").alias("a")
-    meet = open_.join(posts.alias("b"), ["word", "kind"])
-    earlier = F.struct("b.d", "b.line_no", "b.sid") < F.struct("a.d", "a.line_no", "a.sid")
-    meet = meet.where(earlier & _fits("a.n", "a.p", "b.n", "b.p", ("a.b0", "a.b1"), ("b.b0", "b.b1"))).select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other")).distinct()
+    # All other lines meet the earlier lines of their groups. The two sides of a plain group are one shuffle.
+    def meet_in(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+        earlier = F.struct("b.d", "b.line_no", "b.sid") < F.struct("a.d", "a.line_no", "a.sid")
+        both = ours.alias("a").join(theirs.alias("b"), ["word", "kind"])
+        fits = _fits("a.n", "a.p", "b.n", "b.p", ("a.b0", "a.b1"), ("b.b0", "b.b1"))
+        return both.where(earlier & fits).select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other"))
+
+    meet = meet_in(plain, plain).union(meet_in(busy.join(gone, "sid", "left_anti"), busy)).distinct()
     more = _similar(meet, classes, docs, level).select("sid").distinct()
     gone = gone.union(more).distinct().withColumn("again", F.lit(True))
 
