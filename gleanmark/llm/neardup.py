@@ -64,7 +64,7 @@ def set_ids(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(total(mix(values)) + size).view(np.int64), mix(total(mix(values * np.uint64(0x9FB21C651E98DF25))) ^ size).view(np.int64)
 
 
-def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
+def sketch(docs: DataFrame, size: int = 5, places: int = PLACES, fine: int = FINE) -> DataFrame:
     """uid, doc_id, n (distinct shingles), class (set_id, set_id2) and both signatures of each row."""
 
     def fixed(values: np.ndarray, kind: str) -> pa.Array:
@@ -77,8 +77,8 @@ def sketch(docs: DataFrame, size: int = 5) -> DataFrame:
             for start, values, offsets in document_sets(batch["text"], size):
                 n = len(offsets) - 1
                 one, two = set_ids(values, offsets)
-                least = signatures(values, offsets)
-                yield pa.record_batch([batch["uid"].slice(start, n), batch["doc_id"].slice(start, n), pa.array(np.diff(offsets)), pa.array(one), pa.array(two), fixed(least[:, :PLACES], "<u2"), fixed(least & np.uint16(255), "u1")], names=["uid", "doc_id", "n", "set_id", "set_id2", "signature", "fine"])
+                least = signatures(values, offsets, max(places, fine))
+                yield pa.record_batch([batch["uid"].slice(start, n), batch["doc_id"].slice(start, n), pa.array(np.diff(offsets)), pa.array(one), pa.array(two), fixed(least[:, :places], "<u2"), fixed(least[:, :fine] & np.uint16(255), "u1")], names=["uid", "doc_id", "n", "set_id", "set_id2", "signature", "fine"])
 
     plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(run, "uid long, doc_id long, n long, set_id long, set_id2 long, signature binary, fine binary")
@@ -110,8 +110,8 @@ def _bands(bands: int, rows: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 20_000):
                 some = batch.slice(start, 20_000)
-                sig = np.frombuffer(b"".join(some["signature"].to_pylist()), "<u2").reshape(-1, PLACES).astype(np.uint64)
-                term = mix(sig + np.uint64(1)) * _KEY[:PLACES]
+                sig = np.frombuffer(b"".join(some["signature"].to_pylist()), "<u2").reshape(-1, bands * rows).astype(np.uint64)
+                term = mix(sig + np.uint64(1)) * _KEY[: bands * rows]
                 keys = [mix(term[:, b * rows : (b + 1) * rows].sum(axis=1, dtype=np.uint64) + _KEY[PLACES + b]) for b in range(bands)]
                 yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(some["cid"].to_numpy(), bands))], names=["key", "cid"])
 
@@ -124,7 +124,7 @@ def _near(distance: int, limit: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                sig = [np.frombuffer(b"".join(batch[s].to_pylist()), "u1").reshape(-1, FINE) for s in ("a_fine", "b_fine")]
+                sig = [np.frombuffer(b"".join(batch[s].to_pylist()), "u1").reshape(batch.num_rows, -1) for s in ("a_fine", "b_fine")]
                 a, b = batch["a_n"].to_numpy(), batch["b_n"].to_numpy()
                 good = ((sig[0] != sig[1]).sum(axis=1) <= distance) & (limit[1] * np.minimum(a, b) >= limit[0] * np.maximum(a, b))
                 yield batch.select(["a", "b"]).filter(pa.array(good))
@@ -140,7 +140,7 @@ def _crossing(distance: int, limit: tuple[int, int], exact: bool = False):
         side = table["side"].to_numpy()
         cid, n = table["cid"].to_numpy(), table["n"].to_numpy()
         label = table["component"].to_numpy()
-        sig = np.frombuffer(b"".join(table["fine"].to_pylist()), "u1").reshape(-1, FINE)
+        sig = np.frombuffer(b"".join(table["fine"].to_pylist()), "u1").reshape(table.num_rows, -1)
         if exact:
             sets_ = table["shingles"].combine_chunks()
             values, offsets = sets_.values.to_numpy(), sets_.offsets.to_numpy().astype(np.int64)
@@ -208,7 +208,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[
     return both.where(limit[1] * common >= limit[0] * union).select("a", "b")
 
 
-def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, small: int = 64, block: int = 2048, most_kin: int = 16_384, bands: tuple[int, int] | None = None) -> DataFrame:
+def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, small: int = 64, block: int = 2048, most_kin: int = 16_384, bands: tuple[int, int] | None = None, fine: int = FINE) -> DataFrame:
     """Each row's class, component and smallest linked doc_id.
 
     Returns uid (the row's number in ``docs``), doc_id, n_shingles, component_id and kept (one row of
@@ -218,7 +218,7 @@ def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, sma
     are of one class. A null doc_id is larger than any other. Only doc_id and text are read.
     """
     distance = distance_for(limit[0] / limit[1])
-    rows = materialise(sketch(docs, size), "sketches")
+    rows = materialise(sketch(docs, size, bands[0] * bands[1] if bands else PLACES, fine), "sketches")
     known = rows.where("n > 0")
     classes = known.groupBy("set_id", "set_id2").agg(F.min("uid").alias("first_uid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
     classes = materialise(classes.withColumn("cid", F.xxhash64("set_id", "set_id2")), "classes")
@@ -231,7 +231,7 @@ def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, sma
     hubs = weighed.groupBy("key").agg(F.max_by("cid", F.struct("weight", "cid")).alias("hub"))
     star = weighed.select("key", "cid").join(hubs, "key").where("cid <> hub").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
     ends = classes.select("cid", "n", "fine")
-    apart = distance_for(limit[0] / limit[1], FINE)
+    apart = distance_for(limit[0] / limit[1], fine)
     star = materialise(_with_ends(star, ends).mapInArrow(_near(apart, limit), "a long, b long"), "star")
     edges = materialise(confirm(star, classes, docs, limit, size), "links")
     label = components(edges)

@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import WORD, bit_filter, filter_bit, materialise, passes
+from gleanmark.llm.common import bit_filter, filter_bit, materialise, passes
 from gleanmark.llm.components import components
 from gleanmark.llm.neardup import link
 from gleanmark.llm.textvec import chunks, mix, shingles, word_hashes, words
@@ -101,8 +102,11 @@ def exact(docs: DataFrame, least: int = 51) -> DataFrame:
     number that the run's cluster shares) and removed (an earlier document has it)."""
     every = materialise(anchors(docs), "anchors").withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(64)))
     place = F.struct("uid", "at")
+    # Keys that only one document has go first; far fewer rows then look for their partners.
+    twice = every.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("key")
+    every = materialise(every.join(twice, "key", "left_semi"), "repeated")
     part = every.groupBy("key", "salt").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    # Keys with one document only go at once; the rest tell each (key, salt) its first and last place.
+    # Each (key, salt) is told its key's first and last place.
     whole = part.groupBy("key").agg(F.min("lo").alias("low"), F.max("hi").alias("high")).where("low.uid <> high.uid")
     known = part.select("key", "salt").join(whole, "key")
     met = every.join(known, ["key", "salt"])
@@ -133,20 +137,32 @@ def exact(docs: DataFrame, least: int = 51) -> DataFrame:
 
 def near(docs: DataFrame, limit: tuple[int, int] = (80, 100), least: int = 51) -> DataFrame:
     """Lines of at least ``least`` words that resemble a line of another document: uid, s, e, mark, removed."""
-    size = F.regexp_count("line", F.lit(WORD))
-    line = _numbered(docs).select("uid", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("n", size).where(F.col("n") >= least)
-    # A line's number among all lines stands for it; the parts of a number are the row's and the line's.
-    stored = materialise(line.select(F.monotonically_increasing_id().alias("doc_id"), "uid", "line_no", "n", F.col("line").alias("text")), "lines")
-    linked = link(stored.select("doc_id", "text"), limit, SHINGLE, bands=bands_for(limit[0] / limit[1]))
+    stored = materialise(_long_lines(docs, least).withColumn("doc_id", F.monotonically_increasing_id()), "lines")
+    linked = link(stored.select("doc_id", "text"), limit, SHINGLE, bands=bands_for(limit[0] / limit[1]), fine=64)
     groups = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     member = linked.join(groups, "component_id").select("doc_id", "component_id")
-    member = member.join(stored.select("doc_id", "uid", "line_no", "n"), "doc_id")
+    member = member.join(stored.select("doc_id", "uid", "s", "n"), "doc_id")
     spread = member.groupBy("component_id").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high")
-    member = materialise(member.join(spread, "component_id"), "members")
-    # Where the line's words begin: the words of the lines before it, counted in its own document.
-    before = F.aggregate(F.transform(F.slice(F.split("text", "\n"), 1, F.col("line_no")), lambda x: F.regexp_count(x, F.lit(WORD))), F.lit(0), lambda a, b: a + b)
-    placed = _numbered(docs).join(member, "uid").withColumn("s", before)
-    return placed.select("uid", "s", (F.col("s") + F.col("n")).alias("e"), F.col("component_id").alias("mark"), (F.col("uid") != F.col("low")).alias("removed"))
+    met = member.join(spread, "component_id")
+    return met.select("uid", "s", (F.col("s") + F.col("n")).alias("e"), F.col("component_id").alias("mark"), (F.col("uid") != F.col("low")).alias("removed"))
+
+
+def _long_lines(docs: DataFrame, least: int) -> DataFrame:
+    """uid, s (words of the row before the line), n (words) and text of all lines of at least ``least`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in chunks(batch["text"]):
+                lists = pc.split_pattern(pc.fill_null(batch["text"].slice(start, end - start), ""), "\n")
+                line, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
+                n = words(line).counts
+                before = np.cumsum(n) - n
+                first = np.searchsorted(owner, np.arange(end - start))
+                s = before - before[first][owner]
+                keep = np.flatnonzero(n >= least)
+                yield pa.record_batch([batch["uid"].slice(start, end - start).take(pa.array(owner[keep])), pa.array(s[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), line.take(pa.array(keep))], names=["uid", "s", "n", "text"])
+
+    return _numbered(docs).mapInArrow(run, "uid long, s int, n int, text string")
 
 
 def repeats(docs: DataFrame, limit: tuple[int, int] = (80, 100), least: int = 51) -> DataFrame:
