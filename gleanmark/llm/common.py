@@ -78,12 +78,13 @@ def filter_bit(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
-def bit_filter(ids: DataFrame, column: str):
+def bit_filter(ids: DataFrame, column: str, mixed: bool = False):
     """A broadcast test for ``filter_bit`` of the ids: 2 ** 26 bits, 8 MB, whatever their number. It
-    lets some others pass, so what passes must still be joined with the ids."""
+    lets some others pass, so what passes must still be joined with the ids. Ids that are hashes
+    themselves (``mixed``) are tested by their lowest bits."""
     import numpy as np
 
-    bit = filter_bit(column) + 1
+    bit = (F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1)) if mixed else filter_bit(column)) + 1
     maps = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     packed = np.zeros(FILTER_BITS // 8, np.uint8)
     for row in maps:  # at most 2,048 rows of 4 KB

@@ -5,8 +5,8 @@ wanted recall at the similarity limit, colliding lines are verified by exact Jac
 clustered by components. And as a repeat needn't begin or end with a line, every document is also cut
 into overlapping paragraphs of 25 words that begin where the MinHash of 22 successive shingles of five
 words lies: two documents that share more than 50 words in a row have one of these in common for
-certain. Colliding ones are chained along their diagonal, lengthened word by word, and count if more than 50
-words agree.
+certain. All windows of 51 words whose paragraphs collide are then told the first and the last document
+that has them; those of two documents are repeats, and successive ones are one run.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import bit_filter, filter_bit, materialise, passes
+from gleanmark.llm.common import FILTER_BITS, bit_filter, materialise, passes, salted_join
 from gleanmark.llm.components import components
 from gleanmark.llm.neardup import link
-from gleanmark.llm.textvec import chunks, mix, shingles, word_hashes, words
+from gleanmark.llm.textvec import Words, chunks, mix, shingles, word_hashes, words
 
 SPAN, REACH, SHINGLE = 25, 22, 5
-MARGIN = SPAN + REACH
+#: Windows whose first paragraph stands in more places are salted.
+HOT = 1000
 
 
 def bands_for(limit: float, rows: int = 3, recall: float = 0.9999) -> tuple[int, int]:
@@ -44,95 +45,151 @@ def _least_of(values: np.ndarray, reach: int) -> np.ndarray:
     return best
 
 
+def _paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk's words: their hashes, where each row's shingles begin, the place of the least shingle of each
+    REACH successive ones, and row, place and key (hash of all 25 words) of the paragraphs. Places count
+    shingles of the whole chunk."""
+    hashes = word_hashes(w, folded=True)
+    value, row = shingles(w, hashes, SHINGLE)
+    counts = w.counts
+    n = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
+    first = np.concatenate([[0], np.cumsum(n)])
+    least = _least_of(value, REACH) if len(value) >= REACH else np.zeros(0, np.int64)
+    place = np.unique(least[np.flatnonzero(row[: len(least)] == row[REACH - 1 :][: len(least)])])
+    owner = row[place]
+    # Documents with fewer words than a span have no paragraph.
+    fits = place - first[owner] + SPAN <= counts[owner]
+    owner, place = owner[fits], place[fits]
+    return hashes, first, least, owner, place, _hash_of(hashes, w.first[owner] + place - first[owner], SPAN)
+
+
+def _hash_of(hashes: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` words from each of ``word`` on."""
+    key = np.zeros(len(word), np.uint64)
+    for j in range(size):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + hashes[word + j]
+    return mix(key)
+
+
 def anchors(docs: DataFrame) -> DataFrame:
-    """uid, at (first word) and key (hash of all 25 words) of the paragraphs of each row."""
+    """uid and key (hash of all 25 words) of the paragraphs of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end in chunks(batch["text"]):
-                w = words(batch["text"].slice(start, end - start))
-                hashes = word_hashes(w, folded=True)
-                if len(hashes) < SPAN:
-                    continue
-                value, _ = shingles(w, hashes, SHINGLE)
-                # Whole-batch positions of shingles; documents with fewer words than a span have no paragraph.
-                counts = w.counts
-                n = np.where(counts > 0, np.maximum(counts - SHINGLE + 1, 1), 0)
-                first = np.concatenate([[0], np.cumsum(n)])
-                least = _least_of(value, REACH) if len(value) >= REACH else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(len(counts)), n)
-                inside = np.flatnonzero(row[: len(least)] == row[REACH - 1 :][: len(least)])
-                place = np.unique(least[inside])
-                owner = row[place]
-                at = place - first[owner]
-                fits = at + SPAN <= counts[owner]
-                owner, at = owner[fits], at[fits]
-                word = w.first[owner] + at
-                key = np.zeros(len(word), np.uint64)
-                for j in range(SPAN):
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + hashes[word + j]
-                yield pa.record_batch([batch["uid"].slice(start, end - start).take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(mix(key).view(np.int64))], names=["uid", "at", "key"])
-
-    return _numbered(docs).mapInArrow(run, "uid long, at int, key long")
+                *_, owner, _, key = _paragraphs(words(batch["text"].slice(start, end - start)))
+                yield pa.record_batch([batch["uid"].slice(start, end - start).take(pa.array(owner)), pa.array(key.view(np.int64))], names=["uid", "key"])
+
+    return _numbered(docs).mapInArrow(run, "uid long, key long")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
 
 
-def _contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each (uid, s, e) of ``asked``: hashes of up to MARGIN words before s, the nearest first, and after e."""
-    packed = bit_filter(asked.select("uid").distinct(), "uid")
+def windows(docs: DataFrame, least: int) -> DataFrame:
+    """uid, at (first word) and window (hash of all words) of each ``least`` successive words that
+    another document can have too: all paragraphs that lie in them stand in two documents. All
+    windows of which that holds are there, and some others: a bit filter of fixed size tells. salt is -1,
+    or from 0 to 63 where a window's first paragraph stands in more than HOT places."""
+    spread = anchors(docs).groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high"), F.count(F.lit(1)).alias("places")).where("low <> high")
+    spread = materialise(spread.select("key", "places"), "paragraphs")
+    packed = bit_filter(spread, "key", mixed=True)
+    hot = bit_filter(spread.where(F.col("places") > HOT), "key", mixed=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(passes(packed.value, batch["bit"].to_numpy())))
-            for start, end in chunks(some["text"]) if some.num_rows else ():
-                w = words(some["text"].slice(start, end - start))
-                short = (word_hashes(w, folded=True) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.record_batch([some["uid"].slice(start, end - start), pa.ListArray.from_arrays(pa.array(w.first, pa.int32()), pa.array(short))], names=["uid", "w"])
+            for start, end in chunks(batch["text"]):
+                w = words(batch["text"].slice(start, end - start))
+                hashes, first, lowest, _, place, key = _paragraphs(w)
+                # Reaches whose paragraph only one document has.
+                alone, often = np.zeros((2, first[-1] + 1), bool)
+                bit = (key & np.uint64(FILTER_BITS - 1)).view(np.int64)
+                alone[place[~passes(packed.value, bit)]] = True
+                often[place[passes(hot.value, bit)]] = True
+                lone = alone[lowest]
+                before = np.concatenate([[0], np.cumsum(lone)])
+                n = np.maximum(w.counts - least + 1, 0)
+                row = np.repeat(np.arange(len(n)), n)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                g = first[row] + at
+                good = np.flatnonzero(~lone[g])
+                row, at, g = row[good], at[good], g[good]
+                # A window's own reaches, as far as their paragraphs lie in it; places never fall.
+                last = np.minimum(np.searchsorted(lowest, g + least - SPAN, side="right"), g + least - SHINGLE - REACH + 2)
+                good = np.flatnonzero(before[last] == before[g])
+                row, at, g = row[good], at[good], g[good]
+                window = _hash_of(hashes, w.first[row] + at, least)
+                uid = batch["uid"].slice(start, end - start).take(pa.array(row))
+                salt = np.where(often[lowest[g]], uid.to_numpy() & 63, -1)
+                yield pa.record_batch([uid, pa.array(at.astype(np.int32)), pa.array(window.view(np.int64)), pa.array(salt.astype(np.int8))], names=["uid", "at", "window", "salt"])
+
+    return _numbered(docs).mapInArrow(run, "uid long, at int, window long, salt byte")
+
+
+def _pieces(least: int):
+    """From windows, sorted by row and place: the runs that successive ones make, in pieces whose first
+    occurrences lie in one row one after the other, too."""
+
+    def merged(t: pa.Table) -> pa.RecordBatch:
+        uid, at, low, low_at = (t[c].to_numpy() for c in ("uid", "at", "low", "low_at"))
+        removed = low < uid
+        fresh = np.ones(len(uid), bool)
+        fresh[1:] = (uid[1:] != uid[:-1]) | (at[1:] != at[:-1] + 1) | (removed[1:] != removed[:-1])
+        begin = np.flatnonzero(fresh)
+        run = np.cumsum(fresh) - 1
+        stop = at[np.append(begin[1:], len(uid)) - 1] + least
+        part = fresh.copy()
+        part[1:] |= (low[1:] != low[:-1]) | (low_at[1:] != low_at[:-1] + 1)
+        k = np.flatnonzero(part)
+        return pa.record_batch([pa.array(x) for x in (uid[k], at[begin][run[k]], stop[run[k]].astype(np.int32), removed[k], low[k], low_at[k])], names=["uid", "s", "e", "removed", "low", "low_at"])
 
-    texts = _numbered(docs).withColumn("bit", filter_bit("uid")).mapInArrow(run, "uid long, w array<int>")
-    before = F.reverse(F.slice("w", F.greatest(F.col("s") - MARGIN, F.lit(0)) + 1, F.least(F.col("s"), F.lit(MARGIN))))
-    return texts.join(asked, "uid").select("uid", "s", "e", before.alias("before"), F.slice("w", F.col("e") + 1, MARGIN).alias("after"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            uid = batch["uid"].to_numpy()
+            # The last row's windows wait for the next batch.
+            cut = int(np.searchsorted(uid, uid[-1]))
+            if cut or (held and held[-1]["uid"][0].as_py() != uid[0]):
+                yield merged(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield merged(pa.Table.from_batches(held))
+
+    return run
 
 
 def exact(docs: DataFrame, least: int = 51) -> DataFrame:
     """Runs of at least ``least`` words that another document has too: uid, s, e (words), mark (a
-    number that the run's cluster shares) and removed (an earlier document has it)."""
-    every = materialise(anchors(docs), "anchors").withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(64)))
-    place = F.struct("uid", "at")
-    # Keys that only one document has go first; far fewer rows then look for their partners.
-    twice = every.groupBy("key").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("key")
-    every = materialise(every.join(twice, "key", "left_semi"), "repeated")
-    part = every.groupBy("key", "salt").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
-    # Each (key, salt) is told its key's first and last place.
-    whole = part.groupBy("key").agg(F.min("lo").alias("low"), F.max("hi").alias("high")).where("low.uid <> high.uid")
-    known = part.select("key", "salt").join(whole, "key")
-    met = every.join(known, ["key", "salt"])
-    other = F.when(F.col("uid") != F.col("low.uid"), F.col("low")).otherwise(F.col("high"))
-    both = met.select("uid", "at", "key", F.explode(F.array_distinct(F.array(other, F.when(F.col("uid") != F.col("high.uid"), F.col("high")).otherwise(other)))).alias("o"))
-    pairs = both.select("uid", "at", "key", F.col("o.uid").alias("other"), (F.col("o.at") - F.col("at")).alias("shift"))
-    # Paragraphs on one diagonal that touch are one chain. The group is one document's, seen from one partner.
-    diagonal = W.partitionBy("uid", "other", "shift").orderBy("at")
-    fresh = F.when(F.col("at") > F.coalesce(F.lag("at").over(diagonal), F.lit(-1000)) + SPAN, 1).otherwise(0)
-    chained = pairs.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(diagonal.rowsBetween(W.unboundedPreceding, 0)))
-    chain = chained.groupBy("uid", "other", "shift", "chain").agg(F.min("at").alias("s"), (F.max("at") + SPAN).alias("e"), F.min_by("key", "at").alias("k1"), F.max_by("key", "at").alias("k2"))
-    chain = materialise(chain.withColumn("os", F.col("s") + F.col("shift")).withColumn("oe", F.col("e") + F.col("shift")), "chains")
-    asked = materialise(chain.select("uid", "s", "e").union(chain.select("other", "os", "oe")).distinct(), "asked")
-    around = materialise(_contexts(docs, asked), "contexts")
-    mine = around.select("uid", "s", "e", F.col("before").alias("b1"), F.col("after").alias("a1"))
-    theirs = around.select(F.col("uid").alias("other"), F.col("s").alias("os"), F.col("e").alias("oe"), F.col("before").alias("b2"), F.col("after").alias("a2"))
-    joined = chain.join(mine, ["uid", "s", "e"]).join(theirs, ["other", "os", "oe"])
-
-    def alike(a: str, b: str):
-        same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.coalesce(F.nullif(F.array_position(same, F.lit(False)).cast("int"), F.lit(0)) - 1, F.size(same))
-
-    long = joined.select("uid", "other", "k1", "k2", (F.col("s") - alike("b1", "b2")).alias("s"), (F.col("e") + alike("a1", "a2")).alias("e")).where(F.col("e") - F.col("s") >= least)
-    long = materialise(long, "runs")
-    group = components(long.select(F.col("k1").alias("a"), F.col("k2").alias("b")))
-    return long.join(group.withColumnRenamed("id", "k1"), "k1", "left").select("uid", "s", "e", F.coalesce("component", "k1").alias("mark"), (F.col("other") < F.col("uid")).alias("removed"))
+    number that the run's cluster shares) and removed (an earlier document has them).
+
+    Every window of ``least`` words is held against its first and last document, so that no pairs are
+    made and none is missed. Successive windows are one run, as long as they all go or all stay.
+    """
+    every = materialise(windows(docs, least), "windows")
+    same = W.partitionBy("window")
+    met = every.where("salt < 0").select("uid", "at", F.min("uid").over(same).alias("low"), F.max("uid").over(same).alias("high"), F.min_by("at", "uid").over(same).alias("low_at")).where("low <> high").drop("high")
+    # Each (window, salt) of the hot ones is told its window's first place.
+    hot = every.where("salt >= 0")
+    part = hot.groupBy("window", "salt").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min_by("at", "uid").alias("lo_at"))
+    whole = part.groupBy("window").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.min_by("lo_at", "lo").alias("low_at")).where("low <> high")
+    known = part.select("window", "salt").join(whole.drop("high"), "window")
+    met = met.unionByName(hot.join(known, ["window", "salt"]).select("uid", "at", "low", "low_at"))
+    met = met.repartition("uid").sortWithinPartitions("uid", "at")
+    piece = materialise(met.mapInArrow(_pieces(least), "uid long, s int, e int, removed boolean, low long, low_at int"), "pieces")
+    runs = piece.select("uid", "s", "e", "removed").distinct()
+    # A first place lies in the last run before it that stays.
+    place = piece.select(F.col("low").alias("uid"), F.col("low_at").alias("at"), F.lit(None).cast("int").alias("own")).distinct()
+    begun = runs.where("not removed").select("uid", F.col("s").alias("at"), F.col("s").alias("own"))
+    inside = F.last("own", True).over(W.partitionBy("uid").orderBy("at"))
+    place = place.unionByName(begun).withColumn("low_s", inside).where("own is null").select(F.col("uid").alias("low"), F.col("at").alias("low_at"), "low_s")
+    linked = salted_join(piece.select("uid", "s", "low", "low_at"), place, ["low", "low_at"], "uid")
+    group = components(linked.select(F.xxhash64("uid", "s").alias("a"), F.xxhash64("low", "low_s").alias("b")))
+    runs = runs.withColumn("id", F.xxhash64("uid", "s"))
+    return runs.join(group, "id", "left").select("uid", "s", "e", F.coalesce("component", "id").alias("mark"), "removed")
 
 
 def near(docs: DataFrame, limit: tuple[int, int] = (80, 100), least: int = 51) -> DataFrame:

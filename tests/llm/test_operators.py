@@ -202,6 +202,39 @@ def test_passages_find_what_repeats(docs, none, rows):
     assert any(r.removed for r in got) and passages.repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_passages_between_documents_in_the_middle(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
+    rng = np.random.default_rng(21)
+    say = lambda n: " ".join(f"q{x}" for x in rng.integers(0, 10**9, n))
+    p, q = say(60).split(), say(90).split()
+    cut = lambda x, a, b: " ".join(x[a:b])
+    excerpts = lambda x: " ".join(say(7) + " " + cut(x, a, a + 40) for a in range(0, len(x) - 30, 10))
+    texts = [
+        excerpts(p) + " " + excerpts(q),
+        say(11) + " " + cut(p, 0, 60) + " " + say(13),
+        cut(q, 0, 70) + " " + say(40) + " " + cut(q, 20, 90),
+        say(5) + " " + cut(p, 0, 60),
+        say(20) + " " + cut(q, 0, 90) + " " + say(9) + " " + cut(p, 4, 57),
+        excerpts(q) + " " + excerpts(p),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    first, want, got = {}, collections.defaultdict(set), collections.defaultdict(set)
+    grams = [[tuple(t.split()[k : k + 51]) for k in range(len(t.split()) - 50)] for t in texts]
+    for d, gs in enumerate(grams):
+        for g in gs:
+            first.setdefault(g, set()).add(d)
+    for d, gs in enumerate(grams):
+        for k, g in enumerate(gs):
+            if len(first[g]) > 1:
+                want[d, min(first[g]) < d].update(range(k, k + 51))
+    found = [r for r in passages.repeats(docs).collect() if r.kind == "run"]
+    for r in found:
+        got[r.doc_id, r.removed].update(range(r.start, r.stop))
+    assert got == want and {d for d, _ in want} == {1, 2, 3, 4}
+    assert len({r.cluster for r in found}) == 2
+
+
 def brute_links(rows, num, den):
     sets = []
     for _, text, *_ in rows:
