@@ -211,8 +211,8 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[
 def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, small: int = 64, block: int = 2048, most_kin: int = 16_384, bands: tuple[int, int] | None = None, fine: int = FINE) -> DataFrame:
     """Each row's class, component and smallest linked doc_id.
 
-    Returns uid (the row's number in ``docs``), doc_id, n_shingles, component_id and kept (one row of
-    each component: doc_id = component_id). Words are runs of anything but space and 0x09-0x0D, with A-Z
+    Returns uid (the row's number in ``docs``), doc_id, n_shingles, component (its number, null without
+    words), component_id (its least doc_id, which unlike rows can share) and kept (doc_id = component_id). Words are runs of anything but space and 0x09-0x0D, with A-Z
     as a-z. A document with fewer words than ``size`` has its whole sequence as one shingle; one
     without words, or with a null text, has none and is linked with nothing. Rows that repeat
     are of one class. A null doc_id is larger than any other. Only doc_id and text are read.
@@ -267,11 +267,11 @@ def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, sma
 
     group = classes.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     group = salted_lookup(group.select("set_id", "set_id2", "component", "least_id"), ["component"], {"component_id": F.min("least_id")}, "set_id")
-    group = group.select("set_id", "set_id2", "component_id")
+    group = group.select("set_id", "set_id2", "component", "component_id")
     salted = known.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(64)))
     per = salted.select("set_id", "set_id2", "_salt").distinct().join(group, ["set_id", "set_id2"])
-    found = salted.join(per, ["set_id", "set_id2", "_salt"]).select("uid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    found = salted.join(per, ["set_id", "set_id2", "_salt"]).select("uid", "doc_id", F.col("n").alias("n_shingles"), "component", "component_id")
+    alone = rows.where("n = 0").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -279,7 +279,7 @@ def dedup(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5) ->
     """The rows of ``docs`` of which one stays for each component, with their columns: the first row
     among those with the component's smallest doc_id. ``docs`` must be a stored table."""
     linked = link(docs, limit, size).where("kept")
-    first = linked.where("n_shingles > 0").groupBy("component_id").agg(F.min("uid").alias("__row")).select("__row")
+    first = linked.where("n_shingles > 0").groupBy("component").agg(F.min("uid").alias("__row")).select("__row")
     alone = linked.where("n_shingles = 0").select(F.col("uid").alias("__row"))
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     return numbered.join(first.union(alone), "__row", "left_semi").drop("__row")

@@ -287,6 +287,14 @@ def test_near_dedup_keeps_one_of_each(docs):
     assert kept.columns == docs.columns and ids.count(21) == 0 and ids.count(1) == 1 and ids.count(0) == 1 and 20 not in ids and 22 in ids
 
 
+def test_near_dedup_keeps_unlike_rows_of_one_id(spark):
+    say = lambda k: " ".join(f"t{k}x{i}" for i in range(40))
+    rows = [(None, say(0)), (None, say(1)), (None, say(1) + " more"), (7, say(2)), (7, say(3)), (None, say(3)), (8, say(4)), (7, say(4)), (None, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    kept = [tuple(r) for r in neardup.dedup(docs).collect()]
+    assert sorted(kept, key=str) == sorted((rows[i] for i in (0, 1, 3, 4, 7, 8, 9)), key=str)
+
+
 def brute_lines(rows):
     every = []
     for place, (doc, text, *_) in enumerate(rows):
