@@ -12,6 +12,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of every word rule here: space and U+0009..U+000D, as a regular expression class.
@@ -20,18 +21,85 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset, under a local folder."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names; where that is unset, in the one given to
+    ``setCheckpointDir``. Only in local mode, where there are no other machines, a temp folder serves."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        told = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = told.get() if told.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "gleanmark-shared")
     return f"{root.rstrip('/')}/gleanmark-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of what was written."""
-    path = f"{shared_dir(df.sparkSession)}/{label}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Has a query's shuffle files deleted when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a scan of what was written. The shuffle files of the
+    write aren't needed any more then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}"
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` made, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
+            where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where.getParent(), True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it a name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Rows of one file that ``numbered`` can tell apart, as a power of 2.
+ROW_BITS = 40
+
+
+def _stored(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of a Parquet file: a scan, with filters and projections at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or "HadoopFsRelation" not in plan.relation().getClass().getName():
+        return False
+    return "Parquet" in plan.relation().fileFormat().getClass().getName()
+
+
+def numbered(df: DataFrame, name: str = "uid") -> DataFrame:
+    """``df`` with a column ``name``: a number of each row that every scan gives it anew, whatever the splits
+    and the executors then are. It counts the files by path, and the rows in each, so that it follows
+    the order of the stored table. What isn't a table of files is stored first.
+
+    The files' numbers are broadcast, 16 bytes for each file; a scan's own list of files is longer.
+    """
+    if not _stored(df):
+        df = materialise(df, "rows")
+    place = df.metadataColumn("_metadata")
+    path, number, row = (fresh(df, x) for x in ("path", "number", "row"))
+    known = df.select("*", F.xxhash64(place["file_path"]).alias(path), place["row_index"].alias(row))
+    paths = df.select(place["file_path"].alias(path)).distinct()
+    files = paths.select(F.xxhash64(path).alias(path), (F.row_number().over(W.orderBy(path)) - 1).cast("long").alias(number))
+    files = materialise(files, "files")
+    both = known.join(F.broadcast(files), path)
+    return both.select(*[both[c] for c in df.columns], F.shiftleft(number, ROW_BITS).bitwiseOR(F.col(row)).alias(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

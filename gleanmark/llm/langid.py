@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import materialise
+from gleanmark.llm.common import fresh, materialise, numbered
 from gleanmark.llm.textvec import chunks, flat
 
 GRAMS = 3
@@ -89,13 +89,13 @@ def fit(docs: DataFrame, eligible: Column, per_language: int = 400, landmarks: i
     The landmarks' n-grams that fewest or nearly all landmarks have tell least; the ``most_grams``
     found in most landmarks are kept.
     """
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    usable = numbered.where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    row = fresh(docs, "row")
+    usable = numbered(docs, row).where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # Numbers alone are ranked, and each task passes on its own first rows only; then the texts are fetched.
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "__row")
-    chosen = usable.select("lang", "doc_id", "__row").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    picked = materialise(chosen.select("__row"), "sample")  # per_language rows a language at most
-    ranked = usable.join(F.broadcast(picked), "__row", "left_semi").select("lang", "text", F.xxhash64("doc_id").alias("draw"))
+    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), row)
+    chosen = usable.select("lang", "doc_id", row).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    picked = materialise(chosen.select(row), "sample")  # per_language rows a language at most
+    ranked = usable.join(F.broadcast(picked), row, "left_semi").select("lang", "text", F.xxhash64("doc_id").alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import WORD, materialise
+from gleanmark.llm.common import WORD, fresh, materialise, numbered
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -41,7 +41,7 @@ def targets(sizes: DataFrame, share: float = 1.5, repeats: int = 2, weights: tup
 
 
 def schedule(docs: DataFrame, share: float = 1.5, repeats: int = 2, packet: int = 256, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """The packets of ``docs`` (doc_id, text, source) with their finish times, and the sized documents.
+    """The packets of ``docs`` (uid, doc_id, text, source) with their finish times, and the sized documents.
 
     A hot source is cut into buckets of its shuffled order: sums over (source, bucket), then over a
     source's at most 4096 buckets, then inside a bucket. A null text has no words; a document without
@@ -49,7 +49,7 @@ def schedule(docs: DataFrame, share: float = 1.5, repeats: int = 2, packet: int
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    sized = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("shuffle"))
+    sized = docs.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), name)).alias("shuffle"))
     sized = materialise(sized.withColumn("bucket", F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int")), "sized")
     per_bucket = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     target = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, repeats)
@@ -101,18 +101,19 @@ def mix(docs: DataFrame, share: float = 1.5, repeats: int = 2, packet: int = 256
 
     A null or empty text has size 0 and takes none. An empty table gives no rows.
     """
-    packets, _ = schedule(docs, share, repeats, packet, seed)
+    packets, _ = schedule(numbered(docs.select("doc_id", "text", "source")), share, repeats, packet, seed)
     per = cut(packets, share).groupBy("uid", "doc_id", "size", "source_size", "target").agg(F.sum("take").alias("taken"), F.count_if(F.col("in") & _middle(packet)).alias("copies"))
     return per.select("uid", "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix has them, in the mix's order: each row as often as it is taken, with
-    all its columns and no others. ``docs`` must be a stored table, as its rows are numbered twice."""
-    packets, _ = schedule(docs, **options)
-    starts = cut(packets, options.get("share", 1.5)).where(F.col("in") & _middle(options.get("packet", 256))).select(F.col("uid").alias("__row"), F.col("finish").alias("__finish"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(starts, "__row").repartitionByRange("__finish", "__row").sortWithinPartitions("__finish", "__row").select(*docs.columns)
+    all its columns and no others. A document is in a pass if the middle one of its packets is."""
+    row, finish = fresh(docs, "row"), fresh(docs, "finish")
+    stored = numbered(docs, row)
+    packets, _ = schedule(stored.select(F.col(row).alias("uid"), "doc_id", "text", "source"), **options)
+    starts = cut(packets, options.get("share", 1.5)).where(F.col("in") & _middle(options.get("packet", 256))).select(F.col("uid").alias(row), F.col("finish").alias(finish))
+    return stored.join(starts, row).repartitionByRange(finish, row).sortWithinPartitions(finish, row).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import bit_filter, filter_bit, materialise, passes, salted_lookup
+from gleanmark.llm.common import bit_filter, filter_bit, fresh, materialise, numbered, passes, salted_lookup
 from gleanmark.llm.components import components
 from gleanmark.llm.textvec import chunks, mix, sets, shingles, word_hashes, words
 
@@ -65,7 +65,7 @@ def set_ids(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def sketch(docs: DataFrame, size: int = 5, places: int = PLACES, fine: int = FINE) -> DataFrame:
-    """uid, doc_id, n (distinct shingles), class (set_id, set_id2) and both signatures of each row."""
+    """uid, doc_id, n (distinct shingles), class (set_id, set_id2) and both signatures of each row of ``docs`` (uid, doc_id, text)."""
 
     def fixed(values: np.ndarray, kind: str) -> pa.Array:
         raw = np.ascontiguousarray(values).astype(kind)
@@ -80,8 +80,7 @@ def sketch(docs: DataFrame, size: int = 5, places: int = PLACES, fine: int = FIN
                 least = signatures(values, offsets, max(places, fine))
                 yield pa.record_batch([batch["uid"].slice(start, n), batch["doc_id"].slice(start, n), pa.array(np.diff(offsets)), pa.array(one), pa.array(two), fixed(least[:, :places], "<u2"), fixed(least[:, :fine] & np.uint16(255), "u1")], names=["uid", "doc_id", "n", "set_id", "set_id2", "signature", "fine"])
 
-    plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "uid long, doc_id long, n long, set_id long, set_id2 long, signature binary, fine binary")
+    return docs.select("uid", "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n long, set_id long, set_id2 long, signature binary, fine binary")
 
 
 def _keys(distance: int):
@@ -192,8 +191,7 @@ def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64)))
                 yield pa.record_batch([some["uid"].slice(start, n), lists], names=["first_uid", "shingles"])
 
-    plain = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text")).withColumn("bit", filter_bit("uid"))
-    made = plain.mapInArrow(run, "first_uid long, shingles array<long>").join(wanted, "first_uid").select("cid", "shingles")
+    made = docs.select("uid", "text").withColumn("bit", filter_bit("uid")).mapInArrow(run, "first_uid long, shingles array<long>").join(wanted, "first_uid").select("cid", "shingles")
     return materialise(made, "sets")
 
 
@@ -215,17 +213,25 @@ def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, sma
     words), component_id (its least doc_id, which unlike rows can share) and kept (doc_id = component_id). Words are runs of anything but space and 0x09-0x0D, with A-Z
     as a-z. A document with fewer words than ``size`` has its whole sequence as one shingle; one
     without words, or with a null text, has none and is linked with nothing. Rows that repeat
-    are of one class. A null doc_id is larger than any other. Only doc_id and text are read.
+    are of one class. A null doc_id is larger than any other. Only doc_id and text are read. Sets are taken
+    for equal by 128 bits; all other pairs are confirmed on full sets.
     """
+    return _link(numbered(docs.select("doc_id", "text")), "uid", limit, size, small, block, most_kin, bands, fine)
+
+
+def _link(docs: DataFrame, row: str, limit: tuple[int, int], size: int, small: int = 64, block: int = 2048, most_kin: int = 16_384, bands: tuple[int, int] | None = None, fine: int = FINE) -> DataFrame:
+    """As ``link``, of documents whose rows ``row`` numbers."""
+    docs = docs.select(F.col(row).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     distance = distance_for(limit[0] / limit[1])
     rows = materialise(sketch(docs, size, bands[0] * bands[1] if bands else PLACES, fine), "sketches")
     known = rows.where("n > 0")
     classes = known.groupBy("set_id", "set_id2").agg(F.min("uid").alias("first_uid"), F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
-    classes = materialise(classes.withColumn("cid", F.xxhash64("set_id", "set_id2")), "classes")
+    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    keys = classes.select("cid", "signature").mapInArrow(_bands(*bands) if bands else _keys(distance), "key long, cid long").repartition("key")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialise(keys.join(shared, "key"), "keys")
+    keys = classes.select("cid", "signature").mapInArrow(_bands(*bands) if bands else _keys(distance), "key long, cid long")
+    # Counts are taken before the shuffle too, and the join with them splits a key that many classes share.
+    often = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "often")
+    shared = materialise(keys.join(often, "key"), "keys")
     weight = shared.groupBy("cid").agg(F.sum("members").alias("weight"))
     weighed = shared.join(weight, "cid")
     hubs = weighed.groupBy("key").agg(F.max_by("cid", F.struct("weight", "cid")).alias("hub"))
@@ -277,11 +283,10 @@ def link(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5, sma
 
 def dedup(docs: DataFrame, limit: tuple[int, int] = (80, 100), size: int = 5) -> DataFrame:
     """The rows of ``docs`` of which one stays for each component, with their columns: the first row
-    among those with the component's smallest doc_id. ``docs`` must be a stored table."""
-    linked = link(docs, limit, size).where("kept")
-    first = linked.where("n_shingles > 0").groupBy("component").agg(F.min("uid").alias("__row")).select("__row")
-    alone = linked.where("n_shingles = 0").select(F.col("uid").alias("__row"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(first.union(alone), "__row", "left_semi").drop("__row")
-
-
+    among those with the component's smallest doc_id. Rows without words stay, whatever they repeat."""
+    row = fresh(docs, "row")
+    stored = numbered(docs, row)
+    linked = _link(stored, row, limit, size).where("kept")
+    first = linked.where("n_shingles > 0").groupBy("component").agg(F.min("uid").alias(row)).select(row)
+    alone = linked.where("n_shingles = 0").select(F.col("uid").alias(row))
+    return stored.join(first.union(alone), row, "left_semi").select(*docs.columns)

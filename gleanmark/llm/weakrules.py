@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import WORD, materialise
+from gleanmark.llm.common import WORD, fresh, materialise, numbered
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -172,7 +172,8 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, least: float = 0.5)
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their columns. Rows of one doc_id are told apart
-    by their place, so ``docs`` must be a stored table."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    verdicts = judge(numbered.select(F.col("__row").alias("doc_id"), "text"), rules, least)
-    return numbered.join(verdicts.where("kept").select(F.col("doc_id").alias("__row")), "__row", "left_semi").drop("__row")
+    by their place, so that each is judged by its own text."""
+    row = fresh(docs, "row")
+    stored = numbered(docs, row)
+    verdicts = judge(stored.select(F.col(row).alias("doc_id"), "text"), rules, least)
+    return stored.join(verdicts.where("kept").select(F.col("doc_id").alias(row)), row, "left_semi").select(*docs.columns)
