@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -89,10 +90,12 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.most, self.seen = most, _Seen()
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        # A text that holds an added token, whatever its case, is encoded whole.
+        added = [re.escape(t["content"]) for t in told.get("added_tokens") or []]
+        self.odd = "|".join([f"(?i:{'|'.join(added)})"] * bool(added))
         split, normal = told.get("pre_tokenizer") or {}, told.get("normalizer")
         if split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and normal is None:
             self.kind, self.between = "kept", "\n"
@@ -100,6 +103,8 @@ class TextEncoder:
             self.kind, self.between = "dropped", f" {_MARK} "
         else:
             self.kind, self.between = "whole", ""
+        if self.kind == "kept":
+            self.odd = "|".join(filter(None, (self.odd, _OTHER_SPACE)))
         mark = self._whole(self.between)
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -184,8 +189,8 @@ class TextEncoder:
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
         odd = np.zeros(len(column), bool)
-        if self.kind == "kept":
-            odd = pc.fill_null(pc.match_substring_regex(column, _OTHER_SPACE), False).to_numpy(zero_copy_only=False)
+        if self.kind != "whole" and self.odd:
+            odd = pc.fill_null(pc.match_substring_regex(column, self.odd), False).to_numpy(zero_copy_only=False)
         ids, counts = [], []
         plain = pc.if_else(pa.array(odd), pa.scalar("", column.type), column) if odd.any() else column
         for a, b in chunks(plain, 1 << 20):
