@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from gleanmark.llm.common import materialise, shuffle_width
 
+#: Rows of a block and queries of a set; blocks and sets of a tile.
 ROWS, QUERIES = 4096, 128
+BLOCKS, SETS = 16, 32
 
 
 def quantise(vector: Column, scale: int = 64) -> Column:
@@ -111,30 +113,53 @@ def _rows(bitmap: np.ndarray, n: int) -> np.ndarray:
     return np.unpackbits(bitmap.view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
 
 
-def _search(low: int, k: int, dims: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                one = {c: batch[c][r] for c in ("ids", "index", "bits", "q_ids", "q_values")}
-                raw = lambda c, kind, one=one: np.frombuffer(one[c].as_buffer(), kind)
-                ids, q_ids, bits = raw("ids", "<i8"), raw("q_ids", "<i8"), one["bits"].as_py()
-                index = raw("index", "<u8").reshape(dims, bits, -1)
-                values = raw("q_values", "<i8").reshape(len(q_ids), dims)
-                # A negative weight w of x is |w| of (top - x), x's slices turned round, less a constant.
-                top = (1 << bits) - 1
-                wide = np.concatenate([index, ~index])
-                score = add_up(wide, np.concatenate([np.maximum(values, 0), np.maximum(-values, 0)], axis=1))
-                constant = values.sum(axis=1) * low - np.maximum(-values, 0).sum(axis=1) * top
-                live = np.packbits(np.pad(ids[None, :] != q_ids[:, None], ((0, 0), (0, -len(ids) % 64))), axis=1, bitorder="little").view(np.uint64)
-                sure, tied = leaders(score, live, k)
-                sure, tied = _rows(sure, len(ids)), _rows(tied, len(ids))
-                # ids ascend in a block: of those that tie the first ones fill up.
-                tied &= np.cumsum(tied, axis=1) <= (k - sure.sum(axis=1))[:, None]
-                q, at = np.nonzero(sure | tied)
-                total = np.zeros(len(q), np.int64)
-                for j, bitmap in enumerate(score):
-                    total += (bitmap[q, at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << j
-                yield pa.record_batch([pa.array(q_ids[q]), pa.array(ids[at]), pa.array(total + constant[q])], names=["query_id", "vec_id", "score"])
+def _scores(block: dict, q_ids: np.ndarray, values: np.ndarray, low: int, k: int, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of one block for each of some queries: place of the query, id and score."""
+    raw = lambda c, kind: np.frombuffer(block[c].as_buffer(), kind)
+    ids, bits = raw("ids", "<i8"), block["bits"].as_py()
+    index = raw("index", "<u8").reshape(dims, bits, -1)
+    # A negative weight w of x is |w| of (top - x), x's slices turned round, less a constant.
+    top = (1 << bits) - 1
+    wide = np.concatenate([index, ~index])
+    score = add_up(wide, np.concatenate([np.maximum(values, 0), np.maximum(-values, 0)], axis=1))
+    constant = values.sum(axis=1) * low - np.maximum(-values, 0).sum(axis=1) * top
+    live = np.packbits(np.pad(ids[None, :] != q_ids[:, None], ((0, 0), (0, -len(ids) % 64))), axis=1, bitorder="little").view(np.uint64)
+    sure, tied = leaders(score, live, k)
+    sure, tied = _rows(sure, len(ids)), _rows(tied, len(ids))
+    # ids ascend in a block: of those that tie the first ones fill up.
+    tied &= np.cumsum(tied, axis=1) <= (k - sure.sum(axis=1))[:, None]
+    q, at = np.nonzero(sure | tied)
+    total = np.zeros(len(q), np.int64)
+    for j, bitmap in enumerate(score):
+        total += (bitmap[q, at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(np.int64) << j
+    return q, ids[at], total + constant[q]
+
+
+def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each query by score, ties by id."""
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+    return q[keep], ids[keep], score[keep]
+
+
+def _tile(low: int, k: int, dims: int):
+    """For the query sets and the index blocks of one tile: the k best rows of all its blocks for each query."""
+
+    def run(sets: pa.Table, blocks: pa.Table) -> pa.Table:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for s in range(sets.num_rows):
+            q_ids = np.frombuffer(sets["q_ids"][s].as_buffer(), "<i8")
+            values = np.frombuffer(sets["q_values"][s].as_buffer(), "<i8").reshape(len(q_ids), dims)
+            none = np.zeros(0, np.int64)
+            held = none, none, none
+            for b in range(blocks.num_rows):
+                found = _scores({c: blocks[c][b] for c in ("ids", "index", "bits")}, q_ids, values, low, k, dims)
+                held = _best(*(np.concatenate(x) for x in zip(held, found, strict=True)), k)
+            out.append((q_ids[held[0]], held[1], held[2]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
     return run
 
@@ -145,7 +170,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
 
     ``queries`` says which rows are queries; a row isn't a candidate for a query of its own vec_id. Null
     ids, vectors that are null or have null or non-finite components, and vectors of another length
-    than the first take no part. Rows that repeat a vec_id are candidates each. Scores must fit 63 bits.
+    than most take no part. Rows that repeat a vec_id are candidates each; queries that repeat one share
+    its k ranks. Scores must fit 63 bits. Other columns aren't read.
     """
     spark = vectors.sparkSession
     kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantise(F.col("embedding"), scale).alias("v"), queries.alias("asks")).where("v is not null and vec_id is not null")
@@ -182,13 +208,14 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: int = 64) ->
                 yield pa.record_batch([pa.array([ids[start : start + QUERIES].astype("<i8").tobytes()], pa.binary()), pa.array([values[start : start + QUERIES].astype("<i8").tobytes()], pa.binary())], names=["q_ids", "q_values"])
 
     sets = materialise(kept.where("asks").select("vec_id", "v").mapInArrow(asked, "q_ids binary, q_values binary"), "queries")
-    # The query set is stated; its blocks visit every block of the index. With few blocks of the index, each has
-    # several tasks, among which the blocks of queries are dealt.
-    tasks = max(1, -(-4 * shuffle_width(spark) // max(1, -(-n // ROWS))))
-    dealt = sets.withColumn("task", F.pmod(F.xxhash64("q_ids"), F.lit(tasks)).cast("int"))
-    homes = index.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    visits = dealt.join(homes.select("block", "task"), "task").join(homes, ["block", "task"])
-    best = visits.mapInArrow(_search(low, k, dims), "query_id long, vec_id long, score long")
+    # The query set is stated; its sets meet every block of the index in tiles of some sets and some blocks, so that
+    # a task holds a few megabytes, and hands on k rows a query for all its blocks.
+    columns = max(1, -(-n // (ROWS * BLOCKS)))
+    asking = kept.where("asks").count()
+    rows = max(1, min(-(-asking // QUERIES), max(-(-asking // (QUERIES * SETS)), -(-4 * shuffle_width(spark) // columns))))
+    tall = sets.withColumn("i", F.pmod(F.xxhash64("q_ids"), F.lit(rows)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    wide = index.withColumn("j", F.pmod(F.xxhash64("block"), F.lit(columns)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
+    best = tall.groupBy("i", "j").cogroup(wide.groupBy("i", "j")).applyInArrow(_tile(low, k, dims), "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
