@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleanmark.functions.text import keywords
+from gleanmark.operators.graph import stored
 
 #: Similarity limits of verdicts, and the least attribution.
 IDENTICAL, SIMILAR, ATTRIBUTED = 0.70, 0.45, 0.35
@@ -18,7 +19,7 @@ def keyed(df: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def overlaps(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs that share a keyword: a, b, n_a, n_b and shared. Pairs meet on keywords, never all with all."""
+    """Pairs that share a keyword, each of them: a, b, n_a, n_b and shared. One side must be few."""
     x = left.select(a, F.col("n").alias("n_a"), "k")
     y = right.select(b, F.col("n").alias("n_b"), "k")
     return x.join(y, "k").groupBy(a, b, "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
@@ -28,21 +29,45 @@ def verdict(similarity: Column) -> Column:
     return F.when(similarity >= IDENTICAL, "identical").when(similarity >= SIMILAR, "similar").otherwise("new")
 
 
+def similar(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of ``left`` and ``right`` (as ``keyed``) with a Jaccard similarity of at least 0.45: a, b, similarity.
+
+    Such a pair shares one of the rarest 11/20 (and one) of each side's keywords, so that only these
+    meet; sets are compared for the pairs that pass the length and the positional filter.
+    """
+    often = left.select("k").unionByName(right.select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("often"))
+
+    def prefix(rows: DataFrame, key: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(key).orderBy("often", "k")) - 1
+        return rows.join(often, "k").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * 9 / 20))
+
+    x = prefix(left, a).select(a, F.col("n").alias("n_a"), F.col("p").alias("p_a"), "k")
+    y = prefix(right, b).select(b, F.col("n").alias("n_b"), F.col("p").alias("p_b"), "k")
+    long = 20 * F.least("n_a", "n_b") >= 9 * F.greatest("n_a", "n_b")
+    near = 29 * F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= 9 * (F.col("n_a") + F.col("n_b"))
+    # The first keyword that two sets share has the smallest places; a later one may fail where the first passes.
+    pairs = stored(x.join(y, "k").where(long & near).select(a, b).distinct())
+    sets = lambda rows, key, name: rows.groupBy(key).agg(F.collect_set("k").alias(name))
+    both = pairs.join(sets(left.join(pairs, a, "left_semi"), a, "ks_a"), a).join(sets(right.join(pairs, b, "left_semi"), b, "ks_b"), b)
+    shared = F.size(F.array_intersect("ks_a", "ks_b"))
+    return both.select(a, b, (shared / (F.size("ks_a") + F.size("ks_b") - shared)).alias("similarity")).where(F.col("similarity") >= SIMILAR)
+
+
 def duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     """The most similar known claim of each new one (claim_id, statement in both): Jaccard similarity of keywords,
-    equals by claim_id. A claim that shares no keyword is new, with no match and similarity 0."""
-    pairs = overlaps(keyed(new, "claim_id", F.col("statement")), keyed(known.withColumnRenamed("claim_id", "match_id"), "match_id", F.col("statement")), "claim_id", "match_id")
-    pairs = pairs.withColumn("similarity", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
-    order = W.partitionBy("claim_id").orderBy(F.desc("similarity"), "match_id")
-    best = pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("claim_id", "match_id", "similarity")
+    equals by claim_id. A claim that resembles none by 0.45 is new, with no match and similarity 0."""
+    pairs = similar(keyed(new, "claim_id", F.col("statement")), keyed(known.withColumnRenamed("claim_id", "match_id"), "match_id", F.col("statement")), "claim_id", "match_id")
+    best = pairs.groupBy("claim_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match_id")).alias("r")).select("claim_id", "r.match_id", (-F.col("r.s")).alias("similarity"))
     out = new.select("claim_id").join(best, "claim_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return out.select("claim_id", "match_id", F.round("similarity", 6).alias("similarity"), verdict(F.col("similarity")).alias("verdict"))
 
 
-def attribution(claims: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The node that suits each claim (claim_id, statement) best among ``nodes`` (id, wording): the largest of both
-    coverages and their mean; under 0.35 none."""
-    pairs = overlaps(keyed(claims, "claim_id", F.col("statement")), keyed(nodes, "id", F.col("wording")), "claim_id", "id")
+def attribution(claims: DataFrame, statements: DataFrame) -> DataFrame:
+    """The node that suits each claim (claim_id, statement) best among the nodes of ``statements`` (id, statement,
+    many rows a node): the largest of both coverages and their mean; under 0.35 none."""
+    words = statements.select("id", F.explode(keywords(F.col("statement"))).alias("k")).distinct()
+    nodes = words.join(words.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n")), "id")
+    pairs = overlaps(keyed(claims, "claim_id", F.col("statement")), nodes, "claim_id", "id")
     there, back = F.col("shared") / F.col("n_a"), F.col("shared") / F.col("n_b")
     pairs = pairs.withColumn("score", F.greatest(there, back, (there + back) / 2))
     best = pairs.withColumn("_r", F.row_number().over(W.partitionBy("claim_id").orderBy(F.desc("score"), "id"))).where("_r = 1")

@@ -45,10 +45,10 @@ def quality_metrics(nodes: DataFrame, claims: DataFrame, supports: DataFrame) ->
     return row.select("unsupported_claims", ratio(F.col("claims") - F.col("unsupported_claims"), "claims").alias("evidence_coverage"), ratio(F.col("legacy"), "claims").alias("legacy_assessor_coverage"), ratio(F.col("provisional"), "total_nodes").alias("provisional_ratio"))
 
 
-def independent_support(supports: DataFrame, evidence: DataFrame, least: int = 2) -> DataFrame:
-    """Claims that evidence from at least ``least`` origins supports: claim_id, origins."""
-    met = supports.join(evidence.where("origin_group is not null").select("evidence_id", "origin_group"), "evidence_id")
-    return met.groupBy(F.col("target_claim").alias("claim_id")).agg(F.count_distinct("origin_group").alias("origins")).where(F.col("origins") >= least)
+def independent_support(supports: DataFrame, origins: DataFrame, least: int = 2) -> DataFrame:
+    """Claims that evidence from at least ``least`` confirmed origins (evidence_id, independent_group) supports: claim_id, origins."""
+    met = supports.join(origins, "evidence_id")
+    return met.groupBy(F.col("target_claim").alias("claim_id")).agg(F.count_distinct("independent_group").alias("origins")).where(F.col("origins") >= least)
 
 
 def budget_split(edge_node_ratio: Column, support_ratio: Column, red: Column, saturation: Column) -> Column:

@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _usable(s: SparkSession, d: str, require_node: bool = True) -> DataFrame:
-    return policy.usable_claims(T.claims(s, d), T.nodes(s, d), T.validations(s, d), T.supports(s, d), require_node)
+    return policy.usable_claims(T.claims(s, d), T.nodes(s, d), T.validations(s, d), T.supports(s, d), T.evidence(s, d), T.audited_evidence(s, d), T.audited_assets(s, d), T.assets(s, d), require_node)
 
 
 # --- gaps and the ledger -------------------------------------------------------------------------------------------
@@ -197,7 +197,10 @@ def node_priority(s: SparkSession, d: str) -> DataFrame:
 USABLE = """v AS (SELECT * FROM kg_validation QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY id DESC) = 1),
 usable AS (SELECT c.* FROM kg_claim c JOIN kg_node n ON n.id = c.node_id AND n.revision = c.node_revision JOIN v ON v.claim_id = c.claim_id JOIN kg_mark m ON m.claim_id = c.claim_id
 WHERE c.epistemic_status IN ('formally_verified', 'source_supported', 'simulation_supported') AND c.kind <> 'application_hypothesis' AND coalesce(n.subtype, '') <> 'HYP' AND {node}
-AND v.decision = 'passed' AND v.validated_state = c.epistemic_status AND v.fingerprint = m.mark AND v.policy = 'v2' AND EXISTS (SELECT 1 FROM kg_support s WHERE s.target_claim = c.claim_id))"""
+AND v.decision = 'passed' AND v.validated_state = c.epistemic_status AND v.fingerprint = m.mark AND v.policy = 'v2' AND v.scope <> ''
+AND v.id IN (SELECT x.id FROM kg_audit_asset x LEFT JOIN kg_asset a ON a.path = x.path GROUP BY 1 HAVING bool_and(coalesce(x.sha256 = a.sha256 AND x.path NOT LIKE '/%' AND NOT regexp_matches(x.path, '(^|/)\\.\\.(/|$)'), FALSE)))
+AND v.id IN (SELECT x.id FROM kg_audit_evidence x LEFT JOIN kg_emark m ON m.evidence_id = x.evidence_id GROUP BY 1
+  HAVING bool_and(coalesce(x.fingerprint = m.mark, FALSE) AND EXISTS (SELECT 1 FROM kg_support s WHERE s.target_claim = concat('C-', (x.id - 1) // 2) AND s.evidence_id = x.evidence_id))))"""
 STRICT, LOOSE = USABLE.format(node="n.status = 'approved'"), USABLE.format(node="n.status NOT IN ('blocked', 'stale', 'superseded')")
 
 
@@ -206,15 +209,15 @@ def claim_usable(s: SparkSession, d: str) -> DataFrame:
     return _usable(s, d).select("claim_id", "node_id", "node_revision", "kind", "epistemic_status")
 
 
-CLAIM_EDGES = """ce AS (SELECT DISTINCT concat('e-cc-', c_custkey) AS edge_id, concat('K-', 1 + c_custkey % 150) AS from_node, 1 AS from_revision, concat('K-', 1 + (c_custkey * 7) % 150) AS to_node, 1 AS to_revision FROM customer),
+CLAIM_EDGES = """ce AS (SELECT DISTINCT concat('e-cc-', c_custkey) AS edge_id, concat('K-', 1 + c_custkey // 5) AS from_node, 1 AS from_revision, concat('K-', 1 + c_custkey // 3) AS to_node, 1 AS to_revision FROM customer),
 un AS (SELECT DISTINCT node_id AS id, node_revision AS revision FROM usable),
 ue AS (SELECT * FROM ce WHERE EXISTS (SELECT 1 FROM un WHERE id = from_node AND revision = from_revision) AND EXISTS (SELECT 1 FROM un WHERE id = to_node AND revision = to_revision))"""
 
 
 def _claim_edges(s: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    node = lambda v: F.concat(F.lit("K-"), (1 + v % 150).cast("string"))
-    return T.table(s, d, "customer").select(F.concat(F.lit("e-cc-"), k.cast("string")).alias("edge_id"), node(k).alias("from_node"), F.lit(1).alias("from_revision"), node(k * 7).alias("to_node"), F.lit(1).alias("to_revision"))
+    node = lambda by: F.concat(F.lit("K-"), F.expr(f"1 + c_custkey div {by}").cast("string"))
+    return T.table(s, d, "customer").select(F.concat(F.lit("e-cc-"), k.cast("string")).alias("edge_id"), node(5).alias("from_node"), F.lit(1).alias("from_revision"), node(3).alias("to_node"), F.lit(1).alias("to_revision"))
 
 
 @query(with_kg(STRICT + ",\n" + CLAIM_EDGES + "\nSELECT edge_id, from_node, to_node FROM ue"))
@@ -233,14 +236,14 @@ def approval_violations(s: SparkSession, d: str) -> DataFrame:
 
 @query(with_kg(LOOSE + ",\n" + CLAIM_EDGES + """,
 cl AS (SELECT c.node_id AS id, c.node_revision AS revision, count(u.claim_id) AS ok, count(*) AS n, count(*) FILTER (WHERE c.epistemic_status = 'contradicted') AS con FROM kg_claim c LEFT JOIN usable u ON u.claim_id = c.claim_id GROUP BY 1, 2),
-ori AS (SELECT target_node AS id, target_revision AS revision, count(DISTINCT origin_group) AS n FROM kg_support s JOIN kg_evidence e ON e.evidence_id = s.evidence_id GROUP BY 1, 2),
+ori AS (SELECT target_node AS id, target_revision AS revision, count(DISTINCT independent_group) AS n FROM kg_support s JOIN kg_origin e ON e.evidence_id = s.evidence_id GROUP BY 1, 2),
 ends AS (SELECT id, count(DISTINCT edge_id) AS n FROM (SELECT edge_id, from_node AS id FROM ue UNION ALL SELECT edge_id, to_node FROM ue) x GROUP BY 1)
 SELECT n.id, n.revision, coalesce(ori.n, 0) AS independent_evidence, coalesce(ends.n, 0) AS edges, coalesce(con, 0) AS contradictions, coalesce(cl.n, 0) > 0 AND cl.ok = cl.n AND coalesce(ori.n, 0) >= 2 AND coalesce(ends.n, 0) >= 2 AND coalesce(con, 0) = 0 AS eligible
 FROM kg_node n LEFT JOIN cl ON cl.id = n.id AND cl.revision = n.revision LEFT JOIN ori ON ori.id = n.id AND ori.revision = n.revision LEFT JOIN ends ON ends.id = n.id WHERE n.status = 'proposed'""").replace("coalesce(cl.n, 0) > 0 AND cl.ok = cl.n", "coalesce(cl.n, 0) > 0 AND coalesce(cl.ok, 0) = coalesce(cl.n, 0)"))
 def promotion(s: SparkSession, d: str) -> DataFrame:
     usable = _usable(s, d, False)
     edges = _claim_edges(s, d)
-    return policy.promotion(T.nodes(s, d), T.claims(s, d), usable, edges, policy.usable_edges(edges, usable), T.supports(s, d), T.evidence(s, d))
+    return policy.promotion(T.nodes(s, d), T.claims(s, d), usable, edges, policy.usable_edges(edges, usable), T.supports(s, d), policy.confirmed(T.lineage(s, d), T.evidence(s, d)))
 
 
 @query(with_kg("SELECT id, revision, status FROM kg_node QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC) = 1"))
@@ -290,9 +293,19 @@ def quality_metrics(s: SparkSession, d: str) -> DataFrame:
     return quality.quality_metrics(T.nodes(s, d), T.claims(s, d), T.supports(s, d))
 
 
-@query(with_kg("SELECT target_claim AS claim_id, count(DISTINCT origin_group) AS origins FROM kg_support s JOIN kg_evidence e ON e.evidence_id = s.evidence_id WHERE origin_group IS NOT NULL GROUP BY 1 HAVING count(DISTINCT origin_group) >= 1"))
+@query(with_kg("SELECT target_claim AS claim_id, count(DISTINCT independent_group) AS origins FROM kg_support s JOIN kg_origin e ON e.evidence_id = s.evidence_id GROUP BY 1 HAVING count(DISTINCT independent_group) >= 2"))
 def independent_support(s: SparkSession, d: str) -> DataFrame:
-    return quality.independent_support(T.supports(s, d), T.evidence(s, d), 1)
+    return quality.independent_support(T.supports(s, d), policy.confirmed(T.lineage(s, d), T.evidence(s, d)))
+
+
+@query(with_kg("""SELECT m.evidence_id, CASE WHEN metadata_fingerprint = mark THEN independent_group END AS independent_group, CASE WHEN metadata_fingerprint = mark THEN independence_review ELSE 'unreviewed' END AS independence_review, mark AS metadata_fingerprint FROM kg_emark m LEFT JOIN kg_lineage l ON l.evidence_id = m.evidence_id"""))
+def lineage_refresh(s: SparkSession, d: str) -> DataFrame:
+    return policy.refreshed(T.lineage(s, d), T.evidence(s, d), X.canonical_work(F.col("source_uri"))).drop("canonical_work")
+
+
+@query(with_kg("""SELECT x.id, x.path, coalesce(x.sha256 = a.sha256 AND x.path NOT LIKE '/%' AND NOT regexp_matches(x.path, '(^|/)\\.\\.(/|$)'), FALSE) AS valid FROM kg_audit_asset x LEFT JOIN kg_asset a ON a.path = x.path"""))
+def asset_check(s: SparkSession, d: str) -> DataFrame:
+    return policy.valid_assets(T.audited_assets(s, d), T.assets(s, d)).select("id", "path", "valid")
 
 
 @query("""WITH r AS (SELECT *, sum(CASE WHEN value >= 40 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM events),
@@ -322,14 +335,14 @@ def category_rollup(s: SparkSession, d: str) -> DataFrame:
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
 
-#: Queries are the first words of benchmark items; all documents are searched.
-ASKED = """q AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 4), ' ') AS query FROM benchmark WHERE item_id < 20),
-qt AS (SELECT DISTINCT query_id, unnest(string_split(query, ' ')) AS term FROM q)"""
+#: Queries are benchmark items, those whose id is divisible by 100; all documents are searched.
+EVERY = """q AS (SELECT item_id AS query_id, text FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM q)"""
+ASKED = EVERY.replace("FROM benchmark", "FROM benchmark WHERE item_id % 100 = 0")
 
 
-def _asked(s: SparkSession, d: str) -> DataFrame:
-    words = F.slice(X.tokens(F.col("text")), 1, 4)
-    return T.table(s, d, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+def _asked(s: SparkSession, d: str, every: bool = False) -> DataFrame:
+    items = T.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return items if every else items.where("query_id % 100 = 0")
 
 
 SCORED = """tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ts FROM documents),
@@ -363,7 +376,7 @@ def bm25_fielded(s: SparkSession, d: str) -> DataFrame:
     return retrieval.bm25(T.table(s, d, "pages"), "page_id", {"url": 10.0, "html": 1.0}, _asked(s, d)).select("query_id", "page_id", (F.round("score", 6) + 0.0).alias("score"))
 
 
-BACKOFF = """q AS (SELECT item_id AS query_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 4) AS t FROM benchmark WHERE item_id < 20),
+BACKOFF = """q AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM benchmark WHERE item_id % 100 = 0),
 tries AS (SELECT query_id, n, list_slice(t, 1, n) AS t FROM (SELECT *, unnest(range(2, len(t) + 1)) AS n FROM q WHERE len(t) >= 2) x),
 qt AS (SELECT DISTINCT query_id, n, unnest(t) AS term FROM tries),
 dt AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) x WHERE term IN (SELECT term FROM qt)),
@@ -377,13 +390,13 @@ def bm25_backoff(s: SparkSession, d: str) -> DataFrame:
 
 
 COSINE = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-cs AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(e.v, q.v) / (CASE WHEN list_dot_product(e.v, e.v) = 0 THEN 1 ELSE sqrt(list_dot_product(e.v, e.v)) END * CASE WHEN list_dot_product(q.v, q.v) = 0 THEN 1 ELSE sqrt(list_dot_product(q.v, q.v)) END) AS score FROM e, e q WHERE q.vec_id < 20),
+cs AS (SELECT q.vec_id AS query_id, e.vec_id, list_dot_product(e.v, q.v) / (CASE WHEN list_dot_product(e.v, e.v) = 0 THEN 1 ELSE sqrt(list_dot_product(e.v, e.v)) END * CASE WHEN list_dot_product(q.v, q.v) = 0 THEN 1 ELSE sqrt(list_dot_product(q.v, q.v)) END) AS score FROM e, e q WHERE q.vec_id % 100 = 0),
 cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) - 1 AS rank FROM cs)"""
 
 
 def _near(s: SparkSession, d: str) -> DataFrame:
     vectors = T.table(s, d, "embeddings")
-    scored = retrieval.cosine(vectors, vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"))
+    scored = retrieval.cosine(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
     return retrieval.top(scored.withColumn("score", F.round("score", 6)), "vec_id", 30, ascending=False)
 
 
@@ -422,18 +435,24 @@ def hybrid_trace(s: SparkSession, d: str) -> DataFrame:
     return traced.join(proof, "claim_id", "left").select("query_id", "place", "doc_id", "node_id", "revision", F.coalesce("u", F.lit(False)).alias("usable"), "evidence_id", "reliability_grade")
 
 
-@query("WITH " + ASKED + ",\n" + SCORED + """,
+@query("WITH " + EVERY + ",\n" + SCORED + """,
 br AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6), doc_id) - 1 AS rank FROM sc),
-ex AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.item_id < 20)
+ex AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
 SELECT ex.query_id, max(CASE WHEN rank < 6 THEN 1 ELSE 0 END) AS hit, round(count(*) FILTER (WHERE rank < 6) / CAST(count(*) AS DOUBLE), 6) AS recall FROM ex LEFT JOIN br ON br.query_id = ex.query_id AND br.doc_id = ex.doc_id GROUP BY 1""")
 def recall_at_k(s: SparkSession, d: str) -> DataFrame:
-    """How many of the documents that contain a benchmark item are among the first six for its first words."""
-    docs, items = T.table(s, d, "documents"), T.table(s, d, "benchmark").where("item_id < 20")
-    expected = docs.join(F.broadcast(items.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
-    ranked = retrieval.top(retrieval.bm25(docs, "doc_id", {"text": 1.0}, _asked(s, d)).withColumn("score", F.round("score", 6)), "doc_id", 6)
+    """How many of the documents that contain a benchmark item are among the first six for its words."""
+    docs = T.table(s, d, "documents")
+    expected = _found(s, d).select("query_id", "doc_id")
+    ranked = retrieval.top(retrieval.bm25(docs, "doc_id", {"text": 1.0}, _asked(s, d, every=True)).withColumn("score", F.round("score", 6)), "doc_id", 6)
     return retrieval.hit_rates(ranked, expected, "doc_id", 6).withColumn("recall", F.round("recall", 6))
 
 
+def _found(s: SparkSession, d: str) -> DataFrame:
+    """All documents with all the benchmark items that they contain."""
+    items = T.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    return retrieval.containing(T.table(s, d, "documents"), "doc_id", items)
+
+
 # --- claims and text -------------------------------------------------------------------------------------------------
 
 STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -443,7 +462,7 @@ nk AS (SELECT claim_id, len(ks) AS n, unnest(ks) AS k FROM kc WHERE doc_id % 5 =
 
 @query(with_kg(KEYED + """,
 pr AS (SELECT claim_id, match_id, nk.n AS a, ok.n AS b, count(*) AS c FROM nk JOIN ok ON ok.k = nk.k GROUP BY 1, 2, 3, 4),
-be AS (SELECT claim_id, match_id, c / CAST(a + b - c AS DOUBLE) AS sim FROM pr QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY c / CAST(a + b - c AS DOUBLE) DESC, match_id) = 1)
+be AS (SELECT claim_id, match_id, c / CAST(a + b - c AS DOUBLE) AS sim FROM pr WHERE c / CAST(a + b - c AS DOUBLE) >= 45e-2 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY c / CAST(a + b - c AS DOUBLE) DESC, match_id) = 1)
 SELECT c.claim_id, match_id, round(coalesce(sim, 0), 6) AS similarity, CASE WHEN coalesce(sim, 0) >= 7e-1 THEN 'identical' WHEN coalesce(sim, 0) >= 45e-2 THEN 'similar' ELSE 'new' END AS verdict FROM kg_claim c LEFT JOIN be ON be.claim_id = c.claim_id WHERE c.doc_id % 5 = 0"""))
 def keyword_jaccard_dedup(s: SparkSession, d: str) -> DataFrame:
     """Definitions as newly mined claims against all others."""
@@ -452,14 +471,13 @@ def keyword_jaccard_dedup(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_kg(f"""kc AS (SELECT item_id AS claim_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')), lambda w: w NOT IN ({STOP})) AS ks FROM benchmark),
-nw AS (SELECT node_id AS id, string_agg(statement, ' ' ORDER BY claim_id) AS w FROM kg_claim WHERE kind = 'theorem' GROUP BY 1),
-nk AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(w), '[a-z]{{4,}}')), lambda w: w NOT IN ({STOP})) AS ks FROM nw),
-a AS (SELECT claim_id, len(ks) AS n, unnest(ks) AS k FROM kc), b AS (SELECT id, len(ks) AS n, unnest(ks) AS k FROM nk),
+nw AS (SELECT DISTINCT id, k FROM (SELECT node_id AS id, unnest(regexp_extract_all(lower(statement), '[a-z]{{4,}}')) AS k FROM kg_claim WHERE kind = 'theorem') x WHERE k NOT IN ({STOP})),
+a AS (SELECT claim_id, len(ks) AS n, unnest(ks) AS k FROM kc), b AS (SELECT id, count(*) OVER (PARTITION BY id) AS n, k FROM nw),
 pr AS (SELECT claim_id, id, a.n AS x, b.n AS y, CAST(count(*) AS DOUBLE) AS c FROM a JOIN b ON a.k = b.k GROUP BY 1, 2, 3, 4),
 sc AS (SELECT claim_id, id, greatest(c / x, c / y, (c / x + c / y) / 2) AS score FROM pr QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY greatest(c / x, c / y, (c / x + c / y) / 2) DESC, id) = 1)
 SELECT claim_id, CASE WHEN score >= 35e-2 THEN id END AS node_id, round(score, 6) AS score FROM sc"""))
 def attribution_score(s: SparkSession, d: str) -> DataFrame:
-    nodes = T.claims(s, d).where("kind = 'theorem'").groupBy(F.col("node_id").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("claim_id", "statement"))), lambda x: x["statement"]), " ").alias("wording"))
+    nodes = T.claims(s, d).where("kind = 'theorem'").select(F.col("node_id").alias("id"), "statement")
     return C.attribution(T.table(s, d, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("statement")), nodes)
 
 
@@ -473,26 +491,23 @@ def field_id(s: SparkSession, d: str) -> DataFrame:
     return T.table(s, d, "part").select("p_partkey", X.field_id(F.col("p_type")).alias("field_id"))
 
 
-QUOTES = """qd AS (SELECT b.item_id, d.doc_id, substr(b.text, 1, 40) AS quote, d.text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40)"""
-
-
-def _quotes(s: SparkSession, d: str) -> DataFrame:
-    """Benchmark openings as quotes that are said to come from some documents."""
-    items = T.table(s, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"), (F.col("item_id") % 40).alias("k"))
-    return T.table(s, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("k")).join(items, "k")
+QUOTES = """qd AS (SELECT b.item_id, d.doc_id, b.text AS quote, d.text FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
-@query("WITH " + QUOTES + "\nSELECT item_id, doc_id, length(trim(quote)) >= 20 AND contains(text, quote) AS verbatim FROM qd")
+@query("WITH " + QUOTES + "\nSELECT b.item_id, qd.doc_id, qd.doc_id IS NOT NULL AND length(trim(b.text)) >= 20 AS verbatim FROM benchmark b LEFT JOIN qd ON qd.item_id = b.item_id")
 def quote_validation(s: SparkSession, d: str) -> DataFrame:
-    return _quotes(s, d).select("item_id", "doc_id", ((F.length(F.trim("quote")) >= 20) & F.col("text").contains(F.col("quote"))).alias("verbatim"))
+    """Benchmark items as quotes, with every document that has them word by word, or none."""
+    items = T.table(s, d, "benchmark").select("item_id", F.col("text").alias("quote"))
+    met = items.join(_found(s, d).select(F.col("query_id").alias("item_id"), "doc_id"), "item_id", "left")
+    return met.select("item_id", "doc_id", (F.col("doc_id").isNotNull() & (F.length(F.trim("quote")) >= 20)).alias("verbatim"))
 
 
-@query("""WITH qd AS (SELECT doc_id, substr(text, 60, 40) AS quote, substr(text, 1, strpos(text, substr(text, 60, 40)) - 1) AS before, text FROM documents WHERE length(text) > 100),
-cx AS (SELECT doc_id, quote, concat(regexp_extract(before, '(?s)^(?:.*(?:\\. |\\n))?(.*)$', 1), quote) AS context FROM qd)
-SELECT doc_id, md5(context) AS context, concat_ws(',', CASE WHEN regexp_matches(context, '(?i)\\b(analy[sz]ed|shown|proved|proposed|introduced)\\s+(further\\s+)?by\\b|\\bwho\\s+(have\\s+)?(shown|proved)\\b') THEN 'prior_work' END, CASE WHEN regexp_matches(quote, '(?i)^\\s*(this|that|these|those)\\s+(method|approach|auction|result|algorithm)') THEN 'cropped_antecedent' END) AS reasons FROM cx""")
+@query("WITH " + QUOTES + """,
+cx AS (SELECT item_id, doc_id, quote, concat(regexp_extract(substr(text, 1, strpos(text, quote) - 1), '(?s)^(?:.*(?:\\. |\\n))?(.*)$', 1), quote) AS context FROM qd)
+SELECT item_id, doc_id, md5(context) AS context, concat_ws(',', CASE WHEN regexp_matches(context, '(?i)\\b(analy[sz]ed|shown|proved|proposed|introduced)\\s+(further\\s+)?by\\b|\\bwho\\s+(have\\s+)?(shown|proved)\\b') THEN 'prior_work' END, CASE WHEN regexp_matches(quote, '(?i)^\\s*(this|that|these|those)\\s+(method|approach|auction|result|algorithm)') THEN 'cropped_antecedent' END) AS reasons FROM cx""")
 def attribution_triage(s: SparkSession, d: str) -> DataFrame:
-    docs = T.table(s, d, "documents").where(F.length("text") > 100).withColumn("quote", F.substring("text", 60, 40))
-    return docs.select("doc_id", F.md5(X.sentence_context(F.col("quote"), F.col("text"))).alias("context"), F.array_join(X.attribution_reasons(F.col("quote"), F.col("text")), ",").alias("reasons"))
+    quote, text = F.col("passage"), F.col("text")
+    return _found(s, d).select(F.col("query_id").alias("item_id"), "doc_id", F.md5(X.sentence_context(quote, text)).alias("context"), F.array_join(X.attribution_reasons(quote, text), ",").alias("reasons"))
 
 
 @query(with_kg("""SELECT evidence_id, CASE WHEN source_uri IS NULL THEN 'REJECTED' WHEN sc >= 6 THEN 'A' WHEN sc >= 4 THEN 'B' WHEN sc >= 3 THEN 'C' ELSE 'D' END AS grade FROM
@@ -534,18 +549,6 @@ def turn_rank(s: SparkSession, d: str) -> DataFrame:
 # --- finite checks, events -------------------------------------------------------------------------------------------
 
 
-@query("""WITH v AS (SELECT DISTINCT CAST(l_quantity AS INT) % 3 AS x FROM lineitem), p AS (SELECT a.x AS v1, b.x AS v2, c.x AS alt FROM v a, v b, v c),
-u AS (SELECT *, CASE WHEN v1 > v2 OR v1 = v2 THEN v1 - v2 ELSE 0 END AS truth2, CASE WHEN alt > v2 OR alt = v2 THEN v1 - v2 ELSE 0 END AS dev2, CASE WHEN v1 > v2 OR v1 = v2 THEN 0 ELSE 0 END AS truth1, CASE WHEN alt > v2 OR alt = v2 THEN v1 - alt ELSE 0 END AS dev1 FROM p)
-SELECT v1, v2, alt, dev2 > truth2 AS second_price_gain, dev1 > truth1 AS first_price_gain FROM u""")
-def auction_deviations(s: SparkSession, d: str) -> DataFrame:
-    """Whether any bid of the finite set beats the truthful one, in second- and first-price auctions; bids are classes of quantities."""
-    bids = T.table(s, d, "lineitem").select((F.col("l_quantity").cast("int") % 3).alias("x")).distinct()
-    every = bids.select(F.col("x").alias("v1")).crossJoin(bids.select(F.col("x").alias("v2"))).crossJoin(bids.select(F.col("x").alias("alt")))  # three values
-    wins = lambda bid: F.col(bid) >= F.col("v2")
-    truth = F.when(wins("v1"), F.col("v1") - F.col("v2")).otherwise(0)
-    return every.select("v1", "v2", "alt", (F.when(wins("alt"), F.col("v1") - F.col("v2")).otherwise(0) > truth).alias("second_price_gain"), (F.when(wins("alt"), F.col("v1") - F.col("alt")).otherwise(0) > 0).alias("first_price_gain"))
-
-
 @query("""WITH c AS (SELECT l_shipdate, l_returnflag, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1, 2), p AS (SELECT l_shipdate, n / sum(n) OVER (PARTITION BY l_shipdate) AS p FROM c)
 SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, round(sum(-p * log2(p)), 6) AS entropy FROM p GROUP BY 1""")
 def entropy(s: SparkSession, d: str) -> DataFrame:
@@ -582,11 +585,11 @@ def _rules(s: SparkSession, d: str) -> DataFrame:
 
 
 SCOPED = """ru AS (SELECT CAST(r_regionkey AS VARCHAR) AS claim_id, 1 AS g, lower(substr(r_name, 1, 2)) AS term FROM region UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 2, 'the' FROM region UNION ALL SELECT CAST(r_regionkey AS VARCHAR), 2, 'der' FROM region),
-sc2 AS (SELECT item_id AS query_id, claim_id FROM (SELECT item_id, claim_id, g, bool_or(contains(lower(substr(text, 1, 60)), term)) AS ok FROM benchmark, ru GROUP BY 1, 2, 3) x GROUP BY 1, 2 HAVING bool_and(ok))"""
+sc2 AS (SELECT item_id AS query_id, claim_id FROM (SELECT item_id, claim_id, g, bool_or(contains(lower(text), term)) AS ok FROM benchmark, ru GROUP BY 1, 2, 3) x GROUP BY 1, 2 HAVING bool_and(ok))"""
 
 
 def _scoped(s: SparkSession, d: str) -> DataFrame:
-    return planning.in_scope(T.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query")), _rules(s, d))
+    return planning.in_scope(T.table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), _rules(s, d))
 
 
 @query("WITH " + SCOPED + "\nSELECT query_id, claim_id FROM sc2")

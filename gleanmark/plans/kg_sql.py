@@ -14,16 +14,31 @@ kg_edge AS (
   UNION ALL SELECT concat('e-ps-', l_partkey, '-', l_suppkey), 'HAS_SCOPED_INSTANCE', concat('K-', l_partkey), 1, concat('U-', l_suppkey), 1, NULL, (5 + l_partkey % 5) / 1e1 FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber = 1) x
   UNION ALL SELECT concat('e-cn-', c_custkey), 'ABOUT', concat('P-', c_custkey), 1, concat('S-', c_nationkey), 1, NULL, (5 + c_custkey % 5) / 1e1 FROM customer WHERE c_custkey % 2 = 0),
 kg_claim AS (
-  SELECT concat('C-', doc_id) AS claim_id, concat('K-', 1 + doc_id % 150) AS node_id, 1 AS node_revision, substr(text, 1, 300) AS statement, CASE doc_id % 5 WHEN 0 THEN 'definition' WHEN 1 THEN 'theorem' WHEN 2 THEN 'application_hypothesis' ELSE 'empirical' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'formally_verified' WHEN 1 THEN 'source_supported' WHEN 2 THEN 'contradicted' ELSE 'unverified' END AS epistemic_status, doc_id FROM documents),
+  SELECT concat('C-', doc_id) AS claim_id, concat('K-', 1 + doc_id // 3) AS node_id, 1 AS node_revision, text AS statement, CASE doc_id % 5 WHEN 0 THEN 'definition' WHEN 1 THEN 'theorem' WHEN 2 THEN 'application_hypothesis' ELSE 'empirical' END AS kind, CASE doc_id % 4 WHEN 0 THEN 'formally_verified' WHEN 1 THEN 'source_supported' WHEN 2 THEN 'contradicted' ELSE 'unverified' END AS epistemic_status, lang AS assumptions, doc_id FROM documents),
 kg_evidence AS (
   SELECT concat('E-', page_id) AS evidence_id, CASE page_id % 4 WHEN 0 THEN concat('doi:10.1000/', page_id) WHEN 1 THEN concat('https://doi.org/10.1000/', page_id - 1) WHEN 2 THEN url ELSE NULL END AS source_uri, CASE WHEN page_id % 9 = 0 THEN NULL ELSE md5(html) END AS content_hash, concat('g', page_id % 7) AS origin_group, CASE page_id % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE NULL END AS reliability_grade FROM pages),
 kg_support AS (
-  SELECT concat('SA-', doc_id) AS assessment_id, concat('E-', doc_id % 40) AS evidence_id, concat('K-', 1 + doc_id % 150) AS target_node, 1 AS target_revision, concat('C-', doc_id) AS target_claim, CASE WHEN quality = 1 THEN 'evidence_miner' ELSE 'reviewer' END AS assessor FROM labels),
+  SELECT concat('SA-', doc_id) AS assessment_id, concat('E-', doc_id // 5) AS evidence_id, concat('K-', 1 + doc_id // 3) AS target_node, 1 AS target_revision, concat('C-', doc_id) AS target_claim, CASE WHEN quality = 1 THEN 'evidence_miner' ELSE 'reviewer' END AS assessor FROM labels
+  UNION ALL SELECT concat('SB-', doc_id), concat('E-', doc_id // 4), concat('K-', 1 + doc_id // 3), 1, concat('C-', doc_id), 'reviewer' FROM labels WHERE doc_id % 2 = 0),
+kg_emark AS (
+  SELECT evidence_id, sha256(concat_ws(chr(31), evidence_id, coalesce(source_uri, chr(30)), coalesce(content_hash, chr(30)), coalesce(origin_group, chr(30)), coalesce(reliability_grade, chr(30)))) AS mark FROM kg_evidence),
+kg_lineage AS (
+  SELECT evidence_id, CASE WHEN k % 8 <> 5 THEN origin_group END AS independent_group, CASE WHEN k % 6 = 1 THEN 'unreviewed' ELSE 'confirmed' END AS independence_review, CASE WHEN k % 10 = 4 THEN 'old' ELSE mark END AS metadata_fingerprint
+  FROM (SELECT e.*, m.mark, CAST(substr(e.evidence_id, 3) AS BIGINT) AS k FROM kg_evidence e JOIN kg_emark m ON m.evidence_id = e.evidence_id) x),
+kg_origin AS (
+  SELECT l.evidence_id, independent_group FROM kg_lineage l JOIN kg_emark m ON m.evidence_id = l.evidence_id WHERE independence_review = 'confirmed' AND coalesce(independent_group, '') <> '' AND metadata_fingerprint = mark),
+kg_asset AS (SELECT concat('notes/', page_id) AS path, sha256(html) AS sha256 FROM pages),
 kg_mark AS (
-  SELECT claim_id, sha256(concat_ws(chr(31), claim_id, node_id, CAST(node_revision AS VARCHAR), statement, kind, epistemic_status)) AS mark FROM kg_claim),
+  SELECT c.claim_id, sha256(concat_ws(chr(31), c.claim_id, c.node_id, CAST(c.node_revision AS VARCHAR), coalesce(c.statement, chr(30)), c.kind, coalesce(c.assumptions, chr(30)), n.status, coalesce(n.subtype, chr(30)), concat('data of ', n.title))) AS mark
+  FROM kg_claim c JOIN kg_node n ON n.id = c.node_id AND n.revision = c.node_revision),
+kg_audited AS (SELECT c.*, m.mark, l.doc_id AS k FROM kg_claim c JOIN kg_mark m ON m.claim_id = c.claim_id JOIN labels l ON c.doc_id = l.doc_id),
 kg_validation AS (
-  SELECT 2 * k AS id, claim_id, 'deferred' AS decision, epistemic_status AS validated_state, mark AS fingerprint, 'v2' AS policy FROM (SELECT c.*, m.mark, l.doc_id AS k FROM kg_claim c JOIN kg_mark m USING (claim_id) JOIN labels l ON c.doc_id = l.doc_id) x
-  UNION ALL SELECT 2 * k + 1, claim_id, CASE WHEN k % 6 = 5 THEN 'deferred' ELSE 'passed' END, epistemic_status, CASE WHEN k % 7 = 3 THEN sha256(concat('old', claim_id)) ELSE mark END, CASE WHEN k % 11 = 4 THEN 'v1' ELSE 'v2' END FROM (SELECT c.*, m.mark, l.doc_id AS k FROM kg_claim c JOIN kg_mark m USING (claim_id) JOIN labels l ON c.doc_id = l.doc_id) x)
+  SELECT 2 * k AS id, claim_id, 'deferred' AS decision, epistemic_status AS validated_state, mark AS fingerprint, 'v2' AS policy, 'all' AS scope FROM kg_audited
+  UNION ALL SELECT 2 * k + 1, claim_id, CASE WHEN k % 6 = 5 THEN 'deferred' ELSE 'passed' END, epistemic_status, CASE WHEN k % 7 = 3 THEN sha256(concat('old', claim_id)) ELSE mark END, CASE WHEN k % 11 = 4 THEN 'v1' ELSE 'v2' END, CASE WHEN k % 19 = 1 THEN '' WHEN k % 19 <> 2 THEN 'all' END FROM kg_audited),
+kg_audit_evidence AS (
+  SELECT id, s.evidence_id, CASE WHEN k % 13 = 6 THEN 'old' ELSE mark END AS fingerprint FROM (SELECT DISTINCT 2 * doc_id + 1 AS id, doc_id AS k, concat('E-', unnest([doc_id // 5, CASE WHEN doc_id % 17 = 4 THEN 0 ELSE doc_id // 5 END])) AS evidence_id FROM labels) s LEFT JOIN kg_emark m ON m.evidence_id = s.evidence_id),
+kg_audit_asset AS (
+  SELECT 2 * doc_id + 1 AS id, CASE WHEN doc_id % 29 = 3 THEN concat('../notes/', doc_id // 5) ELSE concat('notes/', doc_id // 5) END AS path, CASE WHEN doc_id % 23 = 5 THEN 'old' ELSE a.sha256 END AS sha256 FROM labels LEFT JOIN kg_asset a ON a.path = concat('notes/', doc_id // 5))
 """
 
 

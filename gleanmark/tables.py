@@ -22,7 +22,7 @@ def _id(prefix: str, key: str | Column) -> Column:
 
 
 def _node(df: DataFrame, id_: Column, layer: str, kind: Column, subtype: Column, status: Column, title: str, revision: int = 1) -> DataFrame:
-    return df.select(id_.alias("id"), F.lit(revision).alias("revision"), F.lit(layer).alias("layer"), kind.alias("type"), subtype.alias("subtype"), status.alias("status"), F.col(title).alias("title"))
+    return df.select(id_.alias("id"), F.lit(revision).alias("revision"), F.lit(layer).alias("layer"), kind.alias("type"), subtype.alias("subtype"), status.alias("status"), F.col(title).alias("title"), F.concat(F.lit("data of "), F.col(title)).alias("data"))
 
 
 def _case(value: Column, whens: dict[int, str | None], otherwise: str | None) -> Column:
@@ -76,11 +76,12 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         _id("C-", "doc_id").alias("claim_id"),
-        _id("K-", 1 + k % 150).alias("node_id"),
+        _id("K-", F.expr("1 + doc_id div 3")).alias("node_id"),
         F.lit(1).alias("node_revision"),
-        F.substring("text", 1, 300).alias("statement"),
+        F.col("text").alias("statement"),
         _case(k % 5, {0: "definition", 1: "theorem", 2: "application_hypothesis"}, "empirical").alias("kind"),
         _case(k % 4, {0: "formally_verified", 1: "source_supported", 2: "contradicted"}, "unverified").alias("epistemic_status"),
+        F.col("lang").alias("assumptions"),
     )
 
 
@@ -97,31 +98,74 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One piece of evidence for each labelled claim, a second one for every other."""
     k = F.col("doc_id")
-    return table(spark, sf_dir, "labels").select(
-        _id("SA-", "doc_id").alias("assessment_id"),
-        _id("E-", k % 40).alias("evidence_id"),
-        _id("K-", 1 + k % 150).alias("target_node"),
+    labels = table(spark, sf_dir, "labels").withColumn("second", F.explode(F.when(k % 2 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return labels.select(
+        F.concat(F.when(F.col("second"), "SB-").otherwise("SA-"), k.cast("string")).alias("assessment_id"),
+        F.when(F.col("second"), _id("E-", F.expr("doc_id div 4"))).otherwise(_id("E-", F.expr("doc_id div 5"))).alias("evidence_id"),
+        _id("K-", F.expr("1 + doc_id div 3")).alias("target_node"),
         F.lit(1).alias("target_revision"),
         _id("C-", "doc_id").alias("target_claim"),
-        F.when(F.col("quality") == 1, "evidence_miner").otherwise("reviewer").alias("assessor"),
+        F.when((F.col("quality") == 1) & ~F.col("second"), "evidence_miner").otherwise("reviewer").alias("assessor"),
     )
 
 
-def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two audit rows for each labelled claim; the later one counts. Some were made under an old policy, refused, or
-    bound to another statement."""
-    from gleanmark.operators.policy import claim_fingerprint
+def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was found of each piece of evidence's origin; some of it unreviewed, or for other metadata."""
+    from gleanmark.operators.policy import evidence_fingerprint
+
+    k = F.substring_index("evidence_id", "-", -1).cast("long")
+    return evidence(spark, sf_dir).select(
+        "evidence_id",
+        F.lit(None).cast("string").alias("canonical_work"),
+        F.when(k % 8 != 5, F.col("origin_group")).alias("independent_group"),
+        F.when(k % 6 == 1, "unreviewed").otherwise("confirmed").alias("independence_review"),
+        F.when(k % 10 == 4, F.lit("old")).otherwise(evidence_fingerprint()).alias("metadata_fingerprint"),
+    )
+
 
-    base = claims(spark, sf_dir).join(table(spark, sf_dir, "labels").select(_id("C-", "doc_id").alias("claim_id"), F.col("doc_id").alias("k")), "claim_id")
-    mark = claim_fingerprint()
-    first = base.select((2 * F.col("k")).alias("id"), "claim_id", F.lit("deferred").alias("decision"), F.col("epistemic_status").alias("validated_state"), mark.alias("fingerprint"), F.lit("v2").alias("policy"))
+def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the files that audits refer to: path and sha256."""
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("notes/"), F.col("page_id").cast("string")).alias("path"), F.sha2("html", 256).alias("sha256"))
+
+
+def validations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two audit rows for each labelled claim; the later one counts. Some were made under an old policy, refused,
+    without a scope, or bound to another statement."""
+    from gleanmark.operators.policy import claim_fingerprint, placed
+
+    told = placed(claims(spark, sf_dir), nodes(spark, sf_dir)).withColumn("mark", claim_fingerprint())
+    base = told.join(table(spark, sf_dir, "labels").select(_id("C-", "doc_id").alias("claim_id"), F.col("doc_id").alias("k")), "claim_id")
+    k = F.col("k")
+    state = F.col("epistemic_status").alias("validated_state")
+    first = base.select((2 * k).alias("id"), "claim_id", F.lit("deferred").alias("decision"), state, F.col("mark").alias("fingerprint"), F.lit("v2").alias("policy"), F.lit("all").alias("scope"))
     second = base.select(
-        (2 * F.col("k") + 1).alias("id"),
+        (2 * k + 1).alias("id"),
         "claim_id",
-        F.when(F.col("k") % 6 == 5, "deferred").otherwise("passed").alias("decision"),
-        F.col("epistemic_status").alias("validated_state"),
-        F.when(F.col("k") % 7 == 3, F.sha2(F.concat(F.lit("old"), F.col("claim_id")), 256)).otherwise(mark).alias("fingerprint"),
-        F.when(F.col("k") % 11 == 4, "v1").otherwise("v2").alias("policy"),
+        F.when(k % 6 == 5, "deferred").otherwise("passed").alias("decision"),
+        state,
+        F.when(k % 7 == 3, F.sha2(F.concat(F.lit("old"), F.col("claim_id")), 256)).otherwise(F.col("mark")).alias("fingerprint"),
+        F.when(k % 11 == 4, "v1").otherwise("v2").alias("policy"),
+        F.when(k % 19 == 1, "").when(k % 19 != 2, "all").alias("scope"),
     )
     return first.unionAll(second)
+
+
+def audited_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence that audits saw: id, evidence_id, fingerprint. Some has changed since, some never supported the claim."""
+    from gleanmark.operators.policy import evidence_fingerprint
+
+    k = F.col("doc_id")
+    seen = table(spark, sf_dir, "labels").select((2 * k + 1).alias("id"), k, F.explode(F.array_distinct(F.array(F.expr("doc_id div 5"), F.when(k % 17 == 4, F.lit(0)).otherwise(F.expr("doc_id div 5"))))).alias("page"))
+    now = evidence(spark, sf_dir).select("evidence_id", evidence_fingerprint().alias("now"))
+    met = seen.select("id", k, _id("E-", "page").alias("evidence_id")).join(now, "evidence_id", "left")
+    return met.select("id", "evidence_id", F.when(k % 13 == 6, F.lit("old")).otherwise(F.col("now")).alias("fingerprint"))
+
+
+def audited_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that audits saw: id, path, sha256. Some have changed since, some lie outside."""
+    k = F.col("doc_id")
+    seen = table(spark, sf_dir, "labels").select((2 * k + 1).alias("id"), k, F.concat(F.lit("notes/"), F.expr("doc_id div 5").cast("string")).alias("path"))
+    met = seen.join(assets(spark, sf_dir), "path", "left")
+    return met.select("id", F.when(k % 29 == 3, F.concat(F.lit("../"), F.col("path"))).otherwise(F.col("path")).alias("path"), F.when(k % 23 == 5, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))

@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from gleanmark.functions import text as X
-from gleanmark.operators import checks, claims, gaps, graph, policy, quality, retrieval
+from gleanmark.operators import checks, claims, gaps, graph, policy, quality, retrieval, upkeep
 from gleanmark.sources import notes
 from gleanmark.streaming import log
 
@@ -40,6 +40,77 @@ def test_shared_evidence_verifies_an_edge_only_at_its_revisions(spark):
     assert ids(gaps.unverified_edges(edges, supports), "edge_id") == ["2", "3", "4"]
 
 
+def test_usable_claims_fail_closed(spark):
+    make = spark.createDataFrame
+    nodes = make([("n", 1, "science", "T", "LAW", "approved", "data")], NODE + ", data string")
+    told = make([("c", "n", 1, "statement", "theorem", "formally_verified", "none")], CLAIM + ", assumptions string")
+    proof = make([("E", "n", 1, "c", "m")], SUPPORT)
+    evidence = make([("E", "doi:10.1000/1", "h", None, "A")], "evidence_id string, source_uri string, content_hash string, origin_group string, reliability_grade string")
+    mark = policy.placed(told, nodes).select(policy.claim_fingerprint().alias("m")).first().m
+    seen = evidence.select(policy.evidence_fingerprint().alias("m")).first().m
+    audit = lambda *rows: make(rows, "id int, claim_id string, decision string, validated_state string, fingerprint string, policy string, scope string")
+    good = (1, "c", "passed", "formally_verified", mark, "v2", "all")
+    audited = lambda *rows: make(rows, "id int, evidence_id string, fingerprint string")
+    cited = lambda *rows: make(rows, "id int, path string, sha256 string")
+    files = make([("a/b", "1"), ("../x", "2"), ("/y", "3")], "path string, sha256 string")
+
+    def usable(c=told, n=nodes, v=None, s=proof, e=evidence, seen_evidence=None, seen_files=None, assets=files):
+        return policy.usable_claims(c, n, audit(good) if v is None else v, s, e, audited((1, "E", seen)) if seen_evidence is None else seen_evidence, cited((1, "a/b", "1")) if seen_files is None else seen_files, assets).count()
+
+    assert usable() == 1
+    assert usable(v=audit()) == 0 and usable(s=proof.where("false")) == 0
+    assert usable(v=audit(good, (2, "c", "deferred", "formally_verified", mark, "v2", "all"))) == 0
+    for change in ({2: "deferred"}, {3: "unverified"}, {4: None}, {5: "v1"}, {6: ""}, {6: None}):
+        assert usable(v=audit(tuple(change.get(i, v) for i, v in enumerate(good)))) == 0
+    for column in ("statement", "assumptions"):
+        assert usable(c=told.withColumn(column, F.lit("other"))) == 0
+    for status in ("proposed", "blocked", "stale", "superseded"):
+        assert usable(n=nodes.withColumn("status", F.lit(status))) == 0
+    assert usable(n=nodes.withColumn("data", F.lit("other"))) == 0
+    for column in evidence.columns[1:]:
+        assert usable(e=evidence.withColumn(column, F.lit("changed"))) == 0
+    assert usable(seen_evidence=audited()) == 0 and usable(seen_evidence=audited((1, "E", seen), (1, "F", seen))) == 0
+    for bad in ((), ((1, "a/b", "2"),), ((1, "a/b", "1"), (1, "gone", "1")), ((1, "../x", "2"),), ((1, "/y", "3"),)):
+        assert usable(seen_files=cited(*bad)) == 0
+    assert usable(assets=files.where("false")) == 0
+
+
+def test_lineage_counts_only_what_was_confirmed_for_this_metadata(spark):
+    evidence = spark.createDataFrame([("E", "doi:10.1000/1", "h", "g", "A"), ("F", "doi:10.1000/2", "h", "g", "A"), ("G", None, None, None, None)], "evidence_id string, source_uri string, content_hash string, origin_group string, reliability_grade string")
+    none = spark.createDataFrame([], "evidence_id string, canonical_work string, independent_group string, independence_review string, metadata_fingerprint string")
+    fresh = policy.refreshed(none, evidence, X.canonical_work(F.col("source_uri")))
+    assert {r.evidence_id: (r.canonical_work, r.independence_review) for r in fresh.collect()} == {"E": ("doi:10.1000/1", "unreviewed"), "F": ("doi:10.1000/2", "unreviewed"), "G": (None, "unreviewed")}
+    reviewed = fresh.withColumn("independent_group", F.col("evidence_id")).withColumn("independence_review", F.lit("confirmed"))
+    supports = spark.createDataFrame([(e, "n", 1, "c", "m") for e in "EFG"], SUPPORT)
+    count = lambda l, e: [r.origins for r in quality.independent_support(supports, policy.confirmed(l, e)).collect()]
+    assert count(fresh, evidence) == [] and count(reviewed, evidence) == [3]
+    changed = evidence.withColumn("content_hash", F.when(F.col("evidence_id") != "F", F.col("content_hash")).otherwise("new"))
+    assert count(reviewed, changed) == [2]
+    again = {r.evidence_id: r.independence_review for r in policy.refreshed(reviewed, changed, X.canonical_work(F.col("source_uri"))).collect()}
+    assert again == {"E": "confirmed", "F": "unreviewed", "G": "confirmed"}
+
+
+def test_null_subtypes_drop_out_of_unsupported_claims(spark):
+    nodes = spark.createDataFrame([("a", 1, "science", "T", None, "approved"), ("b", 1, "science", "T", "LAW", "approved"), ("c", 1, "science", "T", "HYP", "approved"), ("d", 1, "science", "T", "LAW", "stale")], NODE)
+    rows = spark.createDataFrame([(f"{n}#1", n, 1, "s", "theorem", "unverified") for n in "abcd"] + [("b#2", "b", 1, "s", "definition", "unverified"), ("b#3", "b", 2, "s", "theorem", "unverified")], CLAIM)
+    none = spark.createDataFrame([], SUPPORT)
+    assert ids(gaps.unsupported_claims(rows, nodes, none), "claim_id") == ["b#1"]
+    assert ids(gaps.unsupported_claims(rows, nodes, none, metric=True), "claim_id") == ["b#1", "d#1"]
+
+
+def test_ledger_is_idempotent(spark):
+    nodes = spark.createDataFrame([("u", 1, "universe", "W", "WM", "approved")], NODE)
+    found = gaps.ledger(spark.createDataFrame([], CLAIM), nodes, spark.createDataFrame([], EDGE), spark.createDataFrame([], SUPPORT))
+    assert found.count() == 1 and gaps.upsert(found, found).count() == 0 and len(found.first().gap_id) == 8
+
+
+def test_shared_evidence_verifies_an_edge_only_at_its_revisions(spark):
+    edge = lambda i, a, b, ra=1, d=None: (i, "DERIVES_FROM", a, ra, b, 1, d, 0.9)
+    edges = spark.createDataFrame([edge("1", "a", "b"), edge("2", "a", "b", 2), edge("3", "a", "c"), edge("4", "a", "c", d=""), edge("5", "a", "c", d="proof")], EDGE)
+    supports = spark.createDataFrame([("E", "a", 1, "x", "m"), ("E", "b", 1, "y", "m")], SUPPORT)
+    assert ids(gaps.unverified_edges(edges, supports), "edge_id") == ["2", "3", "4"]
+
+
 def test_usable_claims_fail_closed(spark):
     node = [("n", 1, "science", "T", "LAW", "approved")]
     claim = [("c", "n", 1, "statement", "theorem", "formally_verified")]
@@ -170,3 +241,34 @@ def test_event_stream_projects_once(spark, tmp_path):
     assert Counter(r.event_id for r in out.collect()) == {1: 1, 2: 1}
     assert out.where("origin = 'synthetic'").count() == 2
     assert log.windows(df.withColumn("ts", F.col("ts").cast("timestamp"))).first().n >= 1
+
+
+def test_upkeep_of_indexes_and_logs(spark):
+    make = spark.createDataFrame
+    manifest = make([("same", "1"), ("changed", "1"), ("gone", "1")], "path string, digest string")
+    current = make([("same", "1", "s"), ("changed", "2", "c"), ("new", "3", "n"), ("none", None, "x")], "path string, digest string, content string")
+    index = make([("same", "s"), ("changed", "old"), ("gone", "old")], "path string, content string")
+    assert sorted(map(tuple, upkeep.apply_upsert(index, manifest, current).collect())) == [("changed", "c", "written"), ("new", "n", "written"), ("none", "x", "written"), ("same", "s", "kept")]
+    assert sorted((r.path, r.usable) for r in upkeep.fresh(manifest, current).collect()) == [("changed", False), ("gone", False), ("same", True)]
+    stored = make([("n", "f", 0.5, 2)], "node string, facet string, coverage double, attempts long")
+    seen = make([("n", "f", 0.3), ("n", "f", 0.7), ("n", "g", 0.1)], "node string, facet string, coverage double")
+    assert sorted(map(tuple, upkeep.max_merge(stored, seen, ["node", "facet"]).collect())) == [("n", "f", 0.7, 4), ("n", "g", 0.1, 1)]
+    log = make([("a", 1, "x"), ("a", 1, "y"), ("b", 5, "z")], "k string, at int, state string")
+    got = upkeep.latest_upsert(log.where("state = 'x' or k = 'b'"), log.where("state = 'y'"), "k", "at")
+    assert sorted((r.k, r.state) for r in got.collect()) == [("a", "y"), ("b", "z")]
+    assert [(r.state, r.changes) for r in upkeep.state_of(log.where("k = 'a'"), "k", ["at", "state"], "state").collect()] == [("y", 2)]
+
+
+def test_new_nodes_and_candidates_are_checked(spark):
+    rows = spark.createDataFrame([("science", "p", True, "ABOUT", "long enough"), (None, None, None, None, None), ("nowhere", "p", None, "ABOUT", "short")], "l string, p string, k boolean, e string, d string")
+    c = F.col
+    assert [r.f for r in rows.select(upkeep.node_faults(c("l"), c("p"), c("k"), c("e"), c("d")).alias("f")).collect()] == ["", "layer,no_parent,no_edge,indistinct", "layer,unknown_parent,indistinct"]
+    shapes = spark.createDataFrame([(["a"], [1]), (["a", " "], [1]), ([], [1]), (["a"] * 9, [1]), (["a"], [3]), (None, [1]), (["a"], None)], "c array<string>, s array<int>")
+    assert [r.ok for r in shapes.select(upkeep.shape_ok(c("c"), c("s"), F.array(F.lit(1), F.lit(2))).alias("ok")).collect()] == [True] + [False] * 6
+
+
+def test_passages_are_found_letter_by_letter(spark):
+    long = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, f"zero{long}nine"), (2, long), (3, "one two three four five six  seven eight"), (4, None), (5, "a short one"), (6, f"x {long} y {long}")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, long), (11, "short o"), (12, None)], "query_id long, passage string")
+    assert sorted((r.query_id, r.doc_id) for r in retrieval.containing(docs, "doc_id", items).collect()) == [(10, 1), (10, 2), (10, 6), (11, 5)]

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from gleanmark.plans import catalog
+from gleanmark.plans import catalog, upkeep  # noqa: F401
 
 
 @pytest.fixture(scope="module")
