@@ -90,47 +90,6 @@ def test_lineage_counts_only_what_was_confirmed_for_this_metadata(spark):
     assert again == {"E": "confirmed", "F": "unreviewed", "G": "confirmed"}
 
 
-def test_null_subtypes_drop_out_of_unsupported_claims(spark):
-    nodes = spark.createDataFrame([("a", 1, "science", "T", None, "approved"), ("b", 1, "science", "T", "LAW", "approved"), ("c", 1, "science", "T", "HYP", "approved"), ("d", 1, "science", "T", "LAW", "stale")], NODE)
-    rows = spark.createDataFrame([(f"{n}#1", n, 1, "s", "theorem", "unverified") for n in "abcd"] + [("b#2", "b", 1, "s", "definition", "unverified"), ("b#3", "b", 2, "s", "theorem", "unverified")], CLAIM)
-    none = spark.createDataFrame([], SUPPORT)
-    assert ids(gaps.unsupported_claims(rows, nodes, none), "claim_id") == ["b#1"]
-    assert ids(gaps.unsupported_claims(rows, nodes, none, metric=True), "claim_id") == ["b#1", "d#1"]
-
-
-def test_ledger_is_idempotent(spark):
-    nodes = spark.createDataFrame([("u", 1, "universe", "W", "WM", "approved")], NODE)
-    found = gaps.ledger(spark.createDataFrame([], CLAIM), nodes, spark.createDataFrame([], EDGE), spark.createDataFrame([], SUPPORT))
-    assert found.count() == 1 and gaps.upsert(found, found).count() == 0 and len(found.first().gap_id) == 8
-
-
-def test_shared_evidence_verifies_an_edge_only_at_its_revisions(spark):
-    edge = lambda i, a, b, ra=1, d=None: (i, "DERIVES_FROM", a, ra, b, 1, d, 0.9)
-    edges = spark.createDataFrame([edge("1", "a", "b"), edge("2", "a", "b", 2), edge("3", "a", "c"), edge("4", "a", "c", d=""), edge("5", "a", "c", d="proof")], EDGE)
-    supports = spark.createDataFrame([("E", "a", 1, "x", "m"), ("E", "b", 1, "y", "m")], SUPPORT)
-    assert ids(gaps.unverified_edges(edges, supports), "edge_id") == ["2", "3", "4"]
-
-
-def test_usable_claims_fail_closed(spark):
-    node = [("n", 1, "science", "T", "LAW", "approved")]
-    claim = [("c", "n", 1, "statement", "theorem", "formally_verified")]
-    told = spark.createDataFrame(claim, CLAIM)
-    mark = told.select(policy.claim_fingerprint().alias("m")).first().m
-    audit = lambda *rows: spark.createDataFrame(rows, "id int, claim_id string, decision string, validated_state string, fingerprint string, policy string")
-    good = (1, "c", "passed", "formally_verified", mark, "v2")
-    nodes = spark.createDataFrame(node, NODE)
-    proof = spark.createDataFrame([("E", "n", 1, "c", "m")], SUPPORT)
-    usable = lambda c=told, n=nodes, a=None, s=proof: policy.usable_claims(c, n, a if a is not None else audit(good), s).count()
-    assert usable() == 1
-    assert usable(a=audit()) == 0 and usable(s=proof.where("false")) == 0
-    assert usable(a=audit(good, (2, "c", "deferred", "formally_verified", mark, "v2"))) == 0
-    for change in ({2: "deferred"}, {3: "unverified"}, {4: None}, {5: "v1"}):
-        assert usable(a=audit(tuple(change.get(i, v) for i, v in enumerate(good)))) == 0
-    assert usable(c=told.withColumn("statement", F.lit("other"))) == 0
-    for status in ("proposed", "blocked", "stale", "superseded"):
-        assert usable(n=nodes.withColumn("status", F.lit(status))) == 0
-
-
 def test_stale_spreads_against_edges_and_stops_at_proofs(spark):
     nodes = spark.createDataFrame([(x, 1, "l", "t", "s", "superseded" if x == "d" else "approved") for x in "oabcde"], NODE)
     edges = spark.createDataFrame([(f"{a}{b}", "DERIVES_FROM", a, 1, b, 1, None, 0.5) for a, b in ("ao", "ba", "cb", "do", "ed")] + [("w", "PLANS", "e", 1, "o", 1, None, 0.5)], EDGE)
