@@ -21,8 +21,14 @@ PROPAGATING = ("ABSTRACTS_FROM", "DERIVES_FROM", "HAS_SCOPED_INSTANCE")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back, so that rounds don't pile up lineage."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "gleanmark-rounds")
+    """Write ``df`` under ``spark.checkpoint.dir`` and read it back, so that rounds don't pile up lineage. Only in
+    local mode, where there are no other machines, may the setting be absent."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = os.path.join(tempfile.gettempdir(), "gleanmark-rounds")
     path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -147,14 +147,29 @@ def test_attribution_looks_at_the_whole_sentence(spark):
     assert got == [["prior_work"], [], ["cropped_antecedent"], ["quote_missing"]]
 
 
-def test_chunks_cover_the_text():
-    text = "head\n\n" + "\n".join("line %d " % i + "x" * 90 for i in range(120))
-    cut = notes.lecture(text)
-    assert all(c.startswith("head\n\n") and len(c) <= 4006 for c in cut) and notes.lecture("only a head") == ["only a head"]
-    body = text.partition("\n\n")[2]
-    spans = list(notes.spans(body, 4000, 400))
-    assert spans[0][0] == 0 and spans[-1][1] == len(body) and all(b > a2 for (_, b), (a2, _) in zip(spans, spans[1:], strict=False))
-    assert notes.plain("short") == ["short"] and notes.plain("") == [""]
+def test_windows_follow_their_rule(spark):
+    line = "some words and yet more of them, é\n"
+    texts = ["", "short", "x" * 9000, line * 400, ("y" * 2500 + "\n") * 6, "\n" * 5000, line * 10 + "z" * 7000, None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", notes.windows(F.col("t"), 4000, 400).alias("w")).collect()
+    for i, found in rows:
+        text = texts[i]
+        if not text:
+            assert not found
+            continue
+        assert found[0].at == 0 and found[-1].stop == len(text)
+        for w, after in zip(found, [*found[1:], None], strict=True):
+            last = [k for k in range(w.at + 2000, w.at + 4000) if k < len(text) and text[k] == "\n"]
+            ends = len(text) if w.at + 4000 >= len(text) else (last or [w.at + 4000])[-1]
+            assert w.stop == ends and (after is None or after.at == max(w.stop - 400, w.at + 1))
+
+
+def test_chunks_tell_their_source(spark):
+    body = "\n\n\n\n" + "word " * 1500 + "\n\n\n" + "more " * 900 + "\n"
+    docs = spark.createDataFrame([(1, "head" + "\n\n" + body), (2, "only a head"), (3, None), (4, "")], "doc_id int, text string")
+    got = {k: [r.chunk for r in sorted(notes.chunks(docs, "doc_id", "text").where(F.col("doc_id") == k).collect(), key=lambda r: r.place)] for k in (1, 2, 3, 4)}
+    assert got[2] == ["only a head"] and got[3] == [] and got[4] == [""]
+    assert len(got[1]) == 4 and all(c.startswith("head\n\nword") or c.startswith("head\n\nmore") or len(c) <= 4006 for c in got[1]) and not any("\n\n\n" in c for c in got[1])
+    assert [r.chunk for r in notes.chunks(docs.where("doc_id > 1"), "doc_id", "text", notes.plain).orderBy("doc_id").collect()] == ["only a head", ""]
 
 
 def test_manifest_without_deletes(spark):
