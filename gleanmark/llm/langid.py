@@ -81,20 +81,19 @@ class Model:
         return best, (odds / odds.sum(axis=1, keepdims=True))[np.arange(len(best)), best]
 
 
-def fit(docs: DataFrame, eligible: Column, per_language: int = 400, landmarks: int = 48, ridge: float = 1e-3, most_grams: int = 20_000) -> Model | None:
+def fit(docs: DataFrame, eligible: Column, per_language: int = 400, landmarks: int = 48, ridge: float = 1e-3, most_rows: int = 8000) -> Model | None:
     """Fit on a bounded sample of ``docs`` (doc_id, text, lang): ``per_language`` rows of each non-null
-    lang among the ``eligible``, first by a hash of doc_id, ``landmarks`` of them a language. The
-    sample's distinct n-grams, whole texts', reach the driver. Null if no row can be learned from.
-
-    The landmarks' n-grams that fewest or nearly all landmarks have tell least; the ``most_grams``
-    found in most landmarks are kept.
+    lang among the ``eligible``, first by a hash of doc_id, and ``most_rows`` of them in all, as many of each
+    language as there are. ``landmarks`` of them a language, and fewer where there are many languages, are
+    landmarks. The sample's distinct n-grams, whole texts', reach the driver. None if no row can be learned from;
+    rows that repeat count as often as they stand there. All n-grams of the landmarks are features.
     """
     row = fresh(docs, "row")
     usable = numbered(docs, row).where(eligible & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # Numbers alone are ranked, and each task passes on its own first rows only; then the texts are fetched.
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), row)
     chosen = usable.select("lang", "doc_id", row).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    picked = materialise(chosen.select(row), "sample")  # per_language rows a language at most
+    picked = materialise(chosen.orderBy("place", "lang").limit(most_rows).select(row), "sample")
     ranked = usable.join(F.broadcast(picked), row, "left_semi").select("lang", "text", F.xxhash64("doc_id").alias("draw"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,9 +106,9 @@ def fit(docs: DataFrame, eligible: Column, per_language: int = 400, landmarks: i
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
-    marks = [r for lang in languages for r in [x for x in rows if x[0] == lang][:landmarks]]
-    codes, often = np.unique(np.concatenate([r[2] for r in marks]), return_counts=True)
-    codes = np.sort(codes[np.lexsort((codes, -often))[:most_grams]])
+    each = max(1, min(landmarks, most_rows // (8 * len(languages))))
+    marks = [r for lang in languages for r in [x for x in rows if x[0] == lang][:each]]
+    codes = np.unique(np.concatenate([r[2] for r in marks]))
     presence = np.zeros((len(codes), len(marks)), np.float32)
     for m, r in enumerate(marks):
         presence[np.searchsorted(codes, r[2][np.isin(r[2], codes)]), m] = 1
