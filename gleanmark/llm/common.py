@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -110,24 +111,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def salted_lookup(members: DataFrame, keys: list[str], values: dict[str, Column], order: str, salts: int = 64) -> DataFrame:
-    """Aggregate ``values`` over each group of ``keys`` and hand the result to every member row.
+def salted_lookup(members: DataFrame, keys: list[str], column: str, order: str, salts: int = 64, value: Callable[[str], Column] = F.max) -> DataFrame:
+    """Aggregate ``column`` by ``value`` (F.min or F.max) over each group of ``keys`` and hand the result to every
+    member row, in place of the column.
 
     A group may hold a third of all rows. The aggregate is taken per (keys, salt) first; the
     per-salt rows, at most ``salts`` for a key, then fetch their key's total, and members join on
-    (keys, salt), so that a hot group is dealt over ``salts`` tasks. ``values`` must be aggregates
-    that can be applied to their own results (min, max); ``order`` is the column the salt is drawn
+    (keys, salt), so that a hot group is dealt over ``salts`` tasks. ``order`` is the column the salt is drawn
     from, distinct within a group as a rule.
     """
     salted = members.withColumn("_salt", F.pmod(F.xxhash64(order), F.lit(salts)))
-    part = salted.groupBy(*keys, "_salt").agg(*[v.alias(k) for k, v in values.items()])
-    whole = part.groupBy(*keys).agg(*[_again(v, k).alias(k) for k, v in values.items()])
-    per_salt = part.select(*keys, "_salt").join(whole, keys)
-    return salted.join(per_salt, [*keys, "_salt"]).drop("_salt")
-
-
-def _again(value: Column, name: str) -> Column:
-    return F.max(name) if str(value).lower().startswith("column<'max(") else F.min(name)
+    part = salted.groupBy(*keys, "_salt").agg(value(column).alias(column))
+    per_salt = part.select(*keys, "_salt").join(part.groupBy(*keys).agg(value(column).alias(column)), keys)
+    return salted.drop(column).join(per_salt, [*keys, "_salt"]).drop("_salt")
 
 
 def salted_join(members: DataFrame, table: DataFrame, keys: list[str], order: str, salts: int = 64) -> DataFrame:
@@ -139,6 +135,23 @@ def salted_join(members: DataFrame, table: DataFrame, keys: list[str], order: st
     return salted.join(pairs, [*keys, "_salt"]).drop("_salt")
 
 
+#: Bits of ``few``'s filter, and of one of its rows.
+FEW_BITS, FEW_ROW = 1 << 25, 1 << 15
+
+
+def few(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is likely among ``ids``, with column functions only. A filter of 2 ** 25 bits, 4
+    MB whatever the number of ids, spares most of the others the shuffle of a join that must still follow."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FEW_BITS))
+    maps = ids.groupBy(F.shiftright(bit, 15).alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit + 1)).alias("bits"))
+    every = ids.sparkSession.range(FEW_BITS // FEW_ROW).withColumnRenamed("id", "number").join(maps, "number", "left")
+    told = materialise(every.agg(F.array_sort(F.collect_list(F.struct("number", "bits"))).alias("x")).select(F.transform("x", lambda x: x.bits).alias("maps")), "filter")
+    held, at = fresh(df, "maps"), fresh(df, "bit")
+    rows = df.withColumn(at, bit).withColumn(held, F.get(told.scalar(), F.shiftright(at, 15).cast("int")))
+    byte = F.conv(F.hex(F.substring(held, F.shiftright(F.col(at).bitwiseAND(F.lit(FEW_ROW - 1)), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, F.col(at).bitwiseAND(F.lit(7)).cast("int")) == 1).drop(held, at)
+
+
 FILTER_BITS = 1 << 26
 
 

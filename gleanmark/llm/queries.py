@@ -59,4 +59,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_bit_sliced_top_k, op3_warc_archive, op4_token_shards, op5_source_mixing, op6_substring_dedup, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_language_id)}
-ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": bitslice.ORACLE, "op3_warc_archive": warc.ORACLE, "op5_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_bit_sliced_top_k": bitslice.ORACLE, "op3_warc_archive": warc.ORACLE, "op5_source_mixing": mixing.ORACLE, "op7_minhash_near_dedup": neardup.ORACLE, "op8_line_dedup": lines.ORACLE}
