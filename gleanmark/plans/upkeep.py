@@ -197,16 +197,17 @@ def candidate_shape(s: SparkSession, d: str) -> DataFrame:
     return met.select("run", upkeep.shape_ok(F.col("c"), F.col("src"), allowed).alias("ok"))
 
 
-ASKS = """qw AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM conversations WHERE role = 'user'),
+ASKS = """qw AS (SELECT DISTINCT p_partkey, unnest(regexp_extract_all(lower(concat(p_type, ' ', p_name)), '[\\p{L}\\p{N}]+')) AS w FROM part),
 lw AS (SELECT DISTINCT p_name AS label, unnest(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}]+')) AS w FROM part)"""
 
 
-@query("WITH " + ASKS + "\nSELECT conv_id, turn, label FROM qw JOIN lw ON lw.w = qw.w GROUP BY 1, 2, 3 HAVING count(*) >= 2")
+@query("WITH " + ASKS + "\nSELECT p_partkey, label FROM qw JOIN lw ON lw.w = qw.w GROUP BY 1, 2 HAVING count(*) >= 2")
 def label_routing(s: SparkSession, d: str) -> DataFrame:
-    """User turns that share at least two words with a label: what they ask for is there already. There are few different labels."""
-    words = T.table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    labels = T.table(s, d, "part").select(F.col("p_name").alias("label")).distinct().select("label", F.explode(F.array_distinct(tokens(F.col("label")))).alias("w"))
-    return words.join(labels, "w").groupBy("conv_id", "turn", "label").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2").drop("shared")
+    """Items whose wording shares at least two words with a label: what they ask for is there already. There are few different labels."""
+    part = T.table(s, d, "part")
+    words = part.select("p_partkey", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "p_type", "p_name")))).alias("w"))
+    labels = part.select(F.col("p_name").alias("label")).distinct().select("label", F.explode(F.array_distinct(tokens(F.col("label")))).alias("w"))
+    return words.join(labels, "w").groupBy("p_partkey", "label").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2").drop("shared")
 
 
 @query("""SELECT c_nationkey AS domain FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0""")
