@@ -1,12 +1,15 @@
 """Line de-duplication by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words. Its words stand in one global order, rarest first: two lines with
-Jaccard similarity of at least 4/5 then share a word among the first fifth (and one) of each. Such
-words are joined by length class, pairs pass a length and a positional filter, and what is left
-is verified on the whole sets. A line goes if any earlier line is that similar.
-
-Rarity is counted over all lines, in 2 ** 17 cells of the words' hashes; what shares a cell counts as
-one. The order is right for any counts, and only the number of candidates depends on them.
+A line is the set of its words. Its words stand in one global order, rarest first. The join's keys are
+neighbours in that order: a word that only one of two lines has parts at most two pairs of
+neighbours in its own line and one in the other, so that two lines with a Jaccard similarity of at least 4/5
+share a pair among the first two fifths of the pairs (and one) of each. Pairs of words, unlike
+words, stay rare when the vocabulary is used up. What shares a pair passes a length and a positional
+filter and is verified on whole sets. A line goes if any earlier line is that similar.
+
+Rarity is counted over all different lines, in 2 ** 17 cells of the words' hashes; what shares a cell counts
+as one. The order is the same for all lines whatever the counts, and only the number of candidates depends
+on them.
 """
 
 from __future__ import annotations
@@ -15,73 +18,179 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import WORD, materialise
+from gleanmark.llm.common import WORD, discard, few, fresh, materialise, numbered
 
 CELL_BITS = 17
-#: Lines asked for that are broadcast at most, of some 24 bytes each; more are joined by a shuffle.
-MOST_BROADCAST = 400_000
-#: Groups of a word with more lines have them held against their earliest line first.
-HOT = 1000
+#: Pairs of words of which the rarer one stands in more lines have their groups salted. Groups of other
+#: pairs can't have more members than that.
+HOT = 4096
 
 
-def _words(text: Column) -> Column:
-    """The words of a text; runs of white space leave empty ones, which aren't words."""
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
+def _words(line: Column) -> Column:
+    """The different words of a line; runs of white space leave empty ones, which aren't words."""
+    odd = F.lit(False)
+    for space in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(space))
+    parts = F.when(odd, F.split(line, r"[\x20\x09-\x0D]+")).otherwise(F.split(line, " "))
+    return F.array_except(parts, F.array(F.lit("")))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """uid, d (doc_id, null as the least), line_no and line of all lines; a null text has none."""
-    least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    plain = docs.select(F.monotonically_increasing_id().alias("uid"), least.alias("d"), F.col("text").cast("string").alias("text"))
-    return plain.select("uid", "d", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-
-
-def _cell(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - CELL_BITS).cast("int")
-
-
-def rarity(docs: DataFrame) -> Column:
-    """A constant array: for each cell 8 times the binary logarithm of its words' count, rounded down."""
-    words = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("w"))
-    counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).count()
-    level = [0] * (1 << CELL_BITS)
-    for row in counts.select("cell", F.floor(8 * F.log2("count")).cast("int").alias("level")).collect():  # 2 ** 17 rows at most
-        level[row["cell"]] = row["level"]
-    return F.split(F.lit(",".join(map(str, level))), ",").cast("array<int>")
-
-
-def _keyed(lines: DataFrame, level: Column) -> DataFrame:
-    """``lines`` with ``keys``: a number for each distinct word, rarest first, and n, their count."""
-    hashes = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    key = lambda h: F.shiftleft(F.get(level, _cell(h)).cast("long"), 55).bitwiseOR(h.bitwiseAND(F.lit((1 << 55) - 1)))
-    keyed = lines.withColumn("_h", hashes).withColumn("keys", F.sort_array(F.transform("_h", key))).drop("_h", "line")
-    return keyed.withColumn("n", F.size("keys")).where("n > 0")
-
-
-def _parity(place: int) -> Column:
-    """Half of a 128-bit parity map of a line's words: each turns one bit round. Two maps differ in no more
-    bits than the lines in words, so that a difference too large for the limit shows without the words."""
-    return F.expr(f"aggregate(keys, 0L, (a, k) -> if(((k >> 6) & 1) = {place}, a ^ shiftleft(1L, cast(k & 63 as int)), a))")
-
-
-def _fits(n: str, p: str, m: str, q: str, ours: tuple[str, str], theirs: tuple[str, str]) -> Column:
-    """Length, positional and parity filters for sets of sizes n and m that share the words at p and q."""
-    n, p, m, q = map(F.col, (n, p, m, q))
-    apart = sum((F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(ours[1:], theirs[1:], strict=True)), F.bit_count(F.col(ours[0]).bitwiseXOR(F.col(theirs[0]))))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - p, m - q) >= 4 * (n + m)) & (9 * apart <= n + m)
-
-
-def _similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, level: Column) -> DataFrame:
-    """Those of ``pairs`` (sid, other) whose sets have a Jaccard similarity of 4/5 or more."""
-    pairs = materialise(pairs, "pairs")
-    asked = pairs.select("sid").union(pairs.select("other")).distinct().join(classes.select("sid", "uid", "line_no"), "sid")
+    """uid, d (doc_id), line_no, line and its name (n1, n2) of all lines; a null text has none."""
+    lines = docs.select("uid", "d", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("*", F.xxhash64("line").alias("n1"), F.xxhash64(F.lit(1), "line").alias("n2"))
+
+
+def _classes(lines: DataFrame) -> DataFrame:
+    """Each different line with words once: cid (a number), name, first place (d, line_no, uid), n and c, hashes of its
+    words, and m0 and m1, a map of them of 128 bits. Each word turns one bit round: two maps differ in no more bits
+    than the lines do in words."""
+    rows = lines.select("n1", "n2", F.struct("d", "line_no", "uid").alias("f"), F.transform(_words(F.col("line")), lambda w: F.hash(w)).alias("c"))
+    folded = rows.groupBy("n1", "n2").agg(F.min("f").alias("f"), F.first("c").alias("c")).withColumn("n", F.size("c")).where("n > 0")
+    turn = lambda m, h: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h))
+    half = lambda k: F.aggregate("c", F.lit(0).cast("long"), lambda m, h: F.when(h.bitwiseAND(F.lit(64)) == 64 * k, turn(m, h)).otherwise(m))
+    return materialise(folded.select(F.monotonically_increasing_id().alias("cid"), "n1", "n2", "f.*", "n", "c", half(0).alias("m0"), half(1).alias("m1")), "classes", compression="zstd")
+
+
+def levels(classes: DataFrame) -> DataFrame:
+    """One row with one array: for each cell 8 times the binary logarithm of its words' count, rounded down,
+    times 2 ** 32. It has 2 ** 17 places whatever the input."""
+    cells = classes.select(F.explode("c").alias("h")).groupBy(F.shiftrightunsigned("h", 32 - CELL_BITS).alias("cell")).agg(F.count(F.lit(1)).alias("k"))
+    every = classes.sparkSession.range(1 << CELL_BITS).select(F.col("id").cast("int").alias("cell"))
+    told = every.join(cells, "cell", "left").select(F.struct("cell", F.floor(8 * F.log2(F.coalesce("k", F.lit(1)))).cast("long").alias("level")).alias("x"))
+    return materialise(told.agg(F.array_sort(F.collect_list("x")).alias("x")).select(F.transform("x", lambda e: F.shiftleft(e.level, 32)).alias("level")), "levels")
+
+
+#: Bits of a line's map, and of its numbers beside it: more words, and places, aren't told apart by the filters.
+MAP_BITS, BITS = 44, 10
+MOST = (1 << BITS) - 1
+
+
+def _posts(classes: DataFrame, level: DataFrame) -> DataFrame:
+    """cid, d, key (two neighbours in the order), rare (level of the rarer word) and told: the number of the
+    line's words, the pair's place and 44 bits into which the line's map is folded."""
+    keys = F.sort_array(F.transform("c", lambda h: F.get("level", F.shiftrightunsigned(h, 32 - CELL_BITS)) + h))
+    both = F.col("m0").bitwiseXOR(F.col("m1"))
+    folded = both.bitwiseXOR(F.shiftrightunsigned(both, MAP_BITS)).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    keyed = classes.withColumn("level", level.scalar()).select("cid", "d", "n", folded.alias("map"), keys.alias("k"))
+    # Of two lines with n and m words, o of them common, one has n - o others, which part two pairs each, and the
+    # other m - o, which part one each: at most 2n/5. A single word has an absent neighbour.
+    prefix = F.floor(F.col("n") * 2 / 5).cast("int") + 1
+    pairs = keyed.select("cid", "d", "n", "map", F.posexplode(F.arrays_zip(F.slice("k", 1, prefix).alias("a"), F.slice("k", 2, prefix).alias("b"))).alias("p", "pair"))
+    rare = F.shiftright(F.col("pair.a") + (1 << 31), 32).cast("int")
+    told = F.shiftleft("map", 2 * BITS).bitwiseOR(F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), BITS)).bitwiseOR(F.least("p", F.lit(MOST)).cast("long"))
+    return pairs.select("cid", "d", F.xxhash64("pair.a", "pair.b").alias("key"), told.alias("told"), rare.alias("rare"))
+
+
+def _fits(ours: str, theirs: str) -> Column:
+    """Length, positional and map filters for lines whose first common pair is the one told of in both.
+    Of the common words before it no two are neighbours in both lines, so that another word
+    stands between any two: they are at most a third of the words before it in both."""
+    n, m = (F.shiftright(x, BITS).bitwiseAND(F.lit(MOST)) for x in (ours, theirs))
+    p, q = (F.col(x).bitwiseAND(F.lit(MOST)) for x in (ours, theirs))
+    length = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
+    place = 3 * (p + q + 3 * F.least(n - p, m - q)) >= 4 * (n + m)
+    apart = F.bit_count(F.shiftrightunsigned(F.col(ours).bitwiseXOR(F.col(theirs)), 2 * BITS))
+    return (F.greatest(n, m) == MOST) | (length & place & (9 * apart <= n + m))
+
+
+def _shared(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Posts whose key another line has, with first (whether they are the earliest of their group), members (their
+    number) and earlier: of the earliest and the two before each, the cids of those that fit. And the stored table
+    that they are read from.
+
+    Only keys whose rarer word is frequent can have large groups; these are dealt out by a salt and
+    told the earliest of all salts afterwards.
+    """
+    hot = F.col("rare") >= 8 * (HOT.bit_length() - 1)
+    posts = posts.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("cid"), F.lit(64)) + 1).otherwise(0)).drop("rare")
+    by = W.partitionBy("key", "salt").orderBy("d", "cid")
+    near = posts.select("*", F.lag("cid").over(by).alias("prev"), F.lead("cid").over(by).alias("next"))
+    near = near.where("prev is not null or next is not null or salt > 0").drop("prev", "next")
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    own = F.struct("cid", "told")
+    near = near.withColumn("h", F.first(F.struct("d", "cid", "told")).over(whole)).withColumn("l", F.last("told").over(whole)).withColumn("members", F.count(F.lit(1)).over(whole))
+    near = near.withColumn("one", F.lag(own).over(by)).withColumn("two", F.lag(own, 2).over(by))
+    # Two lines alone with a key, which don't fit, need it no more.
+    near = near.where((F.col("salt") > 0) | (F.col("members") > 2) | _fits("h.told", "l"))
+    fits = lambda x: F.when((F.col("cid") != F.col(f"{x}.cid")) & _fits("told", f"{x}.told"), F.col(f"{x}.cid"))
+    earlier = F.array_distinct(F.array_compact(F.array(fits("h"), fits("one"), fits("two"))))
+    first = F.col("cid") == F.col("h.cid")
+    near = near.select("key", "salt", "cid", "d", "told", "members", first.alias("first"), F.when(F.size(earlier) > 0, earlier).alias("earlier"), F.when(F.col("salt") > 0, F.col("h")).alias("h"))
+    near = materialise(near, "shared")
+    salted = near.where("salt > 0")
+    part = salted.groupBy("key", "salt").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("members"))
+    whole = part.groupBy("key").agg(F.min("h").alias("h"), F.sum("members").alias("members")).where("members > 1")
+    told = salted.drop("h", "members", "first").join(part.select("key", "salt").join(whole, "key"), ["key", "salt"])
+    told = told.withColumn("earlier", F.array_compact(F.array_append(F.coalesce("earlier", F.array().cast("array<bigint>")), fits("h")))).withColumn("first", first)
+    kept = ["key", "cid", "d", "told", "members", "first", "earlier"]
+    return near.where("salt = 0").select(*kept).unionByName(told.select(*kept)), near
+
+
+def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose sets may have a Jaccard similarity of 4/5 or more: (a, b), a the later one.
+    Words are told apart by 32 bits, in a multiset, so that no similar pair is lost."""
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     asked = materialise(asked, "asked")
-    asked = F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked
-    found = _keyed(_lines(docs).join(asked, ["uid", "line_no"]), level).select("sid", "keys")
-    found = materialise(found, "sets")
-    both = pairs.join(found, "sid").join(found.select(F.col("sid").alias("other"), F.col("keys").alias("others")), "other")
-    common = F.size(F.array_intersect("keys", "others"))
-    return both.where(9 * common >= 4 * (F.size("keys") + F.size("others"))).select("sid", "other")
+    sets = few(classes.select("cid", "n", "c", F.struct("d", "line_no", "uid").alias("f")), asked, "cid").join(asked.hint("merge"), "cid", "left_semi")
+    sets = materialise(sets, "sets")
+    a, b = (sets.select(F.col("cid").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", "c", "f")]) for x in "ab")
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    # What one line has twice of a hash, of two of its words, array_intersect counts once.
+    twice = F.least(F.col("na") - F.size(F.array_distinct("ca")), F.col("nb") - F.size(F.array_distinct("cb")))
+    common = F.size(F.array_intersect("ca", "cb")) + twice
+    late = F.col("fa") > F.col("fb")
+    found = both.where(9 * common >= 4 * (F.col("na") + F.col("nb"))).select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("b"))
+    found = materialise(found, "similar")
+    discard(pairs, asked, sets)
+    return found
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose sets of words, taken from the texts, have a Jaccard similarity of 4/5 or more."""
+    asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    asked = classes.select("cid", "uid", "line_no").join(asked.hint("merge"), "cid").groupBy("uid").agg(F.collect_list(F.struct("line_no", "cid")).alias("asked"))
+    asked = materialise(asked, "asked")
+    some = few(docs.select("uid", "text"), asked, "uid").join(asked.hint("merge"), "uid")
+    words = some.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("x")).select("x.cid", _words(F.get("lines", F.col("x.line_no"))).alias("w"))
+    words = materialise(words, "words")
+    both = pairs.join(words.select(F.col("cid").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("cid").alias("b"), F.col("w").alias("wb")), "b")
+    common = F.size(F.array_intersect("wa", "wb"))
+    return both.where(9 * common >= 4 * (F.size("wa") + F.size("wb"))).select("a", "b")
+
+
+def _gone(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid of the classes that resemble an earlier one."""
+    level = levels(classes)
+    shared, stored = _shared(_posts(classes, level))
+    # Every line is held against a few earlier ones of its groups first; what this settles asks no more.
+    star = shared.select(F.col("cid").alias("a"), F.explode("earlier").alias("b"))
+    found = _similar(star, classes)
+    # The others meet all earlier lines of their groups, and are told apart by whole maps and numbers of words.
+    maps = classes.select("cid", F.col("n").alias("words"), "m0", "m1")
+    rest = shared.where("not first and members > 2").select("key", "cid", "d", "told").join(maps.hint("merge"), "cid")
+    settled = found.select(F.col("a").alias("cid")).distinct().hint("merge")
+    rest = materialise(rest.join(settled.withColumn("settled", F.lit(True)), "cid", "left"), "rest")
+    earlier = F.struct("b.d", "b.cid") < F.struct("a.d", "a.cid")
+    apart = F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))) + F.bit_count(F.col("a.m1").bitwiseXOR(F.col("b.m1")))
+    fits = _fits("a.told", "b.told") & (9 * apart <= F.col("a.words") + F.col("b.words"))
+    meet = rest.where("settled is null").alias("a").join(rest.alias("b").hint("merge"), "key").where(earlier & fits)
+    more = _similar(meet.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")), classes)
+    discard(level, stored, rest)
+    return _verified(found.union(more).distinct(), classes, docs).select(F.col("a").alias("cid")).distinct()
+
+
+def _removals(docs: DataFrame, row: str) -> DataFrame:
+    """As ``removals``, of documents whose rows ``row`` numbers."""
+    docs = docs.select(F.col(row).alias("uid"), F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
+    lines = _lines(docs)
+    classes = _classes(lines)
+    gone = _gone(docs, classes).withColumn("again", F.lit(True))
+    # A line that opens its class stays unless the class resembles an earlier one; all others go.
+    fate = classes.join(gone.hint("merge"), "cid", "left").select("n1", "n2", F.struct("d", "line_no", "uid").alias("f"), "again")
+    told = lines.select("n1", "n2", "uid", "d", "line_no").join(fate.hint("merge"), ["n1", "n2"])
+    return told.where(F.coalesce("again", F.lit(False)) | (F.struct("d", "line_no", "uid") != F.col("f"))).select("uid", F.col("d").alias("doc_id"), "line_no")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -89,59 +198,37 @@ def removals(docs: DataFrame) -> DataFrame:
 
     Lines are parts of a text between line feeds, numbered from 0, and follow each other by doc_id (null
     first), number, then, in rows that repeat a doc_id, by the row's place. A line without words
-    is never removed. Words are compared as they stand. An empty table gives no rows.
+    is never removed. Words are compared as they stand. An empty table gives no rows. Other columns
+    aren't read. Lines are taken for equal by 128 bits, and for similar by their words.
     """
-    level = rarity(docs)
-    keyed = _keyed(_lines(docs), level)
-    prefix = F.transform(F.slice("keys", 1, F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
-    every = materialise(keyed.select("uid", "d", "line_no", "n", F.xxhash64("keys").alias("sid"), prefix.alias("prefix"), _parity(0).alias("b0"), _parity(1).alias("b1")), "lines")
-    first = F.min(F.struct("d", "line_no", "uid"))
-    classes = every.groupBy("sid").agg(first.alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("b0").alias("b0"), F.first("b1").alias("b1"))
-    classes = materialise(classes.select("sid", "f.*", "n", "prefix", "b0", "b1"), "classes")
-
-    home = F.floor(F.log2("n")).cast("int")
-    near_low = (4 * F.col("n") < 5 * F.pow(F.lit(2), home)) & (home > 0)
-    rows = classes.select("sid", "d", "line_no", "n", "b0", "b1", F.posexplode("prefix").alias("p", "word"), F.when(near_low, F.array(home, home - 1)).otherwise(F.array(home)).alias("kinds"))
-    posts = rows.withColumn("kind", F.explode("kinds")).drop("kinds")
-
-    large = materialise(posts.groupBy("word", "kind").count().where(F.col("count") > HOT).select("word", "kind", F.lit(True).alias("large")), "large")
-    large = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
-    posts = posts.join(large, ["word", "kind"], "left")
-    plain, busy = posts.where("large is null"), materialise(posts.where("large"), "busy")
-
-    # In a large group every line is held against the earliest one first; what this settles asks no more there.
-    first = F.min(F.struct("d", "line_no", "sid", "n", "p", "b0", "b1")).over(W.partitionBy("word", "kind"))
-    lead = busy.withColumn("lead", first).select("sid", "n", "p", "b0", "b1", F.col("lead.b0").alias("c0"), F.col("lead.b1").alias("c1"), F.col("lead.sid").alias("other"), F.col("lead.n").alias("m"), F.col("lead.p").alias("q"))
-    lead = lead.where((F.col("sid") != F.col("other")) & _fits("n", "p", "m", "q", ("b0", "b1"), ("c0", "c1"))).select("sid", "other").distinct()
-    gone = materialise(_similar(lead, classes, docs, level).select("sid").distinct(), "gone")
-
-    # All other lines meet the earlier lines of their groups. The two sides of a plain group are one shuffle.
-    def meet_in(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-        earlier = F.struct("b.d", "b.line_no", "b.sid") < F.struct("a.d", "a.line_no", "a.sid")
-        both = ours.alias("a").join(theirs.alias("b"), ["word", "kind"])
-        fits = _fits("a.n", "a.p", "b.n", "b.p", ("a.b0", "a.b1"), ("b.b0", "b.b1"))
-        return both.where(earlier & fits).select(F.col("a.sid").alias("sid"), F.col("b.sid").alias("other"))
-
-    meet = meet_in(plain, plain).union(meet_in(busy.join(gone, "sid", "left_anti"), busy)).distinct()
-    more = _similar(meet, classes, docs, level).select("sid").distinct()
-    gone = gone.union(more).distinct().withColumn("again", F.lit(True))
-
-    # A line that opens its class stays unless the class resembles an earlier one; all others go. A class
-    # may hold a third of all lines, so its fate goes to the salted pairs that occur.
-    fate = classes.select("sid", F.struct("d", "line_no", "uid").alias("f")).join(gone, "sid", "left")
-    salted = every.select("sid", "uid", "d", "line_no").withColumn("_salt", F.pmod(F.xxhash64("uid", "line_no"), F.lit(64)))
-    per = salted.select("sid", "_salt").distinct().join(fate, "sid")
-    told = salted.join(per, ["sid", "_salt"]).where(F.coalesce("again", F.lit(False)) | (F.struct("d", "line_no", "uid") != F.col("f")))
-    return told.select("uid", F.when(F.col("d") != -(2**63), F.col("d")).alias("doc_id"), "line_no")
+    return _removals(numbered(docs.select("doc_id", "text")), "uid")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines of ``removals``, in the same columns; n_chars, where there is
-    one, is counted anew. A document that loses all its lines with words goes. ``docs`` must be a stored table."""
-    lost = removals(docs).groupBy("uid").agg(F.collect_set("line_no").alias("__lost")).withColumnRenamed("uid", "__row")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id()).join(lost, "__row", "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__lost", i), x)), lambda x: x.isNotNull()), "\n")
-    out = numbered.withColumn("text", F.when(F.col("__lost").isNull(), F.col("text")).otherwise(kept))
-    out = out.where(F.col("__lost").isNull() | F.col("text").rlike(WORD)).drop("__lost", "__row")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    one, is counted anew. A document that loses all its lines with words goes; one that loses none stays as it
+    is, also without text. Columns other than doc_id, text and n_chars are handed on."""
+    row, lost = (fresh(docs, x) for x in ("row", "lost"))
+    stored = numbered(docs, row)
+    gone = _removals(stored, row).groupBy(F.col("uid").alias(row)).agg(F.collect_set("line_no").alias(lost))
+    out = stored.join(gone, row, "left")
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(~F.array_contains(lost, i), x))
+    kept = F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n")
+    out = out.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept))
+    out = out.where(F.col(lost).isNull() | F.col("text").rlike(WORD))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+#: All pairs of different lines that share a word; for small tables.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS s FROM l),
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY min((coalesce(doc_id, -9223372036854775808), line_no))) AS id, s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+w AS (SELECT id, n, unnest(s) AS word FROM c),
+p AS (SELECT a.id, a.n + b.n AS size, count(*) AS common FROM w a JOIN w b ON a.word = b.word AND b.id < a.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n + b.n),
+g AS (SELECT DISTINCT id FROM p WHERE 9 * common >= 4 * size),
+f AS (SELECT doc_id, line_no, s, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, line_no) AS place FROM s WHERE len(s) > 0)
+SELECT f.doc_id, CAST(f.line_no AS INT) AS line_no FROM f JOIN c ON c.s = f.s LEFT JOIN g ON g.id = c.id WHERE f.place > 1 OR g.id IS NOT NULL
+"""
