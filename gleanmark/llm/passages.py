@@ -1,8 +1,9 @@
 """Passages that repeat across documents.
 
-Paragraphs come in two grains. Lines of more than 50 words are banded by MinHash: bands are tuned for a
-wanted recall at the similarity limit, colliding lines are verified by exact Jaccard similarity and
-clustered by components. And as a repeat needn't begin or end with a line, every document is also cut
+Paragraphs come in two grains. Lines of more than 50 words, and wherever lines are shorter, overlapping
+runs of successive lines of more than 50 words, are banded by MinHash: bands are tuned for a wanted recall at
+the similarity limit, colliding paragraphs are verified by exact Jaccard similarity and clustered by
+components. And as a repeat needn't begin or end with a line, every document is also cut
 into overlapping paragraphs of 25 words that begin where the MinHash of 22 successive shingles of five
 words lies: two documents that share more than 50 words in a row have one of these in common for
 certain. All windows of 51 words whose paragraphs collide are then told the first and the last document
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import FILTER_BITS, bit_filter, materialise, passes, salted_join
+from gleanmark.llm.common import FILTER_BITS, bit_filter, materialise, numbered, passes, salted_join
 from gleanmark.llm.components import components
 from gleanmark.llm.neardup import link
 from gleanmark.llm.textvec import Words, chunks, mix, shingles, word_hashes, words
@@ -72,7 +73,7 @@ def _hash_of(hashes: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """uid and key (hash of all 25 words) of the paragraphs of each row."""
+    """uid and key (hash of all 25 words) of the paragraphs of each row of ``docs`` (uid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,11 +81,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 *_, owner, _, key = _paragraphs(words(batch["text"].slice(start, end - start)))
                 yield pa.record_batch([batch["uid"].slice(start, end - start).take(pa.array(owner)), pa.array(key.view(np.int64))], names=["uid", "key"])
 
-    return _numbered(docs).mapInArrow(run, "uid long, key long")
-
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"))
+    return docs.select("uid", "text").mapInArrow(run, "uid long, key long")
 
 
 def windows(docs: DataFrame, least: int) -> DataFrame:
@@ -124,7 +121,7 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
                 salt = np.where(often[lowest[g]], uid.to_numpy() & 63, -1)
                 yield pa.record_batch([uid, pa.array(at.astype(np.int32)), pa.array(window.view(np.int64)), pa.array(salt.astype(np.int8))], names=["uid", "at", "window", "salt"])
 
-    return _numbered(docs).mapInArrow(run, "uid long, at int, window long, salt byte")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, at int, window long, salt byte")
 
 
 def _pieces(least: int):
@@ -163,7 +160,7 @@ def _pieces(least: int):
 
 
 def exact(docs: DataFrame, least: int = 51) -> DataFrame:
-    """Runs of at least ``least`` words that another document has too: uid, s, e (words), mark (a
+    """Runs of at least ``least`` words of ``docs`` (uid, text) that another document has too: uid, s, e (words), mark (a
     number that the run's cluster shares) and removed (an earlier document has them).
 
     Every window of ``least`` words is held against its first and last document, so that no pairs are
@@ -176,8 +173,11 @@ def exact(docs: DataFrame, least: int = 51) -> DataFrame:
     hot = every.where("salt >= 0")
     part = hot.groupBy("window", "salt").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.min_by("at", "uid").alias("lo_at"))
     whole = part.groupBy("window").agg(F.min("lo").alias("low"), F.max("hi").alias("high"), F.min_by("lo_at", "lo").alias("low_at")).where("low <> high")
-    known = part.select("window", "salt").join(whole.drop("high"), "window")
-    met = met.unionByName(hot.join(known, ["window", "salt"]).select("uid", "at", "low", "low_at"))
+    known = part.select("window", "salt").join(whole.drop("high"), "window").select("window", "salt", F.lit(None).cast("long").alias("uid"), F.lit(None).cast("int").alias("at"), "low", "low_at")
+    members = hot.select("window", "salt", "uid", "at", F.lit(None).cast("long").alias("low"), F.lit(None).cast("int").alias("low_at"))
+    salted = W.partitionBy("window", "salt")
+    told = members.unionByName(known).select("uid", "at", F.max("low").over(salted).alias("low"), F.max("low_at").over(salted).alias("low_at"))
+    met = met.unionByName(told.where("uid is not null and low is not null"))
     met = met.repartition("uid").sortWithinPartitions("uid", "at")
     piece = materialise(met.mapInArrow(_pieces(least), "uid long, s int, e int, removed boolean, low long, low_at int"), "pieces")
     runs = piece.select("uid", "s", "e", "removed").distinct()
@@ -193,8 +193,8 @@ def exact(docs: DataFrame, least: int = 51) -> DataFrame:
 
 
 def near(docs: DataFrame, limit: tuple[int, int] = (80, 100), least: int = 51) -> DataFrame:
-    """Lines of at least ``least`` words that resemble a line of another document: uid, s, e, mark, removed."""
-    stored = materialise(_long_lines(docs, least).withColumn("doc_id", F.monotonically_increasing_id()), "lines")
+    """Paragraphs of ``docs`` (uid, text) that resemble one of another document: uid, s, e, mark, removed."""
+    stored = materialise(paragraphs(docs, least).withColumn("doc_id", F.monotonically_increasing_id()), "paragraphs")
     linked = link(stored.select("doc_id", "text"), limit, SHINGLE, bands=bands_for(limit[0] / limit[1]), fine=64)
     groups = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     member = linked.join(groups, "component_id").select("doc_id", "component_id")
@@ -204,33 +204,51 @@ def near(docs: DataFrame, limit: tuple[int, int] = (80, 100), least: int = 51) -
     return met.select("uid", "s", (F.col("s") + F.col("n")).alias("e"), F.col("component_id").alias("mark"), (F.col("uid") != F.col("low")).alias("removed"))
 
 
-def _long_lines(docs: DataFrame, least: int) -> DataFrame:
-    """uid, s (words of the row before the line), n (words) and text of all lines of at least ``least`` words."""
+def paragraphs(docs: DataFrame, least: int) -> DataFrame:
+    """uid, s (words of the row before the paragraph), n (words) and text of the paragraphs of ``docs`` (uid, text).
+
+    A line of at least ``least`` words is one. From each shorter line on, as many of the lines after it as
+    make up ``least`` words are one too, unless a long line or one without words comes first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end in chunks(batch["text"]):
-                lists = pc.split_pattern(pc.fill_null(batch["text"].slice(start, end - start), ""), "\n")
+                text = pc.fill_null(batch["text"].slice(start, end - start), "")
+                lists = pc.split_pattern(text, "\n")
                 line, owner = pc.list_flatten(lists), pc.list_parent_indices(lists).to_numpy()
                 n = words(line).counts
                 before = np.cumsum(n) - n
-                first = np.searchsorted(owner, np.arange(end - start))
-                s = before - before[first][owner]
-                keep = np.flatnonzero(n >= least)
-                yield pa.record_batch([batch["uid"].slice(start, end - start).take(pa.array(owner[keep])), pa.array(s[keep].astype(np.int32)), pa.array(n[keep].astype(np.int32)), line.take(pa.array(keep))], names=["uid", "s", "n", "text"])
-
-    return _numbered(docs).mapInArrow(run, "uid long, s int, n int, text string")
+                s = before - before[np.searchsorted(owner, np.arange(end - start))][owner]
+                # The last line of each paragraph is the first by which there are enough words.
+                last = np.searchsorted(before + n, before + least)
+                cut = (n == 0) | (n >= least) | np.append(owner[1:] != owner[:-1], True)
+                stop = np.flatnonzero(cut)
+                # A short line's run ends before the next long or empty line, or with its row's last line.
+                limit = stop[np.searchsorted(stop, np.arange(len(n)))]
+                limit = np.where((n[limit] == 0) | (n[limit] >= least), limit - 1, limit)
+                first = np.flatnonzero((n >= least) | ((n > 0) & (last <= limit)))
+                last = np.where(n[first] >= least, first, last[first])
+                # Lines of a row lie one after the other, a line feed between them.
+                size = pc.binary_length(line).to_numpy().astype(np.int64)
+                stops = np.cumsum(size + 1) - 1
+                data = "\n".join(line.to_pylist()).encode()
+                parts = pa.array([data[a:b] for a, b in zip((stops - size)[first].tolist(), stops[last].tolist(), strict=True)], pa.binary()).cast(pa.string())
+                many = (before + n)[last] - before[first]
+                yield pa.record_batch([batch["uid"].slice(start, end - start).take(pa.array(owner[first])), pa.array(s[first].astype(np.int32)), pa.array(many.astype(np.int32)), parts], names=["uid", "s", "n", "text"])
+
+    return docs.select("uid", "text").mapInArrow(run, "uid long, s int, n int, text string")
 
 
 def repeats(docs: DataFrame, limit: tuple[int, int] = (80, 100), least: int = 51) -> DataFrame:
     """One row for each passage of ``docs`` (doc_id, text) that repeats across documents.
 
-    doc_id, start and stop (words, from 0, stop excluded), kind (run or line), cluster and removed: all but
+    doc_id, start and stop (words, from 0, stop excluded), kind (run or line, a paragraph), cluster and removed: all but
     the passages of a cluster's first document go. Documents without such a passage have no row.
     Documents follow one another in the order of the stored table. Null or short texts, of fewer words
     than ``least``, have none; rows that repeat are documents of their own. A cluster's number means nothing else.
     """
-    found = exact(docs, least).withColumn("kind", F.lit("run")).unionByName(near(docs, limit, least).withColumn("kind", F.lit("line")))
+    stored = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    found = exact(stored, least).withColumn("kind", F.lit("run")).unionByName(near(stored, limit, least).withColumn("kind", F.lit("line")))
     whole = found.groupBy("uid", "s", "e", "kind").agg(F.min("mark").alias("cluster"), F.max("removed").alias("removed"))
-    ids = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"))
-    return whole.join(ids, "uid").select("doc_id", F.col("s").cast("long").alias("start"), F.col("e").cast("long").alias("stop"), "kind", "cluster", "removed")
+    return whole.join(stored.select("uid", "doc_id"), "uid").select("doc_id", F.col("s").cast("long").alias("start"), F.col("e").cast("long").alias("stop"), "kind", "cluster", "removed")
