@@ -24,6 +24,8 @@ CELL_BITS = 17
 #: Pairs of words of which the rarer one stands in more lines have their groups salted. Groups of other
 #: pairs can't have more members than that.
 HOT = 4096
+#: How far before a line, in each of its groups, those stand that it is held against first.
+BEFORE = (1, 2, 3, 4, 6, 9, 14, 22)
 
 
 def _words(line: Column) -> Column:
@@ -96,7 +98,7 @@ def _fits(ours: str, theirs: str) -> Column:
 
 def _shared(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Posts whose key another line has, with first (whether they are the earliest of their group), members (their
-    number) and earlier: of the earliest and the two before each, the cids of those that fit. And the stored table
+    number) and earlier: of the earliest and some before each, the cids of those that fit. And the stored table
     that they are read from.
 
     Only keys whose rarer word is frequent can have large groups; these are dealt out by a salt and
@@ -110,11 +112,12 @@ def _shared(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     own = F.struct("cid", "told")
     near = near.withColumn("h", F.first(F.struct("d", "cid", "told")).over(whole)).withColumn("l", F.last("told").over(whole)).withColumn("members", F.count(F.lit(1)).over(whole))
-    near = near.withColumn("one", F.lag(own).over(by)).withColumn("two", F.lag(own, 2).over(by))
+    places = [f"before{k}" for k in BEFORE]
+    near = near.select("*", *[F.lag(own, k).over(by).alias(x) for k, x in zip(BEFORE, places, strict=True)])
     # Two lines alone with a key, which don't fit, need it no more.
     near = near.where((F.col("salt") > 0) | (F.col("members") > 2) | _fits("h.told", "l"))
     fits = lambda x: F.when((F.col("cid") != F.col(f"{x}.cid")) & _fits("told", f"{x}.told"), F.col(f"{x}.cid"))
-    earlier = F.array_distinct(F.array_compact(F.array(fits("h"), fits("one"), fits("two"))))
+    earlier = F.array_distinct(F.array_compact(F.array(fits("h"), *map(fits, places))))
     first = F.col("cid") == F.col("h.cid")
     near = near.select("key", "salt", "cid", "d", "told", "members", first.alias("first"), F.when(F.size(earlier) > 0, earlier).alias("earlier"), F.when(F.col("salt") > 0, F.col("h")).alias("h"))
     near = materialise(near, "shared")

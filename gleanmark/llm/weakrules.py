@@ -176,4 +176,5 @@ def keep(docs: DataFrame, rules: list[Rule] | None = None, least: float = 0.5) -
     row = fresh(docs, "row")
     stored = numbered(docs, row)
     verdicts = judge(stored.select(F.col(row).alias("doc_id"), "text"), rules, least)
-    return stored.join(verdicts.where("kept").select(F.col("doc_id").alias(row)), row, "left_semi").select(*docs.columns)
+    kept = verdicts.where("kept").select(F.col("doc_id").alias(row))
+    return stored.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
