@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,16 +20,19 @@ FACETS = (("mechanism", 0.15), ("moderator", 0.20), ("boundary", 0.20), ("measur
 PROPAGATING = ("ABSTRACTS_FROM", "DERIVES_FROM", "HAS_SCOPED_INSTANCE")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` under ``spark.checkpoint.dir`` and read it back, so that rounds don't pile up lineage. Only in
-    local mode, where there are no other machines, may the setting be absent."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, name: str = "round") -> str:
+    """A new path under ``spark.checkpoint.dir``. Only in local mode, where there are no other machines, may the setting be absent."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = os.path.join(tempfile.gettempdir(), "gleanmark-rounds")
-    path = f"{root.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a path of ``scratch`` and read it back, so that rounds don't pile up lineage."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from gleanmark.plans import catalog, upkeep  # noqa: F401
+import __spark_entry__  # noqa: F401  (registers all queries)
+from gleanmark.plans import catalog
 
 
 @pytest.fixture(scope="module")
