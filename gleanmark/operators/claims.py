@@ -29,37 +29,93 @@ def verdict(similarity: Column) -> Column:
     return F.when(similarity >= IDENTICAL, "identical").when(similarity >= SIMILAR, "similar").otherwise("new")
 
 
+def keyword_sets(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """key and ks, the keywords of each text in order."""
+    return df.select(F.col(key), F.array_sort(keywords(text)).alias("ks"))
+
+
 def similar(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of ``left`` and ``right`` (as ``keyed``) with a Jaccard similarity of at least 0.45: a, b, similarity.
+    """Pairs of ``left`` (a, ks) and ``right`` (b, ks) with a Jaccard similarity of at least 0.45: a, b, similarity.
 
     Such a pair shares one of the rarest 11/20 (and one) of each side's keywords, so that only these
-    meet; sets are compared for the pairs that pass the length and the positional filter.
+    meet; sets are compared for the pairs that pass the length and the positional filter. A set stays one array in
+    order of rarity, of which the prefix is a slice.
     """
-    often = left.select("k").unionByName(right.select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("often"))
+    words = lambda rows, key: rows.select(key, F.explode("ks").alias("k"))
+    often = stored(words(left, a).select("k").unionByName(words(right, b).select("k")).groupBy("k").agg(F.count(F.lit(1)).alias("often")))
 
-    def prefix(rows: DataFrame, key: str) -> DataFrame:
-        place = F.row_number().over(W.partitionBy(key).orderBy("often", "k")) - 1
-        return rows.join(often, "k").withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * 9 / 20))
+    def ordered(rows: DataFrame, key: str, name: str) -> DataFrame:
+        told = words(rows, key).join(often, "k").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("often", "k"))).alias(name))
+        return stored(told.select(key, F.col(f"{name}.k").alias(name)))
 
-    x = prefix(left, a).select(a, F.col("n").alias("n_a"), F.col("p").alias("p_a"), "k")
-    y = prefix(right, b).select(b, F.col("n").alias("n_b"), F.col("p").alias("p_b"), "k")
+    def prefix(rows: DataFrame, key: str, name: str, side: str) -> DataFrame:
+        n = F.size(name)
+        return rows.select(key, n.alias(f"n_{side}"), F.posexplode(F.slice(name, F.lit(1), n - F.ceil(n * 9 / 20).cast("int") + 1)).alias(f"p_{side}", "k"))
+
+    sets_a, sets_b = ordered(left, a, "ks_a"), ordered(right, b, "ks_b")
+    x, y = prefix(sets_a, a, "ks_a", "a"), prefix(sets_b, b, "ks_b", "b")
     long = 20 * F.least("n_a", "n_b") >= 9 * F.greatest("n_a", "n_b")
     near = 29 * F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) >= 9 * (F.col("n_a") + F.col("n_b"))
     # The first keyword that two sets share has the smallest places; a later one may fail where the first passes.
-    pairs = stored(x.join(y, "k").where(long & near).select(a, b).distinct())
-    sets = lambda rows, key, name: rows.groupBy(key).agg(F.collect_set("k").alias(name))
-    both = pairs.join(sets(left.join(pairs, a, "left_semi"), a, "ks_a"), a).join(sets(right.join(pairs, b, "left_semi"), b, "ks_b"), b)
+    pairs = x.join(y, "k").where(long & near).select(a, b).distinct()
+    both = pairs.join(sets_a, a).join(sets_b, b)
     shared = F.size(F.array_intersect("ks_a", "ks_b"))
     return both.select(a, b, (shared / (F.size("ks_a") + F.size("ks_b") - shared)).alias("similarity")).where(F.col("similarity") >= SIMILAR)
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The most similar match of each claim, equals by match_id."""
+    best = pairs.groupBy("claim_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match_id")).alias("r"))
+    return best.select("claim_id", "r.match_id", (-F.col("r.s")).alias("similarity"))
+
+
+def _told(new: DataFrame, best: DataFrame) -> DataFrame:
+    out = new.select("claim_id").join(best, "claim_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    return out.select("claim_id", "match_id", F.round("similarity", 6).alias("similarity"), verdict(F.col("similarity")).alias("verdict"))
+
+
 def duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     """The most similar known claim of each new one (claim_id, statement in both): Jaccard similarity of keywords,
     equals by claim_id. A claim that resembles none by 0.45 is new, with no match and similarity 0."""
-    pairs = similar(keyed(new, "claim_id", F.col("statement")), keyed(known.withColumnRenamed("claim_id", "match_id"), "match_id", F.col("statement")), "claim_id", "match_id")
-    best = pairs.groupBy("claim_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match_id")).alias("r")).select("claim_id", "r.match_id", (-F.col("r.s")).alias("similarity"))
-    out = new.select("claim_id").join(best, "claim_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
-    return out.select("claim_id", "match_id", F.round("similarity", 6).alias("similarity"), verdict(F.col("similarity")).alias("verdict"))
+    told = lambda df, name: keyword_sets(df.withColumnRenamed("claim_id", name), name, F.col("statement"))
+    return _told(new, _best(similar(told(new, "claim_id"), told(known, "match_id"), "claim_id", "match_id")))
+
+
+def registered(new: DataFrame, known: DataFrame) -> DataFrame:
+    """The verdicts of ``duplicates`` as if the new claims (claim_id, place, statement) came one by one, in order of place (unique), and each that
+    isn't identical to a claim before it were known to those after it: claim_id, match_id, similarity, verdict.
+
+    Whether a claim is accepted hangs on the accepted ones before it, so that claims are settled in rounds: one all
+    of whose identical forerunners are refused is accepted, one with an accepted forerunner is refused. Claims with equal
+    keyword sets are one until they are told their matches: where the first of them is accepted, it is the match of all
+    others; where it isn't, none is.
+    """
+    sets = stored(keyword_sets(new, "claim_id", F.col("statement")).join(new.select("claim_id", "place"), "claim_id"))
+    some = sets.where(F.size("ks") > 0)
+    lead = stored(some.groupBy("ks").agg(F.min_by(F.struct("claim_id", "place"), "place").alias("r")).select("ks", F.col("r.claim_id").alias("lead"), F.col("r.place").alias("place")))
+    members = stored(some.join(lead.select("ks", "lead"), "ks").select("claim_id", "place", "lead"))
+    outer = stored(similar(lead.select(F.col("lead"), "ks"), keyword_sets(known.withColumnRenamed("claim_id", "match_id"), "match_id", F.col("statement")), "lead", "match_id"))
+    inner = similar(lead.select("lead", "ks"), lead.select(F.col("lead").alias("other"), "ks"), "lead", "other")
+    place = lead.select(F.col("lead").alias("other"), F.col("place").alias("before"))
+    inner = stored(inner.where("lead <> other").join(lead.select("lead", F.col("place").alias("own")), "lead").join(place, "other"))
+    state = outer.where(F.col("similarity") >= IDENTICAL).select("lead").distinct().select("lead", F.lit(False).alias("accepted"))
+    settled = stored(state)
+    # Claims that wait for an identical one before them; all others are accepted.
+    waits = stored(inner.where((F.col("similarity") >= IDENTICAL) & (F.col("before") < F.col("own"))).select("lead", "other").join(settled, "lead", "left_anti"))
+    free = lead.select("lead").join(settled, "lead", "left_anti").join(waits.select("lead"), "lead", "left_anti")
+    settled = stored(settled.unionByName(free.select("lead", F.lit(True).alias("accepted"))))
+    while waits.take(1):
+        met = waits.join(settled.withColumnRenamed("lead", "other"), "other", "left")
+        now = met.groupBy("lead").agg(F.max(F.coalesce("accepted", F.lit(False))).alias("met"), F.count_if(F.col("accepted").isNull()).alias("open"))
+        fresh = stored(now.where("met or open = 0").select("lead", (~F.col("met")).alias("accepted")))
+        settled = stored(settled.unionByName(fresh))
+        waits = stored(waits.join(fresh, "lead", "left_anti"))
+    taken = settled.where("accepted").select("lead")
+    same = members.where("claim_id <> lead").join(taken, "lead").select("claim_id", F.col("lead").alias("match_id"), F.lit(1.0).alias("similarity"))
+    # A later copy may have nearer ones before it than the first had.
+    near = inner.join(taken.withColumnRenamed("lead", "other"), "other").join(members, "lead").where("before < place").select("claim_id", F.col("other").alias("match_id"), "similarity")
+    far = outer.join(members, "lead").select("claim_id", "match_id", "similarity")
+    return _told(new, _best(same.unionByName(near).unionByName(far)))
 
 
 def attribution(claims: DataFrame, statements: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,15 +67,16 @@ def degree(edges: DataFrame) -> DataFrame:
 
 def distances(seeds: DataFrame, steps: DataFrame, most: int = 10_000) -> DataFrame:
     """Hops from the nearest of ``seeds`` (id) along ``steps`` (src, dst), for all that can be reached."""
-    reached = stored(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
-    frontier, parts = reached, [reached]
-    seen = reached
+    seen = frontier = stored(seeds.select("id").distinct().withColumn("hops", F.lit(0)))
+    parts = [seen]
     for hops in range(1, most):
         fresh = frontier.join(steps, frontier["id"] == steps["src"]).select(F.col("dst").alias("id")).distinct()
         frontier = stored(fresh.join(seen.select("id"), "id", "left_anti").withColumn("hops", F.lit(hops)))
         if not frontier.take(1):
             break
         parts.append(frontier)
+        if len(parts) > 8:  # one table again, so that a round reads a few and not one for each round before it
+            parts = [stored(reduce(DataFrame.unionByName, parts))]
         seen = reduce(DataFrame.unionByName, parts)
     return seen
 
@@ -88,24 +90,75 @@ def stale_closure(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, shielded
     return distances(seeds, back).where("hops > 0")
 
 
-def cycles(edges: DataFrame, depth: int = 6) -> DataFrame:
-    """Nodes on a directed structural cycle of at most ``depth`` edges: pairs reached step by step, each pair once."""
-    step = edges.where(F.col("type").isin(*PROPAGATING)).select(F.col("from_node").alias("src"), F.col("to_node").alias("dst")).distinct()
-    # What has no way in or no way out is on no cycle; without it, little is left to walk.
-    for _ in range(depth):
-        ends = step.select(F.col("dst").alias("src")).distinct()
-        step = step.join(ends, "src", "left_semi")
-        step = step.join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        step = stored(step)
-        if not step.take(1):
-            break
-    pairs, walk = step, step
-    for _ in range(depth - 1):
-        if not walk.take(1):
-            break
-        walk = stored(walk.alias("w").join(step.alias("s"), F.col("w.dst") == F.col("s.src")).select(F.col("w.src").alias("src"), F.col("s.dst").alias("dst")).distinct())
-        pairs = pairs.union(walk)
-    return pairs.where("src = dst").select(F.col("src").alias("id")).distinct()
+def _trimmed(step: DataFrame) -> DataFrame:
+    """Edges (src, dst) without what no way leads into or out of, round by round, until all that is left has both."""
+    before, now = -1, -2
+    while before != now:
+        before = now
+        step = step.join(step.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        step = stored(step.join(step.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        now = step.count()
+    return step
+
+
+def _spread(state: DataFrame, step: DataFrame, best: Callable[[str], Column]) -> DataFrame:
+    """``state`` (id, mark), with each id's mark the best of its own and of all that lead to it. A round follows the ids that
+    have changed."""
+    moved = state
+    while moved.take(1):
+        met = moved.join(step, moved["id"] == step["src"]).groupBy(F.col("dst").alias("id")).agg(best("mark").alias("told"))
+        both = state.join(met, "id", "left").withColumn("now", F.coalesce(F.greatest("mark", "told") if best is F.max else F.least("mark", "told"), "mark"))
+        both = stored(both.select("id", "mark", "now"))
+        moved = stored(both.where("now <> mark").select("id", F.col("now").alias("mark")))
+        state = both.select("id", F.col("now").alias("mark"))
+    return state
+
+
+def cycle_components(steps: DataFrame) -> DataFrame:
+    """The vertices of ``steps`` (src, dst) that lie on a directed cycle of any length: id, component (the least id of all that
+    it reaches and that reach it) and size. A vertex with an edge to itself is a cycle of its own.
+
+    What can't be on a cycle is trimmed first. Each vertex then takes the colour of the greatest vertex that leads to it; those
+    of a colour from which its namesake can be reached again are one component. They go, with the edges
+    between different colours, and the rest starts anew. Edges with a null end count for nothing.
+    """
+    steps = stored(steps.where("src is not null and dst is not null").select("src", "dst").distinct())
+    loops = steps.where("src = dst").select(F.col("src").alias("id"))
+    found = []
+    step = _trimmed(steps.where("src <> dst"))
+    while step.take(1):
+        ids = step.select(F.col("src").alias("id")).distinct()
+        colour = stored(_spread(ids.withColumn("mark", F.col("id")), step, F.max))
+        a, b = (colour.select(F.col("id").alias(end), F.col("mark").alias(f"{end}_mark")) for end in ("src", "dst"))
+        inside = stored(step.join(a, "src").join(b, "dst").where("src_mark = dst_mark").select("src", "dst", F.col("src_mark").alias("mark")))
+        # Back from each colour's namesake, inside its colour.
+        members = distances(colour.where("id = mark").select("id"), inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        members = stored(members.select("id").join(colour, "id"))
+        found.append(members)
+        step = _trimmed(inside.join(members.select(F.col("id").alias("src")), "src", "left_anti").join(members.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    alone = loops.select("id", F.col("id").alias("mark"))
+    every = reduce(DataFrame.unionByName, found) if found else alone.limit(0)
+    sizes = every.groupBy("mark").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("size"))
+    # A namesake alone is no cycle.
+    rows = every.join(sizes.where("size > 1"), "mark").select("id", "component", "size")
+    return stored(rows.unionByName(loops.join(rows, "id", "left_anti").select("id", F.col("id").alias("component"), F.lit(1).cast("long").alias("size"))))
+
+
+def witnesses(steps: DataFrame, components: DataFrame) -> DataFrame:
+    """One cycle for each of ``components`` (of ``cycle_components``): component and cycle, the ids of a shortest way from its least id back to
+    itself, joined by ">", equals by their text. A component's walk ends with the round that closes it."""
+    at = components.select("id", "component")
+    inside = stored(steps.select("src", "dst").distinct().join(at.withColumnRenamed("id", "src"), "src").join(at.select(F.col("id").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select("src", "dst", "component"))
+    walk = stored(components.where("id = component").select("component", "id", F.col("id").cast("string").alias("cycle")))
+    seen, closed = walk.select("component", "id"), []
+    while walk.take(1):
+        then = walk.join(inside.withColumnRenamed("src", "id"), ["component", "id"]).groupBy("component", F.col("dst").alias("id")).agg(F.min(F.concat_ws(">", "cycle", F.col("dst").cast("string"))).alias("cycle"))
+        then = stored(then)
+        done = then.where("id = component").select("component", "cycle")
+        closed.append(done)
+        walk = stored(then.join(done.select("component"), "component", "left_anti").join(seen, ["component", "id"], "left_anti"))
+        seen = stored(seen.unionByName(walk.select("component", "id")))
+    return reduce(DataFrame.unionByName, closed) if closed else walk.select("component", "cycle")
 
 
 def best_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3) -> DataFrame:

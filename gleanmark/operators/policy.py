@@ -74,13 +74,27 @@ def usable_nodes(usable: DataFrame) -> DataFrame:
     return usable.select(F.col("node_id").alias("id"), F.col("node_revision").alias("revision")).distinct()
 
 
-def usable_edges(edges: DataFrame, usable: DataFrame) -> DataFrame:
-    """Edges whose two nodes both have a usable claim at the edge's revisions."""
-    live = usable_nodes(usable)
+#: The mark of a guessed edge's rationale, and the state of a review that admits an edge.
+GUESSED, REVIEWED = "[HYP_EDGE]", "validated"
+
+
+def edge_fingerprint() -> Column:
+    """What a review binds an edge to: all of it."""
+    return digest("edge_id", "type", "from_node", "from_revision", "from_claim", "to_node", "to_revision", "to_claim", "rationale", "derivation_ref")
+
+
+def usable_edges(edges: DataFrame, usable: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Edges that every rule admits: no guess, a review (edge_id, status, fingerprint) that validated the edge as it still is, a
+    usable claim at both nodes' revisions, and both of its own claims named and usable. An edge without a review, or
+    with a null anywhere in a rule but its rationale, isn't usable. An edge has one review; of several, one must do."""
+    rows = edges.where(~F.coalesce("rationale", F.lit("")).contains(GUESSED)).withColumn("_mark", edge_fingerprint())
+    good = reviews.where(F.col("status") == REVIEWED).select("edge_id", F.col("fingerprint").alias("_mark"))
+    rows = rows.join(good, ["edge_id", "_mark"], "left_semi")
+    live, claims = usable_nodes(usable), usable.select("claim_id")
     for end in ("from", "to"):
         side = live.select(F.col("id").alias(f"{end}_node"), F.col("revision").alias(f"{end}_revision"))
-        edges = edges.join(side, [f"{end}_node", f"{end}_revision"], "left_semi")
-    return edges
+        rows = rows.join(side, [f"{end}_node", f"{end}_revision"], "left_semi").join(claims.withColumnRenamed("claim_id", f"{end}_claim"), f"{end}_claim", "left_semi")
+    return rows.select(*edges.columns)
 
 
 def approval_violations(nodes: DataFrame, claims: DataFrame, usable: DataFrame, supports: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from gleanmark import tables as T
 from gleanmark.functions import text as X
 from gleanmark.operators import claims as C
-from gleanmark.operators import gaps, graph, planning, policy, quality, retrieval
+from gleanmark.operators import gaps, graph, matching, planning, policy, quality, retrieval
+from gleanmark.operators.graph import stored
 from gleanmark.plans.kg_sql import with_kg
 from gleanmark.sources import notes
 from gleanmark.streaming import log
@@ -151,14 +152,19 @@ def stale_closure(s: SparkSession, d: str) -> DataFrame:
     return graph.stale_closure(edges, nodes, nodes.where("id in ('B-0', 'B-1')"), edges.where("derivation_ref = 'proof'").select(F.col("from_node").alias("id")))
 
 
-@query(with_kg("""step AS (SELECT DISTINCT from_node AS a, to_node AS b FROM kg_edge WHERE type IN ('ABSTRACTS_FROM', 'DERIVES_FROM', 'HAS_SCOPED_INSTANCE')
-UNION SELECT DISTINCT to_node, from_node FROM kg_edge WHERE type = 'ABSTRACTS_FROM' AND derivation_ref = 'proof')
-SELECT DISTINCT x.a AS id FROM step x JOIN step y ON x.b = y.a WHERE y.b = x.a"""))
+@query(with_kg("""step AS (SELECT from_node AS a, to_node AS b FROM kg_edge WHERE type IN ('ABSTRACTS_FROM', 'DERIVES_FROM', 'HAS_SCOPED_INSTANCE')
+UNION SELECT to_node, from_node FROM kg_edge WHERE type = 'ABSTRACTS_FROM' AND derivation_ref = 'proof' UNION SELECT concat('B-', p_partkey % 50), concat('K-', p_partkey) FROM part WHERE p_partkey % 50 < 5),
+out AS (SELECT a FROM step INTERSECT SELECT b FROM step), st AS (SELECT * FROM step WHERE a IN (SELECT a FROM out) AND b IN (SELECT a FROM out)),
+walk AS (SELECT a, b FROM st UNION SELECT w.a, st.b FROM walk w JOIN st ON w.b = st.a),
+c AS (SELECT x.a AS id, least(x.a, min(x.b)) AS component, count(*) AS size FROM walk x JOIN walk y ON x.a = y.b AND x.b = y.a GROUP BY 1)
+SELECT id, component, size FROM c""", recursive=True))
 def cycle_check(s: SparkSession, d: str) -> DataFrame:
-    """The structural edges and, so that there are cycles, the proved ones turned round as well."""
-    edges = T.edges(s, d)
-    turned = edges.where("derivation_ref = 'proof'").select("edge_id", "type", F.col("to_node").alias("from_node"), F.col("to_revision").alias("from_revision"), F.col("from_node").alias("to_node"), F.col("from_revision").alias("to_revision"), "derivation_ref", "confidence")
-    return graph.cycles(edges.unionByName(turned), depth=2)
+    """The structural edges and, so that there are cycles, the proved ones turned round, and some from principles back to parts."""
+    edges = T.edges(s, d).where(F.col("type").isin(*graph.PROPAGATING)).select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"), "derivation_ref", "type")
+    turned = edges.where("derivation_ref = 'proof' and type = 'ABSTRACTS_FROM'").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    k = F.col("p_partkey")
+    back = T.table(s, d, "part").where(k % 50 < 5).select(F.concat(F.lit("B-"), (k % 50).cast("string")).alias("src"), F.concat(F.lit("K-"), k.cast("string")).alias("dst"))
+    return graph.cycle_components(edges.select("src", "dst").unionByName(turned).unionByName(back))
 
 
 @query(with_kg("""walk AS (SELECT id AS start, id, CAST(1 AS DOUBLE) AS confidence, id AS path, 0 AS hops FROM (SELECT DISTINCT id FROM kg_node WHERE layer = 'science') x
@@ -209,20 +215,15 @@ def claim_usable(s: SparkSession, d: str) -> DataFrame:
     return _usable(s, d).select("claim_id", "node_id", "node_revision", "kind", "epistemic_status")
 
 
-CLAIM_EDGES = """ce AS (SELECT DISTINCT concat('e-cc-', c_custkey) AS edge_id, concat('K-', 1 + c_custkey // 5) AS from_node, 1 AS from_revision, concat('K-', 1 + c_custkey // 3) AS to_node, 1 AS to_revision FROM customer),
-un AS (SELECT DISTINCT node_id AS id, node_revision AS revision FROM usable),
-ue AS (SELECT * FROM ce WHERE EXISTS (SELECT 1 FROM un WHERE id = from_node AND revision = from_revision) AND EXISTS (SELECT 1 FROM un WHERE id = to_node AND revision = to_revision))"""
-
-
-def _claim_edges(s: SparkSession, d: str) -> DataFrame:
-    k = F.col("c_custkey")
-    node = lambda by: F.concat(F.lit("K-"), F.expr(f"1 + c_custkey div {by}").cast("string"))
-    return T.table(s, d, "customer").select(F.concat(F.lit("e-cc-"), k.cast("string")).alias("edge_id"), node(5).alias("from_node"), F.lit(1).alias("from_revision"), node(3).alias("to_node"), F.lit(1).alias("to_revision"))
+CLAIM_EDGES = """un AS (SELECT DISTINCT node_id AS id, node_revision AS revision FROM usable),
+ue AS (SELECT e.* FROM kg_claim_edge e JOIN kg_edge_review r ON r.edge_id = e.edge_id JOIN kg_edge_mark m ON m.edge_id = e.edge_id WHERE coalesce(rationale, '') NOT LIKE '%[HYP_EDGE]%' AND r.status = 'validated' AND r.fingerprint = m.mark
+AND EXISTS (SELECT 1 FROM un WHERE id = from_node AND revision = from_revision) AND EXISTS (SELECT 1 FROM un WHERE id = to_node AND revision = to_revision)
+AND EXISTS (SELECT 1 FROM usable u WHERE u.claim_id = from_claim) AND EXISTS (SELECT 1 FROM usable u WHERE u.claim_id = to_claim))"""
 
 
 @query(with_kg(STRICT + ",\n" + CLAIM_EDGES + "\nSELECT edge_id, from_node, to_node FROM ue"))
 def edge_usable(s: SparkSession, d: str) -> DataFrame:
-    return policy.usable_edges(_claim_edges(s, d), _usable(s, d)).select("edge_id", "from_node", "to_node")
+    return policy.usable_edges(T.claim_edges(s, d), _usable(s, d), T.edge_reviews(s, d)).select("edge_id", "from_node", "to_node")
 
 
 @query(with_kg(LOOSE + """,
@@ -242,8 +243,8 @@ SELECT n.id, n.revision, coalesce(ori.n, 0) AS independent_evidence, coalesce(en
 FROM kg_node n LEFT JOIN cl ON cl.id = n.id AND cl.revision = n.revision LEFT JOIN ori ON ori.id = n.id AND ori.revision = n.revision LEFT JOIN ends ON ends.id = n.id WHERE n.status = 'proposed'""").replace("coalesce(cl.n, 0) > 0 AND cl.ok = cl.n", "coalesce(cl.n, 0) > 0 AND coalesce(cl.ok, 0) = coalesce(cl.n, 0)"))
 def promotion(s: SparkSession, d: str) -> DataFrame:
     usable = _usable(s, d, False)
-    edges = _claim_edges(s, d)
-    return policy.promotion(T.nodes(s, d), T.claims(s, d), usable, edges, policy.usable_edges(edges, usable), T.supports(s, d), policy.confirmed(T.lineage(s, d), T.evidence(s, d)))
+    edges = T.claim_edges(s, d)
+    return policy.promotion(T.nodes(s, d), T.claims(s, d), usable, edges, policy.usable_edges(edges, usable, T.edge_reviews(s, d)), T.supports(s, d), policy.confirmed(T.lineage(s, d), T.evidence(s, d)))
 
 
 @query(with_kg("SELECT id, revision, status FROM kg_node QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC) = 1"))
@@ -396,8 +397,7 @@ cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 def _near(s: SparkSession, d: str) -> DataFrame:
     vectors = T.table(s, d, "embeddings")
-    scored = retrieval.cosine(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
-    return retrieval.top(scored.withColumn("score", F.round("score", 6)), "vec_id", 30, ascending=False)
+    return retrieval.nearest(vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 30)
 
 
 @query("WITH " + COSINE + "\nSELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM cr WHERE rank < 30")
@@ -420,19 +420,44 @@ def rrf_hybrid(s: SparkSession, d: str) -> DataFrame:
     return _hybrid(s, d).withColumn("score", F.round("score", 6))
 
 
-@query(with_kg(STRICT + ",\n" + HYBRID + """,
-top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS place FROM hy) x WHERE place <= 6)
-SELECT t.query_id, CAST(place AS INT) AS place, t.doc_id, n.id AS node_id, n.revision, u.claim_id IS NOT NULL AS usable, s.evidence_id, e.reliability_grade FROM top t JOIN kg_claim c ON c.doc_id = t.doc_id
-JOIN (SELECT * FROM kg_node QUALIFY row_number() OVER (PARTITION BY id ORDER BY revision DESC) = 1) n ON n.id = c.node_id LEFT JOIN usable u ON u.claim_id = c.claim_id
-LEFT JOIN kg_support s ON s.target_claim = c.claim_id LEFT JOIN kg_evidence e ON e.evidence_id = s.evidence_id"""))
+NESTED = HYBRID.replace("""FROM br WHERE rank < 30""", """FROM br WHERE rank < 30 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""").replace("""FROM cr WHERE rank < 30)""", """FROM cr WHERE rank < 30 AND vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))""") + """,
+l1 AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY round(max(score), 9) DESC, node_id) - 1 AS rank FROM hy JOIN kg_claim c ON c.doc_id = hy.doc_id GROUP BY 1, 2),
+rt AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark WHERE item_id % 100 = 0),
+hs AS (SELECT u.node_id, lower(concat(u.statement, ' data of ', n.title, ' ', u.node_id)) AS h FROM usable u JOIN kg_node n ON n.id = u.node_id AND n.revision = u.node_revision),
+th AS (SELECT query_id, node_id, count(*) AS score FROM hs JOIN rt ON contains(h, term) GROUP BY 1, 2),
+l2 AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) - 1 AS rank FROM th),
+ns AS (SELECT query_id, node_id, sum(1e0 / (61 + rank)) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) x GROUP BY 1, 2),
+six AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) AS place FROM ns QUALIFY place <= 6),
+lr AS (SELECT id, max(revision) AS revision FROM kg_node GROUP BY 1)"""
+
+
+@query(with_kg(STRICT + ",\n" + NESTED + """
+SELECT six.query_id, CAST(place AS INT) AS place, six.node_id, lr.revision, u.claim_id, s.evidence_id, e.reliability_grade FROM six JOIN lr ON lr.id = six.node_id JOIN usable u ON u.node_id = six.node_id AND u.node_revision = lr.revision
+LEFT JOIN (SELECT s.* FROM kg_support s JOIN v ON v.claim_id = s.target_claim JOIN kg_audit_evidence x ON x.id = v.id AND x.evidence_id = s.evidence_id) s ON s.target_claim = u.claim_id AND s.target_node = six.node_id AND s.target_revision = lr.revision
+LEFT JOIN kg_evidence e ON e.evidence_id = s.evidence_id"""))
 def hybrid_trace(s: SparkSession, d: str) -> DataFrame:
-    """The flagship: lexical and vector ranks fused, the first six of each query traced to claims, latest nodes and evidence."""
-    best = retrieval.top(_hybrid(s, d).withColumn("score", F.round("score", 6)), "doc_id", 6, ascending=False)
-    hits = best.select("query_id", (F.col("rank") + 1).cast("int").alias("place"), "doc_id", F.concat(F.lit("C-"), F.col("doc_id").cast("string")).alias("claim_id"))
-    latest = policy.lookup_latest_revision(T.nodes(s, d)).select(F.col("id").alias("node_id"), "revision")
-    traced = hits.join(T.claims(s, d).select("claim_id", "node_id"), "claim_id").join(latest, "node_id").join(_usable(s, d).select("claim_id", F.lit(True).alias("u")), "claim_id", "left")
-    proof = T.supports(s, d).select(F.col("target_claim").alias("claim_id"), "evidence_id").join(T.evidence(s, d).select("evidence_id", "reliability_grade"), "evidence_id", "left")
-    return traced.join(proof, "claim_id", "left").select("query_id", "place", "doc_id", "node_id", "revision", F.coalesce("u", F.lit(False)).alias("usable"), "evidence_id", "reliability_grade")
+    """The flagship: ranks by words and by vectors fused, and fused again with the hits of the query's words in usable claims. The
+    first six nodes are traced, where they are usable, to their usable claims and the evidence that these were audited with."""
+    docs = T.table(s, d, "documents")
+    bad = T.table(s, d, "labels").where("quality = 0").select("doc_id")
+    lexical = retrieval.top(retrieval.bm25(docs, "doc_id", {"text": 1.0}, _asked(s, d)).withColumn("score", F.round("score", 6)), "doc_id", 30)
+    lists = [x.join(bad, "doc_id", "left_anti") for x in (lexical, _near(s, d).withColumnRenamed("vec_id", "doc_id"))]
+    told = stored(_usable(s, d))
+    claims = T.claims(s, d).select(F.expr("cast(substr(claim_id, 3) as long)").alias("doc_id"), "node_id")
+    notes_ = retrieval.rrf(lists, "doc_id").join(claims, "doc_id").groupBy("query_id", "node_id").agg(F.max("score").alias("score"))
+    asked = _asked(s, d).select("query_id", F.explode(X.tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    data = T.nodes(s, d).select(F.col("id").alias("node_id"), F.col("revision").alias("node_revision"), "data")
+    haystack = F.lower(F.concat_ws(" ", "statement", "data", "node_id"))
+    hits = matching.term_scores(told.join(data, ["node_id", "node_revision"]), "node_id", haystack, asked)
+    nested = retrieval.rrf([retrieval.reranked(notes_, "node_id"), retrieval.reranked(hits, "node_id")], "node_id")
+    best = retrieval.reranked(nested, "node_id").where("rank < 6").select("query_id", (F.col("rank") + 1).alias("place"), "node_id")
+    latest = T.nodes(s, d).groupBy(F.col("id").alias("node_id")).agg(F.max("revision").alias("revision"))
+    traced = best.join(latest, "node_id").join(told.select("node_id", F.col("node_revision").alias("revision"), "claim_id"), ["node_id", "revision"])
+    audits = policy.latest(T.validations(s, d), "claim_id", "id").select("claim_id", "id").join(told.select("claim_id"), "claim_id", "left_semi")
+    seen = audits.join(T.audited_evidence(s, d).select("id", "evidence_id"), "id").select("claim_id", "evidence_id")
+    proof = T.supports(s, d).select(F.col("target_node").alias("node_id"), F.col("target_revision").alias("revision"), F.col("target_claim").alias("claim_id"), "evidence_id").join(seen, ["claim_id", "evidence_id"])
+    proof = proof.join(T.evidence(s, d).select("evidence_id", "reliability_grade"), "evidence_id", "left")
+    return traced.join(proof, ["node_id", "revision", "claim_id"], "left").select("query_id", "place", "node_id", "revision", "claim_id", "evidence_id", "reliability_grade")
 
 
 @query("WITH " + EVERY + ",\n" + SCORED + """,

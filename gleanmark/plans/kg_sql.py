@@ -38,7 +38,16 @@ kg_validation AS (
 kg_audit_evidence AS (
   SELECT id, s.evidence_id, CASE WHEN k % 13 = 6 THEN 'old' ELSE mark END AS fingerprint FROM (SELECT DISTINCT 2 * doc_id + 1 AS id, doc_id AS k, concat('E-', unnest([doc_id // 5, CASE WHEN doc_id % 17 = 4 THEN 0 ELSE doc_id // 5 END])) AS evidence_id FROM labels) s LEFT JOIN kg_emark m ON m.evidence_id = s.evidence_id),
 kg_audit_asset AS (
-  SELECT 2 * doc_id + 1 AS id, CASE WHEN doc_id % 29 = 3 THEN concat('../notes/', doc_id // 5) ELSE concat('notes/', doc_id // 5) END AS path, CASE WHEN doc_id % 23 = 5 THEN 'old' ELSE a.sha256 END AS sha256 FROM labels LEFT JOIN kg_asset a ON a.path = concat('notes/', doc_id // 5))
+  SELECT 2 * doc_id + 1 AS id, CASE WHEN doc_id % 29 = 3 THEN concat('../notes/', doc_id // 5) ELSE concat('notes/', doc_id // 5) END AS path, CASE WHEN doc_id % 23 = 5 THEN 'old' ELSE a.sha256 END AS sha256 FROM labels LEFT JOIN kg_asset a ON a.path = concat('notes/', doc_id // 5)),
+kg_claim_edge AS (
+  SELECT concat('e-cc-', c_custkey) AS edge_id, 'COMPLEMENTS' AS type, concat('K-', 1 + c_custkey // 7) AS from_node, 1 AS from_revision, CASE WHEN c_custkey % 31 <> 5 THEN concat('C-', 3 * (c_custkey // 7) + c_custkey % 3) END AS from_claim,
+  concat('K-', 1 + c_custkey // 5) AS to_node, 1 AS to_revision, CASE WHEN c_custkey % 37 <> 6 THEN concat('C-', 3 * (c_custkey // 5) + (c_custkey // 2) % 3) END AS to_claim,
+  CASE WHEN c_custkey % 13 = 2 THEN '[HYP_EDGE] looks alike' WHEN c_custkey % 13 <> 3 THEN 'both say so' END AS rationale, c_custkey AS k FROM customer),
+kg_edge_review AS (
+  SELECT edge_id, CASE WHEN k % 11 = 3 THEN 'candidate' ELSE 'validated' END AS status,
+  CASE WHEN k % 9 = 4 THEN 'old' ELSE sha256(concat_ws(chr(31), edge_id, type, from_node, from_revision, coalesce(from_claim, chr(30)), to_node, to_revision, coalesce(to_claim, chr(30)), coalesce(rationale, chr(30)), chr(30))) END AS fingerprint FROM kg_claim_edge WHERE k % 17 <> 6),
+kg_edge_mark AS (
+  SELECT edge_id, sha256(concat_ws(chr(31), edge_id, type, from_node, from_revision, coalesce(from_claim, chr(30)), to_node, to_revision, coalesce(to_claim, chr(30)), coalesce(rationale, chr(30)), chr(30))) AS mark FROM kg_claim_edge)
 """
 
 

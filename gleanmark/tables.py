@@ -169,3 +169,30 @@ def audited_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = table(spark, sf_dir, "labels").select((2 * k + 1).alias("id"), k, F.concat(F.lit("notes/"), F.expr("doc_id div 5").cast("string")).alias("path"))
     met = seen.join(assets(spark, sf_dir), "path", "left")
     return met.select("id", F.when(k % 29 == 3, F.concat(F.lit("../"), F.col("path"))).otherwise(F.col("path")).alias("path"), F.when(k % 23 == 5, F.lit("old")).otherwise(F.col("sha256")).alias("sha256"))
+
+
+def claim_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between claims, some of them guessed, some without a claim at one end."""
+    k = F.col("c_custkey")
+    near, far = F.expr("3 * (c_custkey div 7) + c_custkey % 3"), F.expr("3 * (c_custkey div 5) + (c_custkey div 2) % 3")
+    return table(spark, sf_dir, "customer").select(
+        _id("e-cc-", k).alias("edge_id"),
+        F.lit("COMPLEMENTS").alias("type"),
+        _id("K-", F.expr("1 + c_custkey div 7")).alias("from_node"),
+        F.lit(1).alias("from_revision"),
+        F.when(k % 31 != 5, _id("C-", near)).alias("from_claim"),
+        _id("K-", F.expr("1 + c_custkey div 5")).alias("to_node"),
+        F.lit(1).alias("to_revision"),
+        F.when(k % 37 != 6, _id("C-", far)).alias("to_claim"),
+        F.when(k % 13 == 2, "[HYP_EDGE] looks alike").when(k % 13 != 3, "both say so").alias("rationale"),
+        F.lit(None).cast("string").alias("derivation_ref"),
+    )
+
+
+def edge_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews of claim edges: some are candidates still, some saw another edge, some edges have none."""
+    from gleanmark.operators.policy import edge_fingerprint
+
+    k = F.substring_index("edge_id", "-", -1).cast("long")
+    seen = F.when(k % 9 == 4, F.lit("old")).otherwise(edge_fingerprint())
+    return claim_edges(spark, sf_dir).where(k % 17 != 6).select("edge_id", F.when(k % 11 == 3, "candidate").otherwise("validated").alias("status"), seen.alias("fingerprint"))
