@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegralType, MapType, StringType, StructType
 
 TOKEN = r"[\p{L}\p{N}]+"
 
-#: Words that say nothing about a claim's subject.
+#: Words that say nothing about a claim's subject, frequent words first, then those of all papers.
 STOP_WORDS = (
-    "that this with from have will been were being their there they them then than what when where which while would "
-    "could should about after before between through under over into also each every both such some more most only very "
-    "much many does done make made take taken give given come came goes went said tell told find found know knew known "
-    "show shown showed like used using case well just even still back model result results paper study approach method "
-    "analysis problem based prove proof theorem shows implies condition conditions exist exists existence optimal increase "
-    "increases decrease decreases expected probability function number value values general sufficient necessary unique total"
-).split()
-#: Signs of work by others, and of a quote cut off from what it points to.
-OTHERS_WORK = r"(?i)\b(analy[sz]ed|shown|proved|proposed|introduced)\s+(further\s+)?by\b|\bwho\s+(have\s+)?(shown|proved)\b"
-CUT_OFF = r"(?i)^\s*(this|that|these|those)\s+(method|approach|auction|result|algorithm)"
+    "that", "this", "with", "from", "have", "will", "been", "were", "being",
+    "their", "there", "they", "them", "then", "than", "what", "when", "where",
+    "which", "while", "would", "could", "should", "about", "after", "before",
+    "between", "through", "under", "over", "into", "also", "each", "every",
+    "both", "such", "some", "more", "most", "only", "very", "much", "many",
+    "does", "done", "make", "made", "take", "taken", "give", "given", "come",
+    "came", "goes", "went", "said", "tell", "told", "find", "found", "know",
+    "knew", "known", "show", "shown", "showed", "like", "used", "using",
+    "case", "well", "just", "even", "still", "back",
+    "model", "result", "results", "paper", "study", "approach", "method",
+    "analysis", "problem", "based", "prove", "proof", "theorem", "shows",
+    "implies", "condition", "conditions", "exist", "exists", "existence",
+    "optimal", "increase", "increases", "decrease", "decreases",
+    "expected", "probability", "function", "number", "value", "values",
+    "general", "sufficient", "necessary", "unique", "total",
+)
+#: Signs of work by others, and of a quote cut off from what it points to; both whatever the case.
+OTHERS_WORK = r"(?i)\b(?:analy[sz]ed|shown|proved|proposed|introduced)\s+(?:further\s+)?by\b|\bwho\s+(?:have\s+)?(?:shown|proved)\b"
+CUT_OFF = r"(?i)^\s*(?:this|that|these|those)\s+(?:method|approach|auction|result|algorithm)"
 
 
 def tokens(text: Column) -> Column:
@@ -71,15 +83,133 @@ def section(text: Column, heading: str) -> Column:
     return F.trim(F.regexp_extract(text, rf"(?s)(?:^|\n)## {heading}[ \t]*\n(.*?)(?:\n## |$)", 1))
 
 
-def relations(body: Column) -> Column:
-    """The records of a relation block: each begins with "- to:"; a bad or missing confidence is 0.5."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), body), r"\n- to:"), 2, 1000)
-    value = lambda p, name: F.trim(F.regexp_extract(p, rf"(?m)^\s+{name}:[ \t]*(.*)$", 1))
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_extract(p, "^([^\n]*)", 1)).alias("to"), value(p, "type").alias("type"), F.coalesce(value(p, "confidence").try_cast("double"), F.lit(0.5)).alias("confidence"), value(p, "epistemic_status").alias("epistemic_status")))
+RELATION = "struct<to:string,type:string,confidence:double,epistemic_status:string,note:string>"
+
+
+def relations(text: Column) -> Column:
+    """The records of the Relations section of a note, by a fold over its lines: "- to:" opens a record and ends the one before, and the
+    lines after it fill its fields; other lines count for nothing. A bad confidence is 0.5, one that isn't there null;
+    a field before any "- to:" makes a record without one. The last of repeated fields wins."""
+    block = F.regexp_extract(text, r"(?s)##\s+Relations\s*\n(.*?)(?=\n##\s|\z)", 1)
+    lines = F.transform(F.split(F.trim(block), r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    none, no_records = F.lit(None).cast(RELATION), F.array().cast(f"array<{RELATION}>")
+    fields = ("to", "type", "confidence", "epistemic_status", "note")
+
+    def on(state: Column, line: Column) -> Column:
+        now, value = state["now"], F.regexp_replace(F.regexp_extract(line, r"(?s)^[^:]*:(.*)$", 1), r"^\s+|\s+$", "")
+        number = F.when(value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), value.try_cast("double"))
+        told = {"type": value, "confidence": F.coalesce(number, F.lit(0.5)), "epistemic_status": value, "note": F.regexp_replace(value, '^"+|"+$', "")}
+        filled = lambda name: F.struct(*[(told[f] if f == name else now[f]).alias(f) for f in fields])
+        opened = F.struct(value.alias("to"), *[F.lit(None).cast("double" if f == "confidence" else "string").alias(f) for f in fields[1:]])
+        done = F.when(line.startswith("- to:") & now.isNotNull(), F.concat(state["done"], F.array(now))).otherwise(state["done"])
+        then = F.when(line.startswith("- to:"), opened)
+        for name in fields[1:]:
+            then = then.when(line.startswith(f"{name}:"), filled(name))
+        return F.struct(done.alias("done"), then.otherwise(now).cast(RELATION).alias("now"))
+
+    end = lambda state: F.when(state["now"].isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(state["now"])))
+    return F.aggregate(lines, F.struct(no_records.alias("done"), none.alias("now")), on, end)
+
+
+#: The four ways in which a related card may be written, in the order in which they are tried.
+RELATED = (
+    r"^concept_id:\s*(K-\d{4}),?\s*relation_type:\s*(\w+)(?:\s*[—\-（(]\s*(.+?)[\)）]?)?$",
+    r"^(K-\d{4})\s*[（(]([^）)]+)[）)]\s*[:：]\s*(.+)",
+    r"^(K-\d{4})\s*[:：]\s*(.+)",
+    r"^(K-\d{4})\s+([^:：]+)[:：]\s*(.+)",
+)
+
+
+def related(line: Column) -> Column:
+    """The card that a line names, as to, type and note; null for other lines."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"(?U)^\s+|\s+$", ""), "^[- ]+", ""), r"(?U)^\s+|\s+$", "")
+    part = lambda i, g: F.regexp_replace(F.regexp_extract(plain, f"(?U){RELATED[i]}", g), r"(?U)^\s+|\s+$", "")
+    is_ = lambda i: plain.rlike(f"(?U){RELATED[i]}")
+    record = lambda i, kind, note: F.struct(part(i, 1).alias("to"), kind.alias("type"), note.alias("note"))
+    other = F.lit("related")
+    return F.when(is_(0), record(0, part(0, 2), part(0, 3))).when(is_(1), record(1, other, part(1, 3))).when(is_(2), record(2, other, part(2, 2))).when(is_(3), record(3, other, F.concat(part(3, 2), F.lit(" — "), part(3, 3))))
+
+
+def migrated(text: Column) -> Column:
+    """A note of the first schema in the second: its Related Concepts become typed relations, and its header tells the schema. Null
+    where nothing is to be done: for notes without a header, and those that name a schema already."""
+    parts = F.split(text, "---", 3)
+    head, body = F.get(parts, 1), F.get(parts, 2)
+    cut = r"(?s)^(.*?)##\s+Related\s+Concepts\s*\n(.*?)(?=\n##\s|\z)(.*)$"
+    found = F.filter(F.transform(F.split(F.regexp_extract(body, cut, 2), r"\r?\n"), related), lambda r: r.isNotNull())
+    note = lambda r: F.when(r["note"] != "", F.concat(F.lit('  note: "'), r["note"], F.lit('"\n'))).otherwise("")
+    shown = F.transform(found, lambda r: F.concat(F.lit("- to: "), r["to"], F.lit("\n  type: "), r["type"], F.lit("\n  confidence: 0.8\n  epistemic_status: established\n"), note(r), F.lit("\n")))
+    section_ = F.concat(F.lit("## Relations\n\n"), F.when(F.size(found) > 0, F.array_join(shown, "")).otherwise("(なし)\n"))
+    new = F.when(body.rlike(cut), F.concat(F.regexp_extract(body, cut, 1), section_, F.regexp_extract(body, cut, 3))).otherwise(body)
+    header = F.concat(F.regexp_replace(head, r"(?U)\s+$", ""), F.lit("\nschema_version: 2\n"))
+    fits = text.startswith("---") & (F.size(parts) == 3) & ~text.contains("schema_version:")
+    return F.when(fits, F.concat(F.lit("---"), F.when(head.contains("schema_version"), head).otherwise(header), F.lit("---"), new))
+
+
+def facet_view(status: Column, path: Column, definition: Column, deltas: Column, states: Column, context: str) -> Column:
+    """A card as it reads in a context: definition and epistemic_status. ``deltas`` and ``states`` are maps by context; a card that isn't approved, or
+    lies in an inbox, is blank and unverified. A context without its own definition keeps the card's."""
+    blank = ~F.coalesce(status.isin("approved", "accepted"), F.lit(False)) | path.contains("_inbox")
+    told = F.coalesce(F.try_element_at(deltas, F.lit(context)), definition)
+    state = F.coalesce(F.try_element_at(states, F.lit(context)), F.lit("established"))
+    return F.struct(F.when(blank, "").otherwise(told).alias("definition"), F.when(blank, "unverified").otherwise(state).alias("epistemic_status"))
+
+
+def from_positions(index: Column) -> Column:
+    """The text of a map from words to their positions: words in order, one space between them. Positions without a word are
+    passed over; of several words at one position the last in the map stands. A null map gives null, an empty one an empty text."""
+    pairs = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("at"), (-i).alias("i"), e["key"].alias("word")))))
+    # Named by a lambda, so that the sorted pairs are made once and not once for each of them.
+    first = lambda order: F.filter(order, lambda p, i: (i == 0) | (F.get(order, i - 1)["at"] != p["at"]))
+    kept = F.get(F.transform(F.array(F.array_sort(pairs)), first), 0)
+    return F.array_join(F.transform(kept, lambda p: p["word"]), " ")
+
+
+def json_text(value: Column, kind: DataType) -> Column:
+    """``value`` as Python's ``json.dumps(..., ensure_ascii=False, sort_keys=True)`` writes it, of strings, whole numbers, truth values, nulls, and
+    arrays, structs and maps (with string keys) of such; other types raise."""
+    null = F.lit("null")
+    if isinstance(kind, StringType):
+        plain = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+        short = {"\n": "n", "\r": "r", "\t": "t", "\b": "b", "\f": "f"}
+        told = plain
+        for code in range(32):
+            escape = f"\\{short[chr(code)]}" if chr(code) in short else f"\\u{code:04x}"
+            told = F.replace(told, F.lit(chr(code)), F.lit(escape))
+        shown = F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), told).otherwise(plain), F.lit('"'))
+    elif isinstance(kind, (IntegralType, BooleanType)):
+        shown = value.cast("string")
+    elif isinstance(kind, ArrayType):
+        shown = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: json_text(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        parts = [F.concat(F.lit(f"{json.dumps(f.name, ensure_ascii=False)}: "), json_text(value[f.name], f.dataType)) for f in fields]
+        shown = F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    elif isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        pair = lambda e: F.concat(json_text(e["key"], kind.keyType), F.lit(": "), json_text(e["value"], kind.valueType))
+        keys = F.array_sort(F.map_keys(value))
+        shown = F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: pair(F.struct(k.alias("key"), value[k].alias("value")))), ", "), F.lit("}"))
+    else:
+        raise TypeError(f"no canonical form of {kind.simpleString()}")
+    return F.coalesce(F.when(value.isNotNull(), shown), null)
+
+
+def json_digest(df: DataFrame, *columns: str) -> Column:
+    """SHA-256 of the columns of ``df`` as one JSON list."""
+    parts = [json_text(F.col(c), df.schema[c].dataType) for c in columns]
+    return F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *parts), F.lit("]")), 256)
+
+
+def salvaged(raw: Column) -> Column:
+    """The JSON in a model's answer, as a VARIANT: what a fenced block holds, or the whole, if it can be parsed; else what stands from the
+    first brace to the last. Null where neither can."""
+    fenced = F.nullif(F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)\s*```", 1), F.lit(""))
+    braced = F.nullif(F.regexp_extract(F.coalesce(fenced, raw), r"(?s)(\{.*\})", 1), F.lit(""))
+    return F.coalesce(F.try_parse_json(F.coalesce(fenced, raw)), F.try_parse_json(braced))
 
 
 def salvage_json(raw: Column) -> Column:
-    """The JSON in a model's answer: a fenced block, or else from the first brace to the last."""
+    """The JSON in a model's answer, as text: a fenced block, or else from the first brace to the last."""
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     return F.when(fenced != "", fenced).otherwise(F.nullif(F.regexp_extract(raw, r"(?s)(\{.*\})", 1), F.lit("")))
 

@@ -138,7 +138,6 @@ def test_text_functions(spark):
     assert row(X.field_id, "Arts & Crafts") == "F-ARTS" and row(X.shorten, "x" * 46) == "x" * 42 + "..."
     assert row(X.front_matter, "---\na: 1\nb-c: two words\na: 3\n---\nbody: 4\n") == {"a": "3", "b-c": "two words"}
     assert row(lambda c: X.section(c, "Two"), "## One\nx\n## Two\ny\nz\n## Three\n") == "y\nz"
-    assert [tuple(r) for r in row(X.relations, "- to: K-1\n  type: part\n  confidence: bad\n- to: K-2\n  confidence: 0.8\n")] == [("K-1", "part", 0.5, ""), ("K-2", "", 0.8, "")]
     assert row(X.salvage_json, 'so:\n```json\n{"a": 1}\n```') == '{"a": 1}' and row(X.salvage_json, "none") is None
 
 
