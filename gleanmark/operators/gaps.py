@@ -80,3 +80,13 @@ def mining_queue(evidence: DataFrame, mined: DataFrame, most: int | None = None)
     """Evidence with a doi: address that hasn't been mined, by id."""
     queue = evidence.where(F.col("source_uri").startswith("doi:")).join(mined.where("state = 'mined'").select("evidence_id"), "evidence_id", "left_anti").orderBy("evidence_id")
     return queue.limit(most) if most else queue
+
+
+def edge_gaps(open_gaps: DataFrame, edges: DataFrame, usable: DataFrame, supports: DataFrame) -> DataFrame:
+    """Open gaps of unverified edges (gap_id, edge_id) with their next state: resolved where the edge is usable and some evidence supports
+    both of its nodes, and these differ; open otherwise, as shared evidence alone verifies no relation."""
+    ends = edges.join(usable.select("edge_id"), "edge_id", "left_semi").where("from_node <> to_node").select("edge_id", "from_node", "to_node")
+    proof = supports.select("evidence_id", "target_node").distinct()
+    one = ends.join(proof.withColumnRenamed("target_node", "from_node"), "from_node").select("edge_id", "to_node", "evidence_id")
+    both = one.join(proof.withColumnRenamed("target_node", "to_node"), ["to_node", "evidence_id"], "left_semi").select("edge_id").distinct()
+    return open_gaps.join(both.withColumn("_m", F.lit(True)), "edge_id", "left").select("gap_id", "edge_id", F.when(F.col("_m"), "resolved").otherwise("open").alias("state"))

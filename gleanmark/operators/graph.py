@@ -161,6 +161,13 @@ def witnesses(steps: DataFrame, components: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, closed) if closed else walk.select("component", "cycle")
 
 
+def followed(relations: DataFrame, context: str = "science") -> DataFrame:
+    """Relations (type, epistemic_status, ...) that inference may follow: approved or verified, not what something emerges from, and
+    in science no analogies."""
+    kept = relations.where(F.col("epistemic_status").isin("approved", "verified") & (F.coalesce("type", F.lit("related")) != "emerges_from"))
+    return kept.where(F.col("epistemic_status") != "analogy") if context == "science" else kept
+
+
 def best_paths(edges: DataFrame, seeds: DataFrame, depth: int = 2, least: float = 0.3) -> DataFrame:
     """The most confident path from each seed to each node, of at most ``depth`` edges: confidence is the
     product along the path and stays at ``least`` or above; equals go by the path's text."""

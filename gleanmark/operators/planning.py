@@ -65,3 +65,31 @@ def live_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for end in ("from", "to"):
         edges = edges.join(live.select(F.col("id").alias(f"{end}_node"), shorten(F.col("title"), 12).alias(f"{end}_label")), f"{end}_node")
     return edges.select("edge_id", "type", "from_node", "to_node", "from_label", "to_label")
+
+
+def coverage(questions: DataFrame, cards: DataFrame) -> DataFrame:
+    """How ready the cards of each question (id, card_id: a row for each expected card) are: ``cards`` (card_id, status, sourced). id and result: gap where
+    a card is missing or without sources, else accepted_ready, revision_required, deferred or draft_only."""
+    met = questions.join(cards, "card_id", "left")
+    told = met.groupBy("id").agg(F.bool_or(F.col("status").isNull() | ~F.coalesce("sourced", F.lit(False))).alias("gap"), F.array_sort(F.collect_set("status")).alias("s"))
+    has = lambda x: F.array_contains("s", x)
+    result = F.when(F.col("gap"), "gap").when(F.col("s") == F.array(F.lit("accepted")), "accepted_ready").when(has("revise"), "revision_required").when(has("defer"), "deferred").otherwise("draft_only")
+    return told.select("id", result.alias("result"), F.array_join("s", ",").alias("statuses"))
+
+
+def claim_audit(claims: DataFrame) -> DataFrame:
+    """Which cards are ready for review, from their claims (card_id, claim_id, type, disposition): card_id, derived, supported, unresolved and hypotheses (ids in
+    order) and review_ready: there are derived claims, all of them supported."""
+    derived, good = F.col("type") == "lecture_derived", F.coalesce(F.col("disposition") == "supported_by_search_excerpt", F.lit(False))
+    listed = lambda when: F.array_join(F.array_sort(F.collect_list(F.when(when, F.col("claim_id")))), ",")
+    told = claims.groupBy("card_id").agg(F.count_if(derived).alias("derived"), F.count_if(derived & good).alias("supported"), listed(derived & ~good).alias("unresolved"), listed(F.col("type") == "application_hypothesis").alias("hypotheses"))
+    return told.withColumn("review_ready", (F.col("derived") > 0) & (F.col("derived") == F.col("supported")))
+
+
+def expansion(seeds: DataFrame, used: DataFrame, nodes: DataFrame, least: int = 2) -> DataFrame:
+    """Seeds (domain, alignment, bridges: array) that may be grown into, the best first by score: those of domains not ``used`` (domain) that have ``least``
+    bridges among ``nodes`` (id). domain, bridge_count, score."""
+    free = seeds.join(used.select("domain"), "domain", "left_anti").select("domain", "alignment", F.explode("bridges").alias("id"))
+    met = free.join(nodes.select("id").distinct(), "id", "left_semi").groupBy("domain", "alignment").agg(F.count(F.lit(1)).alias("bridge_count")).where(F.col("bridge_count") >= least)
+    strength = F.least(F.col("bridge_count") / 3.0, F.lit(1.0))
+    return met.select("domain", "bridge_count", F.round(0.45 * F.col("alignment") + 0.35 * strength + 0.20 * 0.7, 6).alias("score"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ TOLD = "key {kind}, event_id long, state string, attempts int, low_run int, trip
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def step(state: tuple, at: pd.Timestamp, event_id: int, outcome: str | None, value: float | None, most: int, least: float, trip: int) -> tuple:
+def step(state: tuple, at: datetime, event_id: int, outcome: str | None, value: float | None, most: int, least: float, trip: int) -> tuple:
     """The state after an event. An outcome works on a gap that is open or waits for a retry: the attempt counts, and what settles nothing
     leads to another retry, or after ``most`` attempts to exhaustion; "reopen" begins anew from any state. A
     value below ``least`` makes the low run longer, any other ends it, none leaves it; after ``trip`` in a row the breaker has tripped, for good."""
@@ -47,14 +48,15 @@ class Ledger(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # All of a batch's events of one key, a slice of a log; the state itself is one row.
         events = pd.concat(rows).sort_values(["at", "event_id"], kind="stable")
-        held = self.state.get() if self.state.exists() else ("open", 0, 0, False, None, None)
+        held = tuple(self.state.get()) if self.state.exists() else ("open", 0, 0, False, None, None)
         out = []
         for at, event_id, outcome, value in zip(events["at"], events["event_id"], events["outcome"], events["value"], strict=True):
-            late = held[4] is not None and (at.to_pydatetime(), event_id) <= (pd.Timestamp(held[4]).to_pydatetime(), held[5])
+            at = pd.Timestamp(at).to_pydatetime()
+            late = held[4] is not None and (at, event_id) <= (held[4], held[5])
             if not late:
                 held = step(held, at, int(event_id), outcome if isinstance(outcome, str) else None, value, self.most, self.least, self.trip)
             out.append((key[0], event_id, *held[:4], late))
-        self.state.update((*held[:4], pd.Timestamp(held[4]).to_pydatetime(), held[5]))
+        self.state.update(held)
         yield pd.DataFrame(out, columns=["key", "event_id", "state", "attempts", "low_run", "tripped", "late"])
 
     def close(self) -> None:
