@@ -81,43 +81,109 @@ def duplicates(new: DataFrame, known: DataFrame) -> DataFrame:
     return _told(new, _best(similar(told(new, "claim_id"), told(known, "match_id"), "claim_id", "match_id")))
 
 
-def registered(new: DataFrame, known: DataFrame) -> DataFrame:
+def registered(new: DataFrame, known: DataFrame, eligible: Column | None = None) -> DataFrame:
     """The verdicts of ``duplicates`` as if the new claims (claim_id, place, statement) came one by one, in order of place (unique), and each that
-    isn't identical to a claim before it were known to those after it: claim_id, match_id, similarity, verdict.
+    isn't identical to a claim before it, and is ``eligible``, were known to those after it: claim_id, match_id, similarity, verdict.
 
     Whether a claim is accepted hangs on the accepted ones before it, so that claims are settled in rounds: one all
     of whose identical forerunners are refused is accepted, one with an accepted forerunner is refused. Claims with equal
-    keyword sets are one until they are told their matches: where the first of them is accepted, it is the match of all
-    others; where it isn't, none is.
+    keyword sets are settled as one, at the place of the first that is eligible, until they are told their matches.
     """
-    sets = stored(keyword_sets(new, "claim_id", F.col("statement")).join(new.select("claim_id", "place"), "claim_id"))
-    some = sets.where(F.size("ks") > 0)
-    lead = stored(some.groupBy("ks").agg(F.min_by(F.struct("claim_id", "place"), "place").alias("r")).select("ks", F.col("r.claim_id").alias("lead"), F.col("r.place").alias("place")))
-    members = stored(some.join(lead.select("ks", "lead"), "ks").select("claim_id", "place", "lead"))
-    outer = stored(similar(lead.select(F.col("lead"), "ks"), keyword_sets(known.withColumnRenamed("claim_id", "match_id"), "match_id", F.col("statement")), "lead", "match_id"))
-    inner = similar(lead.select("lead", "ks"), lead.select(F.col("lead").alias("other"), "ks"), "lead", "other")
-    place = lead.select(F.col("lead").alias("other"), F.col("place").alias("before"))
-    inner = stored(inner.where("lead <> other").join(lead.select("lead", F.col("place").alias("own")), "lead").join(place, "other"))
-    state = outer.where(F.col("similarity") >= IDENTICAL).select("lead").distinct().select("lead", F.lit(False).alias("accepted"))
-    settled = stored(state)
+    may = new.select("claim_id", "place", (F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))).alias("may"))
+    sets = keyword_sets(new, "claim_id", F.col("statement")).where(F.size("ks") > 0).join(may, "claim_id")
+    sets = stored(sets.select("claim_id", "place", "ks", F.when(F.col("may"), F.struct("place", "claim_id")).alias("first")))
+    groups = stored(sets.groupBy("ks").agg(F.min("claim_id").alias("sid"), F.min("first").alias("first")).select("sid", "ks", F.col("first.place").alias("own"), F.col("first.claim_id").alias("lead")))
+    members = stored(sets.join(groups, "ks").select("claim_id", "place", "sid", "own", "lead"))
+    outer = stored(similar(groups.select("sid", "ks"), keyword_sets(known.withColumnRenamed("claim_id", "match_id"), "match_id", F.col("statement")), "sid", "match_id"))
+    inner = similar(groups.select("sid", "ks"), groups.select(F.col("sid").alias("other"), "ks"), "sid", "other").where("sid <> other")
+    live = groups.where("own is not null")
+    inner = stored(inner.join(groups.select("sid", "own"), "sid").join(live.select(F.col("sid").alias("other"), F.col("own").alias("before"), F.col("lead").alias("match_id")), "other"))
+    settled = stored(outer.where(F.col("similarity") >= IDENTICAL).select("sid").distinct().withColumn("accepted", F.lit(False)))
     # Claims that wait for an identical one before them; all others are accepted.
-    waits = stored(inner.where((F.col("similarity") >= IDENTICAL) & (F.col("before") < F.col("own"))).select("lead", "other").join(settled, "lead", "left_anti"))
-    free = lead.select("lead").join(settled, "lead", "left_anti").join(waits.select("lead"), "lead", "left_anti")
-    settled = stored(settled.unionByName(free.select("lead", F.lit(True).alias("accepted"))))
+    waits = stored(inner.where((F.col("similarity") >= IDENTICAL) & (F.col("before") < F.col("own"))).select("sid", "other").join(settled, "sid", "left_anti"))
+    free = live.select("sid").join(settled, "sid", "left_anti").join(waits.select("sid"), "sid", "left_anti")
+    settled = stored(settled.unionByName(free.withColumn("accepted", F.lit(True))))
     while waits.take(1):
-        met = waits.join(settled.withColumnRenamed("lead", "other"), "other", "left")
-        now = met.groupBy("lead").agg(F.max(F.coalesce("accepted", F.lit(False))).alias("met"), F.count_if(F.col("accepted").isNull()).alias("open"))
-        fresh = stored(now.where("met or open = 0").select("lead", (~F.col("met")).alias("accepted")))
+        met = waits.join(settled.withColumnRenamed("sid", "other"), "other", "left")
+        now = met.groupBy("sid").agg(F.max(F.coalesce("accepted", F.lit(False))).alias("met"), F.count_if(F.col("accepted").isNull()).alias("open"))
+        fresh = stored(now.where("met or open = 0").select("sid", (~F.col("met")).alias("accepted")))
         settled = stored(settled.unionByName(fresh))
-        waits = stored(waits.join(fresh, "lead", "left_anti"))
-    taken = settled.where("accepted").select("lead")
-    same = members.where("claim_id <> lead").join(taken, "lead").select("claim_id", F.col("lead").alias("match_id"), F.lit(1.0).alias("similarity"))
+        waits = stored(waits.join(fresh, "sid", "left_anti"))
+    taken = settled.where("accepted").select("sid")
+    same = members.where("place > own").join(taken, "sid").select("claim_id", F.col("lead").alias("match_id"), F.lit(1.0).alias("similarity"))
     # A later copy may have nearer ones before it than the first had.
-    near = inner.join(taken.withColumnRenamed("lead", "other"), "other").join(members, "lead").where("before < place").select("claim_id", F.col("other").alias("match_id"), "similarity")
-    far = outer.join(members, "lead").select("claim_id", "match_id", "similarity")
+    near = inner.drop("own").join(taken.withColumnRenamed("sid", "other"), "other").join(members.select("claim_id", "place", "sid"), "sid").where("before < place").select("claim_id", "match_id", "similarity")
+    far = outer.join(members, "sid").select("claim_id", "match_id", "similarity")
     return _told(new, _best(same.unionByName(near).unionByName(far)))
 
 
+def node_keywords(nodes: DataFrame, statements: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """id and ks: the keywords of each node's (id, title, type) title, type and statements (id, statement), with the ``synonyms`` (term, words: array) of its
+    title and of the runs of Han characters in all of them, so that claims in another language meet it."""
+    han = lambda text: F.regexp_extract_all(text, F.lit("[\\x{4e00}-\\x{9fff}]{2,}"), F.lit(0))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = nodes.select("id", F.concat(keywords(text("title")), keywords(text("type"))).alias("k"), F.array_append(han(text("title")), text("title")).alias("t"))
+    said = statements.join(nodes.select("id"), "id", "left_semi").select("id", keywords(text("statement")).alias("k"), han(text("statement")).alias("t"))
+    every = stored(own.unionByName(said))
+    more = every.select("id", F.explode(F.array_distinct("t")).alias("term")).distinct().join(synonyms, "term").select("id", F.explode("words").alias("k"))
+    plain = every.select("id", F.explode("k").alias("k")).unionByName(more).distinct()
+    return plain.groupBy("id").agg(F.array_sort(F.collect_list("k")).alias("ks"))
+
+
+def attributed(claims: DataFrame, nodes: DataFrame, least: float = ATTRIBUTED) -> DataFrame:
+    """The node (of ``nodes``: id, ks) that suits each claim (claim_id, ks, subject_ks) best, where its score is ``least`` or more: claim_id, node_id, score. The score is
+    the largest of both coverages, their mean, and 1.5 times the share of the subject's keywords; equals go by id.
+
+    Such a pair shares one of the rarest keywords of the claim, of its subject or of the node: as many as may be missing, and one."""
+    every = claims.select("claim_id", F.array_union("ks", F.coalesce("subject_ks", F.array().cast("array<string>"))).alias("ks"), F.coalesce("subject_ks", F.array().cast("array<string>")).alias("ss")).where(F.size("ks") > 0)
+    often = stored(every.select(F.explode("ks").alias("k")).unionByName(nodes.select(F.explode("ks").alias("k"))).groupBy("k").agg(F.count(F.lit(1)).alias("often")))
+
+    def prefix(rows: DataFrame, key: str, column: str, share: float) -> DataFrame:
+        told = rows.select(key, F.explode(column).alias("k")).join(often, "k").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("often", "k"))).alias("x"))
+        n = F.size("x")
+        return told.select(key, F.explode(F.slice("x.k", F.lit(1), n - F.ceil(n * share - 1e-9).cast("int") + 1)).alias("k"))
+
+    words = lambda rows, key, column: rows.select(key, F.explode(column).alias("k"))
+    all_nodes, all_claims = words(nodes, "id", "ks"), words(every, "claim_id", "ks")
+    met = [prefix(every, "claim_id", "ks", least).join(all_nodes, "k"), all_claims.join(prefix(nodes, "id", "ks", least), "k"), prefix(every.where(F.size("ss") > 0), "claim_id", "ss", least / 1.5).join(all_nodes, "k")]
+    pairs = stored(met[0].select("claim_id", "id").unionByName(met[1].select("claim_id", "id")).unionByName(met[2].select("claim_id", "id")).distinct())
+    both = pairs.join(every, "claim_id").join(nodes.select("id", F.col("ks").alias("ns")), "id")
+    shared, subject = F.size(F.array_intersect("ks", "ns")), F.size(F.array_intersect("ss", "ns"))
+    there, back = shared / F.size("ks"), shared / F.size("ns")
+    score = F.greatest(there, back, F.when(F.size("ss") > 0, 1.5 * subject / F.size("ss")).otherwise(0.0), (there + back) / 2)
+    best = both.select("claim_id", "id", score.alias("score")).where(F.col("score") >= least).groupBy("claim_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("r"))
+    return best.select("claim_id", F.col("r.id").alias("node_id"), (-F.col("r.s")).alias("score"))
+
+
+#: What kind of claim each type of statement becomes; all others are empirical.
+KINDS = {"empirical": "empirical", "theoretical": "theorem", "methodological": "empirical", "definitional": "definition"}
+
+
+def mined(found: DataFrame, known: DataFrame, nodes: DataFrame) -> DataFrame:
+    """What becomes of each statement that was found: ``found`` (evidence_id, index, place, text, subjects, claim_type, confidence, attribution, review_required; place is the order
+    of all) against ``known`` claims (claim_id, statement) and ``nodes`` (id, ks). claim_id, action, match_id, similarity, node_id and kind.
+
+    What waits for a review, or is background, is deferred; a blank text is left out. Then, in this order, a claim identical to one before it
+    is a duplicate, one that suits no node is unresolved, one whose id is known already_exists, and the others are new and
+    known to those that follow. Guesses become hypotheses."""
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    rows = found.withColumn("claim_id", F.concat(F.col("evidence_id"), F.lit("#mined-"), F.col("index").cast("string"))).withColumn("statement", text)
+    waits = F.coalesce(F.col("review_required"), F.lit(False)) | F.coalesce(F.col("attribution") == "background", F.lit(False))
+    rows = stored(rows.where(waits | (F.coalesce("statement", F.lit("")) != "")).withColumn("waits", waits))
+    live = rows.where("not waits")
+    subjects = F.array_distinct(F.flatten(F.transform(F.coalesce("subjects", F.array().cast("array<string>")), lambda s: keywords(F.coalesce(s, F.lit(""))))))
+    at = stored(attributed(live.select("claim_id", keywords(F.col("statement")).alias("ks"), subjects.alias("subject_ks")), nodes))
+    there = known.select("claim_id", F.lit(True).alias("there"))
+    asked = stored(live.join(at.select("claim_id", "node_id"), "claim_id", "left").join(there, "claim_id", "left").select("claim_id", "place", "statement", "node_id", F.coalesce("there", F.lit(False)).alias("there"), "claim_type", "confidence", "attribution"))
+    told = registered(asked, known, F.col("node_id").isNotNull() & ~F.col("there"))
+    action = F.when(F.col("verdict") == "identical", "duplicate").when(F.col("node_id").isNull(), "unresolved").when(F.col("there"), "already_exists").otherwise("new")
+    guess = F.coalesce(F.col("confidence") == "speculative", F.lit(False)) | F.coalesce(F.col("attribution") == "hypothesis", F.lit(False))
+    kind = F.when(guess, "application_hypothesis").otherwise(F.coalesce(F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.coalesce("claim_type", F.lit(""))], F.lit("empirical")))
+    done = asked.join(told, "claim_id").withColumn("action", action).select("claim_id", "action", "match_id", "similarity", F.when(F.col("action") == "new", F.col("node_id")).alias("node_id"), F.when(F.col("action") == "new", kind).alias("kind"))
+    later = rows.where("waits").select("claim_id", F.lit("deferred").alias("action"), *[F.lit(None).cast(t).alias(c) for c, t in (("match_id", "string"), ("similarity", "double"), ("node_id", "string"), ("kind", "string"))])
+    return done.unionByName(later)
+
+
 def attribution(claims: DataFrame, statements: DataFrame) -> DataFrame:
     """The node that suits each claim (claim_id, statement) best among the nodes of ``statements`` (id, statement,
     many rows a node): the largest of both coverages and their mean; under 0.35 none."""

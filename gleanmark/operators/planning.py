@@ -93,3 +93,13 @@ def expansion(seeds: DataFrame, used: DataFrame, nodes: DataFrame, least: int =
     met = free.join(nodes.select("id").distinct(), "id", "left_semi").groupBy("domain", "alignment").agg(F.count(F.lit(1)).alias("bridge_count")).where(F.col("bridge_count") >= least)
     strength = F.least(F.col("bridge_count") / 3.0, F.lit(1.0))
     return met.select("domain", "bridge_count", F.round(0.45 * F.col("alignment") + 0.35 * strength + 0.20 * 0.7, 6).alias("score"))
+
+
+def topics(nodes: DataFrame, templates: dict[str, str], most: int) -> DataFrame:
+    """What to ask next: of the nodes (id, title, score, least_covered: facets joined by commas), the best first, a question for each facet in turn, by its
+    template ({concept} is the title; an unknown facet takes the first). place (from 1), id, facet and query, ``most`` at most."""
+    facets = nodes.where("least_covered <> ''").select("id", "title", "score", F.posexplode(F.split("least_covered", ",")).alias("turn", "facet"))
+    best = facets.orderBy(F.desc("score"), "id", "turn").limit(most)
+    texts = F.create_map(*[F.lit(x) for pair in templates.items() for x in pair])
+    query = F.replace(F.coalesce(texts[F.col("facet")], F.lit(next(iter(templates.values())))), F.lit("{concept}"), F.coalesce("title", F.lit("")))
+    return best.select(F.row_number().over(W.orderBy(F.desc("score"), "id", "turn")).alias("place"), "id", "facet", query.alias("query"))

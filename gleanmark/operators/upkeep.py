@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: What a mined claim's kind becomes, and how a source's grade is carried on.
-KINDS = {"empirical": "empirical", "theoretical": "theorem", "methodological": "method", "definitional": "definition"}
+#: The grades of sources that are carried on.
 GRADED = ("A", "B", "C")
 
 

@@ -187,15 +187,21 @@ PRIORITY = REACH.format(where="") + """,
 deg AS (SELECT id, count(*) AS degree FROM (SELECT from_node AS id FROM kg_edge UNION ALL SELECT to_node FROM kg_edge) x GROUP BY id),
 cl AS (SELECT node_id AS id, count(*) AS claim_count FROM kg_claim GROUP BY 1), ev AS (SELECT target_node AS id, count(DISTINCT evidence_id) AS evidence_count FROM kg_support GROUP BY 1),
 fa AS (SELECT concat('K-', p_partkey) AS id, (p_size % 11) / 1e1 AS mech, (p_size % 6) / 5e0 AS bound FROM part),
-b AS (SELECT n.id, n.revision, coalesce(degree, 0) AS degree, coalesce(claim_count, 0) AS claim_count, coalesce(evidence_count, 0) AS evidence_count, coalesce(hops, 99) AS dist, coalesce(mech, 0) AS mech, coalesce(bound, 0) AS bound
-FROM kg_node n LEFT JOIN deg USING (id) LEFT JOIN cl USING (id) LEFT JOIN ev USING (id) LEFT JOIN fa USING (id) LEFT JOIN near USING (id) WHERE layer IN ('science', 'foundation') AND status NOT IN ('superseded', 'blocked'))
-SELECT id, revision, round(3e-1 / (1 + dist) + 25e-2 * (1 - (15e-2 * mech + 2e-1 * bound)) + 2e-1 * least(claim_count / CAST(evidence_count + 1 AS DOUBLE) / 3e0, 1e0) + 15e-2 * least(degree / 8e0, 1e0) + 1e-1, 6) AS score,
+ru AS (SELECT concat('K-', 1 + user_id) AS id, least(1e0, count(*) / 2e0) AS pen FROM events WHERE event_type = 'purchase' AND event_id // 50 > (SELECT max(event_id // 50) FROM events) - 5 GROUP BY 1),
+b AS (SELECT n.id, coalesce(pen, 0) AS pen, n.revision, coalesce(degree, 0) AS degree, coalesce(claim_count, 0) AS claim_count, coalesce(evidence_count, 0) AS evidence_count, coalesce(hops, 99) AS dist, coalesce(mech, 0) AS mech, coalesce(bound, 0) AS bound
+FROM kg_node n LEFT JOIN deg USING (id) LEFT JOIN cl USING (id) LEFT JOIN ev USING (id) LEFT JOIN fa USING (id) LEFT JOIN near USING (id) LEFT JOIN ru USING (id) WHERE layer IN ('science', 'foundation') AND status NOT IN ('superseded', 'blocked'))
+SELECT id, revision, round(3e-1 / (1 + dist) + 25e-2 * (1 - (15e-2 * mech + 2e-1 * bound)) + 2e-1 * least(claim_count / CAST(evidence_count + 1 AS DOUBLE) / 3e0, 1e0) + 15e-2 * least(degree / 8e0, 1e0) + 1e-1 * (1 - pen) - 15e-2 * pen, 6) AS score,
 CASE WHEN mech = 0 THEN 'mechanism,moderator' WHEN bound = 0 THEN 'moderator,boundary' ELSE 'moderator,measurement' END AS least_covered, degree, claim_count, evidence_count, CAST(dist AS INT) AS practice_distance FROM b"""
 
 
 @query(with_kg(PRIORITY, recursive=True))
 def node_priority(s: SparkSession, d: str) -> DataFrame:
-    return graph.node_priority(T.nodes(s, d), T.edges(s, d), T.claims(s, d), T.supports(s, d), _facets(s, d))
+    """Purchases of the last five cycles, of 50 events each, are the recent runs."""
+    events = T.table(s, d, "events").withColumn("cycle", F.expr("event_id div 50"))
+    last = events.agg(F.max("cycle").alias("last"))
+    runs = events.where("event_type = 'purchase'").join(F.broadcast(last), F.col("cycle") > F.col("last") - 5)  # one row
+    runs = runs.select(F.concat(F.lit("K-"), (F.col("user_id") + 1).cast("string")).alias("target_node_id"))
+    return graph.node_priority(T.nodes(s, d), T.edges(s, d), T.claims(s, d), T.supports(s, d), _facets(s, d), runs)
 
 
 # --- policy ----------------------------------------------------------------------------------------------------------

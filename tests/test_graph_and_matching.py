@@ -1,12 +1,14 @@
 """Cycle components, pattern matching, claims in order, nearest vectors and edge reviews against plain Python."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleanmark.functions import text as X
 from gleanmark.operators import claims, graph, matching, policy, retrieval
 
 
@@ -109,6 +111,64 @@ def test_claims_are_registered_as_in_a_loop(spark, seed):
     assert {r.claim_id: (r.match_id, r.similarity, r.verdict) for r in got.collect()} == loop(new, known)
 
 
+def words_of(text):
+    return {w for w in re.findall("[a-z]{4,}", (text or "").lower()) if w not in X.STOP_WORDS} | set(re.findall("[\u4e00-\u9fff]{2,}", text or ""))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_statements_are_mined_as_in_a_loop(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}zzq" for a in "bcdfg" for b in "aeiou"]
+    say = lambda n: " ".join(rng.sample(vocabulary, n))
+    nodes = [(f"N{i}", say(2), "Theory") for i in range(4)] + [("N8", "均衡", None), ("N9", None, None)]
+    stated = [(f"N{rng.randrange(4)}", say(rng.randint(3, 6))) for _ in range(7)] + [("N9", "入札 and 入札価"), ("none", say(3))]
+    synonyms = [("入札", ["auction", "bidding"]), ("均衡", ["equilibrium"]), (nodes[0][1], ["titled"])]
+    known = [(f"k{i}", t) for i, (_, t) in enumerate(stated[:4])] + [("E1#mined-3", "elsewhere altogether")]
+    base = [t for _, t in stated[:7]] + [say(5), "auction bidding equilibrium", "titled words alone"]
+    found = []
+    for place in range(45):
+        words = [w if rng.random() < 0.8 else rng.choice(vocabulary) for w in rng.choice(base).split()]
+        text = rng.choice([" ".join(words)] * 8 + ["  ", None])
+        found.append((f"E{place % 3}", place // 3, place, text, [say(1), None] if rng.random() < 0.3 else None, rng.choice(["theoretical", "methodological", "definitional", "odd", None]), rng.choice(["speculative", None, None]), rng.choice(["background", "hypothesis", None, None, None, None]), rng.choice([True, False, None, None, None])))
+    make = spark.createDataFrame
+    keyed = claims.node_keywords(make(nodes, "id string, title string, type string"), make(stated, "id string, statement string"), make(synonyms, "term string, words array<string>"))
+    sets = {}
+    for node, title, kind in nodes:
+        texts = [t for n, t in stated if n == node]
+        terms = {title or ""} | {t for text in [*texts, title or ""] for t in re.findall("[\u4e00-\u9fff]{2,}", text)}
+        sets[node] = set().union(words_of(title), words_of(kind), *map(words_of, texts), *[w for t, w in synonyms if t in terms])
+    assert {r.id: set(r.ks) for r in keyed.collect()} == {n: w for n, w in sets.items() if w}
+    schema = "evidence_id string, index int, place int, text string, subjects array<string>, claim_type string, confidence string, attribution string, review_required boolean"
+    got = claims.mined(make(found, schema), make(known, "claim_id string, statement string"), keyed)
+    want, told = {}, [(i, words_of(t)) for i, t in known]
+    for evidence, index, _, text, subjects, kind, confidence, attribution, review in found:
+        name, text = f"{evidence}#mined-{index}", (text or "").strip()
+        if review or attribution == "background":
+            want[name] = ("deferred", None, None, None, None)
+            continue
+        if not text:
+            continue
+        own, subject = words_of(text), set().union(*[words_of(x) for x in subjects or []])
+        scored = [(-len(own & w) / len(own | w), i) for i, w in told if own & w and len(own & w) / len(own | w) >= 0.45]
+        best = min(scored, default=(0.0, None))
+        every, at = own | subject, (0.0, None)
+        for node in sorted(sets):
+            w = sets[node]
+            if every & w:
+                there, back = len(every & w) / len(every), len(every & w) / len(w)
+                score = max(there, back, 1.5 * len(subject & w) / len(subject) if subject else 0, (there + back) / 2)
+                at = max(at, (score, node), key=lambda x: x[0])
+        node = at[1] if at[0] >= 0.35 else None
+        action = "duplicate" if -best[0] >= 0.7 else "unresolved" if node is None else "already_exists" if name in dict(known) else "new"
+        kinds = {"theoretical": "theorem", "methodological": "empirical", "definitional": "definition"}
+        as_ = "application_hypothesis" if confidence == "speculative" or attribution == "hypothesis" else kinds.get(kind, "empirical")
+        want[name] = (action, best[1], round(-best[0], 6), node if action == "new" else None, as_ if action == "new" else None)
+        if action == "new":
+            told.append((name, own))
+    assert {r.claim_id: (r.action, r.match_id, r.similarity, r.node_id, r.kind) for r in got.collect()} == want
+    assert {a for a, *_ in want.values()} >= {"new", "duplicate", "deferred"}
+
+
 def test_nearest_vectors_in_waves(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)] + [(90, [0.0] * 4), (91, None), (92, [1.0, None, 0.0, 0.0])]
