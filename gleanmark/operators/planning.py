@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleanmark.operators.matching import hits
+
 #: Edge types in the order in which they are tried, and what stands for all others.
 EDGE_TYPES = ("ABSTRACTS_FROM", "DERIVES_FROM", "FORMALIZED_BY", "HAS_SCOPED_INSTANCE", "COMPLEMENTS")
 
@@ -13,11 +15,12 @@ EDGE_TYPES = ("ABSTRACTS_FROM", "DERIVES_FROM", "FORMALIZED_BY", "HAS_SCOPED_INS
 def in_scope(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(query_id, claim_id) for which every group of the claim's terms has one that the query contains.
 
-    ``rules`` (claim_id, group, term) is a rule table of bounded size; full-width letters count as plain ones."""
+    ``rules`` is a table (claim_id, group, term); full-width letters count as plain ones, and an empty term is contained in nothing."""
     plain = F.lower(F.translate("query", "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))))
-    met = queries.select("query_id", plain.alias("q")).join(F.broadcast(rules), F.col("q").contains(F.lower("term"))).select("query_id", "claim_id", "group").distinct()
+    told = rules.select("claim_id", "group", F.lower("term").alias("pattern"))
+    met = hits(queries, "query_id", plain, told).join(told, "pattern").select("query_id", "claim_id", "group").distinct()
     needed = rules.groupBy("claim_id").agg(F.count_distinct("group").alias("needed"))
-    return met.groupBy("query_id", "claim_id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(needed), "claim_id").where("n = needed").select("query_id", "claim_id")
+    return met.groupBy("query_id", "claim_id").agg(F.count(F.lit(1)).alias("n")).join(needed, "claim_id").where("n = needed").select("query_id", "claim_id")
 
 
 def answer(allowed: DataFrame, chosen: DataFrame) -> DataFrame:
