@@ -112,3 +112,10 @@ def reusable(wanted: DataFrame, known: DataFrame, digests: list[str], key: str)
     """``wanted`` with reuse: whether a known check of the same key has the same digests, all of them."""
     had = known.select(key, *digests).distinct().withColumn("_had", F.lit(True))
     return wanted.join(had, [key, *digests], "left").withColumn("reuse", F.coalesce("_had", F.lit(False))).drop("_had")
+
+
+def admitted(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows in which each of the columns says something: nulls and blanks keep a row out."""
+    for c in columns:
+        rows = rows.where(F.length(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))) > 0)
+    return rows

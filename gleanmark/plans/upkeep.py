@@ -36,21 +36,22 @@ def index_fresh(s: SparkSession, d: str) -> DataFrame:
     return upkeep.fresh(*_versions(s, d))
 
 
-@query("SELECT page_id, url FROM pages WHERE length(trim(coalesce(url, ''))) > 0 AND page_id IS NOT NULL")
+@query(with_kg("""SELECT evidence_id, source_uri FROM kg_evidence WHERE length(trim(coalesce(source_uri, ''))) > 0 AND content_hash IS NOT NULL AND coalesce(reliability_grade, 'C') <> 'C'"""))
 def provenance_gate(s: SparkSession, d: str) -> DataFrame:
-    """Pages without an address aren't taken in."""
-    return T.table(s, d, "pages").where("length(trim(coalesce(url, ''))) > 0 and page_id is not null").select("page_id", "url")
+    """Evidence without an address, a digest of its content or a grade better than C isn't taken in."""
+    graded = T.evidence(s, d).where(F.coalesce("reliability_grade", F.lit("C")) != "C")
+    return upkeep.admitted(graded, ["source_uri", "content_hash"]).select("evidence_id", "source_uri")
 
 
-@query("""WITH n AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS l FROM embeddings)
-SELECT vec_id, round(CASE WHEN l = 0 THEN 1e0 ELSE l END, 5) AS norm, CASE WHEN vec_id % 10 = 1 OR vec_id % 3 = 0 THEN 'embed' ELSE 'keep' END AS action FROM n""")
+@query("""WITH n AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS l FROM embeddings), t AS (SELECT doc_id, text AS now, CASE WHEN doc_id % 10 = 1 THEN concat(text, ' as it was') ELSE text END AS before FROM documents)
+SELECT vec_id, round(CASE WHEN l = 0 THEN 1e0 ELSE l END, 5) AS norm, CASE WHEN vec_id % 3 <> 0 AND now = before THEN 'keep' ELSE 'embed' END AS action FROM n JOIN t ON doc_id = vec_id""")
 def embedding_store(s: SparkSession, d: str) -> DataFrame:
-    """Norms of stored vectors, a zero one counting as 1, and which have to be made anew as their text changed or was never stored."""
-    vectors = T.table(s, d, "embeddings")
+    """Norms of the documents' stored vectors, a zero one counting as 1, and which have to be made anew as their text changed or was never stored."""
+    vectors, docs = T.table(s, d, "embeddings"), T.table(s, d, "documents")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    digest = F.md5(F.col("vec_id").cast("string"))
-    known = vectors.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("path"), F.when(F.col("vec_id") % 10 == 1, F.md5(F.lit("old"))).otherwise(digest).alias("digest"))
-    state = upkeep.fresh(vectors.select(F.col("vec_id").alias("path"), digest.alias("digest")), known)
+    before = F.when(F.col("doc_id") % 10 == 1, F.concat("text", F.lit(" as it was"))).otherwise(F.col("text"))
+    known = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), F.md5(before).alias("digest"))
+    state = upkeep.fresh(docs.select(F.col("doc_id").alias("path"), F.md5("text").alias("digest")), known)
     return vectors.join(state.withColumnRenamed("path", "vec_id"), "vec_id").select("vec_id", F.round(F.when(norm == 0, 1.0).otherwise(norm), 5).alias("norm"), F.when(F.col("usable"), "keep").otherwise("embed").alias("action"))
 
 
@@ -247,13 +248,16 @@ def card_states(s: SparkSession, d: str) -> DataFrame:
     return upkeep.state_of(T.table(s, d, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 9 = 0 THEN FALSE ELSE TRUE END AS reuse FROM labels""")
+@query("""WITH x AS (SELECT l.doc_id, d.text, p.html, CASE WHEN l.doc_id % 4 = 0 THEN concat(d.text, ' reworded') ELSE d.text END AS old_text, CASE WHEN p.page_id % 6 = 1 THEN concat(p.html, ' ') ELSE p.html END AS old_html FROM labels l JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN pages p ON p.page_id = l.doc_id // 5)
+SELECT doc_id, coalesce(doc_id % 9 <> 0 AND doc_id % 8 <> 5 AND text = old_text AND html = old_html, FALSE) AS reuse FROM x""")
 def prior_validation(s: SparkSession, d: str) -> DataFrame:
-    """Checks that needn't run again: the same checker, evidence and fingerprint were checked before."""
-    k = F.col("doc_id")
-    digest = lambda tag: F.md5(F.concat(F.lit(tag), k.cast("string")))
-    wanted = T.table(s, d, "labels").select(k, digest("checker").alias("checker"), digest("evidence").alias("evidence"), digest("claim").alias("claim"))
-    known = T.table(s, d, "labels").where(k % 9 != 0).select(k, F.when(k % 4 == 0, digest("old")).otherwise(digest("checker")).alias("checker"), digest("evidence").alias("evidence"), digest("claim").alias("claim"))
+    """Checks that needn't run again: the same checker, evidence and claim were checked before, by the digests of their contents."""
+    k, page = F.col("doc_id"), F.col("page_id")
+    rows = T.table(s, d, "labels").select("doc_id", F.expr("doc_id div 5").alias("page_id")).join(T.table(s, d, "documents").select("doc_id", "text"), "doc_id").join(T.table(s, d, "pages").select("page_id", "html"), "page_id", "left")
+    told = lambda df, checker, html, text: df.select(k, F.sha2(checker, 256).alias("checker"), F.sha2(html, 256).alias("evidence"), F.sha2(text, 256).alias("claim"))
+    wanted = told(rows, F.lit("checker 2"), F.col("html"), F.col("text"))
+    checker = F.when(k % 8 == 5, "checker 1").otherwise("checker 2")
+    known = told(rows.where(k % 9 != 0), checker, F.when(page % 6 == 1, F.concat("html", F.lit(" "))).otherwise(F.col("html")), F.when(k % 4 == 0, F.concat("text", F.lit(" reworded"))).otherwise(F.col("text")))
     return upkeep.reusable(wanted, known, ["checker", "evidence", "claim"], "doc_id").select("doc_id", "reuse")
 
 
