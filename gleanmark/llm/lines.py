@@ -24,6 +24,8 @@ CELL_BITS = 17
 #: Pairs of words of which the rarer one stands in more lines have their groups salted. Groups of other
 #: pairs can't have more members than that.
 HOT = 4096
+#: Members up to which all lines of a group meet; those of larger groups also need their first common word.
+SMALL = 32
 #: How far before a line, in each of its groups, those stand that it is held against first.
 BEFORE = (1, 2, 3, 4, 6, 9, 14, 22)
 
@@ -68,10 +70,15 @@ MAP_BITS, BITS = 44, 10
 MOST = (1 << BITS) - 1
 
 
+def _ordered() -> Column:
+    """The words of a line (c) in the order by rarity, as numbers, where ``level`` is at hand."""
+    return F.sort_array(F.transform("c", lambda h: F.get("level", F.shiftrightunsigned(h, 32 - CELL_BITS)) + h))
+
+
 def _posts(classes: DataFrame, level: DataFrame) -> DataFrame:
     """cid, d, key (two neighbours in the order), rare (level of the rarer word) and told: the number of the
     line's words, the pair's place and 44 bits into which the line's map is folded."""
-    keys = F.sort_array(F.transform("c", lambda h: F.get("level", F.shiftrightunsigned(h, 32 - CELL_BITS)) + h))
+    keys = _ordered()
     both = F.col("m0").bitwiseXOR(F.col("m1"))
     folded = both.bitwiseXOR(F.shiftrightunsigned(both, MAP_BITS)).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
     keyed = classes.withColumn("level", level.scalar()).select("cid", "d", "n", folded.alias("map"), keys.alias("k"))
@@ -170,17 +177,26 @@ def _gone(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # Every line is held against a few earlier ones of its groups first; what this settles asks no more.
     star = shared.select(F.col("cid").alias("a"), F.explode("earlier").alias("b"))
     found = _similar(star, classes)
-    # The others meet all earlier lines of their groups, and are told apart by whole maps and numbers of words.
-    maps = classes.select("cid", F.col("n").alias("words"), "m0", "m1")
-    rest = shared.where("not first and members > 2").select("key", "cid", "d", "told").join(maps.hint("merge"), "cid")
+    # The others meet the earlier lines of their groups, in large ones those that have their first common word with them as well. Of n words a fifth
+    # at most are a line's own, so that it is one of the first n/5 (and one), and not behind the pair that is the group's key.
+    maps = classes.withColumn("level", level.scalar()).select("cid", F.col("n").alias("words"), "m0", "m1", F.slice(_ordered(), F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1).alias("lead"))
+    rest = shared.where("not first and members > 2").select("key", "cid", "d", "told", "members").join(maps.hint("merge"), "cid")
     settled = found.select(F.col("a").alias("cid")).distinct().hint("merge")
-    rest = materialise(rest.join(settled.withColumn("settled", F.lit(True)), "cid", "left"), "rest")
+    rest = rest.join(settled.withColumn("settled", F.lit(True)), "cid", "left")
+    p = F.col("told").bitwiseAND(F.lit(MOST)).cast("int")
+    front = F.when(p == MOST, F.col("lead")).otherwise(F.slice("lead", F.lit(1), p + 1))
+    front = F.when(F.col("members") > SMALL, front).otherwise(F.array(F.lit(0).cast("long")))
+    rest = rest.select("cid", "d", "told", "words", "m0", "m1", "settled", "key", F.posexplode(front).alias("k", "word"))
+    rest = materialise(rest.select("cid", "d", "told", "words", "m0", "m1", "settled", "k", F.xxhash64("key", "word").alias("key")), "rest")
+    discard(level, stored)
     earlier = F.struct("b.d", "b.cid") < F.struct("a.d", "a.cid")
     apart = F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))) + F.bit_count(F.col("a.m1").bitwiseXOR(F.col("b.m1")))
-    fits = _fits("a.told", "b.told") & (9 * apart <= F.col("a.words") + F.col("b.words"))
+    both = F.col("a.words") + F.col("b.words")
+    begin = 9 * F.least(F.col("a.words") - F.col("a.k"), F.col("b.words") - F.col("b.k")) >= 4 * both
+    fits = begin & _fits("a.told", "b.told") & (9 * apart <= both)
     meet = rest.where("settled is null").alias("a").join(rest.alias("b").hint("merge"), "key").where(earlier & fits)
     more = _similar(meet.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")), classes)
-    discard(level, stored, rest)
+    discard(rest)
     return _verified(found.union(more).distinct(), classes, docs).select(F.col("a").alias("cid")).distinct()
 
 
