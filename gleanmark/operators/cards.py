@@ -10,6 +10,10 @@ COURSE = (r"(?i)How We Teach[^:]*[:：]\s*(?:MIT\s+)?(\d{1,2}[A-Z]?)\.", r"(?i)R
 #: What a pilot plan must tell.
 PLAN_KEYS = ("title", "objective", "concepts", "hypotheses", "deterministic_controls", "ai_tasks", "measurements", "independent_evidence_needed", "stop_conditions")
 
+#: How the question for each type of gap begins, and that for any other.
+ASKS = {"unsupported_claim": "academic evidence for: ", "missing_instance": "concrete examples and case studies of: ", "unverified_edge": "evidence justifying the relationship "}
+ASKS_ELSE = "knowledge about "
+
 
 def card_id(ref: Column) -> Column:
     return F.nullif(F.regexp_extract(ref, r"K-\d{4}", 0), F.lit(""))
@@ -87,6 +91,9 @@ def valid_plan(answer: Column) -> Column:
 
 
 def gap_topic(kind: Column, node: Column, claim: Column, statement: Column) -> Column:
-    """What to look for to fill a gap."""
-    told = F.when(kind == "unsupported_claim", F.concat(F.lit("academic evidence for: "), F.coalesce(statement, claim, F.lit(""))))
-    return told.when(kind == "missing_instance", F.concat(F.lit("concrete examples and case studies of: "), node)).when(kind == "unverified_edge", F.concat(F.lit("evidence justifying the relationship "), F.coalesce(claim, F.lit("?")))).otherwise(F.concat(F.lit("knowledge about "), F.coalesce(node, F.lit("unknown topic"))))
+    """What to look for to fill a gap: a claim's wording, a node's name or an edge."""
+    subject = {"unsupported_claim": F.coalesce(statement, claim, F.lit("")), "missing_instance": node, "unverified_edge": F.coalesce(claim, F.lit("?"))}
+    told = F.lit(None).cast("string")
+    for name, begin in ASKS.items():
+        told = F.when(kind == name, F.concat(F.lit(begin), subject[name])).otherwise(told)
+    return F.when(kind.isin(*ASKS), told).otherwise(F.concat(F.lit(ASKS_ELSE), F.coalesce(node, F.lit("unknown topic"))))
