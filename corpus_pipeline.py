@@ -19,27 +19,42 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the vote model reject go."""
+    """Documents that the base rules or the vote model reject go.
+
+    A null or empty text has no words and goes. Rows that repeat each other or a doc_id are judged one by one, null doc_ids
+    too; other columns are handed on as they are, whatever their names. An empty table gives no rows."""
     return weakrules.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that resemble an earlier line go, and with them documents that have no others."""
+    """Lines that resemble an earlier line go, and with them documents that have no others.
+
+    A null text has no lines and stays. Lines follow each other by doc_id (null first), number and row, so that of equal rows the
+    first keeps its lines. n_chars is counted anew; other columns are handed on. Very long texts are cut at line feeds only."""
     return lines.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, of similarity 0.8 or more, stays."""
+    """One document of each group of near-duplicates, of similarity 0.8 or more, stays.
+
+    Null, empty and blank texts resemble nothing and stay. Of equal rows one stays; a null doc_id is a document like
+    others. Whole texts are compared, however long; all columns are handed on."""
     return neardup.dedup(docs, (80, 100))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: half as many words again as there are, by source weights."""
+    """Documents as often as the mix takes them: half as many words again as there are, by source weights.
+
+    Texts without words add nothing to a target, and are in the mix where their turn comes. A null source is a source of its own, the last. Repeated rows are
+    documents of their own; all columns are handed on. Of an empty table nothing is taken."""
     return mixing.mixed(docs, share=1.5, repeats=2)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048 ids: one row for each piece of a document."""
+    """Token sequences of at most 2048 ids: one row for each piece of a document.
+
+    A null text is an empty one, of the end id alone. Longer documents are cut into pieces; rows that repeat a doc_id, or have
+    none, are packed as documents of their own. Of the other columns none comes through."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0, 2048)
 
 
