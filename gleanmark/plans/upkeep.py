@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanmark import tables as T
 from gleanmark.functions.text import tokens
 from gleanmark.operators import quality, upkeep
+from gleanmark.operators.graph import stored
 from gleanmark.plans.catalog import query
 from gleanmark.plans.kg_sql import with_kg
 
@@ -206,9 +207,14 @@ lw AS (SELECT DISTINCT p_name AS label, unnest(regexp_extract_all(lower(p_name),
 def label_routing(s: SparkSession, d: str) -> DataFrame:
     """Items whose wording shares at least two words with a label: what they ask for is there already. There are few different labels."""
     part = T.table(s, d, "part")
-    words = part.select("p_partkey", F.explode(F.array_distinct(tokens(F.concat_ws(" ", "p_type", "p_name")))).alias("w"))
+    # Equal wordings are routed once, and by different words: what is shuffled and held doesn't grow with the items.
+    wording = F.concat_ws(" ", "p_type", "p_name")
+    asked = part.select(F.array_sort(F.array_distinct(tokens(wording))).alias("ws")).distinct()
+    words = asked.select("ws", F.explode("ws").alias("w"))
     labels = part.select(F.col("p_name").alias("label")).distinct().select("label", F.explode(F.array_distinct(tokens(F.col("label")))).alias("w"))
-    return words.join(labels, "w").groupBy("p_partkey", "label").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2").drop("shared")
+    routes = stored(words.join(labels, "w").groupBy("ws", "label").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2").groupBy("ws").agg(F.collect_list("label").alias("labels")))
+    items = part.select("p_partkey", F.array_sort(F.array_distinct(tokens(wording))).alias("ws"))
+    return items.join(routes, "ws").select("p_partkey", F.explode("labels").alias("label"))
 
 
 @query("""SELECT c_nationkey AS domain FROM customer WHERE c_acctbal > 9000 UNION SELECT s_nationkey FROM supplier WHERE s_acctbal < 0""")
