@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanmark import tables as T
 from gleanmark.functions import text as X
 from gleanmark.operators import gaps, planning, policy
-from gleanmark.operators.graph import scratch
+from gleanmark.operators.graph import scratch, width
 from gleanmark.plans.catalog import CLAIM_EDGES, STRICT, _usable, query
 from gleanmark.plans.kg_sql import with_kg
 from gleanmark.sources import readers, versioned
@@ -86,7 +86,9 @@ def note_migration(s: SparkSession, d: str) -> DataFrame:
 def position_lists(s: SparkSession, d: str) -> DataFrame:
     """Each text as a map from its words to their positions, and back."""
     docs = T.table(s, d, "documents")
-    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("at", "word"))
+    # Dealt by text, so that its words stay together, and the lists and the map are made where they are.
+    letters = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    words = docs.where("doc_id is not null").select("doc_id", "text").repartition(width(s, letters // 6), "doc_id").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("at", "word"))
     lists = words.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list("at")).alias("at")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "at"))).alias("index"))
     return docs.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.md5(F.coalesce(X.from_positions(F.col("index")), F.lit(""))).alias("digest"))
 
