@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -192,7 +193,9 @@ def class_sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, size: int
                 yield pa.record_batch([some["uid"].slice(start, n), lists], names=["first_uid", "shingles"])
 
     made = docs.select("uid", "text").withColumn("bit", filter_bit("uid")).mapInArrow(run, "first_uid long, shingles array<long>").join(wanted, "first_uid").select("cid", "shingles")
-    return materialise(made, "sets")
+    made = materialise(made, "sets")
+    packed.destroy()
+    return made
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, limit: tuple[int, int], size: int = 5) -> DataFrame:
@@ -264,12 +267,11 @@ def _link(docs: DataFrame, row: str, limit: tuple[int, int], size: int, small: i
     more = _blocks(many, "members", block).groupBy("key", "i", "j").applyInArrow(_crossing(apart, limit), "a long, b long")
     rest = materialise(pairs.union(more).distinct().join(star, ["a", "b"], "left_anti"), "rest")
     verified = materialise(verified, "links3")
-    if verified.take(1):
-        edges = edges.union(verified)
-        label = components(edges)
+    further = [verified] if verified.take(1) else []
     if rest.take(1):
-        edges = edges.union(materialise(confirm(rest, classes, docs, limit, size), "links2"))
-        label = components(edges)
+        further.append(materialise(confirm(rest, classes, docs, limit, size), "links2"))
+    if further:
+        label = components(reduce(DataFrame.union, further, edges))
 
     group = classes.join(label.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     group = salted_lookup(group.select("set_id", "set_id2", "component", F.col("least_id").alias("component_id")), ["component"], "component_id", "set_id", value=F.min)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleanmark.llm.common import FILTER_BITS, bit_filter, materialise, numbered, passes, salted_join
+from gleanmark.llm.common import FILTER_BITS, bit_filter, discard, materialise, numbered, passes, salted_join
 from gleanmark.llm.components import components
 from gleanmark.llm.neardup import link
 from gleanmark.llm.textvec import Words, chunks, mix, shingles, word_hashes, words
@@ -30,6 +30,9 @@ from gleanmark.llm.textvec import Words, chunks, mix, shingles, word_hashes, wor
 SPAN, REACH, SHINGLE = 25, 22, 5
 #: Windows whose first paragraph stands in more places are salted.
 HOT = 1000
+#: Of the hash of several words, and its inverse modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def bands_for(limit: float, rows: int = 3, recall: float = 0.9999) -> tuple[int, int]:
@@ -38,11 +41,14 @@ def bands_for(limit: float, rows: int = 3, recall: float = 0.9999) -> tuple[int,
 
 
 def _least_of(values: np.ndarray, reach: int) -> np.ndarray:
-    """For each run of ``reach`` values the place of the least, the last of equals."""
-    best = np.arange(len(values) - reach + 1)
-    for j in range(1, reach):
-        other = np.arange(j, len(values) - reach + 1 + j)
-        best = np.where(values[other] <= values[best], other, best)
+    """For each run of ``reach`` values the place of the least, the last of equals. Runs are made of two shorter ones,
+    which may overlap."""
+    best, width = np.arange(len(values)), 1
+    while width < reach:
+        step = min(width, reach - width)
+        one, other = best[:-step], best[step:]
+        best = np.where(values[other] <= values[one], other, one)
+        width += step
     return best
 
 
@@ -65,11 +71,11 @@ def _paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def _hash_of(hashes: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the ``size`` words from each of ``word`` on."""
-    key = np.zeros(len(word), np.uint64)
-    for j in range(size):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + hashes[word + j]
-    return mix(key)
+    """The hash of the ``size`` words from each of ``word`` on, a polynomial in BASE. Sums over all words before, in
+    which each counts by a power of the inverse, give that of any words by one subtraction, modulo 2 ** 64."""
+    up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(hashes), x, np.uint64))) for x in (BASE, INVERSE))
+    total = np.append(np.uint64(0), np.cumsum(hashes * down[:-1], dtype=np.uint64))
+    return mix((total[word + size] - total[word]) * up[word + size - 1])
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -93,6 +99,7 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
     spread = materialise(spread.select("key", "places"), "paragraphs")
     packed = bit_filter(spread, "key", mixed=True)
     hot = bit_filter(spread.where(F.col("places") > HOT), "key", mixed=True)
+    discard(spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +128,10 @@ def windows(docs: DataFrame, least: int) -> DataFrame:
                 salt = np.where(often[lowest[g]], uid.to_numpy() & 63, -1)
                 yield pa.record_batch([uid, pa.array(at.astype(np.int32)), pa.array(window.view(np.int64)), pa.array(salt.astype(np.int8))], names=["uid", "at", "window", "salt"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, at int, window long, salt byte")
+    every = materialise(docs.select("uid", "text").mapInArrow(run, "uid long, at int, window long, salt byte"), "windows")
+    packed.destroy()
+    hot.destroy()
+    return every
 
 
 def _pieces(least: int):
@@ -166,7 +176,7 @@ def exact(docs: DataFrame, least: int = 51) -> DataFrame:
     Every window of ``least`` words is held against its first and last document, so that no pairs are
     made and none is missed. Successive windows are one run, as long as they all go or all stay.
     """
-    every = materialise(windows(docs, least), "windows")
+    every = windows(docs, least)
     same = W.partitionBy("window")
     met = every.where("salt < 0").select("uid", "at", F.min("uid").over(same).alias("low"), F.max("uid").over(same).alias("high"), F.min_by("at", "uid").over(same).alias("low_at")).where("low <> high").drop("high")
     # Each (window, salt) of the hot ones is told its window's first place.
@@ -180,6 +190,7 @@ def exact(docs: DataFrame, least: int = 51) -> DataFrame:
     met = met.unionByName(told.where("uid is not null and low is not null"))
     met = met.repartition("uid").sortWithinPartitions("uid", "at")
     piece = materialise(met.mapInArrow(_pieces(least), "uid long, s int, e int, removed boolean, low long, low_at int"), "pieces")
+    discard(every)
     runs = piece.select("uid", "s", "e", "removed").distinct()
     # A first place lies in the last run before it that stays.
     place = piece.select(F.col("low").alias("uid"), F.col("low_at").alias("at"), F.lit(None).cast("int").alias("own")).distinct()
@@ -194,7 +205,7 @@ def exact(docs: DataFrame, least: int = 51) -> DataFrame:
 
 def near(docs: DataFrame, limit: tuple[int, int] = (80, 100), least: int = 51) -> DataFrame:
     """Paragraphs of ``docs`` (uid, text) that resemble one of another document: uid, s, e, mark, removed."""
-    stored = materialise(paragraphs(docs, least).withColumn("doc_id", F.monotonically_increasing_id()), "paragraphs")
+    stored = materialise(paragraphs(docs, least).withColumn("doc_id", F.monotonically_increasing_id()), "paragraphs", compression="zstd")
     linked = link(stored.select("doc_id", "text"), limit, SHINGLE, bands=bands_for(limit[0] / limit[1]), fine=64)
     groups = linked.groupBy("component_id").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     member = linked.join(groups, "component_id").select("doc_id", "component_id")
