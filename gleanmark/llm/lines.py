@@ -14,6 +14,8 @@ on them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ CELL_BITS = 17
 HOT = 4096
 #: Members up to which all lines of a group meet; those of larger groups also need their first common word.
 SMALL = 32
+#: Parts of 64 bits of the maps by which the members of a group are held against each other.
+MAPS = 4
 #: How far before a line, in each of its groups, those stand that it is held against first.
 BEFORE = (1, 2, 3, 4, 6, 9, 14, 22)
 
@@ -51,9 +55,13 @@ def _classes(lines: DataFrame) -> DataFrame:
     than the lines do in words."""
     rows = lines.select("n1", "n2", F.struct("d", "line_no", "uid").alias("f"), F.transform(_words(F.col("line")), lambda w: F.hash(w)).alias("c"))
     folded = rows.groupBy("n1", "n2").agg(F.min("f").alias("f"), F.first("c").alias("c")).withColumn("n", F.size("c")).where("n > 0")
+    return materialise(folded.select(F.monotonically_increasing_id().alias("cid"), "n1", "n2", "f.*", "n", "c", _map(0, 2).alias("m0"), _map(1, 2).alias("m1")), "classes", compression="zstd")
+
+
+def _map(part: int, parts: int) -> Column:
+    """64 bits of the map of a line's words (c): those of one of 2 or 4 parts."""
     turn = lambda m, h: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h))
-    half = lambda k: F.aggregate("c", F.lit(0).cast("long"), lambda m, h: F.when(h.bitwiseAND(F.lit(64)) == 64 * k, turn(m, h)).otherwise(m))
-    return materialise(folded.select(F.monotonically_increasing_id().alias("cid"), "n1", "n2", "f.*", "n", "c", half(0).alias("m0"), half(1).alias("m1")), "classes", compression="zstd")
+    return F.aggregate("c", F.lit(0).cast("long"), lambda m, h: F.when(h.bitwiseAND(F.lit(64 * (parts - 1))) == 64 * part, turn(m, h)).otherwise(m))
 
 
 def levels(classes: DataFrame) -> DataFrame:
@@ -179,24 +187,33 @@ def _gone(docs: DataFrame, classes: DataFrame) -> DataFrame:
     found = _similar(star, classes)
     # The others meet the earlier lines of their groups, in large ones those that have their first common word with them as well. Of n words a fifth
     # at most are a line's own, so that it is one of the first n/5 (and one), and not behind the pair that is the group's key.
-    maps = classes.withColumn("level", level.scalar()).select("cid", F.col("n").alias("words"), "m0", "m1", F.slice(_ordered(), F.lit(1), F.floor(F.col("n") / 5).cast("int") + 1).alias("lead"))
-    rest = shared.where("not first and members > 2").select("key", "cid", "d", "told", "members").join(maps.hint("merge"), "cid")
+    rest = shared.where("not first and members > 2").select("key", "cid", "d", "told", "members")
     settled = found.select(F.col("a").alias("cid")).distinct().hint("merge")
-    rest = rest.join(settled.withColumn("settled", F.lit(True)), "cid", "left")
+    left = materialise(rest.join(settled.withColumn("settled", F.lit(True)), "cid", "left"), "members")
+    # Groups in which all are settled ask nothing.
+    rest = left.join(left.where("settled is null").select("key").distinct().hint("merge"), "key", "left_semi")
+    maps = few(classes, rest.select("cid"), "cid").withColumn("level", level.scalar())
+    maps = maps.select("cid", F.col("n").alias("words"), *[_map(i, MAPS).alias(f"m{i}") for i in range(MAPS)], F.slice(_ordered(), F.lit(1), F.floor(F.col("n") * 2 / 5).cast("int") + 1).alias("order"))
+    rest = rest.join(maps.hint("merge"), "cid").withColumn("lead", F.slice("order", F.lit(1), F.floor(F.col("words") / 5).cast("int") + 1))
     p = F.col("told").bitwiseAND(F.lit(MOST)).cast("int")
     front = F.when(p == MOST, F.col("lead")).otherwise(F.slice("lead", F.lit(1), p + 1))
     front = F.when(F.col("members") > SMALL, front).otherwise(F.array(F.lit(0).cast("long")))
-    rest = rest.select("cid", "d", "told", "words", "m0", "m1", "settled", "key", F.posexplode(front).alias("k", "word"))
-    rest = materialise(rest.select("cid", "d", "told", "words", "m0", "m1", "settled", "k", F.xxhash64("key", "word").alias("key")), "rest")
+    prev = F.when((p > 0) & (p < MOST), F.get("order", p - 1)).alias("prev")
+    held = ["cid", "d", "told", "words", *[f"m{i}" for i in range(MAPS)], "settled"]
+    rest = rest.select(*held, prev, "key", F.when(F.col("members") > SMALL, F.col("lead")).alias("lead"), F.posexplode(front).alias("k", "word"))
+    rest = materialise(rest.select(*held, "prev", F.slice("lead", F.lit(1), F.col("k")).alias("before"), "k", F.xxhash64("key", "word").alias("key")), "rest")
     discard(level, stored)
     earlier = F.struct("b.d", "b.cid") < F.struct("a.d", "a.cid")
-    apart = F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))) + F.bit_count(F.col("a.m1").bitwiseXOR(F.col("b.m1")))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.m{i}").bitwiseXOR(F.col(f"b.m{i}"))) for i in range(MAPS)])
     both = F.col("a.words") + F.col("b.words")
     begin = 9 * F.least(F.col("a.words") - F.col("a.k"), F.col("b.words") - F.col("b.k")) >= 4 * both
     fits = begin & _fits("a.told", "b.told") & (9 * apart <= both)
-    meet = rest.where("settled is null").alias("a").join(rest.alias("b").hint("merge"), "key").where(earlier & fits)
+    # A pair that also has the word before the key in common meets in the group of that word, and one with a common
+    # word before this one meets by that: there, and not here.
+    again = F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False)) | F.coalesce(F.arrays_overlap("a.before", "b.before"), F.lit(False))
+    meet = rest.where("settled is null").alias("a").join(rest.alias("b").hint("merge"), "key").where(earlier & fits & ~again)
     more = _similar(meet.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")), classes)
-    discard(rest)
+    discard(rest, left)
     return _verified(found.union(more).distinct(), classes, docs).select(F.col("a").alias("cid")).distinct()
 
 

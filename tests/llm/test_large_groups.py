@@ -25,3 +25,19 @@ def test_lines_of_one_template(spark, tmp_path, monkeypatch, small):
     want = {(d, i) for at, (d, i, w) in enumerate(every) if any(9 * len(w & v) >= 4 * (len(w) + len(v)) for _, _, v in every[:at])}
     got = {(r.doc_id, r.line_no) for r in lines.removals(spark.read.parquet(str(tmp_path / "d"))).collect()}
     assert got == want and 5 < len(want) < len(every) - 5
+
+
+def test_pairs_of_a_family_meet_once(spark, tmp_path, monkeypatch):
+    """Lines that share most words, and yet too few, are handed on once a pair and not for each word in common."""
+    template = [f"t{i}" for i in range(176)]
+    rows = [(doc, " ".join(template + [f"own{doc}x{i}" for i in range(25)])) for doc in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    made, similar = [], lines._similar
+
+    def counted(pairs, classes):
+        made.append((pairs.count(), pairs.distinct().count()))
+        return similar(pairs, classes)
+
+    monkeypatch.setattr(lines, "_similar", counted)
+    assert lines.removals(spark.read.parquet(str(tmp_path / "d"))).count() == 0
+    assert len(made) == 2 and made[1][0] == made[1][1] > 10
