@@ -26,12 +26,16 @@ CELL_BITS = 17
 #: Pairs of words of which the rarer one stands in more lines have their groups salted. Groups of other
 #: pairs can't have more members than that.
 HOT = 4096
-#: Members up to which all lines of a group meet; those of larger groups also need their first common word.
-SMALL = 32
+#: Copies of a line up to which no salt deals them out.
+COPIES = 64
+#: Members up to which all lines of a group meet, if one that no other has settled finds another that fits; those of larger
+#: groups also need their first common word.
+SMALL = 1024
 #: Parts of 64 bits of the maps by which the members of a group are held against each other.
 MAPS = 4
-#: How far before a line, in each of its groups, those stand that it is held against first.
-BEFORE = (1, 2, 3, 4, 6, 9, 14, 22)
+#: Members of a group of which each is held against all before it at once; in larger ones each is held against the
+#: earliest and the WHOLE - 1 before it first.
+WHOLE = 16
 
 
 def _words(line: Column) -> Column:
@@ -44,22 +48,39 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """uid, d (doc_id), line_no, line and its name (n1, n2) of all lines; a null text has none."""
-    lines = docs.select("uid", "d", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """uid, d (doc_id), line_no, line and its name (n1, n2) of all lines with words; a null text has none."""
+    lines = docs.select("uid", "d", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
     return lines.select("*", F.xxhash64("line").alias("n1"), F.xxhash64(F.lit(1), "line").alias("n2"))
 
 
-def _classes(lines: DataFrame) -> DataFrame:
-    """Each different line with words once: cid (a number), name, first place (d, line_no, uid), n and c, hashes of its
-    words, and m0 and m1, a map of them of 128 bits. Each word turns one bit round: two maps differ in no more bits
-    than the lines do in words."""
-    rows = lines.select("n1", "n2", F.struct("d", "line_no", "uid").alias("f"), F.transform(_words(F.col("line")), lambda w: F.hash(w)).alias("c"))
-    folded = rows.groupBy("n1", "n2").agg(F.min("f").alias("f"), F.first("c").alias("c")).withColumn("n", F.size("c")).where("n > 0")
-    return materialise(folded.select(F.monotonically_increasing_id().alias("cid"), "n1", "n2", "f.*", "n", "c", _map(0, 2).alias("m0"), _map(1, 2).alias("m1")), "classes", compression="zstd")
+def _classes(lines: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Each different line with words once: cid (a number), first place (d, line_no, uid), n and c, hashes of its words;
+    then the places of all lines that aren't the first of theirs, and the stored tables that both are read from.
+
+    A line may stand in a third of all documents. The copies of the 2 ** 14 most frequent ones, which are all that can have
+    more than that part of the lines, are dealt out by a salt and the first of all salts told afterwards.
+    """
+    often = lines.groupBy("n1").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > COPIES).orderBy(F.desc("k"), "n1").limit(1 << 14)
+    often = materialise(often.select("n1", F.lit(64).alias("salts")), "often")
+    rows = lines.select("n1", "n2", "uid", "d", "line_no", F.transform(_words(F.col("line")), lambda w: F.hash(w)).alias("c"))
+    rows = rows.join(F.broadcast(often), "n1", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("salts")) + 1, F.lit(0)).cast("int"))
+    place = F.struct("d", "line_no", "uid")
+    by = W.partitionBy("n1", "n2", "salt").orderBy("d", "line_no", "uid")
+    rows = rows.withColumn("opens", F.lag("uid").over(by).isNull())
+    own = lambda x, when: F.when(when, F.col(x)).alias(x)
+    hot = F.col("opens") & (F.col("salt") > 0)
+    rows = rows.select(F.monotonically_increasing_id().alias("cid"), own("n1", hot), own("n2", hot), "uid", "d", "line_no", own("c", F.col("opens")), "opens", hot.alias("hot"))
+    stored = materialise(rows, "classes", compression="zstd")
+    heads = stored.where("hot").groupBy("n1", "n2").agg(F.min(place).alias("f"))
+    some = materialise(stored.where("hot").join(heads, ["n1", "n2"]).withColumn("opens", place == F.col("f")).drop("f"), "copies")
+    every = stored.where("not hot").unionByName(some)
+    classes = every.where("opens").select("cid", "d", "line_no", "uid", F.size("c").alias("n"), "c")
+    return classes, every.where("not opens").select("uid", "d", "line_no"), [stored, some, often]
 
 
 def _map(part: int, parts: int) -> Column:
-    """64 bits of the map of a line's words (c): those of one of 2 or 4 parts."""
+    """64 bits of the map of a line's words (c): those of one of 4 parts. Each word turns one bit round: two maps
+    differ in no more bits than the lines do in words."""
     turn = lambda m, h: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h))
     return F.aggregate("c", F.lit(0).cast("long"), lambda m, h: F.when(h.bitwiseAND(F.lit(64 * (parts - 1))) == 64 * part, turn(m, h)).otherwise(m))
 
@@ -84,70 +105,74 @@ def _ordered() -> Column:
 
 
 def _posts(classes: DataFrame, level: DataFrame) -> DataFrame:
-    """cid, d, key (two neighbours in the order), rare (level of the rarer word) and told: the number of the
-    line's words, the pair's place and 44 bits into which the line's map is folded."""
-    keys = _ordered()
-    both = F.col("m0").bitwiseXOR(F.col("m1"))
-    folded = both.bitwiseXOR(F.shiftrightunsigned(both, MAP_BITS)).bitwiseAND(F.lit((1 << MAP_BITS) - 1))
-    keyed = classes.withColumn("level", level.scalar()).select("cid", "d", "n", folded.alias("map"), keys.alias("k"))
+    """cid, key (two neighbours in the order), hot (whether many lines may have them) and told: the number of the line's words, the pair's place and a map of 44 bits, in which each word turns one bit round."""
+    folded = F.aggregate("c", F.lit(0).cast("long"), lambda m, h: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(MAP_BITS)))))
+    keyed = classes.withColumn("level", level.scalar()).select("cid", "n", folded.alias("map"), _ordered().alias("k"))
     # Of two lines with n and m words, o of them common, one has n - o others, which part two pairs each, and the
     # other m - o, which part one each: at most 2n/5. A single word has an absent neighbour.
     prefix = F.floor(F.col("n") * 2 / 5).cast("int") + 1
-    pairs = keyed.select("cid", "d", "n", "map", F.posexplode(F.arrays_zip(F.slice("k", 1, prefix).alias("a"), F.slice("k", 2, prefix).alias("b"))).alias("p", "pair"))
+    pairs = keyed.select("cid", "n", "map", F.posexplode(F.arrays_zip(F.slice("k", 1, prefix).alias("a"), F.slice("k", 2, prefix).alias("b"))).alias("p", "pair"))
     rare = F.shiftright(F.col("pair.a") + (1 << 31), 32).cast("int")
     told = F.shiftleft("map", 2 * BITS).bitwiseOR(F.shiftleft(F.least("n", F.lit(MOST)).cast("long"), BITS)).bitwiseOR(F.least("p", F.lit(MOST)).cast("long"))
-    return pairs.select("cid", "d", F.xxhash64("pair.a", "pair.b").alias("key"), told.alias("told"), rare.alias("rare"))
+    return pairs.select("cid", F.xxhash64("pair.a", "pair.b").alias("key"), told.alias("told"), (rare >= 8 * (HOT.bit_length() - 1)).alias("hot"))
 
 
-def _fits(ours: str, theirs: str) -> Column:
+def _fits(ours: Column | str, theirs: Column | str) -> Column:
     """Length, positional and map filters for lines whose first common pair is the one told of in both.
     Of the common words before it no two are neighbours in both lines, so that another word
     stands between any two: they are at most a third of the words before it in both."""
+    ours, theirs = (F.col(x) if isinstance(x, str) else x for x in (ours, theirs))
     n, m = (F.shiftright(x, BITS).bitwiseAND(F.lit(MOST)) for x in (ours, theirs))
-    p, q = (F.col(x).bitwiseAND(F.lit(MOST)) for x in (ours, theirs))
+    p, q = (x.bitwiseAND(F.lit(MOST)) for x in (ours, theirs))
     length = 5 * F.least(n, m) >= 4 * F.greatest(n, m)
     place = 3 * (p + q + 3 * F.least(n - p, m - q)) >= 4 * (n + m)
-    apart = F.bit_count(F.shiftrightunsigned(F.col(ours).bitwiseXOR(F.col(theirs)), 2 * BITS))
+    apart = F.bit_count(F.shiftrightunsigned(ours.bitwiseXOR(theirs), 2 * BITS))
     return (F.greatest(n, m) == MOST) | (length & place & (9 * apart <= n + m))
 
 
-def _shared(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Posts whose key another line has, with first (whether they are the earliest of their group), members (their
-    number) and earlier: of the earliest and some before each, the cids of those that fit. And the stored table
-    that they are read from.
+def _held(posts: DataFrame, *order: str) -> DataFrame:
+    """``posts`` with earlier: of some before each in its group, in that order, the cids of those that fit."""
+    before = F.collect_list(F.struct("cid", "told")).over(W.partitionBy("key").orderBy(*order).rowsBetween(1 - WHOLE, -1)).alias("before")
+    return posts.select("*", before).withColumn("earlier", F.transform(F.filter("before", lambda x: _fits(F.col("told"), x.told)), lambda x: x.cid)).drop("before")
+
+
+def _shared(posts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Pairs (a, b) of lines that share a key and fit: all of small groups, of large ones those of a line with the earliest and some before it.
+    Then the posts of large groups: key, cid, d, told, members (their number) and first (whether they are
+    the earliest). And the stored tables that both are read from.
 
-    Only keys whose rarer word is frequent can have large groups; these are dealt out by a salt and
+    Only keys whose rarer word is frequent can have very large groups; these are dealt out by a salt and
     told the earliest of all salts afterwards.
     """
-    hot = F.col("rare") >= 8 * (HOT.bit_length() - 1)
-    posts = posts.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("cid"), F.lit(64)) + 1).otherwise(0)).drop("rare")
-    by = W.partitionBy("key", "salt").orderBy("d", "cid")
-    near = posts.select("*", F.lag("cid").over(by).alias("prev"), F.lead("cid").over(by).alias("next"))
-    near = near.where("prev is not null or next is not null or salt > 0").drop("prev", "next")
-    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    own = F.struct("cid", "told")
-    near = near.withColumn("h", F.first(F.struct("d", "cid", "told")).over(whole)).withColumn("l", F.last("told").over(whole)).withColumn("members", F.count(F.lit(1)).over(whole))
-    places = [f"before{k}" for k in BEFORE]
-    near = near.select("*", *[F.lag(own, k).over(by).alias(x) for k, x in zip(BEFORE, places, strict=True)])
-    # Two lines alone with a key, which don't fit, need it no more.
-    near = near.where((F.col("salt") > 0) | (F.col("members") > 2) | _fits("h.told", "l"))
-    fits = lambda x: F.when((F.col("cid") != F.col(f"{x}.cid")) & _fits("told", f"{x}.told"), F.col(f"{x}.cid"))
-    earlier = F.array_distinct(F.array_compact(F.array(fits("h"), *map(fits, places))))
+    # A salted key stands for a group's part; base is the group's own.
+    salted = F.when(F.col("hot"), F.xxhash64("key", F.pmod(F.xxhash64("cid"), F.lit(64)))).otherwise(F.col("key"))
+    parts = posts.select(salted.alias("key"), F.when(F.col("hot"), F.col("key")).alias("base"), "cid", "told")
+    near = parts.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))).where("members > 1 or base is not null")
+    large = (F.col("members") > WHOLE) | F.col("base").isNotNull()
+    near = _held(near, "cid").select("key", "base", "cid", F.when(large, F.col("told")).alias("told"), "members", F.when(~large & (F.size("earlier") > 0), F.col("earlier")).alias("earlier"))
+    near = materialise(near.where("told is not null or earlier is not null"), "shared")
+    pairs = near.where("earlier is not null").select(F.col("cid").alias("a"), F.explode("earlier").alias("b"))
+    # The others are told their line's place.
+    big = near.where("told is not null").drop("earlier")
+    big = big.join(few(classes.select("cid", "d"), big, "cid").hint("merge"), "cid")
+    by = W.partitionBy("key")
+    head = F.min(F.struct("d", "cid", "told")).over(by).alias("h")
+    big = materialise(_held(big.select("key", "base", "cid", "d", "told", "members", head), "d", "cid"), "large")
+    tops = big.where("base is not null").groupBy("key", "base").agg(F.first("h").alias("h"), F.first("members").alias("members"))
+    whole = tops.groupBy("base").agg(F.min("h").alias("h"), F.sum("members").alias("members")).where("members > 1")
+    told = big.where("base is not null").drop("h", "members").join(tops.select("key", "base").join(whole, "base").drop("base"), "key")
+    told = told.withColumn("key", F.col("base"))
+    every = big.where("base is null").unionByName(told).drop("base")
     first = F.col("cid") == F.col("h.cid")
-    near = near.select("key", "salt", "cid", "d", "told", "members", first.alias("first"), F.when(F.size(earlier) > 0, earlier).alias("earlier"), F.when(F.col("salt") > 0, F.col("h")).alias("h"))
-    near = materialise(near, "shared")
-    salted = near.where("salt > 0")
-    part = salted.groupBy("key", "salt").agg(F.min("h").alias("h"), F.count(F.lit(1)).alias("members"))
-    whole = part.groupBy("key").agg(F.min("h").alias("h"), F.sum("members").alias("members")).where("members > 1")
-    told = salted.drop("h", "members", "first").join(part.select("key", "salt").join(whole, "key"), ["key", "salt"])
-    told = told.withColumn("earlier", F.array_compact(F.array_append(F.coalesce("earlier", F.array().cast("array<bigint>")), fits("h")))).withColumn("first", first)
-    kept = ["key", "cid", "d", "told", "members", "first", "earlier"]
-    return near.where("salt = 0").select(*kept).unionByName(told.select(*kept)), near
+    hub = F.when(~first & _fits("told", "h.told"), F.array("h.cid")).otherwise(F.array().cast("array<bigint>"))
+    star = every.select(F.col("cid").alias("a"), F.explode(F.array_union("earlier", hub)).alias("b"))
+    return pairs.unionByName(star), every.select("key", "cid", "d", "told", "members", first.alias("first")), [near, big]
 
 
 def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b) those whose sets may have a Jaccard similarity of 4/5 or more: (a, b), a the later one.
-    Words are told apart by 32 bits, in a multiset, so that no similar pair is lost."""
+    """Of ``pairs`` (a, b) those whose sets may have a Jaccard similarity of 4/5 or more: (a, b, sure), a the later one.
+    Words are told apart by 32 bits, in a multiset, so that no similar pair is lost. A pair is sure if it would be
+    similar with two common words less, so that a wrong one would need three words of it to share their bits with others."""
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     asked = materialise(asked, "asked")
@@ -159,7 +184,9 @@ def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     twice = F.least(F.col("na") - F.size(F.array_distinct("ca")), F.col("nb") - F.size(F.array_distinct("cb")))
     common = F.size(F.array_intersect("ca", "cb")) + twice
     late = F.col("fa") > F.col("fb")
-    found = both.where(9 * common >= 4 * (F.col("na") + F.col("nb"))).select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("b"))
+    least = 4 * (F.col("na") + F.col("nb"))
+    both = both.withColumn("common", common).where(9 * F.col("common") >= least).withColumn("sure", 9 * (F.col("common") - 2) >= least)
+    found = both.select("sure", F.when(late, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(late, F.col("b")).otherwise(F.col("a")).alias("b"))
     found = materialise(found, "similar")
     discard(pairs, asked, sets)
     return found
@@ -181,17 +208,23 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 def _gone(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """cid of the classes that resemble an earlier one."""
     level = levels(classes)
-    shared, stored = _shared(_posts(classes, level))
-    # Every line is held against a few earlier ones of its groups first; what this settles asks no more.
-    star = shared.select(F.col("cid").alias("a"), F.explode("earlier").alias("b"))
+    # Every line is held against a few others of its groups first; what this settles asks no more.
+    star, shared, stored = _shared(_posts(classes, level), classes)
     found = _similar(star, classes)
     # The others meet the earlier lines of their groups, in large ones those that have their first common word with them as well. Of n words a fifth
     # at most are a line's own, so that it is one of the first n/5 (and one), and not behind the pair that is the group's key.
-    rest = shared.where("not first and members > 2").select("key", "cid", "d", "told", "members")
+    rest = shared.where(~F.col("first") & (F.col("members") > 2)).select("key", "cid", "d", "told", "members")
     settled = found.select(F.col("a").alias("cid")).distinct().hint("merge")
     left = materialise(rest.join(settled.withColumn("settled", F.lit(True)), "cid", "left"), "members")
-    # Groups in which all are settled ask nothing.
-    rest = left.join(left.where("settled is null").select("key").distinct().hint("merge"), "key", "left_semi")
+    # Groups in which all are settled ask nothing, nor do those of up to SMALL lines in which no other line fits one that isn't.
+    # Lines of one document aren't in order by their numbers.
+    earlier = (F.struct("b.d", "b.cid") < F.struct("a.d", "a.cid")) | (F.col("a.d").eqNullSafe(F.col("b.d")) & F.col("b.settled"))
+    asks = left.where("settled is null")
+    small = F.col("members") <= SMALL
+    near = (F.col("a.key") == F.col("b.key")) & earlier & _fits("a.told", "b.told")
+    some = asks.where(small).alias("a").join(left.where(small).alias("b").hint("merge"), near, "left_semi")
+    keys = some.select("key").union(asks.where(~small).select("key")).distinct()
+    rest = asked = materialise(left.join(keys.hint("merge"), "key", "left_semi"), "asked")
     maps = few(classes, rest.select("cid"), "cid").withColumn("level", level.scalar())
     maps = maps.select("cid", F.col("n").alias("words"), *[_map(i, MAPS).alias(f"m{i}") for i in range(MAPS)], F.slice(_ordered(), F.lit(1), F.floor(F.col("n") * 2 / 5).cast("int") + 1).alias("order"))
     rest = rest.join(maps.hint("merge"), "cid").withColumn("lead", F.slice("order", F.lit(1), F.floor(F.col("words") / 5).cast("int") + 1))
@@ -202,8 +235,7 @@ def _gone(docs: DataFrame, classes: DataFrame) -> DataFrame:
     held = ["cid", "d", "told", "words", *[f"m{i}" for i in range(MAPS)], "settled"]
     rest = rest.select(*held, prev, "key", F.when(F.col("members") > SMALL, F.col("lead")).alias("lead"), F.posexplode(front).alias("k", "word"))
     rest = materialise(rest.select(*held, "prev", F.slice("lead", F.lit(1), F.col("k")).alias("before"), "k", F.xxhash64("key", "word").alias("key")), "rest")
-    discard(level, stored)
-    earlier = F.struct("b.d", "b.cid") < F.struct("a.d", "a.cid")
+    discard(level, *stored, left, asked)
     apart = reduce(Column.__add__, [F.bit_count(F.col(f"a.m{i}").bitwiseXOR(F.col(f"b.m{i}"))) for i in range(MAPS)])
     both = F.col("a.words") + F.col("b.words")
     begin = 9 * F.least(F.col("a.words") - F.col("a.k"), F.col("b.words") - F.col("b.k")) >= 4 * both
@@ -213,20 +245,21 @@ def _gone(docs: DataFrame, classes: DataFrame) -> DataFrame:
     again = F.coalesce(F.col("a.prev") == F.col("b.prev"), F.lit(False)) | F.coalesce(F.arrays_overlap("a.before", "b.before"), F.lit(False))
     meet = rest.where("settled is null").alias("a").join(rest.alias("b").hint("merge"), "key").where(earlier & fits & ~again)
     more = _similar(meet.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")), classes)
-    discard(rest, left)
-    return _verified(found.union(more).distinct(), classes, docs).select(F.col("a").alias("cid")).distinct()
+    discard(rest)
+    found = found.unionByName(more)
+    sure = found.where("sure").select("a").distinct()
+    doubtful = materialise(found.where("not sure").select("a", "b").distinct().join(sure.hint("merge"), "a", "left_anti"), "doubtful")
+    return sure.union(_verified(doubtful, classes, docs).select("a")).distinct().withColumnRenamed("a", "cid")
 
 
 def _removals(docs: DataFrame, row: str) -> DataFrame:
     """As ``removals``, of documents whose rows ``row`` numbers."""
     docs = docs.select(F.col(row).alias("uid"), F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
-    lines = _lines(docs)
-    classes = _classes(lines)
-    gone = _gone(docs, classes).withColumn("again", F.lit(True))
+    classes, copies, _ = _classes(_lines(docs))
     # A line that opens its class stays unless the class resembles an earlier one; all others go.
-    fate = classes.join(gone.hint("merge"), "cid", "left").select("n1", "n2", F.struct("d", "line_no", "uid").alias("f"), "again")
-    told = lines.select("n1", "n2", "uid", "d", "line_no").join(fate.hint("merge"), ["n1", "n2"])
-    return told.where(F.coalesce("again", F.lit(False)) | (F.struct("d", "line_no", "uid") != F.col("f"))).select("uid", F.col("d").alias("doc_id"), "line_no")
+    again = materialise(_gone(docs, classes), "gone")
+    gone = few(classes.select("cid", "uid", "d", "line_no"), again, "cid").join(again.hint("merge"), "cid", "left_semi")
+    return copies.unionByName(gone.drop("cid")).select("uid", F.col("d").alias("doc_id"), "line_no")
 
 
 def removals(docs: DataFrame) -> DataFrame:

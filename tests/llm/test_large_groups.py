@@ -41,3 +41,40 @@ def test_pairs_of_a_family_meet_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lines, "_similar", counted)
     assert lines.removals(spark.read.parquet(str(tmp_path / "d"))).count() == 0
     assert len(made) == 2 and made[1][0] == made[1][1] > 10
+
+
+def stored(monkeypatch):
+    """How many rows each table has that line dedup stores, by its name."""
+    rows, materialise = {}, lines.materialise
+
+    def counted(df, label="table", **options):
+        out = materialise(df, label, **options)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "materialise", counted)
+    return rows
+
+
+def test_lines_that_share_two_words_only_go_no_further(spark, tmp_path, monkeypatch):
+    """Lines with two neighbours in common and nothing else are told apart where they meet, and neither stored nor looked up again."""
+    rows = [(doc, " ".join(["both", "words"] + [f"own{doc}x{i}" for i in range(8)])) for doc in range(12)]
+    rows += [(100, "some line that stands alone here"), (101, "some line that stands alone here too")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    seen = stored(monkeypatch)
+    monkeypatch.setattr(lines, "levels", lambda classes: spark.range(1).selectExpr("array_repeat(0L, 131072) as level"))
+    short = [(doc, "both words" + f" own{doc}") for doc in range(200, 212)]
+    spark.createDataFrame(short, "doc_id long, text string").repartition(3).write.mode("append").parquet(str(tmp_path / "d"))
+    assert [(r.doc_id, r.line_no) for r in lines.removals(spark.read.parquet(str(tmp_path / "d"))).collect()] == [(101, 0)]
+    assert seen["members"] == 0 and seen["rest"] == 0 and seen["shared"] < 4
+
+
+@pytest.mark.parametrize("copies", [1, 64])
+def test_copies_of_a_line_are_dealt_out(spark, tmp_path, monkeypatch, copies):
+    """The first of a frequent line's copies stays, whatever salts they have, and a line that it resembles goes."""
+    monkeypatch.setattr(lines, "COPIES", copies, raising=False)
+    often = "one line that stands in all documents of the table"
+    rows = [(doc, f"own{doc} text{doc}\n{often}\n\n{often}") for doc in range(5, 45)] + [(2, f"{often} again"), (None, "null first\n ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = sorted((r.doc_id, r.line_no) for r in lines.removals(spark.read.parquet(str(tmp_path / "d"))).collect())
+    assert got == [(doc, k) for doc in range(5, 45) for k in (1, 3)]
