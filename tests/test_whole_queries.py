@@ -15,6 +15,11 @@ def items(spark, sf, least):
     return {r.item_id for r in table.select("item_id").collect()}
 
 
+def test_index_best_ranks_for_every_item(spark, sf):
+    got = {r.query_id for r in catalog.QUERIES["index_best"](spark, sf).select("query_id").collect()}
+    assert got == items(spark, sf, 1) and len(got) > 1
+
+
 def test_backoff_asks_with_every_item(spark, sf):
     got = {r.query_id for r in catalog.QUERIES["bm25_backoff"](spark, sf).select("query_id").collect()}
     assert {q for q in got if q % 100} and got <= items(spark, sf, 2)
