@@ -36,6 +36,8 @@ MAPS = 4
 #: Members of a group of which each is held against all before it at once; in larger ones each is held against the
 #: earliest and the WHOLE - 1 before it first.
 WHOLE = 16
+#: Members of a group up to which one that fits no other goes no further.
+MIDDLE = 128
 
 
 def _words(line: Column) -> Column:
@@ -136,21 +138,38 @@ def _held(posts: DataFrame, *order: str) -> DataFrame:
     return posts.select("*", before).withColumn("earlier", F.transform(F.filter("before", lambda x: _fits(F.col("told"), x.told)), lambda x: x.cid)).drop("before")
 
 
+def _grouped(parts: DataFrame) -> DataFrame:
+    """Of ``parts`` (key, base, cid, told), where base is null, those that share their key: with earlier, the cids of those before that fit, in small groups, and with
+    told in large ones, where of up to MIDDLE lines those go that fit no other. Where base isn't null all are handed on, with told."""
+    near = parts.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))).where("members > 1 or base is not null")
+    middle = F.col("base").isNull() & (F.col("members") > WHOLE) & (F.col("members") <= MIDDLE)
+    near = near.withColumn("all", F.collect_list(F.when(middle, F.struct("cid", "told"))).over(W.partitionBy("key")))
+    met = ~middle | F.exists("all", lambda x: (x.cid != F.col("cid")) & _fits(F.col("told"), x.told))
+    large = (F.col("members") > WHOLE) | F.col("base").isNotNull()
+    near = _held(near.where(met).drop("all"), "cid")
+    near = near.select("key", "base", "cid", F.when(large, F.col("told")).alias("told"), "members", F.when(~large & (F.size("earlier") > 0), F.col("earlier")).alias("earlier"))
+    return near.where("told is not null or earlier is not null")
+
+
 def _shared(posts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Pairs (a, b) of lines that share a key and fit: all of small groups, of large ones those of a line with the earliest and some before it.
     Then the posts of large groups: key, cid, d, told, members (their number) and first (whether they are
     the earliest). And the stored tables that both are read from.
 
-    Only keys whose rarer word is frequent can have very large groups; these are dealt out by a salt and
-    told the earliest of all salts afterwards.
+    Only keys whose rarer word is frequent can have very large groups. These are dealt out by a salt, and what is left of them
+    is counted by key: but for the 2 ** 14 largest groups of more than HOT lines, of which no other has that part of the lines, they are put together
+    again. The largest are told the earliest of all salts afterwards.
     """
     # A salted key stands for a group's part; base is the group's own.
-    salted = F.when(F.col("hot"), F.xxhash64("key", F.pmod(F.xxhash64("cid"), F.lit(64)))).otherwise(F.col("key"))
-    parts = posts.select(salted.alias("key"), F.when(F.col("hot"), F.col("key")).alias("base"), "cid", "told")
-    near = parts.withColumn("members", F.count(F.lit(1)).over(W.partitionBy("key"))).where("members > 1 or base is not null")
-    large = (F.col("members") > WHOLE) | F.col("base").isNotNull()
-    near = _held(near, "cid").select("key", "base", "cid", F.when(large, F.col("told")).alias("told"), "members", F.when(~large & (F.size("earlier") > 0), F.col("earlier")).alias("earlier"))
-    near = materialise(near.where("told is not null or earlier is not null"), "shared")
+    salted = lambda key: F.xxhash64(key, F.pmod(F.xxhash64("cid"), F.lit(64)))
+    hot = F.when(F.col("hot"), F.col("key"))
+    near = materialise(_grouped(posts.select(F.when(F.col("hot"), salted("key")).otherwise(F.col("key")).alias("key"), hot.alias("base"), "cid", "told")), "shared")
+    apart = near.where("base is not null").select(F.col("base").alias("key"), "cid", "told")
+    often = apart.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT).orderBy(F.desc("k"), "key").limit(1 << 14)
+    often = materialise(often.select("key", F.col("key").alias("base")), "largest")
+    apart = apart.join(F.broadcast(often), "key", "left").select(F.when(F.col("base").isNull(), F.col("key")).otherwise(salted("key")).alias("key"), "base", "cid", "told")
+    again = materialise(_grouped(apart), "again")
+    stored, near = [near, often, again], near.where("base is null").unionByName(again)
     pairs = near.where("earlier is not null").select(F.col("cid").alias("a"), F.explode("earlier").alias("b"))
     # The others are told their line's place.
     big = near.where("told is not null").drop("earlier")
@@ -166,7 +185,7 @@ def _shared(posts: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame,
     first = F.col("cid") == F.col("h.cid")
     hub = F.when(~first & _fits("told", "h.told"), F.array("h.cid")).otherwise(F.array().cast("array<bigint>"))
     star = every.select(F.col("cid").alias("a"), F.explode(F.array_union("earlier", hub)).alias("b"))
-    return pairs.unionByName(star), every.select("key", "cid", "d", "told", "members", first.alias("first")), [near, big]
+    return pairs.unionByName(star), every.select("key", "cid", "d", "told", "members", first.alias("first")), [*stored, big]
 
 
 def _similar(pairs: DataFrame, classes: DataFrame) -> DataFrame:
